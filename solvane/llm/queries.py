@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solvane.llm import decontaminate, flat_tokens, jaccard_join, packing, quality, token_store, toxicity
+from solvane.llm import decontaminate, flat_tokens, jaccard_join, packing, perspectives, phrases, quality, secrets, token_store, toxicity
 from solvane.llm.shared import working_folder
 
 TOXIC_FROM = 0.3
@@ -72,11 +72,27 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), QUALITY_FROM)
 
 
+def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations rendered from each participant's side, as segments with masks."""
+    return perspectives.rotated(table(spark, sf_dir, "conversations"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets are alike by 0.85 or more."""
     return jaccard_join.similar_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op9_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts by locally consistent parsing."""
+    return phrases.fingerprinted(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, judged by how many sources share them."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digests(secrets.scan(docs, F.col("source"), F.concat_ws("/", "source", "lang")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -85,12 +101,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_toxicity": op5_toxicity,
         "op6_quality": op6_quality,
+        "op7_perspective_rotation": op7_perspective_rotation,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+        "op9_phrase_fingerprints": op9_phrase_fingerprints,
+        "op10_secret_ownership": op10_secret_ownership,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL}
+    return {"op2_decontamination": OP2_SQL, "op7_perspective_rotation": OP7_SQL}
 
 
 OP2_SQL = r"""
@@ -112,3 +131,21 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+OP7_SQL = r"""
+WITH t AS (
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, CASE WHEN role IS NULL OR trim(role) = '' THEN 'unknown' ELSE trim(role) END AS speaker, coalesce(text, '') AS text FROM conversations
+), p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+r AS (
+  SELECT t.conv_id, perspective, turn, speaker, text,
+         CASE WHEN speaker = 'system' THEN '<|im_start|>system' || chr(10) WHEN speaker = perspective THEN '<|im_start|>assistant' || chr(10) ELSE '<|im_start|>user name=' || speaker || chr(10) END AS header
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+), s AS (SELECT *, header || text || '<|im_end|>' || chr(10) AS segment FROM r),
+o AS (
+  SELECT *, CAST(row_number() OVER w - 1 AS BIGINT) AS position, CAST(sum(length(segment)) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "end"
+  FROM s WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text)
+)
+SELECT conv_id, perspective, position, turn, speaker, header, segment, CAST("end" - length(segment) AS BIGINT) AS start, "end",
+       CASE WHEN speaker = perspective THEN CAST("end" - length(segment) + length(header) AS BIGINT) END AS train_start, CASE WHEN speaker = perspective THEN "end" - 1 END AS train_end
+FROM o
+"""
