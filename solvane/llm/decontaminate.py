@@ -37,8 +37,8 @@ SHARD_BYTES = 2 << 20
 BLOCK_PHRASES = 100_000
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_INDEX = "shard string, doc_ids array<long>, begins array<int>, n_words array<int>, terms array<int>, bounds array<int>, positions array<int>"
-_MATCHES = "row_id string, doc_id long, n_words long, n_hit long, items array<string>, hit_starts array<int>, hit_ends array<int>, proximity_items array<string>"
+_INDEX = "shard string, doc_ids array<long>, marks array<long>, begins array<int>, n_words array<int>, terms array<int>, bounds array<int>, positions array<int>"
+_MATCHES = "row_id string, doc_id long, text_hash long, n_words long, n_hit long, items array<string>, hit_starts array<int>, hit_ends array<int>, proximity_items array<string>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -89,12 +89,12 @@ def index_postings(docs: DataFrame, vocabulary: dict[bytes, int], shard_bytes: i
             order = np.argsort(terms, kind="stable")
             terms, places = terms[order], places[order]
             first = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]]) if len(terms) else np.zeros(0, np.int64)
-            row = [b.column("doc_id").to_pylist(), begins, counts, terms[first], np.r_[first, len(terms)], places]
-            kinds = [pa.int64(), *[pa.int32()] * 5]
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, k)) for v, k in zip(row, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{nth}"]), *lists], ["shard", "doc_ids", "begins", "n_words", "terms", "bounds", "positions"])
+            row = [b.column("doc_id").to_pylist(), b.column("mark"), begins, counts, terms[first], np.r_[first, len(terms)], places]
+            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v, k)) for v, k in zip(row, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{nth}"]), *lists], ["shard", "doc_ids", "marks", "begins", "n_words", "terms", "bounds", "positions"])
 
-    slim = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    slim = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     return written(slim.mapInArrow(index, _INDEX), "postings", compression="zstd")
 
 
@@ -180,7 +180,7 @@ def search(index: DataFrame, block: Phrases, slop: int | None = None, rare_terms
         own = share.value
         for b in batches:
             for row in range(b.num_rows):
-                ids, begins, counts, terms, bounds, places = (b.column(k)[row].values for k in range(1, 7))
+                ids, marks, begins, counts, terms, bounds, places = (b.column(k)[row].values for k in range(1, 8))
                 begins, counts, terms, bounds, places = (x.to_numpy() for x in (begins, counts, terms, bounds, places))
                 total = int(begins[-1] + counts[-1]) + 1
                 at = np.full(total, -2, np.int32)
@@ -215,8 +215,8 @@ def search(index: DataFrame, block: Phrases, slop: int | None = None, rare_terms
                     out["proximity_items"].append(sorted(near.get(d, ())))
                 texts, ints = pa.list_(pa.string()), pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([f"{b.column(0)[row]}-{d}" for d in range(len(begins))], pa.string()), ids, pa.array(counts, pa.int64()), pa.array(out["n_hit"], pa.int64()), pa.array(out["items"], texts), pa.array(out["hit_starts"], ints), pa.array(out["hit_ends"], ints), pa.array(out["proximity_items"], texts)],
-                    ["row_id", "doc_id", "n_words", "n_hit", "items", "hit_starts", "hit_ends", "proximity_items"],
+                    [pa.array([f"{b.column(0)[row]}-{d}" for d in range(len(begins))], pa.string()), ids, marks, pa.array(counts, pa.int64()), pa.array(out["n_hit"], pa.int64()), pa.array(out["items"], texts), pa.array(out["hit_starts"], ints), pa.array(out["hit_ends"], ints), pa.array(out["proximity_items"], texts)],
+                    ["row_id", "doc_id", "text_hash", "n_words", "n_hit", "items", "hit_starts", "hit_ends", "proximity_items"],
                 )
 
     return index.mapInArrow(match, _MATCHES)
@@ -240,7 +240,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, slop: i
     """Exact and proximity matches of all test phrases of size words, a row for each row of docs.
 
     An item of fewer words, but not none, is one phrase.  row_id names the row's
-    shard and place there; the rows of several blocks of phrases are merged by it.
+    shard and place there, text_hash its text; the rows of several blocks of phrases are merged by it.
     """
     found = []
     for block in blocks_of(benchmark, size):
@@ -263,7 +263,7 @@ def _merged(found: list[DataFrame]) -> DataFrame:
         every = every.unionByName(f)
     spans = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("hit_starts", "hit_ends"))))
     merged = (
-        every.groupBy("row_id", "doc_id", "n_words")
+        every.groupBy("row_id", "doc_id", "text_hash", "n_words")
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("proximity_items")))).alias("proximity_items"), spans.alias("spans"))
     )
     # the union of sorted spans: a span opens a new run where it starts beyond all before it
@@ -272,4 +272,4 @@ def _merged(found: list[DataFrame]) -> DataFrame:
         F.struct(F.lit(0).alias("n"), F.lit(-1).alias("reach")),
         lambda acc, x: F.struct((acc["n"] + F.greatest(x["hit_ends"] - F.greatest(x["hit_starts"], acc["reach"]), F.lit(0))).alias("n"), F.greatest(acc["reach"], x["hit_ends"]).alias("reach")),
     )
-    return merged.select("row_id", "doc_id", "n_words", step["n"].cast("long").alias("n_hit"), "items", F.col("spans.hit_starts").alias("hit_starts"), F.col("spans.hit_ends").alias("hit_ends"), "proximity_items")
+    return merged.select("row_id", "doc_id", "text_hash", "n_words", step["n"].cast("long").alias("n_hit"), "items", F.col("spans.hit_starts").alias("hit_starts"), F.col("spans.hit_ends").alias("hit_ends"), "proximity_items")

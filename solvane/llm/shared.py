@@ -83,3 +83,25 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; extra ones, whatever they are called, are left out."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+#: Keys of rows to leave out that are broadcast at most; more of them are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+_NO_ID = 2**63 - 1
+
+
+def text_key(doc_id: str = "doc_id", text_hash: str | None = None, text: str = "text") -> list:
+    """Columns (k, mark) that name a document row by its id and text; null ids have a key too."""
+    mark = F.col(text_hash) if text_hash else F.xxhash64(F.col(text))
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("k"), mark.alias("mark")]
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs without the rows that keys(k, mark) name; keys must be written, since they are counted first."""
+    names = docs.columns
+    known = keys.select(F.col("k").alias("w_k"), F.col("mark").alias("w_mark")).distinct()
+    if keys.count() <= BROADCAST_KEYS:
+        known = F.broadcast(known)
+    k, mark = text_key()
+    marked = docs.select("*", k.alias("w_own_k"), mark.alias("w_own_mark"))
+    return marked.join(known, (F.col("w_own_k") == F.col("w_k")) & (F.col("w_own_mark") == F.col("w_mark")), "left_anti").select(*[F.col(f"`{n}`") for n in names])
