@@ -15,12 +15,14 @@ each, and at least two among the first p + 1.
 * The boundary is the size at which the summed costs (rows to list, and expected
   partners in the lists) are least; they are measured on all sets.
 
-A list of any length is first scanned against one hub, the member that holds the
-list's key earliest in its order; links to hubs are verified exactly.  Lists
-whose members are then in one component need no more; of the others, members of
-different components are paired, under the size and position filters.  So a
-large group of near copies costs its length, and no link that could join two
-components is left out.
+Lists are dealt out by their keys' hashes, packed as bytes, and scanned in sorted
+order.  A short list gives all pairs that pass the size and position filters.  A
+longer one is scanned against one hub, the member that holds the list's key
+earliest in its order.  Pairs whose histograms of hashes leave room for the overlap
+are verified exactly, on their whole sets.  Long lists whose members
+are then in one component need no more; of the others, members of different
+components are paired, under the same filters.  So a large group of near copies
+costs its length, and no link that could join two components is left out.
 
 Defined results: null or empty texts, and texts without words, have n_shingles
 0 and are linked with nothing; a text with fewer words than a shingle is one
@@ -38,14 +40,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solvane.llm.shared import only, text_slices, written
+from solvane.llm.shared import only, text_key, text_slices, without, written
 from solvane.llm.wordhash import SPACES, finish, tokens
 
 #: Buckets of the sketch of document frequencies, and the parts in which it is summed.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 22
 PARTS = 64
 #: A list of more expected members is dealt out by member too.
 LIST_ROWS = 100_000
+#: Members of a short list.
+SHORT = 16
+#: Entries of lists that one task scans at once, about.
+RANGE_ENTRIES = 500_000
+#: An expected partner in a list costs as much as so many entries: its set may have to be fetched.
+PARTNER_COST = 32.0
+#: Bins of a set's histogram, which bounds the overlap of two sets from above.
+BINS = 512
 #: Sets of more shingles are always heavy.
 LIGHT_MOST = 400
 #: Bits of the filter that keeps texts out of the shuffle when sets are fetched.
@@ -84,30 +94,30 @@ def set_name(s: np.ndarray) -> tuple[int, int]:
 
 
 def _slim(docs: DataFrame) -> DataFrame:
-    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
 
 
 def _classes_and_sketch(docs: DataFrame, width: int) -> DataFrame:
-    """Written: (doc_id, n, s1, s2) of each row, and rows (part, counts) of the sketch with n null."""
+    """Written: (doc_id, mark, n, s1, s2) of each row, and rows (part, counts) of the sketch with n null."""
     import zlib
 
     each = BUCKETS // PARTS
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(BUCKETS, np.uint32)
-        names = ["doc_id", "n", "s1", "s2", "part", "counts"]
+        names = ["doc_id", "mark", "n", "s1", "s2", "part", "counts"]
         for b in text_slices(batches):
             sets = shingle_sets(b.column("text").to_pylist(), width)
             named = [set_name(s) for s in sets]
             if any(map(len, sets)):
                 sketch += np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
             k = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in named], pa.int64()), pa.array([x for _, x in named], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in named], pa.int64()), pa.array([x for _, x in named], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         if sketch.any():
             rows = [zlib.compress(sketch[p * each : (p + 1) * each].tobytes(), 1) for p in range(PARTS)]
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(PARTS, pa.int64())] * 4, pa.array(range(PARTS), pa.int32()), pa.array(rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(PARTS, pa.int64())] * 5, pa.array(range(PARTS), pa.int32()), pa.array(rows, pa.binary())], names)
 
-    return written(_slim(docs).mapInArrow(scan, "doc_id long, n long, s1 long, s2 long, part int, counts binary"), "shingle-classes", compression="zstd")
+    return written(_slim(docs).mapInArrow(scan, "doc_id long, mark long, n long, s1 long, s2 long, part int, counts binary"), "shingle-classes", compression="zstd")
 
 
 def _summed(rows: DataFrame) -> np.ndarray:
@@ -137,19 +147,24 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _bins(s: np.ndarray) -> bytes:
+    """How many members of a set fall in each bin, 255 for more."""
+    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def _prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Written: the first p + 1 shingles of each row's set, rare ones first, with the costs of both ways."""
+    """The first p + 1 shingles of each row's set, rare ones first, with the costs of both ways."""
     spark = docs.sparkSession
     load = float(sketch.mean())
     excess = np.maximum(sketch.astype(np.float64) - load - 3 * np.sqrt(load + 1), 0)
     share = spark.sparkContext.broadcast((sketch.astype(np.float32), excess.astype(np.float32)))
-    kinds = "doc_id long, n long, s1 long, s2 long, keys array<long>, deals array<int>, single double, subset double"
+    kinds = "doc_id long, mark long, n long, keys array<long>, deals array<int>, single double, subset double, bins binary"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, over = share.value
         for b in text_slices(batches):
             out: tuple[list, ...] = tuple([] for _ in range(8))
-            for doc, s in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text").to_pylist(), width), strict=True):
+            for doc, mark, s in zip(b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), shingle_sets(b.column("text").to_pylist(), width), strict=True):
                 n = len(s)
                 p = n - least_overlap(n, percent) + 1
                 if n < 2 or (n + 1) * percent > 100 * n:  # only an equal set is alike
@@ -157,13 +172,13 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) ->
                 at = (s & np.uint64(BUCKETS - 1)).astype(np.int64)
                 first = np.argsort(counts[at], kind="stable")[: p + 1]
                 more = over[at[first]]
-                single = float(p + more[:p].sum())
-                subset = float((p + 1) * p / 2 + np.minimum.outer(more, more).sum() / 2) if n <= LIGHT_MOST else 0.0
+                single = float(p + PARTNER_COST * more[:p].sum())
+                subset = float((p + 1) * p / 2 + PARTNER_COST * np.triu(np.minimum.outer(more, more), 1).sum()) if n <= LIGHT_MOST else 0.0
                 deals = np.maximum(1, np.ceil(more / LIST_ROWS)).astype(np.int32)
-                for c, v in zip(out, (doc, n, *set_name(s), s[first].view(np.int64), deals, single, subset), strict=True):
+                for c, v in zip(out, (doc, mark, n, s[first].view(np.int64), deals, single, subset, _bins(s)), strict=True):
                     c.append(v)
-            types = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types, strict=True)], ["doc_id", "n", "s1", "s2", "keys", "deals", "single", "subset"])
+            types = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types, strict=True)], ["doc_id", "mark", "n", "keys", "deals", "single", "subset", "bins"])
 
     return _slim(docs).mapInArrow(scan, kinds)
 
@@ -179,29 +194,125 @@ def boundary(costs: list[tuple[int, float, float]], percent: int) -> int:
     return min(sizes, key=lambda most: (total(most), most))
 
 
-def _entries(prefixes: DataFrame, light: int, percent: int) -> DataFrame:
-    """(key, deal, cls, n, i): a set's entries in lists; i is how many shingles at most precede what the key shares."""
-    p = (F.col("n") - F.ceil(F.col("n") * percent / 100).cast("long") + 1).cast("int")
-    near = F.col("n") * 100 >= F.lit(percent * (light + 1))
-    singles = prefixes.where(near).select("cls", "n", F.posexplode(F.slice(F.arrays_zip("keys", "deals"), F.lit(1), p)).alias("i", "e"))
-    singles = singles.select(F.col("e.keys").alias("key"), F.when(F.col("e.deals") > 1, F.pmod(F.col("cls"), F.col("e.deals"))).otherwise(0).cast("int").alias("deal"), "cls", "n", "i")
-    if not light:
-        return singles
-    ranks = F.sequence(F.lit(1), F.size("keys") - 1)
-    pairs = F.flatten(F.transform(ranks, lambda j: F.transform(F.sequence(F.lit(0), j - 1), lambda i: F.struct(F.xxhash64(F.element_at("keys", i + 1), F.element_at("keys", j + 1)).alias("key"), (j - 1).cast("int").alias("i")))))
-    subsets = prefixes.where((F.col("n") <= light) & (F.size("keys") > 1)).select(F.inline(pairs), "cls", "n")
-    return singles.unionByName(subsets.select("key", F.lit(0).alias("deal"), "cls", "n", "i"))
-
-
-def _alike(n: F.Column, i: F.Column, m: F.Column, j: F.Column, percent: int) -> F.Column:
+def _alike(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of n and m with a first common key at i and j can reach the threshold."""
-    need = (F.lit(percent) * (n + m) + (100 + percent - 1)) / (100 + percent)
-    need = F.floor(need)
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - i, m - j) >= need)
+    need = -(-percent * (n + m) // (100 + percent))
+    return (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (np.minimum(n - i, m - j) >= need)
+
+
+_ENTRY = np.dtype([("key", "<i8"), ("deal", "<i4"), ("n", "<i4"), ("i", "<i4"), ("cls", "<i8")])
+
+
+def _set_entries(n: np.ndarray, cls: np.ndarray, keys: pa.ListArray, deals: pa.ListArray, light: int, percent: int) -> np.ndarray:
+    """A batch of sets' entries in lists; i is how many shingles at most precede what the key shares."""
+    size = keys.value_lengths().to_numpy().astype(np.int64)
+    flat, dealt = keys.flatten().to_numpy(), deals.flatten().to_numpy()
+    begin = np.cumsum(np.r_[0, size[:-1]])
+    i = np.arange(len(flat)) - np.repeat(begin, size)
+    own = np.repeat(np.arange(len(n)), size)
+    p = n + percent * -n // 100 + 1  # n - ceil(percent n / 100) + 1
+    use = (i < p[own]) & (n[own] * 100 >= percent * (light + 1))
+    parts = [np.zeros(int(use.sum()), _ENTRY)]
+    e = parts[0]
+    e["key"], e["n"], e["i"], e["cls"] = flat[use], n[own[use]], i[use], cls[own[use]]
+    e["deal"] = np.where(dealt[use] > 1, e["cls"] % np.maximum(dealt[use], 1), 0)
+    small = (n <= light) & (size > 1)
+    for length in np.unique(size[small]):
+        rows = np.flatnonzero(small & (size == length))
+        table = flat[begin[rows][:, None] + np.arange(length)].astype(np.int64).view(np.uint64)
+        a, z = np.triu_indices(int(length), 1)
+        with np.errstate(over="ignore"):
+            both = finish(table[:, a] * np.uint64(0x9E3779B97F4A7C15) + finish(table[:, z] + np.uint64(0x2545F4914F6CDD1D)))
+        e = np.zeros(both.size, _ENTRY)
+        e["key"], e["n"], e["i"], e["cls"] = both.view(np.int64).ravel(), np.repeat(n[rows], len(a)), np.tile(z - 1, len(rows)), np.repeat(cls[rows], len(a))
+        parts.append(e)
+    return np.concatenate(parts)
+
+
+def _scan_lists(e: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs of classes to verify, entries of long lists) of the lists that one range holds."""
+    e = e[np.lexsort((e["cls"], e["n"], e["i"], e["deal"], e["key"]))]
+    new = np.r_[True, (e["key"][1:] != e["key"][:-1]) | (e["deal"][1:] != e["deal"][:-1])] if len(e) else np.zeros(0, bool)
+    begin = np.flatnonzero(new)
+    size = np.diff(np.r_[begin, len(e)])
+    keep = np.repeat(size > 1, size)
+    e, size = e[keep], size[size > 1]
+    begin = np.cumsum(np.r_[0, size[:-1]]).astype(np.int64)
+    head, length = np.repeat(begin, size), np.repeat(size, size)
+    place = np.arange(len(e)) - head
+    wide = {f: e[f].astype(np.int64) for f in ("n", "i")}
+    found = []
+
+    def pair(x: np.ndarray, y: np.ndarray) -> None:
+        ok = (e["cls"][x] != e["cls"][y]) & _alike(wide["n"][x], wide["i"][x], wide["n"][y], wide["i"][y], percent)
+        a, b = e["cls"][x[ok]], e["cls"][y[ok]]
+        found.append(np.c_[np.minimum(a, b), np.maximum(a, b)])
+
+    for d in range(1, SHORT):
+        x = np.flatnonzero((length <= SHORT) & (place + d < length))
+        if not len(x):
+            break
+        pair(x, x + d)
+    far = np.flatnonzero(length > SHORT)
+    pair(head[far], far)
+    return np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0), e[far]
+
+
+_SCANNED = "a long, b long, key long, n int, i int, cls long"
+
+
+def _lists(own: DataFrame, light: int, percent: int, entries: int) -> DataFrame:
+    """Written: pairs (a, b) of the lists' scan, and entries (key, n, i, cls) of long lists (a null)."""
+    ranges = max(1, entries // RANGE_ENTRIES)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                c = b.slice(at, 2000)
+                e = _set_entries(c.column("n").to_numpy(), c.column("cls").to_numpy(), c.column("keys"), c.column("deals"), light, percent)
+                with np.errstate(over="ignore"):
+                    r = (finish(e["key"].view(np.uint64) + e["deal"].astype(np.uint64)) % np.uint64(ranges)).astype(np.int64) if len(e) else np.zeros(0, np.int64)
+                order = np.argsort(r, kind="stable")
+                e, r = e[order], r[order]
+                cuts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(e) else np.zeros(0, np.int64)
+                blobs = [e[x:y].tobytes() for x, y in zip(cuts, np.r_[cuts[1:], len(e)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(r[cuts], pa.int64()), pa.array(blobs, pa.binary())], ["r", "entries"])
+
+    def scan(key, table):
+        pairs, long = _scan_lists(np.frombuffer(b"".join(table.column("entries").to_pylist()), _ENTRY), percent)
+        k, m = len(pairs), len(long)
+        none = lambda n, kind: pa.nulls(n, kind)
+        each = [("a", pairs[:, 0], None, pa.int64()), ("b", pairs[:, 1], None, pa.int64()), ("key", None, long["key"], pa.int64()), ("n", None, long["n"], pa.int32()), ("i", None, long["i"], pa.int32()), ("cls", None, long["cls"], pa.int64())]
+        cols = [pa.chunked_array([pa.array(x, t) if x is not None else none(k, t), pa.array(y, t) if y is not None else none(m, t)], t) for _, x, y, t in each]
+        return pa.table(cols, [name for name, *_ in each])
+
+    dealt = own.select("n", "cls", "keys", "deals").mapInArrow(deal, "r long, entries binary")
+    return written(dealt.groupBy("r").applyInArrow(scan, _SCANNED), "lists", compression="zstd")
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose histograms allow the overlap that they need; sets has (cls, n, bins)."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                c = b.slice(at, 4096)
+                x, y = (np.frombuffer(b"".join(c.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in ("bins_a", "bins_b"))
+                most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+                n = c.column("n_a").to_numpy() + c.column("n_b").to_numpy()
+                ok = (most >= -(-percent * n // (100 + percent))) | (x.max(axis=1) == 255) | (y.max(axis=1) == 255)
+                yield c.select(["a", "b"]).filter(pa.array(ok))
+
+    ends = lambda e: sets.select(F.col("cls").alias(e), F.col("n").cast("long").alias(f"n_{e}"), F.col("bins").alias(f"bins_{e}"))
+    return pairs.join(ends("b"), "b").join(ends("a"), "a").select("a", "b", "n_a", "n_b", "bins_a", "bins_b").mapInArrow(sift, "a long, b long")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Written: (cls, set) of the wanted(doc_id, s1, s2, cls); a filter of fixed size keeps most other texts out of the shuffle."""
+    """(cls, set) of the classes that stand in wanted(doc_id, cls), and of few others.
+
+    A filter of fixed size lets the wanted ids through and hardly any others;
+    sets, not texts, are shuffled.
+    """
     spark = docs.sparkSession
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     words = wanted.select(slot.alias("b")).groupBy(F.shiftright("b", 16).alias("w")).agg(F.collect_set(F.col("b").bitwiseAND(0xFFFF).cast("int")).alias("b"))
@@ -210,27 +321,22 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         bits[(r["w"] << 16) + np.array(r["b"], np.int64)] = True
     share = spark.sparkContext.broadcast(np.packbits(bits))
 
-    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = share.value
-        for b in batches:
-            at = b.column("slot").to_numpy()
-            yield b.filter(pa.array((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)).select(["doc_id", "text"])
-
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches):
-            found = shingle_sets(b.column("text").to_pylist(), width)
-            named = [set_name(s) for s in found]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x for x, _ in named], pa.int64()), pa.array([x for _, x in named], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "s1", "s2", "set"])
+        packed = share.value
+        for whole in batches:
+            at = whole.column("slot").to_numpy()
+            passed = whole.filter(pa.array((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            for b in text_slices(iter([passed]), limit=1 << 20):
+                found = [s for s in shingle_sets(b.column("text").to_pylist(), width) if len(s)]
+                named = [set_name(s) for s in found]
+                yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in found], pa.int64()), pa.array([x for x, _ in named], pa.int64()), pa.array([x for _, x in named], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["n", "s1", "s2", "set"])
 
-    some = _slim(docs).select("doc_id", "text", slot.alias("slot")).mapInArrow(sieve, "doc_id long, text string")
-    some = some.mapInArrow(sets, "doc_id long, s1 long, s2 long, set binary")
-    ids = wanted.select(F.col("doc_id").alias("w_id"), F.col("s1").alias("w1"), F.col("s2").alias("w2"), "cls")
-    found = some.join(ids, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("s1") == F.col("w1")) & (F.col("s2") == F.col("w2")))
-    return found.select("cls", "set").dropDuplicates(["cls"])
+    found = _slim(docs).select("text", slot.alias("slot")).mapInArrow(sets, "n long, s1 long, s2 long, set binary")
+    return found.select(F.xxhash64("n", "s1", "s2").alias("cls"), "set").dropDuplicates(["cls"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold, written."""
+    """The pairs (a, b) that reach the threshold, written.  Both joins use one shuffle of the sets."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -241,8 +347,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    with_b = pairs.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
-    both = with_b.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
+    with_b = sets.join(pairs, sets["cls"] == pairs["b"]).select("a", "b", F.col("set").alias("set_b"))
+    both = sets.join(with_b, sets["cls"] == with_b["a"]).select("a", "b", F.col("set").alias("set_a"), "set_b")
     return written(both.mapInArrow(check, "a long, b long"), "links")
 
 
@@ -260,59 +366,75 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _hubs(entries: DataFrame) -> DataFrame:
-    """(key, hub fields) of the lists of two members or more; dealt lists first name a hub for each part."""
-    first = F.min(F.struct("i", F.col("n").alias("n"), "cls"))
-    parts = entries.groupBy("key", "deal").agg(F.count(F.lit(1)).alias("size"), first.alias("hub"))
-    return parts.groupBy("key").agg(F.sum("size").alias("size"), F.max("deal").alias("deals"), F.min("hub").alias("hub")).where("size > 1")
+def _linked(docs: DataFrame, classes: DataFrame, own: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The verified of pairs(a, b) of classes."""
+    near = written(_possible(pairs, own.select("cls", "n", "bins"), percent), "possible")
+    ends = near.select(F.col("a").alias("cls")).union(near.select(F.col("b").alias("cls"))).distinct()
+    wanted = ends.join(classes.select("cls", "doc_id"), "cls")
+    return _verified(near, _sets_of(docs, wanted, width), percent)
 
 
-def similar_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text).
+def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, light: int | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, k, mark, stands) of every row of docs(doc_id, text).
 
     Documents link when their sets' Jaccard similarity is percent / 100 or more.
+    light overrides the boundary, which the costs choose otherwise.  k and mark name the row (shared.text_key); stands is true for the rows that
+    stand for their component, which are one row or repeats of it.
     """
     scanned = _classes_and_sketch(docs, width)
     sketch = _summed(scanned)
-    rows = scanned.where("n is not null").select("doc_id", "n", "s1", "s2")
+    rows = scanned.where("n is not null").select("doc_id", *text_key(text_hash="mark"), "n", "s1", "s2")
     members = rows.where("n > 0")
-    # a class is named by its set's first sum; sets of equal first sums but other second sums are told apart by both
-    classes = members.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    classes = written(classes.withColumn("cls", F.xxhash64("n", "s1", "s2")), "classes")
-    prefixes = _prefixes(docs, sketch, width, percent)
-    reps = classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "cls")
-    own = written(prefixes.join(reps, ["doc_id", "s1", "s2"]).dropDuplicates(["cls"]), "prefixes", compression="zstd")
+    classes = members.groupBy("n", "s1", "s2").agg(F.min(F.struct("k", "mark", "doc_id")).alias("rep"))
+    classes = written(classes.select("n", "s1", "s2", F.xxhash64("n", "s1", "s2").alias("cls"), "rep.k", "rep.mark", "rep.doc_id"), "classes")
+    prefixes = _prefixes(docs, sketch, width, percent).withColumn("k", text_key(text_hash="mark")[0])
+    own = prefixes.join(classes.select("k", "mark", "cls"), ["k", "mark"]).dropDuplicates(["cls"])
+    own = written(own, "prefixes", compression="zstd")
     costs = own.where(F.col("n") <= LIGHT_MOST * 2).groupBy("n").agg(F.sum("single").alias("c"), F.sum("subset").alias("s"))
-    light = boundary([(r["n"], r["c"], r["s"]) for r in costs.collect()], percent)  # 2 * LIGHT_MOST rows at most
-
-    entries = _entries(own, light, percent)
-    hubs = written(_hubs(entries), "hubs")
-    deals = F.explode(F.sequence(F.lit(0), "deals")).alias("deal")
-    spread = hubs.select("key", "hub", deals)
-    lists = written(entries.join(spread, ["key", "deal"]), "lists", compression="zstd")
-    h = lists.select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"), _alike(F.col("n"), F.col("i"), F.col("hub.n"), F.col("hub.i"), percent).alias("ok"))
-    pairs = written(h.where("ok and a <> b").select("a", "b").distinct(), "hub-pairs")
-    # sets are needed of members of lists only
-    listed = lists.select("cls").distinct().join(reps, "cls").select("doc_id", "s1", "s2", "cls")
-    sets = written(_sets_of(docs, listed, width), "sets", compression="zstd")
-    links = _verified(pairs, sets, percent)
+    if light is None:
+        light = boundary([(r["n"], r["c"], r["s"]) for r in costs.collect()], percent)  # 2 * LIGHT_MOST rows at most
+    total = own.agg(F.sum(F.size("keys"))).first()[0] or 0
+
+    lists = _lists(own, light, percent, total)
+    pairs = written(lists.where("a is not null").select("a", "b").distinct(), "pairs")
+    links = _linked(docs, classes, own, pairs, width, percent)
     comp = components(links)
 
-    at = lists.select("key", "cls", "n", "i").join(comp.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    at = written(at, "list-components", compression="zstd")
+    long = lists.where("a is null").select("key", "n", "i", "cls")
+    at = written(long.join(comp.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "long-lists", compression="zstd")
     open_lists = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    # the earliest place that can still be alike any set: i <= n - least overlap; whole lists in one component are done
-    rest = at.join(open_lists, "key", "left_semi").where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
+    rest = at.join(open_lists, "key", "left_semi")
     x, y = rest.alias("x"), rest.alias("y")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & _alike(F.col("x.n"), F.col("x.i"), F.col("y.n"), F.col("y.i"), percent)
-    more = x.join(y, on).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = _verified(more.join(tried, ["a", "b"], "left_anti"), sets, percent)
-    if not late.isEmpty():
-        comp = components(links.unionByName(late))
+    n, m = F.col("x.n").cast("long"), F.col("y.n").cast("long")
+    need = F.ceil(F.lit(percent) * (n + m) / (100 + percent))
+    alike = (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - F.col("x.i"), m - F.col("y.i")) >= need)
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & alike)
+    more = more.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+    more = written(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    if not more.isEmpty():
+        late = _linked(docs, classes, own, more, width, percent)
+        if not late.isEmpty():
+            comp = components(links.unionByName(late))
 
     named = classes.join(comp.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    by_class = named.join(smallest, "comp").select("n", "s1", "s2", "component_id")
-    linked = members.join(by_class, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    smallest = named.groupBy("comp").agg(F.min(F.struct("k", "mark", "doc_id")).alias("first"))
+    by_class = named.join(smallest, "comp").select("n", "s1", "s2", "first")
+    linked = members.join(by_class, ["n", "s1", "s2"])
+    stands = (F.col("k") == F.col("first.k")) & (F.col("mark") == F.col("first.mark"))
+    linked = linked.select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), "k", "mark", stands.alias("stands"))
+    return linked.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "k", "mark", F.lit(True).alias("stands")))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each component (the smallest doc_id, and of repeated rows one); texts without words all stay."""
+    parts = written(similar_components(docs, width, percent), "components", compression="zstd")
+    kept = without(docs, parts.where("not stands").select("k", "mark"))
+    # rows that are repeated word for word under one id: only these are shuffled
+    again = written(parts.where("stands and n_shingles > 0").groupBy("k", "mark").count().where("count > 1").select("k", "mark"), "repeated-rows")
+    if again.isEmpty():
+        return kept
+    names = docs.columns
+    k, mark = text_key()
+    marked = kept.select("*", k.alias("w_k"), mark.alias("w_mark"))
+    some = marked.join(again.select(F.col("k").alias("w_k"), F.col("mark").alias("w_mark")), ["w_k", "w_mark"], "left_semi").dropDuplicates(["w_k", "w_mark"])
+    return without(kept, again).unionByName(some.select(*[F.col(f"`{n}`") for n in names]))
