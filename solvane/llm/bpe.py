@@ -18,8 +18,8 @@ import struct
 
 import regex
 
-#: Chunks, and pre-tokens, kept by one Python worker; a memo is emptied when it is full.
-MEMO_ENTRIES = 500_000
+#: Words kept by one Python worker; the memo is emptied when it is full.
+MEMO_ENTRIES = 800_000
 #: Longer ones are encoded but not kept.
 MEMO_CHARS = 64
 
@@ -36,53 +36,65 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-class _Pieces(dict):
-    """Pre-token -> ids as bytes, through the library's BPE model."""
-
-    def __init__(self, model):
-        super().__init__()
-        self._model, self._letters = model, _byte_letters()
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = [t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))]
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[piece] = out
-        return out
+#: Signs that are a pre-token of their own after a letter, at the end of a chunk.
+_MARKS = ".,;:!?)]}"
 
 
 class _Chunks(dict):
     r"""Chunk -> ids as bytes; None where the chunk must not be cut off from its text.
 
     A chunk stands after a space, but "\n..." stands for itself and "\x00..."
-    is the first chunk of a text, without a space before it.
+    is the beginning of a text or line, without a space before it.  Words are
+    kept; a word with a sign after it is put together anew each time.
     """
 
-    def __init__(self, whole, pieces):
+    def __init__(self, library):
         super().__init__()
-        self._whole, self._piece, self._find = whole, pieces.__getitem__, regex.compile(SPLIT_PATTERN).findall
+        self._library, self._model, self._letters = library, library.model, _byte_letters()
+        self._find = regex.compile(SPLIT_PATTERN).findall
+        self._marks = {c: self.piece(c) for c in _MARKS}
+        self._line = self.piece("\n")
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of one pre-token, by the library's BPE model."""
+        ids = [t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _keep(self, chunk: str, ids: bytes | None) -> bytes | None:
+        if len(chunk) <= MEMO_CHARS:
+            if len(self) >= MEMO_ENTRIES:
+                self.clear()
+            self[chunk] = ids
+        return ids
 
     def __missing__(self, chunk: str) -> bytes | None:
         first = chunk[:1]
+        if first == "\n":
+            rest = chunk[1:]
+            if not rest:
+                return self._line
+            if not rest[0].isspace():
+                ids = self["\x00" + rest]
+                return None if ids is None else self._line + ids
+        word = chunk[1:] if first == "\x00" else chunk
+        mark = self._marks.get(chunk[-1:])
+        if mark is not None and word[-2:-1].isalpha():
+            ids = self[chunk[:-1]]
+            return None if ids is None else ids + mark
+        text = word if first == "\x00" or first == "\n" else " " + word
+        settled = word.isascii() or not _SETTLED.search(word)
+        if settled and word.isalpha():
+            return self._keep(chunk, self.piece(text))
         if first == "\x00":
-            text = chunk[1:]
             alone = not text[:1].isspace() or text[0] == "\n"
         else:
-            text = chunk if first == "\n" else " " + chunk
             alone = first == "\n" or (first != "" and not first.isspace())
         if not alone:
-            out = None
-        elif _SETTLED.search(text):
-            out = self._whole([text])[0]
-        else:
-            out = b"".join(map(self._piece, self._find(text)))
-        if len(chunk) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[chunk] = out
-        return out
+            return self._keep(chunk, None)
+        if settled:
+            return self._keep(chunk, b"".join(map(self.piece, self._find(text))))
+        e = self._library.encode(text, add_special_tokens=False)
+        return self._keep(chunk, struct.pack(f"<{len(e.ids)}I", *e.ids))
 
 
 class BpeEncoder:
@@ -96,7 +108,7 @@ class BpeEncoder:
         self.library.encode_special_tokens = True
         pre = self.library.pre_tokenizer
         self._plain = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex and self.library.normalizer is None
-        self._chunk = _Chunks(self.whole, _Pieces(self.library.model)).__getitem__
+        self._chunk = _Chunks(self.library).__getitem__ if self._plain else None
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """The library's own encoding."""
