@@ -19,7 +19,7 @@ import struct
 import regex
 
 #: Words kept by one Python worker; the memo is emptied when it is full.
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 400_000
 #: Longer ones are encoded but not kept.
 MEMO_CHARS = 64
 
