@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solvane.llm.shared import only, text_slices, written
+from solvane.llm.shared import only, text_slices, tidy, written
 
 #: Bytes of text in one shard; a longer document is a shard of its own.
 SHARD_BYTES = 2 << 20
@@ -95,7 +95,7 @@ def index_postings(docs: DataFrame, vocabulary: dict[bytes, int], shard_bytes: i
             yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{nth}"]), *lists], ["shard", "doc_ids", "marks", "begins", "n_words", "terms", "bounds", "positions"])
 
     slim = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
-    return written(slim.mapInArrow(index, _INDEX), "postings", compression="zstd")
+    return written(slim.mapInArrow(tidy(index), _INDEX), "postings", compression="zstd")
 
 
 def frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
@@ -219,7 +219,7 @@ def search(index: DataFrame, block: Phrases, slop: int | None = None, rare_terms
                     ["row_id", "doc_id", "text_hash", "n_words", "n_hit", "items", "hit_starts", "hit_ends", "proximity_items"],
                 )
 
-    return index.mapInArrow(match, _MATCHES)
+    return index.mapInArrow(tidy(match), _MATCHES)
 
 
 def blocks_of(benchmark: DataFrame, size: int, limit: int = BLOCK_PHRASES) -> Iterator[Phrases]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from solvane.llm.bpe import encoder
-from solvane.llm.shared import filesystem, only, put_file, text_slices, working_folder, written
+from solvane.llm.shared import filesystem, only, put_file, text_slices, tidy, working_folder, written
 
 #: Ids in one block of a scan.
 BLOCK_TOKENS = 1 << 20
@@ -52,7 +52,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width:
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.string()), pa.array(range(len(ids)), pa.int64()), pa.array(ids, pa.int64())], ["file", "ordinal", "doc_id"])
 
     slim = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(slim.mapInArrow(write, "file string, ordinal long, doc_id long"), "flat-manifest")
+    return written(slim.mapInArrow(tidy(write), "file string, ordinal long, doc_id long"), "flat-manifest")
 
 
 def scan_separators(spark: SparkSession, folder: str, end_id: int, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -85,7 +85,7 @@ def scan_separators(spark: SparkSession, folder: str, end_id: int, width: int =
                 lasts.append(int(hits[-1]) if len(hits) else None)
             yield pa.RecordBatch.from_arrays([b.column("file"), b.column("size"), b.column("first"), pa.array(ends, pa.list_(pa.int64())), pa.array(lasts, pa.int64())], ["file", "size", "first", "ends", "last_end"])
 
-    found = blocks.mapInArrow(scan, "file string, size long, first long, ends array<long>, last_end long")
+    found = blocks.mapInArrow(tidy(scan), "file string, size long, first long, ends array<long>, last_end long")
     before = Window.partitionBy("file").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy("file")
     stitched = found.select(

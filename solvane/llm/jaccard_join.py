@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solvane.llm.shared import only, text_key, text_slices, without, written
+from solvane.llm.shared import only, text_key, text_slices, tidy, without, written
 from solvane.llm.wordhash import SPACES, finish, tokens
 
 #: Buckets of the sketch of document frequencies, and the parts in which it is summed.
@@ -117,7 +117,7 @@ def _classes_and_sketch(docs: DataFrame, width: int) -> DataFrame:
             rows = [zlib.compress(sketch[p * each : (p + 1) * each].tobytes(), 1) for p in range(PARTS)]
             yield pa.RecordBatch.from_arrays([*[pa.nulls(PARTS, pa.int64())] * 5, pa.array(range(PARTS), pa.int32()), pa.array(rows, pa.binary())], names)
 
-    return written(_slim(docs).mapInArrow(scan, "doc_id long, mark long, n long, s1 long, s2 long, part int, counts binary"), "shingle-classes", compression="zstd")
+    return written(_slim(docs).mapInArrow(tidy(scan), "doc_id long, mark long, n long, s1 long, s2 long, part int, counts binary"), "shingle-classes", compression="zstd")
 
 
 def _summed(rows: DataFrame) -> np.ndarray:
@@ -180,7 +180,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) ->
             types = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types, strict=True)], ["doc_id", "mark", "n", "keys", "deals", "single", "subset", "bins"])
 
-    return _slim(docs).mapInArrow(scan, kinds)
+    return _slim(docs).mapInArrow(tidy(scan), kinds)
 
 
 def boundary(costs: list[tuple[int, float, float]], percent: int) -> int:
@@ -286,7 +286,7 @@ def _lists(own: DataFrame, light: int, percent: int, entries: int) -> DataFrame:
         cols = [pa.chunked_array([pa.array(x, t) if x is not None else none(k, t), pa.array(y, t) if y is not None else none(m, t)], t) for _, x, y, t in each]
         return pa.table(cols, [name for name, *_ in each])
 
-    dealt = own.select("n", "cls", "keys", "deals").mapInArrow(deal, "r long, entries binary")
+    dealt = own.select("n", "cls", "keys", "deals").mapInArrow(tidy(deal), "r long, entries binary")
     return written(dealt.groupBy("r").applyInArrow(scan, _SCANNED), "lists", compression="zstd")
 
 
@@ -304,7 +304,7 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield c.select(["a", "b"]).filter(pa.array(ok))
 
     ends = lambda e: sets.select(F.col("cls").alias(e), F.col("n").cast("long").alias(f"n_{e}"), F.col("bins").alias(f"bins_{e}"))
-    return pairs.join(ends("b"), "b").join(ends("a"), "a").select("a", "b", "n_a", "n_b", "bins_a", "bins_b").mapInArrow(sift, "a long, b long")
+    return pairs.join(ends("b"), "b").join(ends("a"), "a").select("a", "b", "n_a", "n_b", "bins_a", "bins_b").mapInArrow(tidy(sift), "a long, b long")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -331,7 +331,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 named = [set_name(s) for s in found]
                 yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in found], pa.int64()), pa.array([x for x, _ in named], pa.int64()), pa.array([x for _, x in named], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["n", "s1", "s2", "set"])
 
-    found = _slim(docs).select("text", slot.alias("slot")).mapInArrow(sets, "n long, s1 long, s2 long, set binary")
+    found = _slim(docs).select("text", slot.alias("slot")).mapInArrow(tidy(sets), "n long, s1 long, s2 long, set binary")
     return found.select(F.xxhash64("n", "s1", "s2").alias("cls"), "set").dropDuplicates(["cls"])
 
 
@@ -349,7 +349,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     with_b = sets.join(pairs, sets["cls"] == pairs["b"]).select("a", "b", F.col("set").alias("set_b"))
     both = sets.join(with_b, sets["cls"] == with_b["a"]).select("a", "b", F.col("set").alias("set_a"), "set_b")
-    return written(both.mapInArrow(check, "a long, b long"), "links")
+    return written(both.mapInArrow(tidy(check), "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from solvane.llm.bpe import encoder
-from solvane.llm.shared import only, text_slices, written
+from solvane.llm.shared import only, text_slices, tidy, written
 
 PIECES = "doc_id long, piece int, start long, length long, part int, rank_in_part long, ids binary"
 
@@ -64,7 +64,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataF
                 )
 
     slim = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(slim.mapInArrow(cut, PIECES), "pieces", compression="zstd")
+    return written(slim.mapInArrow(tidy(cut), PIECES), "pieces", compression="zstd")
 
 
 class _Sums:
@@ -174,7 +174,7 @@ def assign(pieces: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*own, pa.array(row[:, 2] + k // row[:, 3]), pa.array(row[:, 4] + k % row[:, 3] * length)], [*names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(place, kinds + ", sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(place), kinds + ", sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024) -> tuple[DataFrame, DataFrame]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solvane.llm.shared import only, text_slices
+from solvane.llm.shared import only, text_slices, tidy
 from solvane.llm.wordhash import finish
 
 SLOTS = 128
@@ -169,7 +169,7 @@ def with_successors(docs: DataFrame) -> DataFrame:
             into = np.r_[bucket, np.where(bucket[head] > 0, bucket[head] - 1, last)].astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(into), pa.array(np.r_[np.zeros(len(key)), np.ones(len(head))].astype(np.int32)), b.column("key").take(rest), b.column("text").take(rest)], ["bucket", "ahead", "key", "text"])
 
-    dealt = rows.mapInArrow(deal, "bucket int, ahead int, key long, text string").withColumn("mark", F.xxhash64("text"))
+    dealt = rows.mapInArrow(tidy(deal), "bucket int, ahead int, key long, text string").withColumn("mark", F.xxhash64("text"))
     return dealt.repartitionById(last + 1, F.col("bucket")).sortWithinPartitions("bucket", "ahead", "key", "mark", "text")
 
 
@@ -211,4 +211,4 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
             )
 
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_successors(docs).select("key", "ahead", "text").mapInArrow(scan, kinds)
+    return with_successors(docs).select("key", "ahead", "text").mapInArrow(tidy(scan), kinds)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solvane.llm.shared import only, text_slices
+from solvane.llm.shared import only, text_slices, tidy
 from solvane.llm.wordhash import WORDS_AND_SIGNS, finish, tokens
 
 #: Labelled rows that a model is fitted on at most.
@@ -121,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
         yield pa.RecordBatch.from_pydict({"weights": pa.array([model.weights().astype("<f4").tobytes()], pa.binary())})
 
     sample = sampled(docs, labels, label, rows, leave_fold).repartition(1).sortWithinPartitions("mark", "text")
-    return np.frombuffer(sample.mapInArrow(train, "weights binary").first()["weights"], "<f4").astype(np.float64)
+    return np.frombuffer(sample.mapInArrow(tidy(train), "weights binary").first()["weights"], "<f4").astype(np.float64)
 
 
 def score(docs: DataFrame, weights: np.ndarray, column: str = "score") -> DataFrame:
@@ -137,4 +137,4 @@ def score(docs: DataFrame, weights: np.ndarray, column: str = "score") -> DataFr
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(p)], [*(f.name for f in kept), column])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(scored, f"{kinds}, `{column}` double")
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(tidy(scored), f"{kinds}, `{column}` double")

@@ -25,16 +25,17 @@ from pyspark.sql import functions as F
 from solvane.llm.shared import written
 
 # Patterns (Java syntax), the group that holds the value, and the value's or match's least length.
-# Base kinds come first, in the order in which matches at one place are listed.
+# Base kinds come first, in the order in which matches at one place are listed.  Where a run is matched whole, its
+# least length is in the pattern: a shorter run holds no longer one, so the same matches are left as by dropping later.
 BASE = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, r"(?i)(?:password|passwd|secret|token|api_?key)"),
-    ("access", r"AKIA[A-Z0-9]+", 0, 18, r"AKIA[A-Z0-9]{14}"),
-    ("hex", r"[0-9a-f]+", 0, 16, r"[0-9a-f]{16}"),
+    ("access", r"AKIA[A-Z0-9]{14,}", 0, 18, r"AKIA[A-Z0-9]{14}"),
+    ("hex", r"[0-9a-f]{16,}", 0, 16, r"[0-9a-f]{16}"),
 ]
 ADDED = [
-    ("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, r"gh[pousr]_[A-Za-z0-9]{36}"),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, r"gh[pousr]_[A-Za-z0-9]{36}"),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15, r"xox[abprs]-"),
-    ("google", r"AIza[A-Za-z0-9_-]+", 0, 39, r"AIza[A-Za-z0-9_-]{35}"),
+    ("google", r"AIza[A-Za-z0-9_-]{35,}", 0, 39, r"AIza[A-Za-z0-9_-]{35}"),
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, r"eyJ[A-Za-z0-9_-]+\."),
     ("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 20, r"PRIVATE KEY-----"),
     ("login", r"[a-z][a-z0-9+.-]{0,20}://[^\s/:@]{1,64}:([^\s/:@]{6,64})@", 1, 6, r"://[^\s/@]{1,130}@"),
@@ -118,7 +119,8 @@ def scan(docs: DataFrame, owner: Column, repository: Column, example_owners: int
     none = F.array().cast(each.schema["found"].dataType)
     both = rows.select("row", "doc_id", "text_hash").join(each, "row", "left").withColumn("found", F.coalesce("found", none))
     count = lambda test: F.size(F.filter("found", test)).cast("long")
-    counts = [count(lambda x, k=k: x["rank"] == k).alias(f"n_{name}") for k, (name, *_) in enumerate(BASE)]
+    ranked = lambda k: lambda x: x["rank"] == k
+    counts = [count(ranked(k)).alias(f"n_{name}") for k, (name, *_) in enumerate(BASE)]
     return both.select("doc_id", "text_hash", *counts, count(lambda x: x["verdict"] == "live").alias("n_live"), count(lambda x: x["verdict"] == "example").alias("n_example"), "found")
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solvane.llm.bpe import encoder
-from solvane.llm.shared import filesystem, only, put_file, text_slices, written
+from solvane.llm.shared import filesystem, only, put_file, text_slices, tidy, written
 
 #: Bits for each key that is left at a level of the hash.
 BITS_PER_KEY = 2.0
@@ -194,7 +194,7 @@ def build_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, w
 
     rows = only(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), "text", F.xxhash64("text").alias("mark"))
     ordered = rows.repartitionByRange("key", "mark").sortWithinPartitions("key", "mark")
-    return written(ordered.select("key", "text").mapInArrow(write, "shard long, name string, n_docs long, n_tokens long, low long, high long"), "store-catalogue")
+    return written(ordered.select("key", "text").mapInArrow(tidy(write), "shard long, name string, n_docs long, n_tokens long, low long, high long"), "store-catalogue")
 
 
 def records(spark: SparkSession, folder: str, catalogue: DataFrame, keys: DataFrame, width: int = 2, payload: bool = True) -> DataFrame:
@@ -244,5 +244,5 @@ def records(spark: SparkSession, folder: str, catalogue: DataFrame, keys: DataFr
                         )
 
     asked = only(keys, "doc_id").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key")).distinct()
-    placed = asked.mapInArrow(place, "key long, shard long").repartitionByRange("shard", "key").sortWithinPartitions("shard", "key")
-    return placed.mapInArrow(fetch, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    placed = asked.mapInArrow(tidy(place), "key long, shard long").repartitionByRange("shard", "key").sortWithinPartitions("shard", "key")
+    return placed.mapInArrow(tidy(fetch), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solvane.llm.quality import sampled
-from solvane.llm.shared import text_slices
+from solvane.llm.shared import text_slices, tidy
 from solvane.llm.wordhash import WORDS_AND_SIGNS, Tokens, prefix_hash, tokens
 
 # Seed words of each class.
@@ -304,7 +304,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(learn(texts, ys))], pa.binary())})
 
     sample = sampled(docs, labels, label, rows, leave_fold).repartition(1).sortWithinPartitions("mark", "text")
-    return pickle.loads(sample.mapInArrow(train, "model binary").first()["model"])
+    return pickle.loads(sample.mapInArrow(tidy(train), "model binary").first()["model"])
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
@@ -318,4 +318,4 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(own.score(b.column("text").to_pylist()))], [*(f.name for f in kept), column])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(scored, f"{kinds}, `{column}` double")
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(tidy(scored), f"{kinds}, `{column}` double")
