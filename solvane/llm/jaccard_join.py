@@ -207,7 +207,7 @@ def _set_entries(n: np.ndarray, cls: np.ndarray, keys: pa.ListArray, deals: pa.L
     """A batch of sets' entries in lists; i is how many shingles at most precede what the key shares."""
     size = keys.value_lengths().to_numpy().astype(np.int64)
     flat, dealt = keys.flatten().to_numpy(), deals.flatten().to_numpy()
-    begin = np.cumsum(np.r_[0, size[:-1]])
+    begin = np.cumsum(size) - size
     i = np.arange(len(flat)) - np.repeat(begin, size)
     own = np.repeat(np.arange(len(n)), size)
     p = n + percent * -n // 100 + 1  # n - ceil(percent n / 100) + 1
@@ -237,7 +237,7 @@ def _scan_lists(e: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     size = np.diff(np.r_[begin, len(e)])
     keep = np.repeat(size > 1, size)
     e, size = e[keep], size[size > 1]
-    begin = np.cumsum(np.r_[0, size[:-1]]).astype(np.int64)
+    begin = np.cumsum(size) - size
     head, length = np.repeat(begin, size), np.repeat(size, size)
     place = np.arange(len(e)) - head
     wide = {f: e[f].astype(np.int64) for f in ("n", "i")}

@@ -121,7 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
         yield pa.RecordBatch.from_pydict({"weights": pa.array([model.weights().astype("<f4").tobytes()], pa.binary())})
 
     sample = sampled(docs, labels, label, rows, leave_fold).repartition(1).sortWithinPartitions("mark", "text")
-    return np.frombuffer(sample.mapInArrow(tidy(train), "weights binary").first()["weights"], "<f4").astype(np.float64)
+    made = sample.mapInArrow(tidy(train), "weights binary").first()
+    return np.frombuffer(made["weights"], "<f4").astype(np.float64) if made else Ftrl().weights()
 
 
 def score(docs: DataFrame, weights: np.ndarray, column: str = "score") -> DataFrame:

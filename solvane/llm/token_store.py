@@ -140,7 +140,7 @@ class Shard:
         ok = np.flatnonzero(slot >= 0)
         ok = ok[self._prints[slot[ok]] == (mixed(own[ok], 977) >> np.uint64(32)).astype(np.uint32)]
         n = self._count[slot[ok]]
-        record = np.repeat(self._first[slot[ok]] - np.cumsum(np.r_[0, n[:-1]]), n) + np.arange(int(n.sum()))
+        record = np.repeat(self._first[slot[ok]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         return np.repeat(ok, n), self._begins[record], self._begins[record + 1] - self._begins[record]
 
     def read(self, offsets: np.ndarray, sizes: np.ndarray) -> Iterator[bytes]:
@@ -215,7 +215,7 @@ def records(spark: SparkSession, folder: str, catalogue: DataFrame, keys: DataFr
             k = b.column("key").to_numpy()
             a, z = np.searchsorted(high, k, "left"), np.searchsorted(low, k, "right")
             n = np.maximum(z - a, 0)
-            shard = np.repeat(a - np.cumsum(np.r_[0, n[:-1]]), n) + np.arange(int(n.sum())) if len(n) else n
+            shard = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(k, n), pa.int64()), pa.array(shard.astype(np.int64), pa.int64())], ["key", "shard"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

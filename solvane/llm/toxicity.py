@@ -304,7 +304,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(learn(texts, ys))], pa.binary())})
 
     sample = sampled(docs, labels, label, rows, leave_fold).repartition(1).sortWithinPartitions("mark", "text")
-    return pickle.loads(sample.mapInArrow(tidy(train), "model binary").first()["model"])
+    made = sample.mapInArrow(tidy(train), "model binary").first()
+    return pickle.loads(made["model"]) if made else learn([], [])
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
