@@ -139,13 +139,13 @@ def uncertainty_ranking(rows: DataFrame, objectives: dict[str, str], residuals:
     beats = (F.col("a.tier_number") < F.col("b.tier_number")) | (F.col("a.tier_number") == F.col("b.tier_number")) & no_worse & better
     left, rank, ranked = _cut(named.select(key, "tier_number", *ends)), 0, None
     while not left.isEmpty():
-        front = _cut(left.alias("b").join(left.alias("a"), beats, "left_anti").select(key).withColumn("rank", F.lit(rank)))
+        front = _cut(left.alias("b").join(left.alias("a"), beats, "left_anti").withColumn("rank", F.lit(rank)))
         ranked = front if ranked is None else ranked.unionByName(front)
-        left = _cut(left.join(front, key, "left_anti"))
+        left = _cut(left.join(front.select(key), key, "left_anti"))
         rank += 1
     names = F.element_at(F.array(F.lit("proven"), F.lit("possible"), F.lit("infeasible")), F.col("tier_number") + 1)
     out = named.withColumn("tier", names).drop("tier_number", *ends)
-    return out.join(ranked, key) if ranked is not None else out.withColumn("rank", F.lit(0))
+    return out.join(ranked.select(key, "rank"), key) if ranked is not None else out.withColumn("rank", F.lit(0))
 
 
 def calibration(observations: DataFrame, key: str = "candidate_id", floor: float = 1e-9) -> DataFrame:

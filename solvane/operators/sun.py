@@ -171,7 +171,7 @@ def solar_envelope(candidates: DataFrame, sensors: DataFrame, suns: DataFrame, t
     at = lambda share: F.min(F.when(F.col("cum") >= F.col("total") * share, F.struct("height", "sensor_id", "sun_index")))
     found = cum.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("constraints"), F.max("total").alias("weight"), at(1 - preserve).alias("access"), at(shade).alias("shading"))
     out = candidates.select("candidate_id").join(found, "candidate_id", "left")
-    return out.select("candidate_id", F.coalesce("constraints", F.lit(0)).alias("constraints"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.greatest(F.col("access.height") - clearance, F.lit(0.0)).alias("access_height"), (F.col("shading.height") + clearance).alias("shading_height"), F.col("access.sensor_id").alias("control_sensor_id"), F.col("access.sun_index").alias("control_sun_index"))
+    return out.select("candidate_id", F.coalesce("constraints", F.lit(0)).alias("constraints"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.when(F.col("access").isNotNull(), F.greatest(F.col("access.height") - clearance, F.lit(0.0))).alias("access_height"), (F.col("shading.height") + clearance).alias("shading_height"), F.col("access.sensor_id").alias("control_sensor_id"), F.col("access.sun_index").alias("control_sun_index"))
 
 
 def weighted_quantiles(rows: DataFrame, keys: list[str], value: str, weight: str, shares: dict[str, float]) -> DataFrame:
