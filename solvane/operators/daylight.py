@@ -80,6 +80,7 @@ def irradiance_summary(timeline: DataFrame) -> DataFrame:
 
 
 def annual_irradiance(sensors: DataFrame, weather_suns: DataFrame, triangles: DataFrame, **options) -> DataFrame:
+    """The summary of ``irradiance_timeline`` with the same options."""
     return irradiance_summary(irradiance_timeline(sensors, weather_suns, triangles, **options))
 
 

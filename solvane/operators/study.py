@@ -424,6 +424,7 @@ class Workspace:
 
     @classmethod
     def create(cls, path: str, manifest: dict) -> Workspace:
+        """A new workspace with a manifest that holds; the folder must not be there yet."""
         validate_manifest(manifest)
         os.makedirs(f"{path}/batches", exist_ok=False)
         cls(path)._put("manifest.json", manifest)
