@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 #: Text handled at once by one Python worker, so that its memory does not follow the row count of a batch.
 SLICE_BYTES = 4 << 20
+#: Rows of one Arrow batch.
+ARROW_ROWS = 1000
+_ARROW_LIMIT = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -103,7 +106,14 @@ def trim() -> None:
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns; extra ones, whatever they are called, are left out."""
+    """The named columns; extra ones, whatever they are called, are left out.
+
+    Texts go to Python in batches of ARROW_ROWS rows at most: the session's limit
+    is lowered to that if it is higher, since a batch is in memory several times.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_ARROW_LIMIT)) <= ARROW_ROWS:
+        conf.set(_ARROW_LIMIT, str(ARROW_ROWS))
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
