@@ -71,12 +71,12 @@ def irradiance_timeline(sensors: DataFrame, weather_suns: DataFrame, triangles:
 
 def irradiance_summary(timeline: DataFrame) -> DataFrame:
     """A row for each sensor: Wh/m2 by parts, loss, the first peak and its interval, the object that takes most."""
-    wh = lambda c: F.sum(F.col(c) * F.col("duration_hours")).alias(f"{c}_wh")
-    sums = timeline.groupBy("sensor_id").agg(wh("direct"), wh("diffuse"), wh("ground"), wh("total"), F.sum("loss").alias("loss_wh"), F.max("total").alias("peak_w"), F.max_by("sun_index", F.struct("total", -F.col("sun_index"))).alias("peak_index"))
-    from solvane.operators.sun import dominant
-
-    top = dominant(timeline.where("object_id is not null"), ["sensor_id"], F.col("loss"))
-    return sums.join(top, "sensor_id", "left").na.fill(0, ["dominant_object_id"])
+    parts = ("direct", "diffuse", "ground", "total")
+    peak = F.max(F.struct(F.col("total").alias("total"), (-F.col("sun_index")).alias("back")))
+    each = timeline.groupBy("sensor_id", F.col("object_id").alias("o")).agg(*[F.sum(F.col(c) * F.col("duration_hours")).alias(f"{c}_wh") for c in parts], F.sum("loss").alias("loss_wh"), peak.alias("peak"))
+    top = F.max_by("o", F.when(F.col("o").isNotNull(), F.struct("loss_wh", -F.col("o"))))
+    out = each.groupBy("sensor_id").agg(*[F.sum(f"{c}_wh").alias(f"{c}_wh") for c in parts], F.sum("loss_wh").alias("loss_sum"), F.max("peak").alias("peak"), top.alias("o"))
+    return out.select("sensor_id", *[f"{c}_wh" for c in parts], F.col("loss_sum").alias("loss_wh"), F.col("peak")["total"].alias("peak_w"), (-F.col("peak")["back"]).alias("peak_index"), F.coalesce("o", F.lit(0).cast("long")).alias("dominant_object_id"))
 
 
 def annual_irradiance(sensors: DataFrame, weather_suns: DataFrame, triangles: DataFrame, **options) -> DataFrame:

@@ -45,14 +45,15 @@ def direct_sun_timeline(sensors: DataFrame, suns: DataFrame, triangles: DataFram
 
 
 def direct_sun_summary(timeline: DataFrame) -> DataFrame:
-    """A row for each sensor: direct, shadow and eligible hours, their ratio, the dominant occluder by hours."""
-    sums = timeline.groupBy("sensor_id").agg(
-        F.sum(F.when(F.col("state") == "visible", F.col("hours")).otherwise(0.0)).alias("direct_hours"),
-        F.sum(F.when(F.col("state") == "blocked", F.col("hours")).otherwise(0.0)).alias("shadow_hours"),
-    )
-    top = dominant(timeline.where("state = 'blocked'"), ["sensor_id"], F.col("hours"))
-    out = sums.join(top, "sensor_id", "left").withColumn("eligible_hours", F.col("direct_hours") + F.col("shadow_hours"))
-    return out.select("sensor_id", "direct_hours", "shadow_hours", "eligible_hours", ratio(F.col("direct_hours"), F.col("eligible_hours")).alias("direct_ratio"), F.coalesce("dominant_object_id", F.lit(0).cast("long")).alias("dominant_object_id"))
+    """A row for each sensor: direct, shadow and eligible hours, their ratio, the dominant occluder by hours.
+
+    The timeline is read once: sums by sensor and occluder first, then by sensor.
+    """
+    hours = lambda state: F.sum(F.when(F.col("state") == state, F.col("hours")).otherwise(0.0))
+    each = timeline.groupBy("sensor_id", F.when(F.col("state") == "blocked", F.col("object_id")).alias("o")).agg(hours("visible").alias("d"), hours("blocked").alias("s"))
+    top = F.max_by("o", F.when(F.col("o").isNotNull(), F.struct("s", -F.col("o"))))
+    out = each.groupBy("sensor_id").agg(F.sum("d").alias("direct_hours"), F.sum("s").alias("shadow_hours"), top.alias("o")).withColumn("eligible_hours", F.col("direct_hours") + F.col("shadow_hours"))
+    return out.select("sensor_id", "direct_hours", "shadow_hours", "eligible_hours", ratio(F.col("direct_hours"), F.col("eligible_hours")).alias("direct_ratio"), F.coalesce("o", F.lit(0).cast("long")).alias("dominant_object_id"))
 
 
 def in_basis(n: Vec, local: Vec) -> Vec:
@@ -78,17 +79,27 @@ def sky_view_timeline(sensors: DataFrame, triangles: DataFrame, samples: int = 2
 
 def sky_view_summary(timeline: DataFrame) -> DataFrame:
     """A row for each sensor: visible fraction, cosine-weighted factor, solid angle, even-odd deltas, dominant occluder."""
-    seen, w = F.col("visible").cast("double"), F.col("lz")
+    one, seen, w = F.lit(1.0), F.col("visible").cast("double"), F.col("lz")
     even = F.col("idx") % 2 == 0
-    part = lambda test, x: F.sum(F.when(test, x).otherwise(0.0))
-    svf = lambda test: ratio(part(test, seen * w), part(test, w))
-    frac = lambda test: ratio(part(test, seen), part(test, F.lit(1.0)))
-    every = F.lit(True)
-    out = timeline.groupBy("sensor_id").agg(
-        F.count(F.lit(1)).alias("samples"), frac(every).alias("visible_fraction"), svf(every).alias("sky_view_factor"), (2 * math.pi * frac(every)).alias("visible_solid_angle"), F.abs(frac(even) - frac(~even)).alias("fraction_delta"), F.abs(svf(even) - svf(~even)).alias("factor_delta")
+    parts = {"n": one, "s": seen, "w": w, "sw": seen * w}
+    sums = [F.sum(x).alias(k) for k, x in parts.items()] + [F.sum(F.when(even, x).otherwise(0.0)).alias(f"{k}_even") for k, x in parts.items()]
+    each = timeline.groupBy("sensor_id", F.when(~F.col("visible"), F.col("object_id")).alias("o")).agg(*sums)
+    names = [f"{k}{t}" for t in ("", "_even") for k in parts]
+    top = F.max_by("o", F.when(F.col("o").isNotNull(), F.struct("w", -F.col("o"))))
+    out = each.groupBy("sensor_id").agg(*[F.sum(k).alias(f"t_{k}") for k in names], top.alias("o"))
+    t = lambda k: F.col(f"t_{k}")
+    odd = lambda k: t(k) - t(f"{k}_even")
+    fraction, factor = ratio(t("s"), t("n")), ratio(t("sw"), t("w"))
+    return out.select(
+        "sensor_id",
+        t("n").cast("long").alias("samples"),
+        fraction.alias("visible_fraction"),
+        factor.alias("sky_view_factor"),
+        (2 * math.pi * fraction).alias("visible_solid_angle"),
+        F.abs(ratio(t("s_even"), t("n_even")) - ratio(odd("s"), odd("n"))).alias("fraction_delta"),
+        F.abs(ratio(t("sw_even"), t("w_even")) - ratio(odd("sw"), odd("w"))).alias("factor_delta"),
+        F.coalesce("o", F.lit(0).cast("long")).alias("dominant_object_id"),
     )
-    top = dominant(timeline.where(~F.col("visible")), ["sensor_id"], w)
-    return out.join(top, "sensor_id", "left").na.fill(0, ["dominant_object_id"])
 
 
 def scenario_timeline(sensors: DataFrame, suns: DataFrame, triangles: DataFrame, scenarios: DataFrame, offset: float = 1e-4, max_distance: float = INFINITE, max_layers: int = 8, cutoff: float = 1e-4, strategy: str = "auto") -> DataFrame:

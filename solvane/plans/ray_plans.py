@@ -101,6 +101,8 @@ def ray_hits(rays: DataFrame, triangles: DataFrame, keys: list[str], carry: list
     carry = carry or []
     if strategy == "auto":
         strategy = "nested" if triangles.limit(NESTED_TRIANGLES + 1).count() <= NESTED_TRIANGLES else "voxel"
+    # rays are dealt out by their keys: work is spread, and their expressions are computed once, below the exchange
+    rays = rays.repartition(*keys)
     if strategy == "nested":
         return nested_hits(rays, triangles, keys, carry, excluding)
     if strategy == "voxel":
