@@ -136,7 +136,7 @@ def box_area(lo: Vec, hi: Vec) -> Column:
 
 # Affine transforms: ARRAY<DOUBLE> of 16, row after row.
 
-IDENTITY = [1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0]
+IDENTITY = [1.0 if k % 5 == 0 else 0.0 for k in range(16)]
 
 
 def _at(m: Column, r: int, c: int) -> Column:
