@@ -96,7 +96,7 @@ def classified(found: DataFrame, facts: DataFrame, example_owners: int = EXAMPLE
     salted = found.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int"))
     spread = facts.select("value_hash", "n_owners", "n_repositories", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     verdict = F.when(F.col("n_owners") >= example_owners, "example").when(F.col("varied"), "live").otherwise("plain")
-    return salted.join(spread, ["value_hash", "salt"]).drop("salt").withColumn("verdict", verdict)
+    return salted.join(spread.hint("merge"), ["value_hash", "salt"]).drop("salt").withColumn("verdict", verdict)
 
 
 def _listed(spans: Column) -> Column:
@@ -117,7 +117,7 @@ def scan(docs: DataFrame, owner: Column, repository: Column, example_owners: int
     kept = judged.where((F.col("rank") < len(BASE)) | (F.col("verdict") != "example"))
     each = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "verdict", "n_owners"))).alias("found"))
     none = F.array().cast(each.schema["found"].dataType)
-    both = rows.select("row", "doc_id", "text_hash").join(each, "row", "left").withColumn("found", F.coalesce("found", none))
+    both = rows.select("row", "doc_id", "text_hash").join(each.hint("merge"), "row", "left").withColumn("found", F.coalesce("found", none))
     count = lambda test: F.size(F.filter("found", test)).cast("long")
     ranked = lambda k: lambda x: x["rank"] == k
     counts = [count(ranked(k)).alias(f"n_{name}") for k, (name, *_) in enumerate(BASE)]
