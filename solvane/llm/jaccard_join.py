@@ -215,7 +215,7 @@ def _set_entries(n: np.ndarray, cls: np.ndarray, keys: pa.ListArray, deals: pa.L
     parts = [np.zeros(int(use.sum()), _ENTRY)]
     e = parts[0]
     e["key"], e["n"], e["i"], e["cls"] = flat[use], n[own[use]], i[use], cls[own[use]]
-    e["deal"] = np.where(dealt[use] > 1, e["cls"] % np.maximum(dealt[use], 1), 0)
+    e["deal"] = np.where(dealt[use] > 1, 1 + e["cls"] % np.maximum(dealt[use], 1), 0)  # 0: the list is whole
     small = (n <= light) & (size > 1)
     for length in np.unique(size[small]):
         rows = np.flatnonzero(small & (size == length))
@@ -230,13 +230,16 @@ def _set_entries(n: np.ndarray, cls: np.ndarray, keys: pa.ListArray, deals: pa.L
 
 
 def _scan_lists(e: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs of classes to verify, entries of long lists) of the lists that one range holds."""
+    """(pairs of classes to verify, entries of long lists) of the lists that one range holds.
+
+    Parts of a list that is dealt out count as long, whatever their length: they meet only among long lists' entries.
+    """
     e = e[np.lexsort((e["cls"], e["n"], e["i"], e["deal"], e["key"]))]
     new = np.r_[True, (e["key"][1:] != e["key"][:-1]) | (e["deal"][1:] != e["deal"][:-1])] if len(e) else np.zeros(0, bool)
     begin = np.flatnonzero(new)
     size = np.diff(np.r_[begin, len(e)])
-    keep = np.repeat(size > 1, size)
-    e, size = e[keep], size[size > 1]
+    use = (size > 1) | (e["deal"][begin] > 0)
+    e, size = e[np.repeat(use, size)], size[use]
     begin = np.cumsum(size) - size
     head, length = np.repeat(begin, size), np.repeat(size, size)
     place = np.arange(len(e)) - head
@@ -253,8 +256,9 @@ def _scan_lists(e: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         if not len(x):
             break
         pair(x, x + d)
-    far = np.flatnonzero(length > SHORT)
-    pair(head[far], far)
+    far = np.flatnonzero((length > SHORT) | (e["deal"] > 0))
+    hub = far[length[far] > SHORT]
+    pair(head[hub], hub)
     return np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0), e[far]
 
 

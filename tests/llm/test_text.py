@@ -71,6 +71,17 @@ def test_long_lists_are_scanned_by_hubs(spark, monkeypatch):
     assert all(got[d] == rows[want[i]][0] for i, (d, _) in enumerate(rows))
 
 
+@pytest.mark.parametrize(("copies", "variants"), [(60, 3), (60, 40), (1, 60)])
+def test_dealt_lists_lose_no_link(spark, monkeypatch, copies, variants):
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", 2)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base)] * copies + [" ".join([*base[:59], f"e{v}"]) for v in range(variants)]
+    rows = list(enumerate(texts))
+    want = brute_components(rows, 4, 85)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[d] == rows[want[i]][0] for i, (d, _) in enumerate(rows))
+
+
 def test_join_of_odd_rows(spark, odd, empty):
     got = jaccard_join.similar_components(odd).collect()
     assert len(got) == odd.count()
