@@ -32,15 +32,25 @@ BASE = [
     ("access", r"AKIA[A-Z0-9]{14,}", 0, 18, r"AKIA[A-Z0-9]{14}"),
     ("hex", r"[0-9a-f]{16,}", 0, 16, r"[0-9a-f]{16}"),
 ]
+#: A private key's whole block, the body its value: up to the END line, or as far as base64 goes where that is cut off.
+_BREAK = r"(?:\s|\\[nr])"
+_END = r"-----END [A-Z ]{0,20}PRIVATE KEY-----"
+_PEM = (
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----("
+    rf"[^-]*+(?:-(?!----)[^-]*+)*+(?={_END})"
+    rf"|(?:{_BREAK}*+(?:Proc-Type|DEK-Info): ?[A-Za-z0-9,-]++)*+(?:{_BREAK}*+[A-Za-z0-9+/=]{{16,}}+)++(?:{_BREAK}++[A-Za-z0-9+/=]++(?={_BREAK}*+(?:[\r\n-]|\\n|$)))?+"
+    rf")(?:{_END})?+"
+)
 ADDED = [
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, r"gh[pousr]_[A-Za-z0-9]{36}"),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15, r"xox[abprs]-"),
     ("google", r"AIza[A-Za-z0-9_-]{35,}", 0, 39, r"AIza[A-Za-z0-9_-]{35}"),
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, r"eyJ[A-Za-z0-9_-]+\."),
-    ("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 20, r"PRIVATE KEY-----"),
+    ("pem", _PEM, 1, 20, r"PRIVATE KEY-----"),
     ("login", r"[a-z][a-z0-9+.-]{0,20}://[^\s/:@]{1,64}:([^\s/:@]{6,64})@", 1, 6, r"://[^\s/@]{1,130}@"),
 ]
 KINDS = BASE + ADDED
+PEM = [k for k, *_ in KINDS].index("pem")
 #: A value of so many owners or more is a copied example.
 EXAMPLE_OWNERS = 3
 #: Different characters that a live value has at least.
@@ -76,7 +86,9 @@ def candidates(found: DataFrame) -> DataFrame:
     kind = found.where(F.size("kinds") > 0).select("row", "owner", "repository", F.inline("kinds"))
     # as many gaps as matches and one more; the last gap has no match and is left out
     each = kind.select("row", "owner", "repository", "rank", F.posexplode(F.arrays_zip(F.slice("gaps", F.lit(1), F.size("lengths")).alias("gap"), F.col("lengths").alias("size"), F.col("values").alias("value"))).alias("k", "m"))
-    each = each.select("row", "owner", "repository", "rank", "k", F.col("m.gap").alias("gap"), F.col("m.size").alias("size"), F.col("m.value").alias("value"))
+    # one key is one value, however its lines are broken
+    value = F.when(F.col("rank") == PEM, F.regexp_replace("m.value", _BREAK, "")).otherwise(F.col("m.value"))
+    each = each.select("row", "owner", "repository", "rank", "k", F.col("m.gap").alias("gap"), F.col("m.size").alias("size"), value.alias("value"))
     so_far = Window.partitionBy("row", "rank").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap").cast("long") + F.col("size")).over(so_far)
     placed = each.select("row", "owner", "repository", "rank", (end - F.col("size")).alias("start"), end.alias("end"), "value")
