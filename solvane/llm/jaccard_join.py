@@ -58,6 +58,10 @@ PARTNER_COST = 32.0
 BINS = 512
 #: Sets of more shingles are always heavy.
 LIGHT_MOST = 400
+#: Classes of one component that are compared with each other at once, about; larger components are dealt out in blocks.
+LINK_BLOCK = 128
+#: Sets that one task compares at once, about.
+LINK_SETS = 2000
 #: Bits of the filter that keeps texts out of the shuffle when sets are fetched.
 FILTER_BITS = 1 << 26
 
@@ -378,10 +382,63 @@ def _linked(docs: DataFrame, classes: DataFrame, own: DataFrame, pairs: DataFram
     return _verified(near, _sets_of(docs, wanted, width), percent)
 
 
-def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, light: int | None = None) -> DataFrame:
+def _block_links(sets: list[np.ndarray], blocks: np.ndarray, percent: int) -> np.ndarray:
+    """How many of the others each set is alike; where there are two blocks, only of the other block."""
+    size = np.array([len(s) for s in sets], np.int64)
+    _, ids, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    own = np.repeat(np.arange(len(sets)), size)
+    shared = times > 1
+    at = (np.cumsum(shared) - 1)[ids]
+    own, at = own[shared[ids]], at[shared[ids]]
+    order = np.argsort(at, kind="stable")
+    own, at = own[order], at[order]
+    common = np.zeros((len(sets), len(sets)), np.int64)
+    for lo in range(0, int(shared.sum()), 4096):
+        a, z = np.searchsorted(at, [lo, lo + 4096])
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[own[a:z], at[a:z] - lo] = 1
+        common += (m @ m.T).astype(np.int64)
+    ok = 100 * common >= percent * (size[:, None] + size - common)
+    np.fill_diagonal(ok, False)
+    if len(np.unique(blocks)) > 1:
+        ok &= blocks[:, None] != blocks
+    return ok.sum(axis=1)
+
+
+def link_counts(docs: DataFrame, classes: DataFrame, comp: DataFrame, width: int, percent: int) -> DataFrame:
+    """(cls, n_links) of every class in comp(v, comp): how many other classes it is linked with.
+
+    Components are exact, so all links are inside them; there every pair is compared.  Blocks of a component meet
+    pairwise, so its classes' sets are sent as often as it has blocks, and no pairs are written.
+    """
+    blocks = F.ceil(F.col("m") / LINK_BLOCK).cast("int")
+    at = comp.join(comp.groupBy("comp").agg(F.count(F.lit(1)).alias("m")), "comp")
+    at = written(at.select(F.col("v").alias("cls"), "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("v"), blocks).cast("int").alias("block")), "link-blocks")
+    ranges = max(1, (at.agg(F.sum("blocks")).first()[0] or 0) // LINK_SETS)
+    sets = _sets_of(docs, at.join(classes.select("cls", "doc_id"), "cls").select("cls", "doc_id"), width)
+    each = at.join(sets, "cls").select("cls", "comp", "block", "set", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    each = each.select("cls", "comp", "block", "set", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    each = each.withColumn("r", F.pmod(F.xxhash64("comp", "lo", "hi"), F.lit(ranges)))
+
+    def count(key, table):
+        cls, where, lo, hi, block = (table.column(c).to_numpy() for c in ("cls", "comp", "lo", "hi", "block"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        order = np.lexsort((hi, lo, where))
+        changed = (np.diff(where[order]) != 0) | (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0)
+        n = np.zeros(len(cls), np.int64)
+        for rows in np.split(order, np.flatnonzero(changed) + 1):
+            if lo[rows[0]] == hi[rows[0]] or len(np.unique(block[rows])) > 1:
+                n[rows] = _block_links([sets[k] for k in rows], block[rows], percent)
+        return pa.table([pa.array(cls), pa.array(n)], ["cls", "n_links"])
+
+    return each.groupBy("r").applyInArrow(count, "cls long, n_links long").groupBy("cls").agg(F.sum("n_links").alias("n_links"))
+
+
+def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, light: int | None = None, count_links: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, k, mark, stands) of every row of docs(doc_id, text).
 
     Documents link when their sets' Jaccard similarity is percent / 100 or more.
+    With count_links also n_links: with how many other classes (different sets) the row's class is linked, none left out.
     light overrides the boundary, which the costs choose otherwise.  k and mark name the row (shared.text_key); stands is true for the rows that
     stand for their component, which are one row or repeats of it.
     """
@@ -422,11 +479,15 @@ def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, light
 
     named = classes.join(comp.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     smallest = named.groupBy("comp").agg(F.min(F.struct("k", "mark", "doc_id")).alias("first"))
-    by_class = named.join(smallest, "comp").select("n", "s1", "s2", "first")
+    by_class = named.join(smallest, "comp").select("n", "s1", "s2", "first", "cls")
+    n_links = [F.col("n_links")] if count_links else []
+    if count_links:
+        counted = written(link_counts(docs, classes, comp, width, percent), "link-counts")
+        by_class = by_class.join(counted, "cls", "left").na.fill(0, ["n_links"])
     linked = members.join(by_class, ["n", "s1", "s2"])
     stands = (F.col("k") == F.col("first.k")) & (F.col("mark") == F.col("first.mark"))
-    linked = linked.select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), "k", "mark", stands.alias("stands"))
-    return linked.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "k", "mark", F.lit(True).alias("stands")))
+    linked = linked.select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), "k", "mark", stands.alias("stands"), *n_links)
+    return linked.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "k", "mark", F.lit(True).alias("stands"), *[F.lit(0).cast("long").alias("n_links") for _ in n_links]))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

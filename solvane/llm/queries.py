@@ -78,8 +78,8 @@ def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of documents whose 4-word shingle sets are alike by 0.85 or more."""
-    return jaccard_join.similar_components(table(spark, sf_dir, "documents"), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
+    """Components of documents whose 4-word shingle sets are alike by 0.85 or more, and each set's number of links."""
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents"), width=4, percent=85, count_links=True).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op9_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,18 @@ def test_dealt_lists_lose_no_link(spark, monkeypatch, copies, variants):
     assert all(got[d] == rows[want[i]][0] for i, (d, _) in enumerate(rows))
 
 
+@pytest.mark.parametrize("block", [128, 3])
+def test_every_link_is_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "LINK_BLOCK", block)
+    rows = [*near_copies(), (9000, ""), (9001, None)]
+    sets = [shingles(t, 4) for _, t in rows]
+    others = set(sets) - {frozenset()}
+    alike = lambda a, b: a != b and 100 * len(a & b) >= 85 * len(a | b)
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), count_links=True).collect()}
+    assert got == {d: sum(alike(s, o) for o in others) if s else 0 for (d, _), s in zip(rows, sets, strict=True)}
+    assert max(got.values()) > 16
+
+
 def test_join_of_odd_rows(spark, odd, empty):
     got = jaccard_join.similar_components(odd).collect()
     assert len(got) == odd.count()
