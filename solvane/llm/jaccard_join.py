@@ -12,18 +12,24 @@ each, and at least two among the first p + 1.
 * Heavy sets enter the inverted lists of their first p shingles, which are
   scanned by all sets that can be alike by size, light ones near the boundary
   included.
-* The boundary is the size at which the summed costs (rows to list, and expected
-  partners in the lists) are least; they are measured on all sets.
+* The boundary is the size at which the summed costs (entries, and partners in
+  the lists) are least; both are measured on all sets, by one sketch of how many
+  classes enter each shingle's list and one of how many enter each subset's.
 
 Lists are dealt out by their keys' hashes, packed as bytes, and scanned in sorted
 order.  A short list gives all pairs that pass the size and position filters.  A
 longer one is scanned against one hub, the member that holds the list's key
 earliest in its order.  Pairs whose histograms of hashes leave room for the overlap
-are verified exactly, on their whole sets.  Long lists whose members
-are then in one component need no more; of the others, members of different
-components are paired, under the same filters.  So a large group of near copies
+are verified on their whole sets.  Long lists whose members are then in one
+component need no more; of the others, members of different components are
+paired in blocks, under the same filters.  So a large group of near copies
 costs its length, and no link that could join two components is left out.
 
+Shingles are compared by 64-bit hashes that depend on the order of the words:
+two given documents of n and m different shingles have one more in common than
+their words say with a chance of about n m / 2**64.  Sets are told apart by their
+size and 128 bits, and classes are numbered.
+
 Defined results: null or empty texts, and texts without words, have n_shingles
 0 and are linked with nothing; a text with fewer words than a shingle is one
 shingle of all its words; repeated rows are linked; a null doc_id is a class
@@ -33,17 +39,18 @@ null (null if there is none).
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solvane.llm.shared import only, text_key, text_slices, tidy, without, written
 from solvane.llm.wordhash import SPACES, finish, tokens
 
-#: Buckets of the sketch of document frequencies, and the parts in which it is summed.
+#: Buckets of a sketch of frequencies, and the parts in which it is summed.
 BUCKETS = 1 << 22
 PARTS = 64
 #: A list of more expected members is dealt out by member too.
@@ -58,35 +65,47 @@ PARTNER_COST = 32.0
 BINS = 512
 #: Sets of more shingles are always heavy.
 LIGHT_MOST = 400
-#: Classes of one component that are compared with each other at once, about; larger components are dealt out in blocks.
-LINK_BLOCK = 128
+#: A class in more pairs than this, and than a HOT_ENDS-th of all pairs, has its pairs dealt out; so HOT_ENDS classes at most are dealt out for each end.
+HUB_PAIRS = 500
+HOT_ENDS = 10_000
+#: Entries of an open long list that are compared with each other at once, about; longer lists are dealt out in blocks.
+LONG_BLOCK = 1024
+#: Classes, and shingles, of one component that are compared with each other at once, about; larger components are dealt out in blocks.
+LINK_BLOCK = 256
+LINK_SHINGLES = 1 << 20
 #: Sets that one task compares at once, about.
 LINK_SETS = 2000
-#: Bits of the filter that keeps texts out of the shuffle when sets are fetched.
-FILTER_BITS = 1 << 26
+#: Bits, for each id that is wanted, of the filter that keeps texts out of the shuffle when sets are fetched, and the least and most of them.
+FILTER_BITS_EACH = 16
+FILTER_BITS = (1 << 20, 1 << 30)
+
+
+def _fold(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a sequence of words and one more: the order counts, and equal words do not cancel out."""
+    with np.errstate(over="ignore"):
+        return finish(h * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     t = tokens(texts, SPACES)
     h = t.hash
-    mults = [np.uint64(2 * 0x9E3779B97F4A7C15 * k + 0x632BE59BD9B4E019 & (2**64 - 1) | 1) for k in range(width)]
-    with np.errstate(over="ignore"):
-        n = max(0, len(h) - width + 1)
-        rolled = np.zeros(n, np.uint64)
-        for k in range(width):
-            rolled += h[k : k + n] * mults[k]
-        rolled = finish(rolled)
-        out = []
-        for a, z in zip(t.first[:-1].tolist(), t.first[1:].tolist(), strict=True):
-            if z - a >= width:
-                s = np.sort(rolled[a : z - width + 1])
-                out.append(s[np.r_[True, s[1:] != s[:-1]]])
-            elif z > a:
-                whole = sum((h[a + k] * mults[k] for k in range(z - a)), np.uint64(z - a))
-                out.append(finish(np.array([whole ^ np.uint64(0x5555555555555555)])))
-            else:
-                out.append(rolled[:0])
+    n = max(0, len(h) - width + 1)
+    rolled = np.full(n, width, np.uint64)
+    for k in range(width):
+        rolled = _fold(rolled, h[k : k + n])
+    out = []
+    for a, z in zip(t.first[:-1].tolist(), t.first[1:].tolist(), strict=True):
+        if z - a >= width:
+            s = np.sort(rolled[a : z - width + 1])
+            out.append(s[np.r_[True, s[1:] != s[:-1]]])
+        elif z > a:
+            whole = np.full(1, z - a, np.uint64)
+            for k in range(a, z):
+                whole = _fold(whole, h[k : k + 1])
+            out.append(whole)
+        else:
+            out.append(rolled[:0])
     return out
 
 
@@ -101,11 +120,15 @@ def _slim(docs: DataFrame) -> DataFrame:
     return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
 
 
+def _sketch_parts(sketch: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """(numbers, compressed counts) of a sketch's parts."""
+    each = BUCKETS // PARTS
+    parts = range(len(sketch) // each)
+    return pa.array(parts, pa.int32()), pa.array([zlib.compress(sketch[p * each : (p + 1) * each].tobytes(), 1) for p in parts], pa.binary())
+
+
 def _classes_and_sketch(docs: DataFrame, width: int) -> DataFrame:
     """Written: (doc_id, mark, n, s1, s2) of each row, and rows (part, counts) of the sketch with n null."""
-    import zlib
-
-    each = BUCKETS // PARTS
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(BUCKETS, np.uint32)
@@ -118,16 +141,13 @@ def _classes_and_sketch(docs: DataFrame, width: int) -> DataFrame:
             k = b.num_rows
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in named], pa.int64()), pa.array([x for _, x in named], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         if sketch.any():
-            rows = [zlib.compress(sketch[p * each : (p + 1) * each].tobytes(), 1) for p in range(PARTS)]
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(PARTS, pa.int64())] * 5, pa.array(range(PARTS), pa.int32()), pa.array(rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(PARTS, pa.int64())] * 5, *_sketch_parts(sketch)], names)
 
     return written(_slim(docs).mapInArrow(tidy(scan), "doc_id long, mark long, n long, s1 long, s2 long, part int, counts binary"), "shingle-classes", compression="zstd")
 
 
-def _summed(rows: DataFrame) -> np.ndarray:
-    """The sketch of the whole table: parts are summed in two steps, so that no task gets all tasks' rows."""
-    import zlib
-
+def _summed(rows: DataFrame, sketches: int = 1) -> np.ndarray:
+    """The sketches of the whole table, one after another: parts are summed in two steps, so that no task gets all tasks' rows."""
     each = BUCKETS // PARTS
 
     def add(key, table):
@@ -140,8 +160,8 @@ def _summed(rows: DataFrame) -> np.ndarray:
     kinds = "part int, counts binary"
     step = rows.where("part is not null").select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(64)).alias("deal"))
     step = step.groupBy("part", "deal").applyInArrow(add, kinds).groupBy("part").applyInArrow(add, kinds)
-    out = np.zeros(BUCKETS, np.uint64)
-    for r in step.collect():  # PARTS rows of fixed size
+    out = np.zeros(sketches * BUCKETS, np.uint64)
+    for r in step.toLocalIterator():  # PARTS rows of fixed size a sketch
         out[r["part"] * each : (r["part"] + 1) * each] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
     return out
 
@@ -157,34 +177,96 @@ def _bins(s: np.ndarray) -> bytes:
 
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
-    """The first p + 1 shingles of each row's set, rare ones first, with the costs of both ways."""
-    spark = docs.sparkSession
-    load = float(sketch.mean())
-    excess = np.maximum(sketch.astype(np.float64) - load - 3 * np.sqrt(load + 1), 0)
-    share = spark.sparkContext.broadcast((sketch.astype(np.float32), excess.astype(np.float32)))
-    kinds = "doc_id long, mark long, n long, keys array<long>, deals array<int>, single double, subset double, bins binary"
+    """The first p + 1 shingles of each row's set, rare ones first, and its histogram."""
+    share = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.float32))
+    names = ["doc_id", "mark", "n", "keys", "bins"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, over = share.value
+        counts = share.value
         for b in text_slices(batches):
-            out: tuple[list, ...] = tuple([] for _ in range(8))
+            out: tuple[list, ...] = tuple([] for _ in names)
             for doc, mark, s in zip(b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), shingle_sets(b.column("text").to_pylist(), width), strict=True):
                 n = len(s)
                 p = n - least_overlap(n, percent) + 1
                 if n < 2 or (n + 1) * percent > 100 * n:  # only an equal set is alike
                     continue
-                at = (s & np.uint64(BUCKETS - 1)).astype(np.int64)
-                first = np.argsort(counts[at], kind="stable")[: p + 1]
-                more = over[at[first]]
-                single = float(p + PARTNER_COST * more[:p].sum())
-                subset = float((p + 1) * p / 2 + PARTNER_COST * np.triu(np.minimum.outer(more, more), 1).sum()) if n <= LIGHT_MOST else 0.0
-                deals = np.maximum(1, np.ceil(more / LIST_ROWS)).astype(np.int32)
-                for c, v in zip(out, (doc, mark, n, s[first].view(np.int64), deals, single, subset, _bins(s)), strict=True):
+                first = np.argsort(counts[(s & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")[: p + 1]
+                for c, v in zip(out, (doc, mark, n, s[first].view(np.int64), _bins(s)), strict=True):
                     c.append(v)
-            types = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types, strict=True)], ["doc_id", "mark", "n", "keys", "deals", "single", "subset", "bins"])
+            types = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types, strict=True)], names)
+
+    return _slim(docs).mapInArrow(tidy(scan), "doc_id long, mark long, n long, keys array<long>, bins binary")
+
+
+def _subsets(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sets with equally long prefixes, a row each: hashes of all two-element subsets, and the later element's place."""
+    a, z = np.triu_indices(keys.shape[1], 1)
+    with np.errstate(over="ignore"):
+        return finish(keys[:, a] * np.uint64(0x9E3779B97F4A7C15) + finish(keys[:, z] + np.uint64(0x2545F4914F6CDD1D))), z
+
+
+def _prefix_rows(n: np.ndarray, keys: pa.ListArray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their prefixes as a matrix) of the sets of at most ``most`` shingles, equally long prefixes together."""
+    size = keys.value_lengths().to_numpy().astype(np.int64)
+    flat, begin = keys.flatten().to_numpy(), np.cumsum(size) - size
+    small = (n <= most) & (size > 1)
+    for length in np.unique(size[small]):
+        rows = np.flatnonzero(small & (size == length))
+        yield rows, flat[begin[rows][:, None] + np.arange(length)].astype(np.int64).view(np.uint64)
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return (keys & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _list_sketches(own: DataFrame) -> np.ndarray:
+    """How many classes enter the list of each shingle, and of each two-element subset: two sketches, one after the other."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros(2 * BUCKETS, np.uint32)
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                c = b.slice(at, 500)
+                keys = c.column("keys")
+                np.add.at(sketch, _slots(keys.flatten().to_numpy().view(np.uint64)), 1)
+                for _, prefix in _prefix_rows(c.column("n").to_numpy(), keys, LIGHT_MOST):
+                    np.add.at(sketch, BUCKETS + _slots(_subsets(prefix)[0].ravel()), 1)
+        if sketch.any():
+            yield pa.RecordBatch.from_arrays(list(_sketch_parts(sketch)), ["part", "counts"])
+
+    return _summed(own.select("n", "keys").mapInArrow(tidy(scan), "part int, counts binary"), 2)
 
-    return _slim(docs).mapInArrow(tidy(scan), kinds)
+
+def _costs(own: DataFrame, sketches: np.ndarray) -> list[tuple[int, float, float]]:
+    """(size, cost of lists, cost of subsets), summed over all classes of up to 2 * LIGHT_MOST shingles.
+
+    A list's length less one is the number of an entry's partners there; what other
+    keys add to its bucket on average is taken off, so that sums are right.
+    """
+    loads = sketches.reshape(2, BUCKETS).mean(axis=1)
+    share = own.sparkSession.sparkContext.broadcast(sketches.astype(np.float32))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, total = share.value, {}
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                c = b.slice(at, 500)
+                n = c.column("n").to_numpy()
+                for rows, prefix in _prefix_rows(n, c.column("keys"), 2 * LIGHT_MOST):
+                    single = (1 + PARTNER_COST * (counts[_slots(prefix[:, :-1])] - 1 - loads[0])).sum(axis=1)
+                    both = np.zeros(len(rows))
+                    light = n[rows] <= LIGHT_MOST
+                    if light.any():
+                        both[light] = (1 + PARTNER_COST * (counts[BUCKETS + _slots(_subsets(prefix[light])[0])] - 1 - loads[1])).sum(axis=1)
+                    for k, x, y in zip(n[rows].tolist(), single.tolist(), both.tolist(), strict=True):
+                        was = total.get(k, (0.0, 0.0))
+                        total[k] = (was[0] + x, was[1] + y)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x for x, _ in total.values()], pa.float64()), pa.array([y for _, y in total.values()], pa.float64())], ["n", "single", "subset"])
+
+    rows = own.where(F.col("n") <= 2 * LIGHT_MOST).select("n", "keys").mapInArrow(tidy(scan), "n long, single double, subset double")
+    summed = rows.groupBy("n").agg(F.sum("single").alias("c"), F.sum("subset").alias("s")).orderBy("n")
+    return [(r["n"], max(r["c"], 0.0), max(r["s"], 0.0)) for r in summed.collect()]  # 2 * LIGHT_MOST rows at most
 
 
 def boundary(costs: list[tuple[int, float, float]], percent: int) -> int:
@@ -207,30 +289,34 @@ def _alike(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, percent:
 _ENTRY = np.dtype([("key", "<i8"), ("deal", "<i4"), ("n", "<i4"), ("i", "<i4"), ("cls", "<i8")])
 
 
-def _set_entries(n: np.ndarray, cls: np.ndarray, keys: pa.ListArray, deals: pa.ListArray, light: int, percent: int) -> np.ndarray:
+def _dealt(keys: np.ndarray, cls: np.ndarray, parts: np.ndarray | None) -> np.ndarray:
+    """The part of its list that an entry goes to, from 1 on; 0 where the list is whole."""
+    if parts is None:
+        return np.zeros(len(keys), np.int32)
+    p = parts[_slots(keys.view(np.uint64))].astype(np.int64)
+    return np.where(p > 1, 1 + cls % np.maximum(p, 1), 0)
+
+
+def _set_entries(n: np.ndarray, cls: np.ndarray, keys: pa.ListArray, parts: np.ndarray | None, light: int, percent: int) -> np.ndarray:
     """A batch of sets' entries in lists; i is how many shingles at most precede what the key shares."""
     size = keys.value_lengths().to_numpy().astype(np.int64)
-    flat, dealt = keys.flatten().to_numpy(), deals.flatten().to_numpy()
+    flat = keys.flatten().to_numpy()
     begin = np.cumsum(size) - size
     i = np.arange(len(flat)) - np.repeat(begin, size)
     own = np.repeat(np.arange(len(n)), size)
     p = n + percent * -n // 100 + 1  # n - ceil(percent n / 100) + 1
     use = (i < p[own]) & (n[own] * 100 >= percent * (light + 1))
-    parts = [np.zeros(int(use.sum()), _ENTRY)]
-    e = parts[0]
+    out = [np.zeros(int(use.sum()), _ENTRY)]
+    e = out[0]
     e["key"], e["n"], e["i"], e["cls"] = flat[use], n[own[use]], i[use], cls[own[use]]
-    e["deal"] = np.where(dealt[use] > 1, 1 + e["cls"] % np.maximum(dealt[use], 1), 0)  # 0: the list is whole
-    small = (n <= light) & (size > 1)
-    for length in np.unique(size[small]):
-        rows = np.flatnonzero(small & (size == length))
-        table = flat[begin[rows][:, None] + np.arange(length)].astype(np.int64).view(np.uint64)
-        a, z = np.triu_indices(int(length), 1)
-        with np.errstate(over="ignore"):
-            both = finish(table[:, a] * np.uint64(0x9E3779B97F4A7C15) + finish(table[:, z] + np.uint64(0x2545F4914F6CDD1D)))
+    e["deal"] = _dealt(e["key"], e["cls"], None if parts is None else parts[:BUCKETS])
+    for rows, prefix in _prefix_rows(n, keys, light):
+        both, later = _subsets(prefix)
         e = np.zeros(both.size, _ENTRY)
-        e["key"], e["n"], e["i"], e["cls"] = both.view(np.int64).ravel(), np.repeat(n[rows], len(a)), np.tile(z - 1, len(rows)), np.repeat(cls[rows], len(a))
-        parts.append(e)
-    return np.concatenate(parts)
+        e["key"], e["n"], e["i"], e["cls"] = both.view(np.int64).ravel(), np.repeat(n[rows], len(later)), np.tile(later - 1, len(rows)), np.repeat(cls[rows], len(later))
+        e["deal"] = _dealt(e["key"], e["cls"], None if parts is None else parts[BUCKETS:])
+        out.append(e)
+    return np.concatenate(out)
 
 
 def _scan_lists(e: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -269,15 +355,17 @@ def _scan_lists(e: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
 _SCANNED = "a long, b long, key long, n int, i int, cls long"
 
 
-def _lists(own: DataFrame, light: int, percent: int, entries: int) -> DataFrame:
+def _lists(own: DataFrame, sketches: np.ndarray, light: int, percent: int, entries: int) -> DataFrame:
     """Written: pairs (a, b) of the lists' scan, and entries (key, n, i, cls) of long lists (a null)."""
     ranges = max(1, entries // RANGE_ENTRIES)
+    parts = np.ceil((sketches.reshape(2, BUCKETS) - sketches.reshape(2, BUCKETS).mean(axis=1, keepdims=True)) / LIST_ROWS).clip(1, 60_000).astype(np.uint16).ravel()
+    share = own.sparkSession.sparkContext.broadcast(parts if parts.max() > 1 else None)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 c = b.slice(at, 2000)
-                e = _set_entries(c.column("n").to_numpy(), c.column("cls").to_numpy(), c.column("keys"), c.column("deals"), light, percent)
+                e = _set_entries(c.column("n").to_numpy(), c.column("cls").to_numpy(), c.column("keys"), share.value, light, percent)
                 with np.errstate(over="ignore"):
                     r = (finish(e["key"].view(np.uint64) + e["deal"].astype(np.uint64)) % np.uint64(ranges)).astype(np.int64) if len(e) else np.zeros(0, np.int64)
                 order = np.argsort(r, kind="stable")
@@ -294,12 +382,41 @@ def _lists(own: DataFrame, light: int, percent: int, entries: int) -> DataFrame:
         cols = [pa.chunked_array([pa.array(x, t) if x is not None else none(k, t), pa.array(y, t) if y is not None else none(m, t)], t) for _, x, y, t in each]
         return pa.table(cols, [name for name, *_ in each])
 
-    dealt = own.select("n", "cls", "keys", "deals").mapInArrow(tidy(deal), "r long, entries binary")
+    dealt = own.select("n", "cls", "keys").mapInArrow(tidy(deal), "r long, entries binary")
     return written(dealt.groupBy("r").applyInArrow(scan, _SCANNED), "lists", compression="zstd")
 
 
-def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose histograms allow the overlap that they need; sets has (cls, n, bins)."""
+def _hot_ends(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """Written: (cls, n, s1, s2, deals) of classes in very many pairs; 2 * HOT_ENDS rows at most, whatever the pairs."""
+    most = max(HUB_PAIRS, pairs.count() // HOT_ENDS)
+    ends = pairs.groupBy(F.col("a").alias("cls")).count().union(pairs.groupBy(F.col("b").alias("cls")).count()).where(F.col("count") > most)
+    deals = ends.groupBy("cls").agg(F.ceil(F.max("count") / most).cast("int").alias("deals"))
+    return written(own.select("cls", "n", "s1", "s2").join(F.broadcast(deals), "cls"), "hot-ends")
+
+
+def _copies(sets: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """The sets, those of hot ends once for each part that their pairs are dealt to."""
+    parts = F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1)
+    return sets.join(F.broadcast(hot.select(*keys, "deals")), keys, "left").withColumn("part", F.explode(parts)).drop("deals")
+
+
+def _meet(pairs: DataFrame, end: str, copies: DataFrame, hot: DataFrame, keys: dict[str, str], *more) -> DataFrame:
+    """pairs with columns of the sets at one end; keys: a set's key column -> the pairs' column."""
+    known = hot.select(*[F.col(k).alias(v) for k, v in keys.items()], "deals")
+    dealt = pairs.join(F.broadcast(known), list(keys.values()), "left")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("a", "b"), F.coalesce("deals", F.lit(1)).cast("long")).cast("int")).drop("deals")
+    on = copies["part"] == dealt["part"]
+    for k, v in keys.items():
+        on = on & (copies[k] == dealt[v])
+    return copies.join(dealt, on).select(*[dealt[c] for c in pairs.columns], *[copies[c].alias(f"{c}_{end}") for c in more])
+
+
+_NAME = ["n", "s1", "s2"]
+
+
+def _possible(pairs: DataFrame, own: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose histograms allow the overlap that they need, with both ends' names; own has (cls, n, s1, s2, bins)."""
+    names = [f"{c}_{e}" for e in "ab" for c in _NAME]
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -309,25 +426,30 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
                 n = c.column("n_a").to_numpy() + c.column("n_b").to_numpy()
                 ok = (most >= -(-percent * n // (100 + percent))) | (x.max(axis=1) == 255) | (y.max(axis=1) == 255)
-                yield c.select(["a", "b"]).filter(pa.array(ok))
+                yield c.select(["a", "b", *names]).filter(pa.array(ok))
 
-    ends = lambda e: sets.select(F.col("cls").alias(e), F.col("n").cast("long").alias(f"n_{e}"), F.col("bins").alias(f"bins_{e}"))
-    return pairs.join(ends("b"), "b").join(ends("a"), "a").select("a", "b", "n_a", "n_b", "bins_a", "bins_b").mapInArrow(tidy(sift), "a long, b long")
+    copies = _copies(own.select("cls", *_NAME, "bins"), hot, ["cls"])
+    both = pairs
+    for e in "ba":
+        both = _meet(both, e, copies, hot, {"cls": e}, *_NAME, "bins")
+    return both.mapInArrow(tidy(sift), "a long, b long, " + ", ".join(f"{c} long" for c in names))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(cls, set) of the classes that stand in wanted(doc_id, cls), and of few others.
+    """(n, s1, s2, set) of the rows that wanted(k, mark) names, and of few others; wanted must be written.
 
-    A filter of fixed size lets the wanted ids through and hardly any others;
+    A filter of bounded size lets the wanted rows through and hardly any others;
     sets, not texts, are shuffled.
     """
     spark = docs.sparkSession
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    size = int(np.clip(1 << (FILTER_BITS_EACH * wanted.count()).bit_length(), *FILTER_BITS))
+    slot = F.pmod(F.xxhash64("k", "mark"), F.lit(size))
     words = wanted.select(slot.alias("b")).groupBy(F.shiftright("b", 16).alias("w")).agg(F.collect_set(F.col("b").bitwiseAND(0xFFFF).cast("int")).alias("b"))
-    bits = np.zeros(FILTER_BITS, bool)
+    packed = np.zeros(size >> 3, np.uint8)
     for r in words.toLocalIterator():  # as many bits as the filter has, at most
-        bits[(r["w"] << 16) + np.array(r["b"], np.int64)] = True
-    share = spark.sparkContext.broadcast(np.packbits(bits))
+        at = (r["w"] << 16) + np.array(r["b"], np.int64)
+        np.bitwise_or.at(packed, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+    share = spark.sparkContext.broadcast(packed)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = share.value
@@ -339,12 +461,12 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 named = [set_name(s) for s in found]
                 yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in found], pa.int64()), pa.array([x for x, _ in named], pa.int64()), pa.array([x for _, x in named], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["n", "s1", "s2", "set"])
 
-    found = _slim(docs).select("text", slot.alias("slot")).mapInArrow(tidy(sets), "n long, s1 long, s2 long, set binary")
-    return found.select(F.xxhash64("n", "s1", "s2").alias("cls"), "set").dropDuplicates(["cls"])
+    rows = _slim(docs).select("text", *text_key(text_hash="mark"))
+    return rows.select("text", slot.alias("slot")).mapInArrow(tidy(sets), "n long, s1 long, s2 long, set binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold, written.  Both joins use one shuffle of the sets."""
+def _verified(near: DataFrame, sets: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets of hashes reach the threshold, written.  Both joins use one shuffle of the sets."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -355,9 +477,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    with_b = sets.join(pairs, sets["cls"] == pairs["b"]).select("a", "b", F.col("set").alias("set_b"))
-    both = sets.join(with_b, sets["cls"] == with_b["a"]).select("a", "b", F.col("set").alias("set_a"), "set_b")
-    return written(both.mapInArrow(tidy(check), "a long, b long"), "links")
+    copies = _copies(sets, hot, _NAME).dropDuplicates([*_NAME, "part"])
+    both = near
+    for e in "ba":
+        both = _meet(both, e, copies, hot, {c: f"{c}_{e}" for c in _NAME}, "set")
+    return written(both.select("a", "b", "set_a", "set_b").mapInArrow(tidy(check), "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -376,10 +500,46 @@ def components(links: DataFrame) -> DataFrame:
 
 def _linked(docs: DataFrame, classes: DataFrame, own: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The verified of pairs(a, b) of classes."""
-    near = written(_possible(pairs, own.select("cls", "n", "bins"), percent), "possible")
+    hot = _hot_ends(pairs, own)
+    near = written(_possible(pairs, own, hot, percent), "possible")
     ends = near.select(F.col("a").alias("cls")).union(near.select(F.col("b").alias("cls"))).distinct()
-    wanted = ends.join(classes.select("cls", "doc_id"), "cls")
-    return _verified(near, _sets_of(docs, wanted, width), percent)
+    wanted = written(ends.join(classes.select("cls", "k", "mark"), "cls").select("k", "mark"), "wanted-sets")
+    return _verified(near, _sets_of(docs, wanted, width), hot, percent)
+
+
+def _open_pairs(lists: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of members of one long list that are in different components and can be alike by size and place.
+
+    lists has the entries (key, n, i, cls).  Blocks of a list meet pairwise, so a
+    list of any length is spread over tasks, and only pairs that pass are written.
+    """
+    at = written(lists.join(comp.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "long-lists", compression="zstd")
+    blocks = F.ceil(F.col("m") / LONG_BLOCK).cast("int")
+    open_lists = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", "m", blocks.alias("blocks"))
+    open_lists = written(open_lists, "open-lists")
+    ranges = max(1, int(open_lists.agg(F.sum(F.col("m") * F.col("blocks"))).first()[0] or 0) // RANGE_ENTRIES)
+    each = at.join(open_lists.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    each = each.select("key", "lo", "hi", "block", "n", "i", "cls", "comp", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(ranges)).alias("r"))
+
+    def pair(key, table):
+        col = {c: table.column(c).to_numpy().astype(np.int64) for c in ("key", "lo", "hi", "block", "n", "i", "cls", "comp")}
+        order = np.lexsort((col["hi"], col["lo"], col["key"]))
+        cut = np.flatnonzero(sum(np.diff(col[c][order]) != 0 for c in ("key", "lo", "hi")) > 0) + 1
+        found = []
+        for rows in np.split(order, cut):
+            for part in np.array_split(rows, -(-len(rows) // 256)):
+                x, y = part[:, None], rows[None, :]
+                ok = (col["comp"][x] < col["comp"][y]) & _alike(col["n"][x], col["i"][x], col["n"][y], col["i"][y], percent)
+                if col["lo"][rows[0]] != col["hi"][rows[0]]:
+                    ok &= col["block"][x] != col["block"][y]
+                u, v = np.nonzero(ok)
+                a, b = col["cls"][part[u]], col["cls"][rows[v]]
+                found.append(np.c_[np.minimum(a, b), np.maximum(a, b)])
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return each.groupBy("r").applyInArrow(pair, "a long, b long").distinct()
 
 
 def _block_links(sets: list[np.ndarray], blocks: np.ndarray, percent: int) -> np.ndarray:
@@ -411,12 +571,13 @@ def link_counts(docs: DataFrame, classes: DataFrame, comp: DataFrame, width: int
     Components are exact, so all links are inside them; there every pair is compared.  Blocks of a component meet
     pairwise, so its classes' sets are sent as often as it has blocks, and no pairs are written.
     """
-    blocks = F.ceil(F.col("m") / LINK_BLOCK).cast("int")
-    at = comp.join(comp.groupBy("comp").agg(F.count(F.lit(1)).alias("m")), "comp")
-    at = written(at.select(F.col("v").alias("cls"), "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("v"), blocks).cast("int").alias("block")), "link-blocks")
+    named = comp.select(F.col("v").alias("cls"), "comp").join(classes.select("cls", *_NAME, "k", "mark"), "cls")
+    size = named.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"))
+    blocks = F.greatest(F.ceil(F.col("m") / LINK_BLOCK), F.ceil(F.col("all") / LINK_SHINGLES)).cast("int")
+    at = written(named.join(size, "comp").select("cls", *_NAME, "k", "mark", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block")), "link-blocks")
     ranges = max(1, (at.agg(F.sum("blocks")).first()[0] or 0) // LINK_SETS)
-    sets = _sets_of(docs, at.join(classes.select("cls", "doc_id"), "cls").select("cls", "doc_id"), width)
-    each = at.join(sets, "cls").select("cls", "comp", "block", "set", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    sets = _sets_of(docs, at.select("k", "mark"), width).dropDuplicates(_NAME)
+    each = at.drop("k", "mark").join(sets, _NAME).select("cls", "comp", "block", "set", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     each = each.select("cls", "comp", "block", "set", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     each = each.withColumn("r", F.pmod(F.xxhash64("comp", "lo", "hi"), F.lit(ranges)))
 
@@ -446,31 +607,23 @@ def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, light
     sketch = _summed(scanned)
     rows = scanned.where("n is not null").select("doc_id", *text_key(text_hash="mark"), "n", "s1", "s2")
     members = rows.where("n > 0")
-    classes = members.groupBy("n", "s1", "s2").agg(F.min(F.struct("k", "mark", "doc_id")).alias("rep"))
-    classes = written(classes.select("n", "s1", "s2", F.xxhash64("n", "s1", "s2").alias("cls"), "rep.k", "rep.mark", "rep.doc_id"), "classes")
+    classes = members.groupBy(*_NAME).agg(F.min(F.struct("k", "mark", "doc_id")).alias("rep"))
+    # numbers, not hashes, name classes: two of them never fall together
+    classes = written(classes.select(*_NAME, F.monotonically_increasing_id().alias("cls"), "rep.k", "rep.mark", "rep.doc_id"), "classes")
     prefixes = _prefixes(docs, sketch, width, percent).withColumn("k", text_key(text_hash="mark")[0])
-    own = prefixes.join(classes.select("k", "mark", "cls"), ["k", "mark"]).dropDuplicates(["cls"])
+    own = prefixes.drop("n").join(classes.select("k", "mark", "cls", *_NAME), ["k", "mark"]).dropDuplicates(["cls"]).select("cls", *_NAME, "keys", "bins")
     own = written(own, "prefixes", compression="zstd")
-    costs = own.where(F.col("n") <= LIGHT_MOST * 2).groupBy("n").agg(F.sum("single").alias("c"), F.sum("subset").alias("s"))
+    sketches = _list_sketches(own)
     if light is None:
-        light = boundary([(r["n"], r["c"], r["s"]) for r in costs.collect()], percent)  # 2 * LIGHT_MOST rows at most
-    total = own.agg(F.sum(F.size("keys"))).first()[0] or 0
+        light = boundary(_costs(own, sketches), percent)
+    total = own.agg(F.sum(F.size("keys") + F.when(F.col("n") <= light, F.size("keys") * (F.size("keys") - 1) / 2).otherwise(0))).first()[0] or 0
 
-    lists = _lists(own, light, percent, total)
+    lists = _lists(own, sketches, light, percent, int(total))
     pairs = written(lists.where("a is not null").select("a", "b").distinct(), "pairs")
     links = _linked(docs, classes, own, pairs, width, percent)
     comp = components(links)
 
-    long = lists.where("a is null").select("key", "n", "i", "cls")
-    at = written(long.join(comp.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "long-lists", compression="zstd")
-    open_lists = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = at.join(open_lists, "key", "left_semi")
-    x, y = rest.alias("x"), rest.alias("y")
-    n, m = F.col("x.n").cast("long"), F.col("y.n").cast("long")
-    need = F.ceil(F.lit(percent) * (n + m) / (100 + percent))
-    alike = (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - F.col("x.i"), m - F.col("y.i")) >= need)
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & alike)
-    more = more.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+    more = _open_pairs(lists.where("a is null").select("key", "n", "i", "cls"), comp, percent)
     more = written(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     if not more.isEmpty():
         late = _linked(docs, classes, own, more, width, percent)

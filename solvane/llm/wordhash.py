@@ -1,4 +1,9 @@
-"""Vectorised words of many texts at once: byte classes, runs, and a 64-bit hash of each run."""
+"""Vectorised words of many texts at once: byte classes, runs, and a 64-bit hash of each run.
+
+Defined results: null and empty texts have no tokens; a run of any length is one
+token, hashed whole; equal runs have equal hashes wherever they stand, and
+different ones share a hash with a chance of about one in 2**63.
+"""
 
 from __future__ import annotations
 
@@ -6,23 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-_POWERS = 4096
-_BASE = 0x9E3779B97F4A7C15
-
-
-def _powers() -> np.ndarray:
-    out = np.ones(_POWERS, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumprod(np.r_[np.uint64(1), np.full(_POWERS - 1, _BASE, np.uint64)], out=out)
-    return out
-
-
-POWERS = _powers()
-#: A-Z become a-z, other bytes stay.
-LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-#: Classes of bytes: 0 parts words, 1 is in words, 2 is punctuation; runs of one class are tokens.
-SPACES = np.array([0 if b == 32 or 9 <= b <= 13 else 1 for b in range(256)], np.uint8)
-WORDS_AND_SIGNS = np.array([0 if b <= 32 else 1 if b >= 128 or chr(b).isalnum() else 2 for b in range(256)], np.uint8)
+#: Bytes of a run that have a factor each; runs that are longer are hashed in blocks of so many bytes.
+_BLOCK = 4096
 
 
 def finish(h: np.ndarray) -> np.ndarray:
@@ -35,6 +25,20 @@ def finish(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
+def _factors(numbers: np.ndarray) -> np.ndarray:
+    """Odd 64-bit factors that have nothing to do with each other, by number."""
+    with np.errstate(over="ignore"):
+        return finish((numbers.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+FACTORS = _factors(np.arange(_BLOCK))
+#: A-Z become a-z, other bytes stay.
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: Classes of bytes: 0 parts words, 1 is in words, 2 is punctuation; runs of one class are tokens.
+SPACES = np.array([0 if b == 32 or 9 <= b <= 13 else 1 for b in range(256)], np.uint8)
+WORDS_AND_SIGNS = np.array([0 if b <= 32 else 1 if b >= 128 or chr(b).isalnum() else 2 for b in range(256)], np.uint8)
+
+
 @dataclass
 class Tokens:
     """Tokens of several texts, one text after another."""
@@ -72,7 +76,10 @@ def tokens(texts: list[str | None], classes: np.ndarray = SPACES) -> Tokens:
     if len(start):
         place = np.arange(len(raw)) - np.repeat(edge, length)
         with np.errstate(over="ignore"):
-            value = (low.astype(np.uint64) + np.uint64(1)) * POWERS[place & (_POWERS - 1)]
+            value = (low.astype(np.uint64) + np.uint64(1)) * FACTORS[place % _BLOCK]
+            far = np.flatnonzero(place >= _BLOCK)
+            if len(far):
+                value[far] *= _factors(place[far] // _BLOCK + _BLOCK)
             value[cls == 0] = 0
             hashed = finish(np.add.reduceat(value, start) + size.astype(np.uint64))
     else:
@@ -86,6 +93,6 @@ def prefix_hash(t: Tokens, n: int) -> np.ndarray:
     ok = np.flatnonzero(t.size >= n)
     with np.errstate(over="ignore"):
         for k in range(n):
-            out[ok] += (t.low[t.start[ok] + k].astype(np.uint64) + np.uint64(1)) * POWERS[k]
+            out[ok] += (t.low[t.start[ok] + k].astype(np.uint64) + np.uint64(1)) * FACTORS[k]
         out[ok] = finish(out[ok] + np.uint64(0xA5A5A5A5A5A5A5A5) + np.uint64(n))
     return out

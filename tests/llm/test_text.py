@@ -63,6 +63,60 @@ def test_join_finds_all_components(spark, width, percent, light):
     assert all(got[d]["n_shingles"] == len(shingles(t, width)) for d, t in rows)
 
 
+def test_shingles_of_few_words_and_of_long_words_are_told_apart():
+    rng = np.random.default_rng(2)
+    for width in range(1, 7):
+        texts = [" ".join(rng.choice(["a", "b", "and", "the"], int(rng.integers(1, 60)))) for _ in range(200)]
+        assert [len(s) for s in jaccard_join.shingle_sets(texts, width)] == [len(shingles(t, width)) for t in texts]
+    assert len(jaccard_join.shingle_sets(["a b b a a b"], 4)[0]) == 3 and len(jaccard_join.shingle_sets(["a b x b a b a x a b"], 5)[0]) == 6
+    x, y = "p" * 4096, "q" * 4096
+    assert len(jaccard_join.shingle_sets([" ".join([x + y, y + x, x + x + y, x + y + x, y + x + x, x, y, x + x])], 1)[0]) == 8
+
+
+def few_words(n=500, words=24, length=(8, 30), seed=4):
+    """Sets of words from a small vocabulary: each word is frequent, pairs of words are much rarer."""
+    rng = np.random.default_rng(seed)
+    weights = 1 / np.arange(1, words + 1)
+    rows = []
+    while len(rows) < n:
+        size = min(words, int(rng.integers(*length)))
+        base = rng.choice(words, size, replace=False, p=weights / weights.sum())
+        rows.append(" ".join(f"w{k}" for k in base))
+        if rng.random() < 0.3:
+            rows.append(" ".join(f"w{k}" for k in [*base[1:], int(rng.integers(0, words))]))
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("light", [None, 0, 12, 400])
+def test_boundary_is_chosen_by_cost_and_both_arms_give_links(spark, monkeypatch, light):
+    monkeypatch.setattr(jaccard_join, "SHORT", 6)
+    monkeypatch.setattr(jaccard_join, "LONG_BLOCK", 20)
+    chosen = []
+    boundary = jaccard_join.boundary
+    monkeypatch.setattr(jaccard_join, "boundary", lambda costs, percent: chosen.append((boundary(costs, percent), costs)) or chosen[-1][0])
+    rows = few_words(400, 300, (6, 12)) + [(10_000 + k, " ".join([f"v{k // 4}x{j}" for j in range(150)] + [f"own{k}"])) for k in range(40)]
+    want = brute_components(rows, 1, 75)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 75, light=light).collect()}
+    assert [got[d] for d, _ in rows] == [rows[w][0] for w in want]
+    assert len(set(want)) < len(rows) - 20
+    if light is None:
+        most, costs = chosen[0]
+        sizes = {len(shingles(t, 1)) for _, t in rows}
+        assert 0 < most < max(sizes)  # both arms have sets
+        by_size = {n: (c, s) for n, c, s in costs}
+        assert all(by_size[n][1] < by_size[n][0] for n in by_size if n <= most)
+
+
+def test_hot_ends_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HUB_PAIRS", 3)
+    monkeypatch.setattr(jaccard_join, "HOT_ENDS", 20)
+    monkeypatch.setattr(jaccard_join, "SHORT", 3)
+    rows = near_copies(11, 6, 50)
+    want = brute_components(rows, 4, 85)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[d] for d, _ in rows] == [rows[w][0] for w in want]
+
+
 def test_long_lists_are_scanned_by_hubs(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SHORT", 3)
     rows = near_copies(9, 4, 60)
