@@ -73,8 +73,11 @@ LONG_BLOCK = 1024
 #: Classes, and shingles, of one component that are compared with each other at once, about; larger components are dealt out in blocks.
 LINK_BLOCK = 256
 LINK_SHINGLES = 1 << 20
-#: Sets that one task compares at once, about.
+#: Sets, and shingles, that one task compares, about.
 LINK_SETS = 2000
+LINK_TASK = 1 << 21
+#: Bytes of text that are hashed at once; arrays of some eight times the size are made of them.
+SLICE = 1 << 20
 #: Bits, for each id that is wanted, of the filter that keeps texts out of the shuffle when sets are fetched, and the least and most of them.
 FILTER_BITS_EACH = 16
 FILTER_BITS = (1 << 20, 1 << 30)
@@ -133,7 +136,7 @@ def _classes_and_sketch(docs: DataFrame, width: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(BUCKETS, np.uint32)
         names = ["doc_id", "mark", "n", "s1", "s2", "part", "counts"]
-        for b in text_slices(batches):
+        for b in text_slices(batches, limit=SLICE):
             sets = shingle_sets(b.column("text").to_pylist(), width)
             named = [set_name(s) for s in sets]
             if any(map(len, sets)):
@@ -183,7 +186,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) ->
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = share.value
-        for b in text_slices(batches):
+        for b in text_slices(batches, limit=SLICE):
             out: tuple[list, ...] = tuple([] for _ in names)
             for doc, mark, s in zip(b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), shingle_sets(b.column("text").to_pylist(), width), strict=True):
                 n = len(s)
@@ -456,7 +459,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for whole in batches:
             at = whole.column("slot").to_numpy()
             passed = whole.filter(pa.array((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
-            for b in text_slices(iter([passed]), limit=1 << 20):
+            for b in text_slices(iter([passed]), limit=SLICE):
                 found = [s for s in shingle_sets(b.column("text").to_pylist(), width) if len(s)]
                 named = [set_name(s) for s in found]
                 yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in found], pa.int64()), pa.array([x for x, _ in named], pa.int64()), pa.array([x for _, x in named], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["n", "s1", "s2", "set"])
@@ -575,7 +578,8 @@ def link_counts(docs: DataFrame, classes: DataFrame, comp: DataFrame, width: int
     size = named.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"))
     blocks = F.greatest(F.ceil(F.col("m") / LINK_BLOCK), F.ceil(F.col("all") / LINK_SHINGLES)).cast("int")
     at = written(named.join(size, "comp").select("cls", *_NAME, "k", "mark", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block")), "link-blocks")
-    ranges = max(1, (at.agg(F.sum("blocks")).first()[0] or 0) // LINK_SETS)
+    sent = at.agg(F.sum("blocks"), F.sum(F.col("blocks") * F.col("n"))).first()
+    ranges = max(1, (sent[0] or 0) // LINK_SETS, (sent[1] or 0) // LINK_TASK)
     sets = _sets_of(docs, at.select("k", "mark"), width).dropDuplicates(_NAME)
     each = at.drop("k", "mark").join(sets, _NAME).select("cls", "comp", "block", "set", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     each = each.select("cls", "comp", "block", "set", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
