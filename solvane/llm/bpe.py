@@ -5,8 +5,15 @@ is followed by a non-space always starts a pre-token.  Text between two such
 places is therefore encoded alike wherever it stands, so each distinct chunk is
 split once, each distinct pre-token goes through the ``tokenizers`` model once,
 and ids are joined as bytes after that.  Texts in which a chunk could depend on
-its surroundings (runs of white space) and characters whose class the split
-pattern might see differently are encoded whole by the library.
+its surroundings (runs of white space), texts that hold the content of an added
+token such as an end-of-text mark, and characters whose class the split pattern
+might see differently are encoded whole by the library.
+
+Defined results: ids are those of the library's own encoding without special
+tokens added at the ends.  An added token's content in a text becomes that
+token's id, as the library does by itself; with ``as_text`` it is encoded like
+any other text, so that no text can give a special id.  Null and empty texts
+have no ids.
 """
 
 from __future__ import annotations
@@ -98,14 +105,16 @@ class _Chunks(dict):
 
 
 class BpeEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids."""
+    """Encodes texts to little-endian unsigned 32-bit ids; with as_text, contents of special tokens are plain text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = as_text
+        added = [t for t in self.library.get_added_tokens_decoder().values() if not (as_text and t.special)]
+        self._marked = re.compile("|".join(re.escape(t.content) for t in added)).search if added else None
         pre = self.library.pre_tokenizer
         self._plain = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex and self.library.normalizer is None
         self._chunk = _Chunks(self.library).__getitem__ if self._plain else None
@@ -117,13 +126,13 @@ class BpeEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every whole text as bytes; None and the empty text give b""."""
         out: list[bytes | None] = []
-        chunk, collecting = self._chunk, gc.isenabled()
+        chunk, marked, collecting = self._chunk, self._marked, gc.isenabled()
         gc.disable()  # strings and bytes hold no cycles, and the memo is large
         try:
             for t in texts:
                 if not t:
                     out.append(b"")
-                elif not self._plain or "\n\n" in t or " \n" in t or "\x00" in t:
+                elif not self._plain or "\n\n" in t or " \n" in t or "\x00" in t or (marked and marked(t)):
                     out.append(None)
                 else:
                     try:
@@ -139,11 +148,11 @@ class BpeEncoder:
         return out
 
 
-_ENCODERS: dict[str, BpeEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], BpeEncoder] = {}
 
 
-def encoder(path: str) -> BpeEncoder:
+def encoder(path: str, as_text: bool = False) -> BpeEncoder:
     """The worker's encoder of one vocabulary file, kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = BpeEncoder(path)
-    return _ENCODERS[path]
+    if (path, as_text) not in _ENCODERS:
+        _ENCODERS[path, as_text] = BpeEncoder(path, as_text)
+    return _ENCODERS[path, as_text]

@@ -10,7 +10,10 @@ are scanned by different tasks.
 Defined results: a null or empty text is a document of no ids before its
 separator (n_tokens 0); a file that does not end with a separator has a last
 document with terminated = false; an empty file has no documents; repeated rows
-are documents of their own; a null doc_id is kept as null.
+are documents of their own; a null doc_id is kept as null.  Contents of special
+tokens in a text are encoded as text, so that a text cannot hold the separator;
+with as_text = false they become those tokens' ids, and a text that gives the
+separator is refused with an error.
 """
 
 from __future__ import annotations
@@ -25,31 +28,34 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from solvane.llm.bpe import encoder
-from solvane.llm.shared import filesystem, only, put_file, text_slices, tidy, working_folder, written
+from solvane.llm.shared import NewFile, filesystem, only, text_slices, tidy, working_folder, written
 
 #: Ids in one block of a scan.
 BLOCK_TOKENS = 1 << 20
 
 
-def write_flat(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int = 2) -> DataFrame:
+def write_flat(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int = 2, as_text: bool = True) -> DataFrame:
     """Writes one flat file for each partition of docs(doc_id, text); returns (file, ordinal, doc_id), written.
 
     The files hold ids only.  Which document was the n-th of its file is known
-    from the returned table alone.
+    from the returned table alone.  Ids go to the file as they are made.
     """
     kind = f"<u{width}"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"tokens-{TaskContext.get().partitionId():06d}.bin"
-        enc, end = encoder(tokenizer), struct.pack("<I", end_id)
-        parts, ids = [], []
+        enc, end = encoder(tokenizer, as_text), struct.pack("<I", end_id)
+        file, n = None, 0
         for b in text_slices(batches):
-            coded = enc.encode(b.column("text").to_pylist())
-            parts.append(np.frombuffer(end.join(coded) + end, "<u4").astype(kind).tobytes())
-            ids += b.column("doc_id").to_pylist()
-        if ids:
-            put_file(f"{folder}/{name}", parts)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.string()), pa.array(range(len(ids)), pa.int64()), pa.array(ids, pa.int64())], ["file", "ordinal", "doc_id"])
+            ids = np.frombuffer(end.join(enc.encode(b.column("text").to_pylist())) + end, "<u4")
+            if int(np.count_nonzero(ids == end_id)) != b.num_rows:
+                raise ValueError(f"a text holds the separator, id {end_id}")
+            file = file or NewFile(f"{folder}/{name}")
+            file.write(ids.astype(kind).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([name] * b.num_rows, pa.string()), pa.array(np.arange(n, n + b.num_rows)), b.column("doc_id")], ["file", "ordinal", "doc_id"])
+            n += b.num_rows
+        if file:
+            file.finish()
 
     slim = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return written(slim.mapInArrow(tidy(write), "file string, ordinal long, doc_id long"), "flat-manifest")
@@ -71,7 +77,7 @@ def scan_separators(spark: SparkSession, folder: str, end_id: int, width: int =
         .where("size > 0")
         .select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(block_tokens).cast("long"))).alias("first"))
     )
-    blocks = blocks.repartition(max(1, min(10_000, sum(-(-n // block_tokens) for _, n in files))), "file", "first")
+    blocks = blocks.repartition(max(1, min(10_000, sum(-(-n // max(block_tokens, BLOCK_TOKENS)) for _, n in files))), "file", "first")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = filesystem(folder)
@@ -105,9 +111,9 @@ def scan_separators(spark: SparkSession, folder: str, end_id: int, width: int =
     return rows.select("file", (F.col("base") + F.col("k")).alias("ordinal"), start.alias("start"), (F.col("end") - start).alias("n_tokens"), (F.col("end") < F.col("size")).alias("terminated"))
 
 
-def token_counts(docs: DataFrame, tokenizer: str, end_id: int, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, end_id: int, width: int = 2, block_tokens: int = BLOCK_TOKENS, as_text: bool = True) -> DataFrame:
     """Writes docs to flat files and counts their tokens by scanning these: (doc_id, file, ordinal, start, n_tokens, terminated)."""
     spark = docs.sparkSession
     folder = working_folder(spark, "flat")
-    manifest = write_flat(docs, folder, tokenizer, end_id, width)
+    manifest = write_flat(docs, folder, tokenizer, end_id, width, as_text)
     return scan_separators(spark, folder, end_id, width, block_tokens).join(manifest, ["file", "ordinal"], "left").select("doc_id", "file", "ordinal", "start", "n_tokens", "terminated")

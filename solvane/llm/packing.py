@@ -3,8 +3,9 @@
 Only the histogram of piece lengths matters for which lengths share a sequence,
 so the plan is made on the driver from at most ``size`` counts, whatever the
 size of the corpus.  Lengths are taken in descending order; the gap that is left
-is filled exactly by one, two or three lengths, found in indexes of single, pair
-and triple sums under the counts still available; where no such sum is there,
+is filled exactly by one, two or three lengths, looked up in indexes from a sum
+to the single, pairs and triples that make it up; an entry leaves its index when
+a length of it runs out.  Where no such sum is there,
 the largest length that fits goes in (best fit) and the smaller gap is tried
 again.  A combination is used as often as its counts allow.  The plan is a table
 of rank intervals: the r-th piece of a length belongs in this sequence, there.
@@ -68,44 +69,73 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataF
 
 
 class _Sums:
-    """What is left of each length, and the sums of one, two and three that can fill a gap exactly."""
+    """Indexes from a sum to the lengths that make it up, under the counts that are left.
+
+    A sum is indexed when it is first asked for: its pairs by their larger
+    length, its triples by their largest length, which leaves the sum of a pair.
+    Counts only fall, so entries are dropped and never come back.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.left = counts.copy()
+        self._pairs: dict[int, np.ndarray] = {}
+        self._triples: dict[int, np.ndarray] = {}
+
+    def pairs(self, total: int) -> np.ndarray:
+        """The larger lengths, in descending order, of all pairs with this sum of which both lengths are left."""
+        larger = self._pairs.get(total)
+        if larger is None:
+            larger = np.arange(total - 1, (total - 1) // 2, -1)
+        larger = larger[(self.left[larger] > 0) & (self.left[total - larger] > 0)]
+        self._pairs[total] = larger
+        return larger
+
+    def triples(self, total: int) -> np.ndarray:
+        """The largest lengths, in descending order, of all triples with this sum whose pair is indexed."""
+        largest = self._triples.get(total)
+        if largest is None:
+            largest = np.arange(total - 2, (total - 1) // 3, -1)
+            largest = largest[self.left[largest] > 0]
+            largest = largest[[len(self.pairs(total - int(a))) > 0 for a in largest]] if len(largest) else largest
+        largest = largest[self.left[largest] > 0]
+        self._triples[total] = largest
+        return largest
 
     def fill(self, gap: int, used: Counter) -> tuple[int, ...] | None:
         """Lengths that add up to gap, the largest first choice; used counts what the sequence holds already."""
-        left = self.left[: gap + 1].copy()
+        free = self.left[: gap + 1].copy()
         for length, n in used.items():
             if length <= gap:
-                left[length] -= n
-        if left[gap] > 0:
+                free[length] -= n
+        if free[gap] > 0:
             return (gap,)
-        have = left > 0
-        have[0] = False
-        pair = self._pair(left, have, gap)
+        pair = self._pair(free, gap, gap)
         if pair:
             return pair
-        for a in np.flatnonzero(have)[::-1]:
-            left[a] -= 1
-            rest = gap - int(a)
-            if rest >= 2:
-                pair = self._pair(left, (left > 0) & (np.arange(gap + 1) <= a) & (np.arange(gap + 1) > 0), rest)
-                if pair:
-                    return (int(a), *pair)
-            left[a] += 1
-            if 3 * a < gap:
+        gone = []
+        for a in self.triples(gap).tolist():
+            if free[a] <= 0:
+                continue
+            free[a] -= 1
+            pair = self._pair(free, gap - a, a)
+            free[a] += 1
+            if pair:
                 break
-        return None
-
-    @staticmethod
-    def _pair(left: np.ndarray, have: np.ndarray, total: int) -> tuple[int, int] | None:
-        if total < 2:
-            return None
-        a = np.arange(total // 2, 0, -1)  # the smaller of the two
-        ok = have[total - a] & have[a] & ((total - a != a) | (left[a] > 1))
-        hit = np.flatnonzero(ok)
-        return (total - int(a[hit[-1]]), int(a[hit[-1]])) if len(hit) else None
+            if not len(self._pairs[gap - a]):
+                gone.append(a)
+        else:
+            a = 0
+        if gone:
+            self._triples[gap] = self._triples[gap][~np.isin(self._triples[gap], gone)]
+        return (a, *pair) if a else None
+
+    def _pair(self, free: np.ndarray, total: int, most: int) -> tuple[int, int] | None:
+        """The pair with the largest length, up to ``most``, that free counts allow."""
+        x = self.pairs(total)
+        y = total - x
+        ok = (x <= most) & (free[x] > 0) & (free[y] > 0) & ((x != y) | (free[x] > 1))
+        k = int(ok.argmax()) if len(ok) else 0
+        return (int(x[k]), int(y[k])) if len(ok) and ok[k] else None
 
 
 def plan(counts: np.ndarray) -> list[tuple[tuple[tuple[int, int], ...], int]]:

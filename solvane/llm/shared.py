@@ -53,19 +53,25 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def put_file(uri: str, parts: list[bytes]) -> None:
-    """Writes under another name, then renames: a task that is run again or twice leaves one whole file."""
-    from pyarrow import fs as pafs
-
-    fs, path = filesystem(uri)
-    fs.create_dir(os.path.dirname(path), recursive=True)
-    own = f"{path}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(own) as out:
-        for p in parts:
-            out.write(p)
-    if not isinstance(fs, pafs.LocalFileSystem) and fs.get_file_info(path).type != pafs.FileType.NotFound:
-        fs.delete_file(path)
-    fs.move(own, path)
+class NewFile:
+    """A file written bit by bit under another name, and renamed when it is whole: a task that is run again or twice leaves one whole file."""
+
+    def __init__(self, uri: str):
+        self._fs, self._path = filesystem(uri)
+        self._fs.create_dir(os.path.dirname(self._path), recursive=True)
+        self._own = f"{self._path}.{uuid.uuid4().hex}.tmp"
+        self._out = self._fs.open_output_stream(self._own)
+
+    def write(self, data: bytes) -> None:
+        self._out.write(data)
+
+    def finish(self) -> None:
+        from pyarrow import fs as pafs
+
+        self._out.close()
+        if not isinstance(self._fs, pafs.LocalFileSystem) and self._fs.get_file_info(self._path).type != pafs.FileType.NotFound:
+            self._fs.delete_file(self._path)
+        self._fs.move(self._own, self._path)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

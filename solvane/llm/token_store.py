@@ -28,13 +28,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solvane.llm.bpe import encoder
-from solvane.llm.shared import filesystem, only, put_file, text_slices, tidy, written
+from solvane.llm.shared import NewFile, filesystem, only, text_slices, tidy, written
 
 #: Bits for each key that is left at a level of the hash.
 BITS_PER_KEY = 2.0
 LEVELS = 40
 #: The null key's place in the key order and in hashes.
 NULL_KEY = -(1 << 63)
+#: Ids that one task of a keyed read fetches, about, and the most tasks.
+READ_TOKENS = 4 << 20
+READ_TASKS = 20_000
 
 
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -174,21 +177,23 @@ def build_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, w
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
         enc, end = encoder(tokenizer), struct.pack("<I", end_id)
-        parts, keys, sizes = [], [], []
+        name, file, keys, sizes = f"shard-{number:06d}", None, [], []
         for b in text_slices(batches):
             coded = enc.encode(b.column("text").to_pylist())
             sizes.append(np.fromiter((len(x) // 4 + 1 for x in coded), np.int64, len(coded)))
             keys.append(b.column("key").to_numpy())
             ids = np.frombuffer(end.join(coded) + end, "<u4")
-            if len(ids) and int(ids.max()) >= 1 << (8 * width):
+            if int(ids.max()) >= 1 << (8 * width):
                 raise ValueError(f"an id of {ids.max()} does not fit in {width} bytes")
-            parts.append(ids.astype(f"<u{width}").tobytes())
+            file = file or NewFile(f"{folder}/{name}.ids")
+            file.write(ids.astype(f"<u{width}").tobytes())
         rows = []
-        if keys:
+        if file:
+            file.finish()
             keys, sizes = np.concatenate(keys), np.concatenate(sizes)
-            name = f"shard-{number:06d}"
-            put_file(f"{folder}/{name}.mph", [shard_files(keys, sizes)])
-            put_file(f"{folder}/{name}.ids", parts)
+            index = NewFile(f"{folder}/{name}.mph")
+            index.write(shard_files(keys, sizes))
+            index.finish()
             rows = [{"shard": number, "name": name, "n_docs": len(keys), "n_tokens": int(sizes.sum()), "low": int(keys[0]), "high": int(keys[-1])}]
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("shard", pa.int64()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))
 
@@ -244,5 +249,6 @@ def records(spark: SparkSession, folder: str, catalogue: DataFrame, keys: DataFr
                         )
 
     asked = only(keys, "doc_id").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key")).distinct()
-    placed = asked.mapInArrow(tidy(place), "key long, shard long").repartitionByRange("shard", "key").sortWithinPartitions("shard", "key")
+    tasks = int(min(READ_TASKS, max(1, base[-1] // READ_TOKENS)))
+    placed = asked.mapInArrow(tidy(place), "key long, shard long").repartitionByRange(tasks, "shard", "key").sortWithinPartitions("shard", "key")
     return placed.mapInArrow(tidy(fetch), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")

@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -13,18 +14,69 @@ from solvane.llm.shared import working_folder
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def ids(texts):
+def ids(texts, as_text=False):
+    """Ids by the plain library; with as_text, by one without special tokens."""
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = as_text
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
+MARK = "<|endoftext|>"
+MARKED = [(1, f"hello {MARK} world"), (2, MARK), (3, f"{MARK}{MARK} x\n{MARK}"), (4, "plain words <|endoftext |>"), (5, None), (6, f"a{MARK}b " * 40)]
+
+
+def test_special_tokens_are_encoded_as_the_library_does(spark):
+    texts = [t for _, t in MARKED]
+    want = ids(texts)
+    assert 50256 in want[0] and want[1] == [50256]
+    assert [np.frombuffer(x, "<u4").tolist() for x in BpeEncoder(PATH).encode(texts)] == want
+    assert [np.frombuffer(x, "<u4").tolist() for x in BpeEncoder(PATH, as_text=True).encode(texts)] == ids(texts, as_text=True)
+    docs = spark.createDataFrame(MARKED, "doc_id long, text string")
+    folder = working_folder(spark, "t")
+    stored = token_store.records(spark, folder, token_store.build_store(docs, folder, PATH, end_id=0), docs).collect()
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in stored} == {d: [*i, 0] for (d, _), i in zip(MARKED, want, strict=True)}
+    pieces, _ = packing.pack(docs, PATH, end_id=2, size=16)
+    cut = {}
+    for r in pieces.orderBy("doc_id", "piece").collect():
+        cut.setdefault(r["doc_id"], []).extend(np.frombuffer(r["ids"], "<u4").tolist())
+    assert cut == {d: [*i, 2] for (d, _), i in zip(MARKED, want, strict=True)}
+
+
+def test_separator_scan_is_told_apart_from_special_tokens_in_texts(spark):
+    docs = spark.createDataFrame(MARKED, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in flat_tokens.token_counts(docs, PATH, 50256).collect()}
+    assert got == {d: len(i) for (d, _), i in zip(MARKED, ids([t for _, t in MARKED], as_text=True), strict=True)}
+    with pytest.raises(Exception, match="holds the separator"):
+        flat_tokens.token_counts(docs, PATH, 50256, as_text=False)
+    plain = docs.where("doc_id in (4, 5)")
+    assert flat_tokens.token_counts(plain, PATH, 50256, as_text=False).count() == 2
+
+
+def test_sums_find_what_a_search_of_all_combinations_finds():
+    rng = random.Random(8)
+    for _ in range(300):
+        size = rng.randint(2, 24)
+        counts = np.array([0] + [rng.choice([0, 0, 1, 2, 3]) for _ in range(size)])
+        sums = packing._Sums(counts)
+        for _ in range(6):
+            gap, used = rng.randint(1, size), packing.Counter()
+            there = np.flatnonzero(sums.left).tolist()
+            if there:
+                used[rng.choice(there)] += 1
+            free = {x: int(sums.left[x]) - used[x] for x in there}
+            ways = [w for k in (1, 2, 3) for w in itertools.combinations_with_replacement(sorted(free), k) if sum(w) == gap and all(w.count(x) <= free[x] for x in w)]
+            got = sums.fill(gap, used)
+            assert (got is None) == (not ways) and (got is None or tuple(sorted(got)) in ways and len(got) == min(map(len, ways)))
+            for x in got or ():
+                sums.left[x] -= 1
+
+
 def test_memo_encodes_like_the_library():
     rng = random.Random(5)
     alphabet = ["a", " ", "\n", "\t", "b1", ".", "'s", "\xa0", "  ", "\x00", "é", "\r", "\x1c", "x", "<|endoftext|>", "́", "中", " ", "ǅ", ",", "!", "Word"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
-    e = BpeEncoder(PATH)
-    assert e.encode(texts) == e.whole(texts)
+    for e in (BpeEncoder(PATH, as_text=True), BpeEncoder(PATH)):
+        assert e.encode(texts) == e.whole(texts)
     odd = [f"a{chr(c)}b {chr(c)}1{chr(c)}. {chr(c)}\n{chr(c)} {chr(c)}, x" for c in range(0x2100)]
     assert e.encode(odd) == e.whole(odd)
     assert e.encode([None, ""]) == [b"", b""]
@@ -33,7 +85,7 @@ def test_memo_encodes_like_the_library():
 @pytest.mark.parametrize("block", [7, 64, 1 << 20])
 def test_separator_scan_counts_every_document(spark, odd, block):
     got = flat_tokens.token_counts(odd.repartition(3), PATH, 50256, block_tokens=block).collect()
-    want = sorted(((r["doc_id"] is None, r["doc_id"] or 0, len(i)) for r, i in zip(odd.collect(), ids([r["text"] for r in odd.collect()]), strict=True)))
+    want = sorted(((r["doc_id"] is None, r["doc_id"] or 0, len(i)) for r, i in zip(odd.collect(), ids([r["text"] for r in odd.collect()], as_text=True), strict=True)))
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"]) for r in got) == want
     assert all(r["terminated"] for r in got)
     by_file = {}
