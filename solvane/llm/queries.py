@@ -12,6 +12,8 @@ from solvane.llm.shared import working_folder
 
 TOXIC_FROM = 0.3
 QUALITY_FROM = 0.7
+#: Words by which a proximity match's rarest words may stand off their places.
+NEAR_SLOP = 2
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -30,8 +32,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' words inside exact occurrences of 13-word phrases of the benchmark."""
-    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Documents' words inside exact occurrences of 13-word phrases of the benchmark, and the items with proximity matches."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=NEAR_SLOP)
     return found.select(
         "doc_id",
         "n_words",
@@ -39,6 +41,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        F.size("proximity_items").cast("long").alias("n_near"),
+        F.array_join("proximity_items", ",").alias("near_items"),
     )
 
 
@@ -126,10 +130,21 @@ places AS (
   FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) > 0), sizes WHERE i + n - 1 <= len(w)
 ), hits AS (SELECT doc_id, i, phrase.n, item_id FROM places JOIN phrase USING (n, p)),
 covered AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id),
-found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM hits GROUP BY doc_id)
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM hits GROUP BY doc_id),
+word AS (SELECT doc_id, i, w[i] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) > 0)),
+frequency AS (SELECT t, count(*) AS f FROM word GROUP BY t),
+term AS (SELECT p, n, o, string_split(p, ' ')[o] AS t FROM (SELECT p, n, unnest(range(1, n + 1)) AS o FROM (SELECT DISTINCT p, n FROM phrase))),
+rare AS (SELECT p, n, o, t, row_number() OVER (PARTITION BY p ORDER BY coalesce(f, 0), o) AS k FROM term LEFT JOIN frequency USING (t) QUALIFY k <= 4),
+anchor AS (SELECT DISTINCT p, n, doc_id, i - o AS base FROM rare JOIN word USING (t) WHERE k = 1),
+close AS (
+  SELECT DISTINCT anchor.p, anchor.doc_id FROM anchor JOIN rare ON rare.p = anchor.p JOIN word ON word.doc_id = anchor.doc_id AND word.t = rare.t AND abs(word.i - rare.o - base) <= 2
+  GROUP BY anchor.p, anchor.n, anchor.doc_id, base HAVING count(DISTINCT k) = least(anchor.n, 4)
+),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS near_items FROM close JOIN phrase USING (p) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, coalesce(near_items, '') AS near_items
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 OP7_SQL = r"""

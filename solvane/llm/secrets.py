@@ -2,8 +2,9 @@
 
 Each text is matched against patterns; a match's value is hashed, and the hashes
 are counted over the whole corpus by distinct owners and repositories.  A value
-that many owners share is a copied example; one that few owners have and that
-does not look like a filler is live.  Matches of the base kinds are always
+that many owners share, or that stands in many repositories of more than one
+owner, is a copied example; one that is its owner's own, in however many
+repositories of that owner, and that does not look like a filler is live.  Matches of the base kinds are always
 reported; matches of the added kinds are reported unless they are copied
 examples.
 
@@ -53,6 +54,8 @@ KINDS = BASE + ADDED
 PEM = [k for k, *_ in KINDS].index("pem")
 #: A value of so many owners or more is a copied example.
 EXAMPLE_OWNERS = 3
+#: So is a value of two owners or more in so many repositories or more.
+EXAMPLE_REPOSITORIES = 5
 #: Different characters that a live value has at least.
 LIVE_CHARACTERS = 6
 SALTS = 16
@@ -103,11 +106,12 @@ def ownership(found: DataFrame) -> DataFrame:
     return pairs.groupBy("value_hash").agg(F.countDistinct("owner").alias("n_owners"), F.countDistinct("owner", "repository").alias("n_repositories"), F.sum("n").alias("n_matches"))
 
 
-def classified(found: DataFrame, facts: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def classified(found: DataFrame, facts: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """Candidates with n_owners, n_repositories and verdict: example, live or plain."""
     salted = found.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int"))
     spread = facts.select("value_hash", "n_owners", "n_repositories", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    verdict = F.when(F.col("n_owners") >= example_owners, "example").when(F.col("varied"), "live").otherwise("plain")
+    copied = (F.col("n_owners") >= example_owners) | ((F.col("n_owners") > 1) & (F.col("n_repositories") >= example_repositories))
+    verdict = F.when(copied, "example").when(F.col("varied"), "live").otherwise("plain")
     return salted.join(spread.hint("merge"), ["value_hash", "salt"]).drop("salt").withColumn("verdict", verdict)
 
 
@@ -117,17 +121,17 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.element_at(names, x["rank"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, owner: Column, repository: Column, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, owner: Column, repository: Column, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """Secrets of each row of docs(doc_id, text, ...): doc_id, text_hash, n_assign, n_access, n_hex, n_live, n_example, found.
 
-    found is an array of (start, rank, end, verdict, n_owners) of all reported
-    matches; rank numbers KINDS.  owner and repository are columns of docs.
+    found is an array of (start, rank, end, verdict, n_owners, n_repositories) of
+    all reported matches; rank numbers KINDS.  owner and repository are columns of docs.
     """
     rows = matches(docs, owner, repository)
     found = candidates(rows)
-    judged = classified(found, ownership(found), example_owners)
+    judged = classified(found, ownership(found), example_owners, example_repositories)
     kept = judged.where((F.col("rank") < len(BASE)) | (F.col("verdict") != "example"))
-    each = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "verdict", "n_owners"))).alias("found"))
+    each = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "verdict", "n_owners", "n_repositories"))).alias("found"))
     none = F.array().cast(each.schema["found"].dataType)
     both = rows.select("row", "doc_id", "text_hash").join(each.hint("merge"), "row", "left").withColumn("found", F.coalesce("found", none))
     count = lambda test: F.size(F.filter("found", test)).cast("long")
@@ -137,9 +141,13 @@ def scan(docs: DataFrame, owner: Column, repository: Column, example_owners: int
 
 
 def digests(scanned: DataFrame) -> DataFrame:
-    """The scan with its spans written out: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example."""
+    """The scan with its spans written out: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, owners, repositories.
+
+    owners and repositories list, span by span, how many distinct ones share the value.
+    """
     base = F.filter("found", lambda x: x["rank"] < len(BASE))
-    return scanned.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"), "n_live", "n_example")
+    listed = lambda n: F.array_join(F.transform("found", lambda x: x[n].cast("string")), ",").alias(n.removeprefix("n_"))
+    return scanned.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"), "n_live", "n_example", listed("n_owners"), listed("n_repositories"))
 
 
 def redacted(docs: DataFrame, owner: Column, repository: Column, mark: str = "[secret]") -> DataFrame:

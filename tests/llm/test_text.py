@@ -189,12 +189,52 @@ def test_decontamination_equals_brute_force(spark, odd, monkeypatch, block):
     monkeypatch.setattr(decontaminate.blocks_of, "__defaults__", (block,))
     items = [("1", "word1 token1 word2 token2 word3"), ("2", "no id here at all my friend"), ("3", None), ("4", "!!!"), ("5", "ONE"), ("5", "one"), ("6", "token2 word3 token3 word4 token4 word5 absent")]
     bench = spark.createDataFrame([(*x, 1) for x in items], "item_id string, text string, doc_id long")
-    got = decontaminate.contamination(odd, bench, size=4).collect()
+    got = decontaminate.contamination(odd, bench, size=4, slop=2).collect()
     docs = [(r["doc_id"], r["text"]) for r in odd.collect()]
     key = lambda x: (x[0] is None, x[0] or 0, x[1], x[2], x[3])
     assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], list(r["items"])) for r in got), key=key) == sorted(brute_hits(docs, items, 4), key=key)
 
 
+def brute_near(docs, items, size, slop, rare_terms):
+    """Row -> items with a phrase whose rarest words all stand within slop words of their places."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    texts = [words(t) for _, t in docs]
+    df = collections.Counter(w for t in texts for w in t)
+    out = [set() for _ in docs]
+    for item, text in items:
+        w = words(text)
+        for a in range(max(1, len(w) - size + 1)) if w else ():
+            p = w[a : a + size]
+            rare = sorted(range(len(p)), key=lambda o: (df[p[o]], o))[:rare_terms]
+            for k, t in enumerate(texts):
+                for s in (x for x, v in enumerate(t) if v == p[rare[0]]):
+                    if all(p[o] in t[max(0, s + o - rare[0] - slop) : max(0, s + o - rare[0] + slop + 1)] for o in rare):
+                        out[k].add(item)
+    return [sorted(x) for x in out]
+
+
+@pytest.mark.parametrize("block", [100_000, 40])
+def test_proximity_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate.blocks_of, "__defaults__", (block,))
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(f"i{k}", " ".join(rng.choice(vocabulary, int(rng.integers(1, 20))))) for k in range(30)]
+    docs = []
+    for k in range(60):
+        t = list(rng.choice(vocabulary, int(rng.integers(0, 40))))
+        copy = items[int(rng.integers(0, 30))][1].split()
+        for _ in range(int(rng.integers(0, 4))):  # words replaced by ones that stand nowhere else
+            copy[int(rng.integers(0, len(copy)))] = f"odd{k}"
+        docs.append((k, " ".join([*t, *copy[: int(rng.integers(1, 30))], *t[:3]])))
+    docs += [(100, None), (101, "")]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id string, text string")
+    got = {r["doc_id"]: list(r["proximity_items"]) for r in decontaminate.contamination(frame, bench, size=8, slop=1, rare_terms=3).collect()}
+    want = brute_near(docs, items, 8, 1, 3)
+    assert got == {d: w for (d, _), w in zip(docs, want, strict=True)}
+    exact = {d: set(f) for d, _, _, f in brute_hits(docs, items, 8)}
+    assert any(exact.values()) and any(set(got[d]) > exact[d] for d in got) and all(set(got[d]) >= exact[d] for d in got)
+
+
 def test_decontamination_of_empty_tables_and_proximity(spark, odd, empty):
     none = spark.createDataFrame([], "item_id string, text string")
     assert decontaminate.contamination(empty, none).count() == 0
@@ -256,12 +296,24 @@ def test_secrets_equal_brute_force_and_examples_are_shared(spark, odd, empty):
         assert [got[k][f"n_{n}"] for n, *_ in BASE] == [want.count(n + ":") for n, *_ in BASE]
         assert set(filter(None, want.split(","))) <= set(got[k]["spans"].split(","))
     assert got[3]["n_example"] == 1 and got[2]["n_live"] == 3 and "github" in got[4]["spans"]
+    assert got[3]["owners"] == "3" and got[3]["repositories"] == "3" and all(r["spans"].count(",") == r["owners"].count(",") for r in got.values())
     assert secrets.scan(odd, F.col("source"), F.col("lang")).count() == odd.count()
     assert secrets.scan(empty, F.col("source"), F.col("lang")).count() == 0
     clean = {r["doc_id"]: r["text"] for r in secrets.redacted(docs, F.col("source"), F.col("lang")).collect()}
     assert clean[3] == texts[3] and clean[5] is None and "[secret]" in clean[1] and "deadbeef" not in clean[1]
 
 
+def test_repositories_count_in_the_verdict(spark):
+    value = lambda k: f"token: Zq{k}xv7Lm2Rt9Ws{k}"
+    rows = [(value(0), "ann", f"r{k}") for k in range(9)]  # one owner's own, in many repositories
+    rows += [(value(1), "ann", "r0"), (value(1), "bob", "r0")]  # two owners, few repositories
+    rows += [(value(2), o, f"r{k}") for o in ("ann", "bob") for k in range(3)]  # two owners, many repositories
+    rows += [(value(3), o, "r0") for o in ("ann", "bob", "eve")]  # three owners
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, owner string, repo string")
+    got = secrets.scan(docs, F.col("owner"), F.concat_ws("/", "owner", "repo")).orderBy("doc_id").collect()
+    assert [(r["found"][0]["verdict"], r["found"][0]["n_owners"], r["found"][0]["n_repositories"]) for r in got] == [("live", 1, 9)] * 9 + [("live", 2, 2)] * 2 + [("example", 2, 6)] * 6 + [("example", 3, 3)] * 3
+
+
 def test_private_keys_are_judged_and_redacted_whole(spark):
     head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
     rng = np.random.default_rng(5)
