@@ -71,8 +71,10 @@ HOT_ENDS = 10_000
 #: Entries of an open long list that are compared with each other at once, about; longer lists are dealt out in blocks.
 LONG_BLOCK = 1024
 #: Classes, and shingles, of one component that are compared with each other at once, about; larger components are dealt out in blocks.
-LINK_BLOCK = 256
+LINK_BLOCK = 2048
 LINK_SHINGLES = 1 << 20
+#: A shingle whose members are so large a share of the pairs is counted by a product of matrices, others pair by pair.
+DENSE_PAIRS = 1 / 150
 #: Sets, and shingles, that one task compares, about.
 LINK_SETS = 2000
 LINK_TASK = 1 << 21
@@ -545,27 +547,74 @@ def _open_pairs(lists: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     return each.groupBy("r").applyInArrow(pair, "a long, b long").distinct()
 
 
-def _block_links(sets: list[np.ndarray], blocks: np.ndarray, percent: int) -> np.ndarray:
-    """How many of the others each set is alike; where there are two blocks, only of the other block."""
-    size = np.array([len(s) for s in sets], np.int64)
-    _, ids, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    own = np.repeat(np.arange(len(sets)), size)
-    shared = times > 1
-    at = (np.cumsum(shared) - 1)[ids]
-    own, at = own[shared[ids]], at[shared[ids]]
-    order = np.argsort(at, kind="stable")
-    own, at = own[order], at[order]
-    common = np.zeros((len(sets), len(sets)), np.int64)
-    for lo in range(0, int(shared.sum()), 4096):
-        a, z = np.searchsorted(at, [lo, lo + 4096])
-        m = np.zeros((len(sets), 4096), np.float32)
-        m[own[a:z], at[a:z] - lo] = 1
-        common += (m @ m.T).astype(np.int64)
-    ok = 100 * common >= percent * (size[:, None] + size - common)
-    np.fill_diagonal(ok, False)
-    if len(np.unique(blocks)) > 1:
-        ok &= blocks[:, None] != blocks
-    return ok.sum(axis=1)
+class _Side:
+    """Which sets of one block hold each shingle: the list of those that do, or, where most do, of those that do not."""
+
+    def __init__(self, shingle: np.ndarray, row: np.ndarray, shingles: int, size: int):
+        held = np.bincount(shingle, minlength=shingles)
+        self.most = held * 2 > size
+        which = np.flatnonzero(self.most)
+        place = np.cumsum(self.most) - 1
+        own = self.most[shingle]
+        absent = np.ones((len(which), size), bool)
+        absent[place[shingle[own]], row[own]] = False
+        k, r = np.nonzero(absent)
+        shingle, row = np.r_[shingle[~own], which[k]], np.r_[row[~own], r]
+        order = np.argsort(shingle, kind="stable")
+        self.shingle, self.row = shingle[order], row[order]
+        self.count = np.bincount(self.shingle, minlength=shingles)
+        self.begin = np.cumsum(self.count) - self.count
+        self.sign = np.where(self.most, -1, 1)  # a set holds a shingle: most + sign * (it is listed)
+        self.size = size
+
+    def sums(self, weight: np.ndarray) -> np.ndarray:
+        """For each set the sum of the signed weights of the shingles that list it."""
+        return np.bincount(self.row, (self.sign * weight)[self.shingle], self.size)
+
+    def matrix(self, shingles: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(shingles), self.size), np.float32)
+        for k, c in enumerate(shingles):
+            out[k, self.row[self.begin[c] : self.begin[c] + self.count[c]]] = self.sign[c]
+        return out
+
+
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The numbers of common shingles of all sets of x with all of y."""
+    sizes = [np.array([len(s) for s in side], np.int64) for side in (x, y)]
+    _, ids = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    cut = int(sizes[0].sum())
+    rows = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    n = int(ids.max()) + 1
+    both = (np.bincount(ids[:cut], minlength=n) > 0) & (np.bincount(ids[cut:], minlength=n) > 0)
+    number, m = np.cumsum(both) - 1, int(both.sum())
+    a, b = (_Side(number[i[both[i]]], r[both[i]], m, len(size)) for i, r, size in zip((ids[:cut], ids[cut:]), rows, sizes, strict=True))
+    # (most_a + sign_a in_a) (most_b + sign_b in_b), summed over all shingles
+    out = (a.sums(b.most)[:, None] + b.sums(a.most)[None, :] + np.count_nonzero(a.most & b.most)).astype(np.int32)
+    work = a.count * b.count
+    dense = work > a.size * b.size * DENSE_PAIRS
+    heavy = np.flatnonzero(dense)
+    for lo in range(0, len(heavy), 1024):
+        part = heavy[lo : lo + 1024]
+        out += np.rint(a.matrix(part).T @ b.matrix(part)).astype(np.int32)
+    entry = np.flatnonzero(~dense[a.shingle])
+    flat = out.ravel()
+    times = b.count[a.shingle[entry]]
+    for e in np.split(np.arange(len(entry)), np.flatnonzero(np.diff(np.cumsum(times) // 1_000_000)) + 1):
+        c, t = a.shingle[entry[e]], times[e]
+        at = np.repeat(b.begin[c] - (np.cumsum(t) - t), t) + np.arange(int(t.sum()))
+        np.add.at(flat, np.repeat(a.row[entry[e]] * b.size, t) + b.row[at], np.repeat(a.sign[c] * b.sign[c], t).astype(np.int32))
+    return out
+
+
+def _block_links(x: list[np.ndarray], y: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """With how many sets of y each set of x is alike, and the other way round; without y, with how many others of x."""
+    other = x if y is None else y
+    common = _common(x, other)
+    size, to = (np.array([len(s) for s in side], np.int64) for side in (x, other))
+    ok = np.stack([100 * c.astype(np.int64) >= percent * (n + to - c) for c, n in zip(common, size, strict=True)])
+    if y is None:
+        np.fill_diagonal(ok, False)
+    return ok.sum(axis=1), None if y is None else ok.sum(axis=0)
 
 
 def link_counts(docs: DataFrame, classes: DataFrame, comp: DataFrame, width: int, percent: int) -> DataFrame:
@@ -588,12 +637,15 @@ def link_counts(docs: DataFrame, classes: DataFrame, comp: DataFrame, width: int
     def count(key, table):
         cls, where, lo, hi, block = (table.column(c).to_numpy() for c in ("cls", "comp", "lo", "hi", "block"))
         sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
-        order = np.lexsort((hi, lo, where))
+        order = np.lexsort((block, hi, lo, where))
         changed = (np.diff(where[order]) != 0) | (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0)
         n = np.zeros(len(cls), np.int64)
         for rows in np.split(order, np.flatnonzero(changed) + 1):
-            if lo[rows[0]] == hi[rows[0]] or len(np.unique(block[rows])) > 1:
-                n[rows] = _block_links([sets[k] for k in rows], block[rows], percent)
+            x, y = rows[block[rows] == lo[rows[0]]], rows[block[rows] != lo[rows[0]]]
+            if lo[rows[0]] == hi[rows[0]]:
+                n[x], _ = _block_links([sets[k] for k in x], None, percent)
+            elif len(x) and len(y):
+                n[x], n[y] = _block_links([sets[k] for k in x], [sets[k] for k in y], percent)
         return pa.table([pa.array(cls), pa.array(n)], ["cls", "n_links"])
 
     return each.groupBy("r").applyInArrow(count, "cls long, n_links long").groupBy("cls").agg(F.sum("n_links").alias("n_links"))
