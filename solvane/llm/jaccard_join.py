@@ -59,8 +59,10 @@ LIST_ROWS = 100_000
 SHORT = 16
 #: Entries of lists that one task scans at once, about.
 RANGE_ENTRIES = 500_000
-#: An expected partner in a list costs as much as so many entries: its set may have to be fetched.
+#: A partner that an entry meets in a list costs as much as so many entries: its histogram, and maybe its set, has to be fetched.
 PARTNER_COST = 32.0
+#: Of the partners in a long list, beside the hub, so many have to be fetched: size and place rule most out, and lists that are closed need none.
+OPEN_SHARE = 1 / 32
 #: Bins of a set's histogram, which bounds the overlap of two sets from above.
 BINS = 512
 #: Sets of more shingles are always heavy.
@@ -246,24 +248,27 @@ def _list_sketches(own: DataFrame) -> np.ndarray:
 def _costs(own: DataFrame, sketches: np.ndarray) -> list[tuple[int, float, float]]:
     """(size, cost of lists, cost of subsets), summed over all classes of up to 2 * LIGHT_MOST shingles.
 
-    A list's length less one is the number of an entry's partners there; what other
-    keys add to its bucket on average is taken off, so that sums are right.
+    Two members of a short list meet once; a member of a long one meets the hub, and
+    some of the others.  What other keys add to a list's bucket is taken off.
     """
-    loads = sketches.reshape(2, BUCKETS).mean(axis=1)
-    share = own.sparkSession.sparkContext.broadcast(sketches.astype(np.float32))
+    each = sketches.reshape(2, BUCKETS).astype(np.float64)
+    loads = each.mean(axis=1, keepdims=True)
+    length = np.maximum(each - np.where(loads > 1, loads + 2 * np.sqrt(loads), 0), 1)
+    partners = np.where(length <= SHORT, (length - 1) / 2, 1 + OPEN_SHARE * (length - 1) / 2)
+    share = own.sparkSession.sparkContext.broadcast((1 + PARTNER_COST * partners).astype(np.float32).ravel())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = share.value, {}
+        cost, total = share.value, {}
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 c = b.slice(at, 500)
                 n = c.column("n").to_numpy()
                 for rows, prefix in _prefix_rows(n, c.column("keys"), 2 * LIGHT_MOST):
-                    single = (1 + PARTNER_COST * (counts[_slots(prefix[:, :-1])] - 1 - loads[0])).sum(axis=1)
+                    single = cost[_slots(prefix[:, :-1])].sum(axis=1, dtype=np.float64)
                     both = np.zeros(len(rows))
                     light = n[rows] <= LIGHT_MOST
                     if light.any():
-                        both[light] = (1 + PARTNER_COST * (counts[BUCKETS + _slots(_subsets(prefix[light])[0])] - 1 - loads[1])).sum(axis=1)
+                        both[light] = cost[BUCKETS + _slots(_subsets(prefix[light])[0])].sum(axis=1, dtype=np.float64)
                     for k, x, y in zip(n[rows].tolist(), single.tolist(), both.tolist(), strict=True):
                         was = total.get(k, (0.0, 0.0))
                         total[k] = (was[0] + x, was[1] + y)
@@ -271,7 +276,7 @@ def _costs(own: DataFrame, sketches: np.ndarray) -> list[tuple[int, float, float
 
     rows = own.where(F.col("n") <= 2 * LIGHT_MOST).select("n", "keys").mapInArrow(tidy(scan), "n long, single double, subset double")
     summed = rows.groupBy("n").agg(F.sum("single").alias("c"), F.sum("subset").alias("s")).orderBy("n")
-    return [(r["n"], max(r["c"], 0.0), max(r["s"], 0.0)) for r in summed.collect()]  # 2 * LIGHT_MOST rows at most
+    return [(r["n"], r["c"], r["s"]) for r in summed.collect()]  # 2 * LIGHT_MOST rows at most
 
 
 def boundary(costs: list[tuple[int, float, float]], percent: int) -> int:
