@@ -53,6 +53,9 @@ from solvane.llm.wordhash import SPACES, finish, tokens
 #: Buckets of a sketch of frequencies, and the parts in which it is summed.
 BUCKETS = 1 << 22
 PARTS = 64
+#: Buckets of a sketch of a part of all keys, so few that keys hardly share a bucket.
+FEW = BUCKETS // 4
+FEW_LOAD = 0.5
 #: A list of more expected members is dealt out by member too.
 LIST_ROWS = 100_000
 #: Members of a short list.
@@ -153,8 +156,8 @@ def _classes_and_sketch(docs: DataFrame, width: int) -> DataFrame:
     return written(_slim(docs).mapInArrow(tidy(scan), "doc_id long, mark long, n long, s1 long, s2 long, part int, counts binary"), "shingle-classes", compression="zstd")
 
 
-def _summed(rows: DataFrame, sketches: int = 1) -> np.ndarray:
-    """The sketches of the whole table, one after another: parts are summed in two steps, so that no task gets all tasks' rows."""
+def _summed(rows: DataFrame, size: int = BUCKETS) -> np.ndarray:
+    """The sketch of the whole table: parts are summed in two steps, so that no task gets all tasks' rows."""
     each = BUCKETS // PARTS
 
     def add(key, table):
@@ -167,8 +170,8 @@ def _summed(rows: DataFrame, sketches: int = 1) -> np.ndarray:
     kinds = "part int, counts binary"
     step = rows.where("part is not null").select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(64)).alias("deal"))
     step = step.groupBy("part", "deal").applyInArrow(add, kinds).groupBy("part").applyInArrow(add, kinds)
-    out = np.zeros(sketches * BUCKETS, np.uint64)
-    for r in step.toLocalIterator():  # PARTS rows of fixed size a sketch
+    out = np.zeros(size, np.uint64)
+    for r in step.toLocalIterator():  # size / each rows of fixed size
         out[r["part"] * each : (r["part"] + 1) * each] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
     return out
 
@@ -223,52 +226,71 @@ def _prefix_rows(n: np.ndarray, keys: pa.ListArray, most: int) -> Iterator[tuple
         yield rows, flat[begin[rows][:, None] + np.arange(length)].astype(np.int64).view(np.uint64)
 
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    return (keys & np.uint64(BUCKETS - 1)).astype(np.int64)
+def _slots(keys: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    return (keys & np.uint64(buckets - 1)).astype(np.int64)
 
 
-def _list_sketches(own: DataFrame) -> np.ndarray:
-    """How many classes enter the list of each shingle, and of each two-element subset: two sketches, one after the other."""
+def _few(keys: np.ndarray, share: float) -> np.ndarray:
+    """Which keys are among the given share of all keys, by their hashes."""
+    return (keys >> np.uint64(32)).astype(np.float64) < share * 2.0**32
+
+
+def _list_sketches(own: DataFrame, shares: tuple[float, float]) -> np.ndarray:
+    """How many classes enter the list of each shingle, and of each two-element subset.
+
+    Four sketches, one after the other: of all shingles and all subsets (BUCKETS
+    each), and of the given shares of them (FEW each).  All classes are counted.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(2 * BUCKETS, np.uint32)
+        sketch = np.zeros(2 * (BUCKETS + FEW), np.uint32)
+
+        def add(kind: int, keys: np.ndarray) -> None:
+            np.add.at(sketch, kind * BUCKETS + _slots(keys), 1)
+            np.add.at(sketch, 2 * BUCKETS + kind * FEW + _slots(keys[_few(keys, shares[kind])], FEW), 1)
+
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 c = b.slice(at, 500)
-                keys = c.column("keys")
-                np.add.at(sketch, _slots(keys.flatten().to_numpy().view(np.uint64)), 1)
-                for _, prefix in _prefix_rows(c.column("n").to_numpy(), keys, LIGHT_MOST):
-                    np.add.at(sketch, BUCKETS + _slots(_subsets(prefix)[0].ravel()), 1)
+                n, keys = c.column("n").to_numpy(), c.column("keys")
+                size = keys.value_lengths().to_numpy()
+                flat = keys.flatten().to_numpy().view(np.uint64)
+                add(0, np.delete(flat, np.cumsum(size)[size > 0] - 1))  # the last one is for subsets only
+                for _, prefix in _prefix_rows(n, keys, LIGHT_MOST):
+                    add(1, _subsets(prefix)[0].ravel())
         if sketch.any():
             yield pa.RecordBatch.from_arrays(list(_sketch_parts(sketch)), ["part", "counts"])
 
-    return _summed(own.select("n", "keys").mapInArrow(tidy(scan), "part int, counts binary"), 2)
+    return _summed(own.select("n", "keys").mapInArrow(tidy(scan), "part int, counts binary"), 2 * (BUCKETS + FEW))
 
 
-def _costs(own: DataFrame, sketches: np.ndarray) -> list[tuple[int, float, float]]:
+def _costs(own: DataFrame, few: np.ndarray, shares: tuple[float, float]) -> list[tuple[int, float, float]]:
     """(size, cost of lists, cost of subsets), summed over all classes of up to 2 * LIGHT_MOST shingles.
 
-    Two members of a short list meet once; a member of a long one meets the hub, and
-    some of the others.  What other keys add to a list's bucket is taken off.
+    Two members of a short list meet once; a member of a long one meets the hub,
+    and some of the others.  Lengths are told by the shares of keys that hardly
+    share buckets, and stand for all keys.
     """
-    each = sketches.reshape(2, BUCKETS).astype(np.float64)
-    loads = each.mean(axis=1, keepdims=True)
-    length = np.maximum(each - np.where(loads > 1, loads + 2 * np.sqrt(loads), 0), 1)
+    length = np.maximum(few.astype(np.float64), 1)
     partners = np.where(length <= SHORT, (length - 1) / 2, 1 + OPEN_SHARE * (length - 1) / 2)
-    share = own.sparkSession.sparkContext.broadcast((1 + PARTNER_COST * partners).astype(np.float32).ravel())
+    share = own.sparkSession.sparkContext.broadcast((1 + PARTNER_COST * partners).astype(np.float32))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cost, total = share.value, {}
+
+        def summed(kind: int, keys: np.ndarray) -> np.ndarray:
+            own = _few(keys, shares[kind])
+            return np.where(own, cost[kind * FEW + _slots(keys, FEW)], 0.0).sum(axis=1) / shares[kind]
+
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 c = b.slice(at, 500)
                 n = c.column("n").to_numpy()
                 for rows, prefix in _prefix_rows(n, c.column("keys"), 2 * LIGHT_MOST):
-                    single = cost[_slots(prefix[:, :-1])].sum(axis=1, dtype=np.float64)
-                    both = np.zeros(len(rows))
+                    single, both = summed(0, prefix[:, :-1]), np.zeros(len(rows))
                     light = n[rows] <= LIGHT_MOST
                     if light.any():
-                        both[light] = cost[BUCKETS + _slots(_subsets(prefix[light])[0])].sum(axis=1, dtype=np.float64)
+                        both[light] = summed(1, _subsets(prefix[light])[0])
                     for k, x, y in zip(n[rows].tolist(), single.tolist(), both.tolist(), strict=True):
                         was = total.get(k, (0.0, 0.0))
                         total[k] = (was[0] + x, was[1] + y)
@@ -365,10 +387,11 @@ def _scan_lists(e: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
 _SCANNED = "a long, b long, key long, n int, i int, cls long"
 
 
-def _lists(own: DataFrame, sketches: np.ndarray, light: int, percent: int, entries: int) -> DataFrame:
+def _lists(own: DataFrame, lengths: np.ndarray, light: int, percent: int, entries: int) -> DataFrame:
     """Written: pairs (a, b) of the lists' scan, and entries (key, n, i, cls) of long lists (a null)."""
     ranges = max(1, entries // RANGE_ENTRIES)
-    parts = np.ceil((sketches.reshape(2, BUCKETS) - sketches.reshape(2, BUCKETS).mean(axis=1, keepdims=True)) / LIST_ROWS).clip(1, 60_000).astype(np.uint16).ravel()
+    lengths = lengths.reshape(2, BUCKETS).astype(np.float64)
+    parts = np.ceil((lengths - lengths.mean(axis=1, keepdims=True)) / LIST_ROWS).clip(1, 60_000).astype(np.uint16).ravel()
     share = own.sparkSession.sparkContext.broadcast(parts if parts.max() > 1 else None)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -674,12 +697,15 @@ def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, light
     prefixes = _prefixes(docs, sketch, width, percent).withColumn("k", text_key(text_hash="mark")[0])
     own = prefixes.drop("n").join(classes.select("k", "mark", "cls", *_NAME), ["k", "mark"]).dropDuplicates(["cls"]).select("cls", *_NAME, "keys", "bins")
     own = written(own, "prefixes", compression="zstd")
-    sketches = _list_sketches(own)
+    subsets = F.size("keys") * (F.size("keys") - 1) / 2
+    sums = own.agg(F.sum(F.size("keys") - 1).alias("single"), F.sum(F.when(F.col("n") <= LIGHT_MOST, subsets)).alias("subset")).first()
+    shares = tuple(min(1.0, FEW * FEW_LOAD / max(float(x or 0), 1.0)) for x in (sums["single"], sums["subset"]))
+    lengths = _list_sketches(own, shares)
     if light is None:
-        light = boundary(_costs(own, sketches), percent)
-    total = own.agg(F.sum(F.size("keys") + F.when(F.col("n") <= light, F.size("keys") * (F.size("keys") - 1) / 2).otherwise(0))).first()[0] or 0
+        light = boundary(_costs(own, lengths[2 * BUCKETS :], shares), percent)
+    listed = int((sums["single"] or 0) + (own.where(F.col("n") <= light).agg(F.sum(subsets)).first()[0] or 0))
 
-    lists = _lists(own, sketches, light, percent, int(total))
+    lists = _lists(own, lengths[: 2 * BUCKETS], light, percent, listed)
     pairs = written(lists.where("a is not null").select("a", "b").distinct(), "pairs")
     links = _linked(docs, classes, own, pairs, width, percent)
     comp = components(links)
