@@ -25,7 +25,7 @@ import struct
 
 import regex
 
-#: Words kept by one Python worker; the memo is emptied when it is full.
+#: Words kept by one Python worker, twice: a full memo becomes the old one, whose words come back when they are met again.
 MEMO_ENTRIES = 400_000
 #: Longer ones are encoded but not kept.
 MEMO_CHARS = 64
@@ -61,6 +61,7 @@ class _Chunks(dict):
         self._find = regex.compile(SPLIT_PATTERN).findall
         self._marks = {c: self.piece(c) for c in _MARKS}
         self._line = self.piece("\n")
+        self._old: dict[str, bytes | None] = {}
 
     def piece(self, piece: str) -> bytes:
         """Ids of one pre-token, by the library's BPE model."""
@@ -70,11 +71,14 @@ class _Chunks(dict):
     def _keep(self, chunk: str, ids: bytes | None) -> bytes | None:
         if len(chunk) <= MEMO_CHARS:
             if len(self) >= MEMO_ENTRIES:
+                self._old = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
 
     def __missing__(self, chunk: str) -> bytes | None:
+        if chunk in self._old:
+            return self._keep(chunk, self._old[chunk])
         first = chunk[:1]
         if first == "\n":
             rest = chunk[1:]
