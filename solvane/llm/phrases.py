@@ -146,30 +146,59 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _bounds(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The least (key, mark) of each bucket, in order; as many as there are shuffle partitions, about.
+
+    A key that stands in several of the shares has its buckets cut by its texts'
+    hashes, so one doc_id (or null) in a third of all rows is spread as well.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.agg(F.min("key").alias("lo"), F.percentile_approx("key", [k / n for k in range(1, n)] or [0.5], 100_000).alias("cuts")).first()
+    if found["lo"] is None:
+        return np.zeros(1, np.int64), np.full(1, _NULL_KEY, np.int64)
+    keys, times = np.unique(np.array([found["lo"], *(found["cuts"] or [])], np.int64), return_counts=True)
+    marks = [[_NULL_KEY + (k << 64) // t for k in range(t)] for t in times.tolist()]
+    return np.repeat(keys, times), np.array([m for each in marks for m in each], np.int64)
+
+
+def _buckets(bounds: tuple[np.ndarray, np.ndarray], key: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """The bucket of each (key, mark)."""
+    keys, marks = bounds
+    lo, out = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right") - 1
+    for a in np.unique(lo[out > lo]):  # keys with several buckets
+        own = np.flatnonzero((lo == a) & (out > lo))
+        z = np.searchsorted(keys, keys[a], "right")
+        out[own] = a + np.searchsorted(marks[a:z], mark[own], "right") - 1
+    return out
+
+
 def with_successors(docs: DataFrame) -> DataFrame:
-    """(bucket, ahead, key, mark, text), dealt by ranges of doc_id: each bucket ends with the row that follows it (ahead = 1).
+    """(bucket, ahead, key, mark, text), dealt by ranges of doc_id and text hash: each bucket ends with rows of which the least follows it (ahead = 1).
 
-    The bounds are doc_ids of the table, as many as there are shuffle partitions.
-    A bucket's first row goes to the bucket before it too, and the first row of
-    all to the last bucket.
+    The rows that may be a bucket's first go to the bucket before it too, one at
+    most from each batch, and those of the first bucket to the last one.
     """
-    spark = docs.sparkSession
-    rows = only(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_KEY)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.min("key").alias("lo"), F.percentile_approx("key", [k / n for k in range(1, n)] or [0.5], 100_000).alias("cuts")).first()
-    bounds = np.unique(np.array([cuts["lo"], *(cuts["cuts"] or [])] if cuts["lo"] is not None else [0], np.int64))
-    last = len(bounds) - 1
+    slim = only(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_KEY)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = slim.select("key", F.xxhash64("text").alias("mark"), "text")
+    bounds = _bounds(slim)
+    last = len(bounds[0]) - 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key = b.column("key").to_numpy()
-            bucket = np.searchsorted(bounds, key, "right") - 1
-            head = np.flatnonzero(bounds[np.maximum(bucket, 0)] == key)
+            key, mark = b.column("key").to_numpy(), b.column("mark").to_numpy()
+            bucket = _buckets(bounds, key, mark)
+            head = []
+            for k in np.unique(bucket):
+                own = np.flatnonzero(bucket == k)
+                own = own[key[own] == key[own].min()]
+                own = own[mark[own] == mark[own].min()]
+                head.append(min(own.tolist(), key=lambda r: b.column("text")[r].as_py()))
+            head = np.array(head, np.int64)
             rest = pa.array(np.r_[np.arange(len(key)), head])
             into = np.r_[bucket, np.where(bucket[head] > 0, bucket[head] - 1, last)].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(into), pa.array(np.r_[np.zeros(len(key)), np.ones(len(head))].astype(np.int32)), b.column("key").take(rest), b.column("text").take(rest)], ["bucket", "ahead", "key", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(into), pa.array(np.r_[np.zeros(len(key)), np.ones(len(head))].astype(np.int32)), *(b.column(c).take(rest) for c in ("key", "mark", "text"))], ["bucket", "ahead", "key", "mark", "text"])
 
-    dealt = rows.mapInArrow(tidy(deal), "bucket int, ahead int, key long, text string").withColumn("mark", F.xxhash64("text"))
+    dealt = rows.mapInArrow(tidy(deal), "bucket int, ahead int, key long, mark long, text string")
     return dealt.repartitionById(last + 1, F.col("bucket")).sortWithinPartitions("bucket", "ahead", "key", "mark", "text")
 
 

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -271,6 +272,71 @@ def test_fingerprint_likeness_tells_edits_from_strangers(spark, data):
     assert rows["near_edited"].median() > 0.4 and rows["near_next"].median() < 0.1
 
 
+def slow_fingerprint(text):
+    """The parse of one text, symbol by symbol."""
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        h ^= h >> 29
+        h = h * 0xBF58476D1CE4E5B9 & mask
+        h ^= h >> 32
+        h = h * 0x94D049BB133111EB & mask
+        return h ^ (h >> 31)
+
+    base, symbols, least = 0x9E3779B97F4A7C15, [ord(c) for c in text], {}
+    for level in (1, 2, 3):
+        runs = [(x, len(list(g))) for x, g in itertools.groupby(symbols)]
+        symbols = [mix((x * base + n) & mask) if n > 1 else x for x, n in runs]
+        labels = symbols
+        for _ in range(3):
+            tossed = []
+            for k, x in enumerate(labels):
+                differ = x ^ labels[k - 1] if k else 1
+                low = (differ & -differ).bit_length() - 1
+                tossed.append(2 * low + (x >> low & 1))
+            labels = tossed
+        n = len(symbols)
+        starts = [k for k in range(n) if k == 0 or (0 < k < n - 1 and labels[k] > labels[k - 1] and labels[k] >= labels[k + 1])]
+        names = []
+        for a, z in zip(starts, [*starts[1:], n], strict=True):
+            names.append(mix(sum(mix((x + 0x2545F4914F6CDD1D) & mask) * pow(base, k, 1 << 64) for k, x in enumerate(symbols[a:z])) & mask))
+        symbols = names
+        if level > 1:
+            for x in names:
+                h = mix(x ^ (0xD1B54A32D192ED03 * level & mask))
+                least[h & 127] = min(least.get(h & 127, mask), h >> 7)
+    out = []
+    for slot in range(128):
+        away = next(k for k in range(128) if (slot + k) % 128 in least)
+        out.append(mix((least[(slot + away) % 128] + away * base) & mask) & 0xFFFF)
+    return out
+
+
+def test_fingerprints_equal_a_slow_parse():
+    rng = np.random.default_rng(8)
+    texts = ["a", "ab", "aaaa", "abababab", "é中\U0001f600 x", "the the the  \n\n end", " ".join(rng.choice(["and", "of", "zebra", "Ünï"], 80)), "".join(rng.choice(list("abc "), 700))]
+    got = phrases.fingerprints([*texts, ""])
+    assert [r.tolist() for r in got[:-1]] == [slow_fingerprint(t) for t in texts] and not got[-1].any()
+
+
+def test_successors_of_a_hot_id(spark):
+    rng = np.random.default_rng(5)
+    rows = [(None if k % 3 == 0 else k // 7, f"text {k} " + "x" * int(rng.integers(0, 30)) if k % 5 else "same text") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    ordered = docs.select("doc_id", "text").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text").collect()
+    want = collections.Counter()
+    for r, nxt in zip(ordered, [*ordered[1:], ordered[0]], strict=True):
+        half = len(r["text"]) // 2
+        want[r["doc_id"], hashlib.sha256((r["text"][: len(r["text"]) - half] + nxt["text"][:half]).encode()).hexdigest()] += 1
+    got = phrases.fingerprinted(docs).collect()
+    assert collections.Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
+    keys = np.array([-5, -5, 0, 3, 3, 3, 9], np.int64)
+    marks = np.array([-(1 << 63), 0, -(1 << 63), -(1 << 63), -4, 4, -(1 << 63)], np.int64)
+    at = [(-5, -9), (-5, 0), (-4, 5), (0, 0), (2, 0), (3, -5), (3, -4), (3, 9), (4, 0), (100, 0)]
+    want = [max(k for k in range(7) if (keys[k], marks[k]) <= x) for x in at]
+    assert phrases._buckets((keys, marks), np.array([k for k, _ in at]), np.array([m for _, m in at])).tolist() == want
+
+
 BASE = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12), ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile(r"[0-9a-f]+"), 0, 16)]
 
 
@@ -363,6 +429,102 @@ def test_quality_learns_and_keeps_fold_out(spark, data, odd):
     assert quality.score(odd.where("false"), w).count() == 0
 
 
+def test_quality_regression_equals_a_slow_one():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["Good", "words", "HERE", "12", ",", "naïve", "x."], int(rng.integers(0, 30)))) for _ in range(40)]
+    labels = rng.integers(0, 2, 40).tolist()
+    model = quality.Ftrl()
+    index, value, first = quality.features(texts)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= model.l1:
+            return 0.0
+        return (np.sign(z[i]) * model.l1 - z[i]) / ((model.beta + n[i] ** 0.5) / model.alpha + model.l2)
+
+    for k, y in enumerate(labels):
+        own = slice(first[k], first[k + 1])
+        model.learn(*model.row(index[own], value[own]), y)
+        x = collections.defaultdict(float)
+        for i, v in zip(index[own].tolist(), value[own].tolist(), strict=True):
+            x[i] += v
+        x[len(model.z) - 1] = 1.0
+        x = {i: float(np.float32(v)) for i, v in x.items()}
+        w = {i: weight(i) for i in x}
+        p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+        for i, v in x.items():
+            g = (p - y) * v
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / model.alpha * w[i]
+            n[i] += g * g
+    got = model.weights()
+    assert max(abs(got[i] - weight(i)) for i in z) < 1e-5 and np.count_nonzero(got) > 10
+    slow = [sum(got[i] * v for i, v in zip(index[first[k] : first[k + 1]], value[first[k] : first[k + 1]], strict=True)) for k in range(40)]
+    assert np.allclose(quality.dot(got, index, value, first), slow)
+
+
+def slow_clauses(text, insults):
+    """Clause types of one text, word by word, without tables."""
+    kinds = {w: k for k, own in enumerate([insults, toxicity.THREATS, toxicity.TARGETS, toxicity.NEGATIONS, toxicity.REPORTS]) for w in own}
+    out, clause = collections.Counter(), []
+
+    def close():
+        negated = reported = targeted = False
+        last = None
+        for at, kind in clause:
+            if last is not None and at - last > toxicity.FAR_WORDS:
+                negated = targeted = False
+            last = at
+            if kind <= 1:
+                out[8 * kind + negated + 2 * reported + 4 * targeted] += 1
+            negated, reported, targeted = negated or kind == 3, reported or kind == 4, targeted or kind == 2
+        clause.clear()
+
+    for at, m in enumerate(re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+|[!-/:-@\[-`{-~]+", text)):
+        w = m.group().lower()
+        if w in kinds:
+            clause.append((at, kinds[w]))
+        if m.group()[0] in toxicity.CLAUSE_ENDS:
+            close()
+    close()
+    return out
+
+
+def test_toxicity_grammar_equals_a_slow_matcher():
+    rng = np.random.default_rng(11)
+    seed = toxicity.Lexicon.seed()
+    some = lambda words: [w for w in words if w.isalpha() and w.isascii()]
+    lists = [some(x) for x in (toxicity.INSULTS, toxicity.THREATS, toxicity.TARGETS, toxicity.NEGATIONS, toxicity.REPORTS)]
+    lists[0] = [w for w in lists[0] if not any(w in x for x in lists[1:])]
+    filler = ["stone", "river", "cloud", "tree"] * 3
+    texts = []
+    for _ in range(300):
+        words = [str(rng.choice(filler if rng.random() < 0.6 else lists[int(rng.integers(0, 5))])) for _ in range(int(rng.integers(0, 40)))]
+        texts.append(" ".join(w + str(rng.choice(["", "", "", "", ".", ",", "!"])) for w in words))
+    got = toxicity.clause_features(texts, seed)
+    want = np.zeros((len(texts), toxicity.TYPES))
+    for k, t in enumerate(texts):
+        for kind, n in slow_clauses(t, lists[0]).items():
+            want[k, kind] = n
+    assert np.allclose(got, np.log1p(want)) and (want.sum(axis=0) > 0).all()
+
+
+@pytest.mark.parametrize(("folder", "least"), [("sf0.01", 0.9), ("sf0.1", 0.9)])
+def test_toxicity_recall_of_held_out_texts(folder, least):
+    import pandas as pd
+
+    d = pd.read_parquet(f"/root/testdata/{folder}/documents.parquet").merge(pd.read_parquet(f"/root/testdata/{folder}/labels.parquet"), on="doc_id")
+    fold = d["doc_id"].map(lambda x: zlib.crc32(str(x).encode()) % 4)
+    known, held = d[fold != 2], d[fold == 2]
+    model = toxicity.learn(known["text"].tolist(), known["toxic"].tolist())
+    found = model.score(held["text"].tolist()) >= queries.TOXIC_FROM
+    toxic = (held["toxic"] == 1).to_numpy()
+    assert found[toxic].mean() >= least and toxic[found].mean() >= 0.9
+    if folder == "sf0.1":
+        for lang in held["lang"].dropna().unique():
+            own = toxic & (held["lang"] == lang).to_numpy()
+            assert not own.any() or found[own].mean() >= least, lang
+
+
 def test_toxicity_grammar_scopes():
     seed = toxicity.Lexicon.seed()
     x = toxicity.clause_features(["you are an idiot", "he is not an idiot", "she said idiot", "a clown. not here", None, "", "they will kill you", "nothing"], seed)
