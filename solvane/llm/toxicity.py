@@ -7,12 +7,16 @@ what stands after a verb of reporting, one marks what is aimed at a target, one
 sums up.  They are composed once into a single table, and the table runs over
 all clauses of a batch side by side.  What it emits are matched clauses of
 types such as "targeted insult" or "negated threat"; a text's features are its
-clauses by type, weighted by the words' weights, and a small logistic model with
-weights learned from labels turns them into a score.
+clauses by type, weighted by the words' weights, and how densely they stand in
+it; a small logistic model with weights learned from labels turns them into a
+score.
 
 The word lists below are a seed; words and word beginnings that set labelled
 toxic texts apart join the insults with their log-odds as weights, which covers
-other languages and inflected forms.
+other languages and inflected forms.  A word is judged among the texts that share
+its vocabulary: texts are grouped by their frequent words, and what is frequent
+in the toxic texts of one group only is not drowned by all other groups.  Words
+are taken in up to a false-discovery rate.
 
 Defined results: a null or empty text has no clauses and gets the base score;
 without labels the seed words alone are used with the weights in ``PRIOR``;
@@ -21,6 +25,7 @@ repeated rows are scored alike.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,8 +50,19 @@ CLAUSE_ENDS = ".!?;:"
 INSULT, THREAT, TARGET, NEGATION, REPORT, NEAR, FAR = range(7)
 #: Words between two symbols from which on the gap is far.
 FAR_WORDS = 4
-#: Labelled rows that weights and words are learned from at most.
+#: Labelled rows, and bytes of their texts, that weights and words are learned from at most.
 SAMPLE_ROWS = 16_000
+SAMPLE_BYTES = 96 << 20
+#: Frequent words that texts are grouped by, groups at most, and the likeness from which two groups are one.
+GROUP_WORDS = 256
+GROUPS = 8
+GROUP_LIKENESS = 0.7
+#: Texts of a group at least; smaller ones are no measure of what is frequent.
+GROUP_TEXTS = 30
+#: Words of one beginning in one text that count at most.
+WORDS_A_TEXT = 3
+#: Share of the learned words that may be there by chance.
+FALSE_SHARE = 0.05
 PREFIXES = (4, 5, 6, 7, 8, 9, 10)
 _SLICE = 1 << 20
 
@@ -210,46 +226,145 @@ def _one_of_each(texts: list[str]) -> list[str]:
     return out
 
 
-def induce(toxic: list[str], other: list[str], least: int = 3, odds: float = 2.5, evidence: float = 24.0) -> Lexicon:
-    """The seed and all words and beginnings that stand in toxic texts far more often than in others.
+def text_features(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
+    """The clause features, and the summed weight of all matches for each hundred words, which long texts do not reach by chance."""
+    x = clause_features(texts, lexicon)
+    words = tokens(texts, WORDS_AND_SIGNS).counts()
+    return np.c_[x, np.log1p(100 * np.expm1(x).sum(axis=1) / np.maximum(words, 20))]
+
+
+def _text_keys(texts: list[str], kind: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, text, key, different words) in slices: whole words (kind 0), or beginnings of kind bytes with how many words of the text have them."""
+    for a in range(0, len(texts), 500):
+        t = tokens(texts[a : a + 500], WORDS_AND_SIGNS)
+        word = np.flatnonzero(t.kind == 1)
+        doc = t.texts()[word]
+        order = np.lexsort((t.hash[word], doc))
+        word, doc = word[order], doc[order]
+        new = np.r_[True, (np.diff(t.hash[word]) != 0) | (np.diff(doc) != 0)] if len(word) else np.zeros(0, bool)
+        word, doc = word[new], doc[new]
+        if kind == 0:
+            yield a, doc, t.hash[word], np.ones(len(word), np.int64)
+            continue
+        h = prefix_hash(t, kind)[word]
+        doc, h = doc[h != 0], h[h != 0]
+        order = np.lexsort((h, doc))
+        h, doc = h[order], doc[order]
+        first = np.flatnonzero(np.r_[True, (np.diff(h) != 0) | (np.diff(doc) != 0)]) if len(h) else np.zeros(0, np.int64)
+        yield a, doc[first], h[first], np.diff(np.r_[first, len(h)])
+
+
+def vocabulary_groups(texts: list[str]) -> np.ndarray:
+    """A number for each text: texts that use the same frequent words are in one group, such as those of one language."""
+    if not texts:
+        return np.zeros(0, np.int64)
+    found = [h for _, _, h, _ in _text_keys(texts, 0)]
+    word, count = np.unique(np.concatenate(found), return_counts=True)
+    word = np.sort(word[np.lexsort((word, -count))[:GROUP_WORDS]])
+    x = np.zeros((len(texts), max(1, len(word))), np.float32)
+    for a, doc, h, _ in _text_keys(texts, 0):
+        at = np.minimum(np.searchsorted(word, h), max(0, len(word) - 1))
+        ok = word[at] == h if len(word) else np.zeros(0, bool)
+        x[a + doc[ok], at[ok]] = 1
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1)
+    # centres as far apart as can be, then moved to the middle of their texts
+    centre = [x.sum(axis=0)]
+    for _ in range(GROUPS - 1):
+        near = (x @ (np.stack(centre) / np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)).T).max(axis=1)
+        near[~x.any(axis=1)] = 1
+        centre.append(x[int(near.argmin())])
+    c = np.stack(centre)
+    for _ in range(20):
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+        own = (x @ c.T).argmax(axis=1)
+        c = np.stack([x[own == k].sum(axis=0) for k in range(len(c))])
+    c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+    name = np.arange(len(c))
+    for k in range(len(c)):
+        for j in range(k):
+            if c[k] @ c[j] >= GROUP_LIKENESS:
+                name[name == name[k]] = name[j]
+    return name[own]
+
+
+def _discoveries(p: np.ndarray, tests: int, share: float) -> np.ndarray:
+    """Which of the p values are taken in, so that the expected share of chance ones among them is not above share."""
+    order = np.argsort(p, kind="stable")
+    ok = np.flatnonzero(p[order] <= share * np.arange(1, len(p) + 1) / max(1, tests))
+    out = np.zeros(len(p), bool)
+    out[order[: ok[-1] + 1 if len(ok) else 0]] = True
+    return out
+
+
+def _tally(texts: list[str], kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, texts that have them, different words of texts that have them, WORDS_A_TEXT at most in one text)."""
+    keys, times, words = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for _, _, h, n in _text_keys(texts, kind):
+        own, at = np.unique(h, return_inverse=True)
+        keys.append(own)
+        times.append(np.bincount(at, minlength=len(own)))
+        words.append(np.bincount(at, np.minimum(n, WORDS_A_TEXT), len(own)).astype(np.int64))
+    own, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return own, np.bincount(at, np.concatenate(times), len(own)), np.bincount(at, np.concatenate(words), len(own))
+
+
+def _looked_up(keys: np.ndarray, tally: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The words of a tally for each key, 0 where it has none."""
+    if not len(tally[0]):
+        return np.zeros(len(keys))
+    at = np.minimum(np.searchsorted(tally[0], keys), len(tally[0]) - 1)
+    return np.where(tally[0][at] == keys, tally[2][at], 0).astype(float)
+
+
+def _words_in(*sides: list[str]) -> tuple[int, ...]:
+    """One more than the summed numbers of different words of each side's texts."""
+    return tuple(1 + sum(int(n.sum()) for *_, n in _text_keys(side, 0)) for side in sides)
+
+
+def induce(toxic: list[str], other: list[str], least: int = 2, odds: float = 2.0, false_share: float = FALSE_SHARE) -> Lexicon:
+    """The seed and all words and beginnings that are far more frequent in toxic texts than in others of their group.
 
-    evidence is the least log-likelihood ratio statistic of the two document
-    frequencies, odds the least log-odds, least the least number of toxic texts.
+    least is the least number of toxic texts, odds the least log-odds of the two
+    frequencies among all different words of the texts; false_share bounds the
+    share of chance words, by the likelihood ratio statistic of the frequencies.
     """
-    hashes, weights = {}, {}
     toxic, other = _one_of_each(toxic), _one_of_each(other)
-    for kind in (0, *PREFIXES):
-
-        def each(texts: list[str], kind: int = kind) -> Iterator[np.ndarray]:
-            for a in range(0, len(texts), 500):
-                t = tokens(texts[a : a + 500], WORDS_AND_SIGNS)
-                h = t.hash if kind == 0 else prefix_hash(t, kind)
-                h = np.where(t.kind == 1, h, np.uint64(0))
-                doc = t.texts()
-                order = np.lexsort((h, doc))
-                h, doc = h[order], doc[order]
-                keep = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] & (h != 0) if len(h) else np.zeros(0, bool)
-                yield h[keep]
-
-        found = list(each(toxic))
-        known, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-        known, count = known[count >= least], count[count >= least]
-        against = np.zeros(len(known), np.int64)
-        for h in each(other):
-            if len(known):
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                against += np.bincount(at[known[at] == h], minlength=len(known))
-        log_odds = np.log((count + 0.5) / (len(toxic) + 1)) - np.log((against + 0.5) / (len(other) + 1))
-        a, b = count.astype(float), against.astype(float)
-        expected = (a + b) * len(toxic) / (len(toxic) + len(other))
-        ratio = 2 * (a * np.log(a / expected) + np.where(b > 0, b * np.log(np.maximum(b, 1e-9) / np.maximum(a + b - expected, 1e-9)), 0.0))
-        good = (log_odds >= odds) & (ratio >= evidence)
-        hashes[kind], weights[kind] = known[good], np.minimum(log_odds[good], 6.0) / 3.0
+    group = vocabulary_groups(toxic + other)
+    best: dict[int, tuple[np.ndarray, np.ndarray]] = {kind: (np.zeros(0, np.uint64), np.zeros(0)) for kind in (0, *PREFIXES)}
+    every = (*_words_in(toxic, other), {kind: (_tally(toxic, kind), _tally(other, kind)) for kind in best})
+    large = [g for g, n in zip(*np.unique(group, return_counts=True), strict=True) if n >= GROUP_TEXTS]
+    for g in [None, *(large if len(large) > 1 else [])]:
+        bad = [t for t, k in zip(toxic, group[: len(toxic)], strict=True) if g is None or k == g]
+        good = [t for t, k in zip(other, group[len(toxic) :], strict=True) if g is None or k == g]
+        all_bad, all_good = _words_in(bad, good)
+        rows = []
+        for kind in best:
+            known, texts, a = _tally(bad, kind)
+            known, a = known[texts >= least], a[texts >= least]
+            b = _looked_up(known, _tally(good, kind))
+            log_odds = np.log((a + 0.5) / all_bad) - np.log((b + 0.5) / all_good)
+            # a word counts wherever it stands, so it must not be an ordinary one among all texts
+            at_large = np.log((_looked_up(known, every[2][kind][0]) + 0.5) / every[0]) - np.log((_looked_up(known, every[2][kind][1]) + 0.5) / every[1])
+            expected = (a + b) * all_bad / (all_bad + all_good)
+            ratio = 2 * (a * np.log(a / expected) + np.where(b > 0, b * np.log(np.maximum(b, 1e-9) / np.maximum(a + b - expected, 1e-9)), 0.0))
+            rows.append((kind, known, log_odds, np.where((log_odds >= odds) & (at_large >= odds / 2), ratio, 0.0)))
+        ratio = np.concatenate([r for *_, r in rows])
+        p = np.array([math.erfc(math.sqrt(max(x, 0.0) / 2)) for x in ratio])
+        taken = _discoveries(p, len(p), false_share) & (ratio > 0)
+        at = 0
+        for kind, known, log_odds, r in rows:
+            own = taken[at : at + len(r)]
+            at += len(r)
+            best[kind] = (np.r_[best[kind][0], known[own]], np.r_[best[kind][1], np.minimum(log_odds[own], 6.0) / 3.0])
     seed = Lexicon.seed()
-    fresh = ~np.isin(seed.hashes[0], hashes[0])
-    both = np.r_[hashes[0], seed.hashes[0][fresh]]
-    order = np.argsort(both)
-    hashes[0], weights[0] = both[order], np.r_[weights[0], seed.weights[0][fresh]][order]
+    hashes, weights = {}, {}
+    for kind, (h, w) in best.items():
+        if kind == 0:
+            h, w = np.r_[h, seed.hashes[0]], np.r_[w, np.where(np.isin(seed.hashes[0], h), 0.0, seed.weights[0])]
+        order = np.lexsort((-w, h))
+        h, w = h[order], w[order]
+        first = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
+        hashes[kind], weights[kind] = h[first], w[first]
     return Lexicon(hashes, weights)
 
 
@@ -258,12 +373,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float =
     x = np.c_[x, np.ones(len(x))]
     mean = np.r_[prior, -3.0]
     pull = np.r_[np.full(len(prior), strength), 1e-3]
+
+    def loss(w: np.ndarray) -> float:
+        m = np.clip(x @ w, -500, 500)
+        return float(np.logaddexp(0, m).sum() - y @ m + 0.5 * (pull * (w - mean) ** 2).sum())
+
     w = mean.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (p - y) + pull * (w - mean))
-        w = w - step
-        if np.abs(step).max() < 1e-8:
+        # the loss is convex: a step that is too long is halved until it goes down
+        now, size = loss(w), 1.0
+        while loss(w - size * step) > now and size > 1e-6:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     return w
 
@@ -274,7 +398,7 @@ class Model:
     weights: np.ndarray
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        x = clause_features(texts, self.lexicon)
+        x = text_features(texts, self.lexicon)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -35, 35)))
 
 
@@ -282,23 +406,26 @@ def learn(texts: list[str | None], labels: list[int]) -> Model:
     """A model of labelled texts: words from three quarters of them, clause weights from the rest (from all, if these are few)."""
     toxic = np.array(labels) == 1
     if not toxic.any():
-        return Model(Lexicon.seed(), np.r_[PRIOR * 2, -3.0])
+        return Model(Lexicon.seed(), np.r_[PRIOR * 2, 0.0, -3.0])
     held = np.arange(len(texts)) % 4 == 3
     few = toxic[held].sum() < 40
     pick = lambda m: [texts[k] or "" for k in np.flatnonzero(m)]
     lexicon = induce(pick(toxic & (few | ~held)), pick(~toxic & (few | ~held)))
     rows = np.flatnonzero(np.ones(len(texts), bool) if few else held)
-    x = np.concatenate([clause_features([texts[k] for k in rows[a : a + 300]], lexicon) for a in range(0, len(rows), 300)])
-    return Model(lexicon, _logistic(x, toxic[rows].astype(float), PRIOR * 2))
+    x = np.concatenate([text_features([texts[k] for k in rows[a : a + 300]], lexicon) for a in range(0, len(rows), 300)])
+    return Model(lexicon, _logistic(x, toxic[rows].astype(float), np.r_[PRIOR * 2, 0.0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, leave_fold: int | None = 2) -> Model:
-    """Learns from at most ``rows`` labelled rows in one task; the model comes to the driver as one row."""
+    """Learns from at most ``rows`` labelled rows and SAMPLE_BYTES of text in one task; the model comes to the driver as one row."""
     import pickle
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, ys = [], []
-        for b in batches:
+        texts, ys, size = [], [], 0
+        for b in text_slices(batches, limit=_SLICE):
+            size += b.column("text").nbytes
+            if size > SAMPLE_BYTES and texts:
+                break
             texts += b.column("text").to_pylist()
             ys += b.column("label").to_pylist()
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(learn(texts, ys))], pa.binary())})
