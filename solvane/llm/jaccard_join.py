@@ -71,7 +71,7 @@ BINS = 512
 #: Sets of more shingles are always heavy.
 LIGHT_MOST = 400
 #: A class in more pairs than this, and than a HOT_ENDS-th of all pairs, has its pairs dealt out; so HOT_ENDS classes at most are dealt out for each end.
-HUB_PAIRS = 500
+HUB_PAIRS = 100
 HOT_ENDS = 10_000
 #: Entries of an open long list that are compared with each other at once, about; longer lists are dealt out in blocks.
 LONG_BLOCK = 1024
