@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: "None" in results: object, instance and mesh ids; triangle ids.
@@ -20,6 +23,36 @@ SUN = "sun_index int, dx double, dy double, dz double, duration_hours double, we
 WEATHER = "idx long, year int, month int, day int, hour int, minute int, midpoint_unix long, duration_hours double, ghi double, dni double, dhi double, ghi_missing boolean, dni_missing boolean, dhi_missing boolean, dry_bulb double, pressure double, albedo double, flags string"
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, qualified.
+
+    Where it is unset, a local session gets a folder of its own, as in tests; on a
+    cluster that would be seen by one machine only, and is refused.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="solvane-shared-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's URI under the shared root; nothing is there yet."""
+    return f"{shared_root(spark)}/solvane/{name}-{uuid.uuid4().hex}"
+
+
+#: Rows of a table that is broadcast at most.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if it has at most ``most`` rows, which are counted up to that; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 class InvalidInput(ValueError):
     """Input that an operator refuses."""
 

@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Unit vectors to the sun, exact in decimals; the last but one is below the horizon.
 SUNS = [(0.6, 0, 0.8), (-0.6, 0, 0.8), (0, 0.6, 0.8), (0, -0.6, 0.8), (0.8, 0, 0.6), (-0.8, 0, 0.6), (0, 0, 1), (0.48, 0.64, 0.6), (-0.48, 0.64, 0.6), (0.36, 0.48, 0.8), (0, 0.8, -0.6), (0.96, 0, 0.28)]
 
 
+#: Rows of each table that stand on one square of the ground, and its side: the scene grows with the tables, its density stays.
+QUADS, SENSORS, OBSERVERS, SIDE = 2000, 100, 1500, 200
+#: Squares in a row.
+ROW = 64
+
+
+def moved(key: str, each: int) -> tuple[Column, Column]:
+    """The corner of the square on which a row stands, ``each`` rows on a square."""
+    square = F.expr(f"{key} div {each}")
+    return square % ROW * SIDE, F.floor(square / ROW) * SIDE
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Horizontal square roofs of 2,000 objects at most."""
+    """Horizontal square roofs, one for each part."""
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").where("p_partkey < 2000").select(
+    dx, dy = moved("p_partkey", QUADS)
+    return table(spark, sf_dir, "part").select(
         (k + 1).alias("object_id"),
-        ((k * 37) % 200).cast("double").alias("x0"),
-        ((k * 61 + F.expr("p_partkey div 200") * 17) % 200).cast("double").alias("y0"),
+        ((k * 37) % 200 + dx).cast("double").alias("x0"),
+        ((k * 61 + F.expr("p_partkey div 200") * 17) % 200 + dy).cast("double").alias("y0"),
         (3 + k % 3).cast("double").alias("w"),
         (2 + F.col("p_size") % 10).cast("double").alias("z"),
         F.expr("shiftleft(1L, cast(p_partkey % 4 as int))").alias("category_mask"),
@@ -51,6 +64,19 @@ def meshes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return vertices, faces
 
 
+#: Roofs of one of the meshes of ``blocks``.
+BLOCK = 200
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The roofs as mesh tables, a mesh for each run of BLOCK roofs."""
+    v, f = meshes(spark, sf_dir)
+    mesh = lambda c, each: (F.floor(F.col(c) / (each * BLOCK)) + 1).cast("long").alias("mesh_id")
+    own = lambda c, each: (F.col(c) % (each * BLOCK)).alias(c)
+    corners = [(F.col(c) % (4 * BLOCK)).alias(c) for c in ("v0", "v1", "v2")]
+    return v.select(mesh("vertex_index", 4), own("vertex_index", 4), "x", "y", "z"), f.select(mesh("face_index", 2), own("face_index", 2), *corners)
+
+
 def materials(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(1, 0.5, 0.5), (2, 0.8, 0.8), (3, 0.0, 0.0)], "material_id long, visible_t double, solar_t double")
 
@@ -63,10 +89,11 @@ def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s_suppkey")
     k = s % 4
     pick = lambda *v: F.element_at(F.array(*[F.lit(float(x)) for x in v]), (k + 1).cast("int"))
-    return table(spark, sf_dir, "supplier").where("s_suppkey < 100").select(
+    dx, dy = moved("s_suppkey", SENSORS)
+    return table(spark, sf_dir, "supplier").select(
         (s + 1).alias("sensor_id"),
-        ((s * 29) % 200 + F.lit(0.37)).alias("px"),
-        ((s * 53 + F.expr("s_suppkey div 10") * 7) % 200 + F.lit(0.61)).alias("py"),
+        ((s * 29) % 200 + dx + F.lit(0.37)).alias("px"),
+        ((s * 53 + F.expr("s_suppkey div 10") * 7) % 200 + dy + F.lit(0.61)).alias("py"),
         F.lit(0.0).alias("pz"),
         pick(0, 0.6, 0, 1).alias("nx"),
         pick(0, 0, 0.6, 0).alias("ny"),
@@ -99,7 +126,8 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def observers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").where("c_custkey < 200").select((c + 1).alias("observer_id"), ((c * 31) % 200 + F.lit(0.13)).alias("px"), ((c * 47) % 200 + F.lit(0.29)).alias("py"), F.lit(1.6).alias("pz"), ((1 + c % 10) / F.lit(10.0)).alias("weight"))
+    dx, dy = moved("c_custkey", OBSERVERS)
+    return table(spark, sf_dir, "customer").select((c + 1).alias("observer_id"), ((c * 31) % 200 + dx + F.lit(0.13)).alias("px"), ((c * 47 + F.expr("c_custkey div 200") * 13) % 200 + dy + F.lit(0.29)).alias("py"), F.lit(1.6).alias("pz"), ((1 + c % 10) / F.lit(10.0)).alias("weight"))
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +165,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fidelities(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    part = table(spark, sf_dir, "part").where("p_partkey < 2000")
+    part = table(spark, sf_dir, "part")
     fast = part.select((k + 1).alias("candidate_id"), F.lit("fast").alias("fidelity"), F.col("p_retailprice").alias("objective"), F.lit(1.0).alias("cost"))
     slow = part.where("p_partkey % 5 = 0").select((k + 1).alias("candidate_id"), F.lit("reference").alias("fidelity"), (1 + 2 * F.col("p_retailprice") + 0.01 * (k % 3)).alias("objective"), F.lit(20.0).alias("cost"))
     return fast.unionByName(slow)

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from solvane.core import small
 from solvane.functions.sampling import hemisphere
 from solvane.functions.sky import luminance, perez
 from solvane.functions.vector import dot, photopic, ratio, vec
@@ -34,8 +35,7 @@ def dome_patches(spark: SparkSession) -> DataFrame:
 def static_sky(sensors: DataFrame, triangles: DataFrame, offset: float = 1e-4, max_distance: float = INFINITE, strategy: str = "auto") -> DataFrame:
     """(sensor_id, dome_visibility, horizon_visibility): shares of the projected sky that are open; 1 where nothing weighs."""
     rows = sensors.crossJoin(F.broadcast(dome_patches(sensors.sparkSession))).withColumn("w", F.greatest(dot(vec("n"), vec("d")), F.lit(0.0)) * F.col("omega")).where("w > 0")
-    hits = closest(rays_from(rows, offset, max_distance), triangles, ["sensor_id", "idx"], strategy).select("sensor_id", "idx", "hit")
-    seen = rows.join(hits, ["sensor_id", "idx"])
+    seen = closest(rays_from(rows, offset, max_distance), triangles, ["sensor_id", "idx"], strategy, carry=["zone", "w"])
     share = lambda z: ratio(F.sum(F.when((F.col("zone") == z) & ~F.col("hit"), F.col("w")).otherwise(0.0)), F.sum(F.when(F.col("zone") == z, F.col("w")).otherwise(0.0)), 1.0)
     out = sensors.select("sensor_id").join(seen.groupBy("sensor_id").agg(share("dome").alias("dome_visibility"), share("horizon").alias("horizon_visibility")), "sensor_id", "left")
     return out.na.fill(1.0)
@@ -51,12 +51,13 @@ def irradiance_timeline(sensors: DataFrame, weather_suns: DataFrame, triangles:
     per_hour = {c: ratio(F.col(c), hours) for c in ("dni", "dhi", "ghi")}
     albedo = F.coalesce("albedo", F.lit(ground_albedo)) if prefer_weather_albedo and "albedo" in weather_suns.columns else F.lit(ground_albedo)
     w = weather_suns.select("sun_index", "dx", "dy", "dz", "is_active", "duration_hours", *[v.alias(c) for c, v in per_hour.items()], albedo.alias("albedo"))
-    rows = sensors.crossJoin(F.broadcast(w)) if "sensor_id" in sensors.columns else sensors
+    rows = sensors.crossJoin(small(w)) if "sensor_id" in sensors.columns else sensors
     cosine = dot(vec("n"), vec("d"))
     rows = rows.withColumn("cosine", cosine).withColumn("facing", F.col("is_active") & (F.col("cosine") > 0))
-    hits = closest(rays_from(rows.where("facing"), offset, INFINITE), triangles, ["sensor_id", "sun_index"], strategy).select("sensor_id", "sun_index", "hit", "object_id")
+    needed = ["facing", "cosine", "nz", "dz", "is_active", "duration_hours", "dni", "dhi", "ghi", "albedo"]
+    traced = closest(rays_from(rows, offset, INFINITE), triangles, ["sensor_id", "sun_index"], strategy, carry=needed, active=F.col("facing"))
     sky = sky if sky is not None else static_sky(sensors, triangles, offset, strategy=strategy)
-    out = rows.join(hits, ["sensor_id", "sun_index"], "left").join(sky, "sensor_id")
+    out = traced.join(sky, "sensor_id")
     visible = F.col("facing") & ~F.coalesce("hit", F.lit(False))
     zenith = F.acos(F.greatest(F.least(F.col("dz"), F.lit(1.0)), F.lit(-1.0)))
     parts = perez(F.col("dni"), F.col("dhi"), zenith, F.col("cosine"), F.col("nz"))
@@ -89,9 +90,9 @@ def coefficient_matrix(sensors: DataFrame, triangles: DataFrame, materials: Data
     spark = sensors.sparkSession
     d = directions if directions is not None else hemisphere(spark, patches).select("idx", F.col("lx").alias("dx"), F.col("ly").alias("dy"), F.col("lz").alias("dz"))
     omega = 2 * math.pi / patches
-    rows = sensors.crossJoin(F.broadcast(d)).withColumn("projected", F.greatest(dot(vec("n"), vec("d")), F.lit(0.0)) * omega)
-    t = transmission(rays_from(rows.where("projected > 0"), offset, INFINITE), triangles, ["sensor_id", "idx"], materials, assignment, "visible_t", cutoff=cutoff, max_layers=max_layers, strategy=strategy)
-    return rows.join(t.select("sensor_id", "idx", "transmission"), ["sensor_id", "idx"], "left").select("sensor_id", "idx", "dz", (F.col("projected") * F.coalesce("transmission", F.lit(0.0))).alias("coefficient"))
+    rows = sensors.crossJoin(small(d)).withColumn("projected", F.greatest(dot(vec("n"), vec("d")), F.lit(0.0)) * omega)
+    t = transmission(rays_from(rows, offset, INFINITE), triangles, ["sensor_id", "idx"], materials, assignment, "visible_t", cutoff=cutoff, max_layers=max_layers, strategy=strategy, carry=["dz", "projected"], active=F.col("projected") > 0)
+    return t.select("sensor_id", "idx", "dz", (F.col("projected") * F.col("transmission")).alias("coefficient"))
 
 
 def optical_materials(optical: DataFrame) -> DataFrame:
@@ -115,9 +116,10 @@ def relative_illuminance(matrix: DataFrame, patches: int, sky: str) -> DataFrame
 def point_illuminance(sensors: DataFrame, matrix: DataFrame, sun: tuple[float, float, float], direct_normal_lux: float, diffuse_horizontal_lux: float, triangles: DataFrame, materials: DataFrame, assignment: DataFrame, patches: int = 576, sky: str = "isotropic", offset: float = 1e-4, strategy: str = "auto") -> DataFrame:
     """(sensor_id, direct, diffuse, total) in lux at one moment."""
     rows = sensors.select("*", *[F.lit(float(v)).alias(f"d{x}") for v, x in zip(sun, "xyz", strict=True)]).withColumn("cosine", F.greatest(dot(vec("n"), vec("d")), F.lit(0.0)))
-    t = transmission(rays_from(rows.where(f"cosine > 0 and {float(sun[2])!r} > 0"), offset, INFINITE), triangles, ["sensor_id"], materials, assignment, "visible_t", strategy=strategy)
-    direct = F.col("cosine") * direct_normal_lux * F.coalesce("transmission", F.lit(0.0))
-    out = rows.join(t.select("sensor_id", "transmission"), "sensor_id", "left").join(relative_illuminance(matrix, patches, sky), "sensor_id", "left")
+    up = F.expr(f"cosine > 0 and {float(sun[2])!r} > 0")
+    t = transmission(rays_from(rows, offset, INFINITE), triangles, ["sensor_id"], materials, assignment, "visible_t", strategy=strategy, carry=["cosine"], active=up)
+    direct = F.when(up, F.col("cosine") * direct_normal_lux * F.col("transmission")).otherwise(0.0)
+    out = t.join(relative_illuminance(matrix, patches, sky), "sensor_id", "left")
     diffuse = F.coalesce("share", F.lit(0.0)) * diffuse_horizontal_lux
     return out.select("sensor_id", direct.alias("direct"), diffuse.alias("diffuse"), (direct + diffuse).alias("total"))
 
@@ -137,7 +139,7 @@ def annual_daylight(sensors: DataFrame, matrix: DataFrame, weather_suns: DataFra
     local = F.pmod(F.col("midpoint_unix") + F.lit(int(utc_offset_hours * 3600)), F.lit(86400)) / 3600
     inside = (local >= start_hour) & (local < end_hour) if start_hour <= end_hour else (local >= start_hour) | (local < end_hour)
     w = weather_suns.where(inside).select("sun_index", "dx", "dy", "dz", "is_active", "duration_hours", ratio(F.col("dni"), hours).alias("dni"), ratio(F.col("dhi"), hours).alias("dhi"))
-    rows = sensors.select("sensor_id", "nx", "ny", "nz", "area").crossJoin(F.broadcast(w)).join(relative_illuminance(matrix, patches, sky), "sensor_id").join(sun_transmission, ["sensor_id", "sun_index"], "left")
+    rows = sensors.select("sensor_id", "nx", "ny", "nz", "area").crossJoin(small(w)).join(relative_illuminance(matrix, patches, sky), "sensor_id").join(sun_transmission, ["sensor_id", "sun_index"], "left")
     direct = F.when(F.col("is_active"), F.col("dni") * direct_efficacy * F.greatest(dot(vec("n"), vec("d")), F.lit(0.0)) * F.coalesce("transmission", F.lit(0.0))).otherwise(0.0)
     rows = rows.withColumn("direct_lux", direct).withColumn("lux", F.col("direct_lux") + F.col("dhi") * diffuse_efficacy * F.col("share"))
     total = F.sum(hours)

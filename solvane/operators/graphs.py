@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from solvane.core import shared_root
+
 #: Nodes of a graph whose adjacency is broadcast for path counting at most.
 BROADCAST_NODES = 100_000
 
@@ -16,12 +18,7 @@ def _cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut: a checkpoint in the session's shared folder."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = "file://" + tempfile.mkdtemp(prefix="solvane-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint()
 
 

@@ -11,33 +11,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from solvane.core import NO_ID, NO_TRIANGLE
-from solvane.plans.ray_plans import ray_hits
+from solvane.plans.ray_plans import chosen, ray_hits
 
 #: Transmission walks on at least so far behind a hit.
 STEP = 1e-7
 
 
-def closest(rays: DataFrame, triangles: DataFrame, keys: list[str], strategy: str = "auto", excluding: Column | None = None) -> DataFrame:
-    """A row for each ray: keys, hit, distance (null for a miss), u, v, ids (0 and 4294967295 for a miss), front_face."""
-    found = ray_hits(rays, triangles, keys, strategy=strategy, excluding=excluding)
+def closest(rays: DataFrame, triangles: DataFrame, keys: list[str], strategy: str = "auto", excluding: Column | None = None, carry: list[str] | None = None, active: Column | None = None) -> DataFrame:
+    """A row for each ray: keys, carried columns, hit, distance (null for a miss), u, v, ids (0 and 4294967295 for a miss), front_face.
+
+    Rays for which active is not true are not traced and miss.
+    """
+    carry, strategy = carry or [], chosen(strategy, triangles)
+    if strategy == "bvh":
+        from solvane.plans.bvh import bvh_closest
+
+        return bvh_closest(rays, triangles, keys, carry, excluding, active)
+    found = ray_hits(rays if active is None else rays.where(active), triangles, keys, strategy=strategy, excluding=excluding)
     first = F.min(F.struct("distance", "object_id", "instance_id", "triangle_id", "mesh_id", "u", "v", "front_face"))
     best = found.groupBy(*keys).agg(first.alias("h"))
-    rows = rays.select(*keys).join(best, keys, "left")
+    rows = rays.select(*keys, *carry).join(best, keys, "left")
     hit = F.col("h").isNotNull()
     ids = [F.coalesce(F.col(f"h.{c}"), F.lit(NO_ID).cast("long")).alias(c) for c in ("object_id", "instance_id", "mesh_id")]
-    return rows.select(*keys, hit.alias("hit"), F.col("h.distance").alias("distance"), F.col("h.u").alias("u"), F.col("h.v").alias("v"), *ids, F.coalesce(F.col("h.triangle_id"), F.lit(NO_TRIANGLE)).alias("triangle_id"), F.coalesce(F.col("h.front_face"), F.lit(False)).alias("front_face"))
+    return rows.select(*keys, *carry, hit.alias("hit"), F.col("h.distance").alias("distance"), F.col("h.u").alias("u"), F.col("h.v").alias("v"), *ids, F.coalesce(F.col("h.triangle_id"), F.lit(NO_TRIANGLE)).alias("triangle_id"), F.coalesce(F.col("h.front_face"), F.lit(False)).alias("front_face"))
 
 
 def any_hit(rays: DataFrame, triangles: DataFrame, keys: list[str], strategy: str = "auto", excluding: Column | None = None) -> DataFrame:
-    """(keys, blocked) of each ray."""
+    """(keys, blocked) of each ray; equal hits are brought together before rays meet them."""
+    if chosen(strategy, triangles) == "bvh":
+        return closest(rays, triangles, keys, "bvh", excluding).select(*keys, F.col("hit").alias("blocked"))
     found = ray_hits(rays, triangles, keys, strategy=strategy, excluding=excluding).select(*keys).distinct().withColumn("blocked", F.lit(True))
     return rays.select(*keys).join(found, keys, "left").select(*keys, F.coalesce("blocked", F.lit(False)).alias("blocked"))
 
 
-def with_transmittance(hits: DataFrame, materials: DataFrame, assignment: DataFrame, channel: str = "solar_t") -> DataFrame:
-    """Hits with the transmittance of their objects; objects without material are opaque."""
+def with_transmittance(triangles: DataFrame, materials: DataFrame, assignment: DataFrame, channel: str = "solar_t") -> DataFrame:
+    """Triangles (or hits) with the transmittance of their objects as coefficient; objects without material are opaque."""
     known = assignment.join(materials, "material_id").select("object_id", F.col(channel).alias("coefficient"))
-    return hits.join(known, "object_id", "left").withColumn("coefficient", F.coalesce("coefficient", F.lit(0.0)))
+    return triangles.join(known, "object_id", "left").withColumn("coefficient", F.coalesce("coefficient", F.lit(0.0)))
+
+
+def layered(rays: DataFrame, triangles: DataFrame, keys: list[str], materials: DataFrame, assignment: DataFrame, channel: str = "solar_t", strategy: str = "auto", excluding: Column | None = None, carry: list[str] | None = None, active: Column | None = None) -> DataFrame:
+    """(keys, carried columns, layers) of each ray: all its hits in order, with their objects' coefficients; a miss has no layers."""
+    carry, strategy = carry or [], chosen(strategy, triangles)
+    if strategy == "bvh":
+        from solvane.plans.bvh import bvh_layers
+
+        return bvh_layers(rays, with_transmittance(triangles, materials, assignment, channel), keys, carry, excluding, active)
+    hits = with_transmittance(ray_hits(rays if active is None else rays.where(active), triangles, keys, strategy=strategy, excluding=excluding), materials, assignment, channel)
+    layers = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("distance", "object_id", "instance_id", "triangle_id", "coefficient"))).alias("layers"))
+    none = F.array().cast(layers.schema["layers"].dataType)
+    return rays.select(*keys, *carry).join(layers, keys, "left").withColumn("layers", F.coalesce("layers", none))
 
 
 def folded(layers: Column, t_max: Column, tolerance: float, cutoff: float, max_layers: int, excluding: Column | None = None) -> Column:
@@ -71,14 +94,13 @@ def folded(layers: Column, t_max: Column, tolerance: float, cutoff: float, max_l
     return F.aggregate(kept, zero, walk)
 
 
-def transmission(rays: DataFrame, triangles: DataFrame, keys: list[str], materials: DataFrame, assignment: DataFrame, channel: str = "solar_t", tolerance: float = 1e-6, cutoff: float = 1e-4, max_layers: int = 8, strategy: str = "auto", excluding: Column | None = None) -> DataFrame:
-    """(keys, transmission, layer_count, limit_reached, losses) of each ray."""
-    found = with_transmittance(ray_hits(rays, triangles, keys, carry=["t_max"], strategy=strategy, excluding=excluding), materials, assignment, channel)
-    ordered = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("distance", "object_id", "instance_id", "triangle_id", "coefficient"))).alias("layers"), F.first("t_max").alias("t_max"))
-    walked = ordered.select(*keys, folded(F.col("layers"), F.col("t_max"), tolerance, cutoff, max_layers).alias("w"))
-    rows = rays.select(*keys).join(walked, keys, "left")
-    none = F.array().cast("array<struct<object_id:bigint,distance:double,loss:double>>")
-    return rows.select(*keys, F.coalesce("w.transmission", F.lit(1.0)).alias("transmission"), F.coalesce(F.size("w.losses"), F.lit(0)).alias("layer_count"), F.coalesce("w.limit", F.lit(False)).alias("limit_reached"), F.coalesce("w.losses", none).alias("losses"))
+def transmission(rays: DataFrame, triangles: DataFrame, keys: list[str], materials: DataFrame, assignment: DataFrame, channel: str = "solar_t", tolerance: float = 1e-6, cutoff: float = 1e-4, max_layers: int = 8, strategy: str = "auto", excluding: Column | None = None, carry: list[str] | None = None, active: Column | None = None) -> DataFrame:
+    """(keys, carried columns, transmission, layer_count, limit_reached, losses) of each ray; 1 and no layers where it is not active."""
+    carry = carry or []
+    far = [] if "t_max" in carry else ["t_max"]
+    rows = layered(rays, triangles, keys, materials, assignment, channel, strategy, excluding, [*carry, *far], active)
+    walked = rows.select(*keys, *carry, folded(F.col("layers"), F.col("t_max"), tolerance, cutoff, max_layers).alias("w"))
+    return walked.select(*keys, *carry, F.col("w.transmission").alias("transmission"), F.size("w.losses").alias("layer_count"), F.col("w.limit").alias("limit_reached"), F.col("w.losses").alias("losses"))
 
 
 def parity(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

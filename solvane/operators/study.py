@@ -5,20 +5,23 @@ from __future__ import annotations
 import json
 import math
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from solvane.core import InvalidInput, require_none, require_unique
 from solvane.functions.sampling import splitmix
 from solvane.operators.graphs import _cut
+from solvane.operators.ordering import average_ranks
 
 EPSILON = 1e-12
-#: Solutions of one study that fronts are peeled from at most.
-MOST_SOLUTIONS = 100_000
+#: Solutions whose objectives are held by each task, to rank them all at once; larger studies are ranked by joins, round by round.
+MOST_SOLUTIONS = 50_000
 
 
 def violation(residuals: list[str]) -> Column:
@@ -79,40 +82,90 @@ def pareto_front(rows: DataFrame, objectives: dict[str, str], residuals: list[st
     return beaten.drop(*cols)
 
 
-def rank_study(rows: DataFrame, objectives: dict[str, str], residuals: list[str] | None = None, key: str = "candidate_id") -> DataFrame:
-    """rows with violation, feasible, rank, dominated_count and crowding (null at the ends of a front).
+def front_ranks(costs: np.ndarray) -> np.ndarray:
+    """The front of each row: taken in lexicographic order, a row joins the first front of which no member dominates it."""
+    out = np.zeros(len(costs), np.int64)
+    fronts: list[np.ndarray] = []
+    sizes: list[int] = []
+    for i in np.lexsort(costs.T[::-1]) if len(costs) else ():
+        c = costs[i]
+        lo, hi = 0, len(fronts)
+        while lo < hi:  # a row that some front dominates is dominated by all fronts before that
+            mid = (lo + hi) // 2
+            f = fronts[mid][: sizes[mid]]
+            if ((f <= c + EPSILON).all(1) & (f < c - EPSILON).any(1)).any():
+                lo = mid + 1
+            else:
+                hi = mid
+        if lo == len(fronts):
+            fronts.append(np.empty((8, costs.shape[1])))
+            sizes.append(0)
+        if sizes[lo] == len(fronts[lo]):
+            fronts[lo] = np.concatenate([fronts[lo], np.empty_like(fronts[lo])])
+        fronts[lo][sizes[lo]] = c
+        sizes[lo] += 1
+        out[i] = lo
+    return out
 
-    Feasible rows come before others; these go by their summed violation;
-    feasible ones by fronts.  The dominance relation is a self-join, fronts are
-    peeled from it round by round.
-    """
-    require_unique(rows, key)
-    n = len(objectives)
-    named = _cut(_costs(rows.withColumn("violation", violation(residuals or [])).withColumn("feasible", F.col("violation") <= EPSILON), objectives))
+
+def _ranked_at_once(named: DataFrame, cols: list[str], key: str) -> DataFrame:
+    """named with rank and dominated_count; all costs, of a bounded number, are held by each task."""
+    held = named.select(key, "feasible", "violation", *cols).toArrow()
+    order = np.argsort(held.column(key).to_numpy(), kind="stable")
+    ids, ok, bad = (held.column(c).to_numpy()[order] for c in (key, "feasible", "violation"))
+    costs = np.stack([held.column(c).to_numpy()[order].astype(float) for c in cols], axis=1)
+    rank = np.zeros(len(ids), np.int64)
+    rank[ok] = front_ranks(costs[ok])
+    # infeasible rows follow the last front, equal violations share a rank
+    rank[~ok] = (int(rank[ok].max()) + 1 if ok.any() else 0) + np.unique(bad[~ok], return_inverse=True)[1]
+    share = named.sparkSession.sparkContext.broadcast((ids, costs[ok], np.sort(bad[~ok]), rank))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, good, worse, rank = share.value
+        for b in batches:
+            num = lambda c, b=b: b.column(c).to_numpy(zero_copy_only=False)
+            own, fine = np.stack([num(c).astype(float) for c in cols], axis=1), num("feasible")
+            n = np.where(fine, 0, len(good) + np.searchsorted(worse, num("violation") - EPSILON, "left"))
+            for k in np.flatnonzero(fine):
+                n[k] = np.count_nonzero((good <= own[k] + EPSILON).all(1) & (good < own[k] - EPSILON).any(1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n.astype(np.int64)), pa.array(rank[np.searchsorted(ids, num(key))].astype(np.int32))], [*b.schema.names, "dominated_count", "rank"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields)
+    return named.repartition(key).mapInArrow(run, f"{kinds}, dominated_count long, rank int")
+
+
+def _ranked_by_rounds(named: DataFrame, cols: list[str], key: str) -> DataFrame:
+    """named with rank and dominated_count: the dominance relation is a self-join, fronts are peeled from it round by round."""
+    n = len(cols)
     a, b = named.alias("a"), named.alias("b")
     both = F.col("a.feasible") & F.col("b.feasible") & _dominates(n)
     better = (F.col("a.feasible") & ~F.col("b.feasible")) | (~F.col("a.feasible") & ~F.col("b.feasible") & (F.col("a.violation") < F.col("b.violation") - EPSILON))
     counted = named.join(a.join(b, both | better).groupBy(F.col(f"b.{key}").alias(key)).agg(F.count(F.lit(1)).alias("dominated_count")), key, "left").na.fill(0, ["dominated_count"])
     counted = _cut(counted)
-
-    cols = [f"o{k}" for k in range(n)]
-    feasible = counted.where("feasible").select(key, *cols)
-    total = feasible.count()
-    if total > MOST_SOLUTIONS:
-        raise InvalidInput(f"fronts are for studies of at most {MOST_SOLUTIONS} feasible solutions")
     ranked = None
-    left, rank = _cut(feasible), 0
+    left, rank = _cut(counted.where("feasible").select(key, *cols)), 0
     while not left.isEmpty():
         x, y = left.alias("a"), left.alias("b")
         front = _cut(y.join(x, _dominates(n), "left_anti").withColumn("rank", F.lit(rank)))
         ranked = front if ranked is None else ranked.unionByName(front)
         left = _cut(left.join(front.select(key), key, "left_anti"))
         rank += 1
-    # infeasible rows follow the last front, equal violations share a rank
     bad = counted.where("not feasible").select(key, "violation").withColumn("rank", (F.dense_rank().over(Window.orderBy("violation")) - 1 + rank).cast("int"))
     ranks = bad.select(key, "rank")
-    ranks = ranks.unionByName(ranked.select(key, "rank")) if ranked is not None else ranks
-    out = counted.join(ranks, key)
+    return counted.join(ranks.unionByName(ranked.select(key, "rank")) if ranked is not None else ranks, key)
+
+
+def rank_study(rows: DataFrame, objectives: dict[str, str], residuals: list[str] | None = None, key: str = "candidate_id", at_once: int = MOST_SOLUTIONS) -> DataFrame:
+    """rows with violation, feasible, rank, dominated_count and crowding (null at the ends of a front).
+
+    Feasible rows come before others; these go by their summed violation;
+    feasible ones by fronts.  Up to ``at_once`` rows are ranked together, more of
+    them round by round, with the same result.
+    """
+    require_unique(rows, key)
+    named = _cut(_costs(rows.withColumn("violation", violation(residuals or [])).withColumn("feasible", F.col("violation") <= EPSILON), objectives))
+    cols = [f"o{k}" for k in range(len(objectives))]
+    out = _cut((_ranked_at_once if named.count() <= at_once else _ranked_by_rounds)(named, cols, key))
     return out.join(crowding(out.select(key, "rank", "feasible", *cols), cols, key), key).drop(*cols)
 
 
@@ -140,18 +193,10 @@ def hypervolume_2d(front: DataFrame, x: str, y: str, reference: tuple[float, flo
     return steps.agg(F.coalesce(F.sum((reference[0] - F.col("x")) * (F.col("top") - F.col("y"))), F.lit(0.0)).alias("hypervolume"))
 
 
-def average_rank(column: str, keys: list[str] | None = None) -> Column:
-    """The rank of a value, ties share the mean of theirs."""
-    part = keys or [F.lit(0)]
-    return F.rank().over(Window.partitionBy(*part).orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(*part, column)) - 1) / 2
-
-
 def spearman(rows: DataFrame, parameters: list[str], objectives: list[str]) -> DataFrame:
     """(parameter, objective, rho): rank correlations, 0 where a side does not vary."""
     every = [*parameters, *objectives]
-    ranked = rows
-    for c in every:
-        ranked = ranked.withColumn(f"r_{c}", average_rank(c))
+    ranked = average_ranks(rows, every)
     n = F.count(F.lit(1))
     # ranks are halves of integers: their moments are exact sums
     sums = ranked.agg(n.alias("n"), *[F.sum(f"r_{c}").alias(f"s_{c}") for c in every], *[F.sum(F.col(f"r_{c}") * F.col(f"r_{c}")).alias(f"q_{c}") for c in every], *[F.sum(F.col(f"r_{p}") * F.col(f"r_{o}")).alias(f"x_{p}_{o}") for p in parameters for o in objectives])

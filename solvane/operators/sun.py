@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from solvane.functions.sampling import hemisphere
-from solvane.functions.vector import Vec, add, dot, ratio, scale, sub, tangents, vec
+from solvane.functions.vector import Vec, add, cross, dot, named, ratio, scale, sub, tangents, vec
+from solvane.core import small
+from solvane.operators.ordering import running
 from solvane.operators.rays import closest, transmission
 
 INFINITE = 1e300
@@ -34,14 +36,12 @@ def dominant(blocked: DataFrame, keys: list[str], weight: Column, name: str = "d
 def direct_sun_timeline(sensors: DataFrame, suns: DataFrame, triangles: DataFrame, offset: float = 1e-4, max_distance: float = INFINITE, min_cosine: float = 0.0, mask: int = -1, strategy: str = "auto") -> DataFrame:
     """(sensor_id, sun_index, state, cosine, hours, object_id, distance): inactive, back_facing, visible or blocked."""
     s = suns.select("sun_index", "dx", "dy", "dz", (F.col("duration_hours") * F.col("weight")).alias("hours"), "is_active")
-    rows = sensors.crossJoin(F.broadcast(s))
+    rows = sensors.crossJoin(small(s))
     cosine = dot(vec("n"), vec("d"))
     rows = rows.withColumn("cosine", cosine).withColumn("early", F.when(~F.col("is_active"), "inactive").when(F.col("cosine") <= min_cosine, "back_facing"))
-    rays = rays_from(rows.where("early is null"), offset, max_distance, mask)
-    hits = closest(rays, triangles, ["sensor_id", "sun_index"], strategy)
-    out = rows.join(hits, ["sensor_id", "sun_index"], "left")
+    out = closest(rays_from(rows, offset, max_distance, mask), triangles, ["sensor_id", "sun_index"], strategy, carry=["early", "cosine", "hours"], active=F.col("early").isNull())
     state = F.coalesce("early", F.when(F.col("hit"), "blocked").otherwise("visible"))
-    return out.select("sensor_id", "sun_index", state.alias("state"), "cosine", "hours", F.coalesce("object_id", F.lit(0).cast("long")).alias("object_id"), "distance")
+    return out.select("sensor_id", "sun_index", state.alias("state"), "cosine", "hours", "object_id", "distance")
 
 
 def direct_sun_summary(timeline: DataFrame) -> DataFrame:
@@ -57,14 +57,20 @@ def direct_sun_summary(timeline: DataFrame) -> DataFrame:
 
 
 def in_basis(n: Vec, local: Vec) -> Vec:
-    """A local direction (z along n) in world coordinates."""
-    t, b = tangents(n)
-    return add(add(scale(t, local[0]), scale(b, local[1])), scale(n, local[2]))
+    """A local direction (z along n) in world coordinates, where the basis t*, b* of n is at hand."""
+    return add(add(scale(vec("t"), local[0]), scale(vec("b"), local[1])), scale(n, local[2]))
+
+
+def with_basis(entities: DataFrame, n: str) -> DataFrame:
+    """Two tangents t*, b* of the direction n*, once for each entity and not for each of its samples."""
+    t, _ = tangents(vec(n))
+    rows = entities.select("*", *named(t, "t"))
+    return rows.select("*", *named(cross(vec(n), vec("t")), "b"))
 
 
 def directed(entities: DataFrame, directions: DataFrame) -> DataFrame:
     """Entities times directions (idx, lx, ly, lz), with d* about each entity's normal."""
-    rows = entities.crossJoin(F.broadcast(directions))
+    rows = with_basis(entities, "n").crossJoin(small(directions))
     d = in_basis(vec("n"), vec("l"))
     return rows.select("*", *[c.alias(f"d{x}") for c, x in zip(d, "xyz", strict=True)])
 
@@ -73,8 +79,8 @@ def sky_view_timeline(sensors: DataFrame, triangles: DataFrame, samples: int = 2
     """(sensor_id, idx, d*, lz, visible, object_id): the shadow mask of each sensor."""
     directions = directions if directions is not None else hemisphere(sensors.sparkSession, samples, seed)
     rows = directed(sensors, directions)
-    hits = closest(rays_from(rows, offset, max_distance, mask), triangles, ["sensor_id", "idx"], strategy)
-    return rows.join(hits.select("sensor_id", "idx", "hit", "object_id", "distance"), ["sensor_id", "idx"]).select("sensor_id", "idx", "dx", "dy", "dz", "lz", (~F.col("hit")).alias("visible"), "object_id", "distance")
+    out = closest(rays_from(rows, offset, max_distance, mask), triangles, ["sensor_id", "idx"], strategy, carry=["dx", "dy", "dz", "lz"])
+    return out.select("sensor_id", "idx", "dx", "dy", "dz", "lz", (~F.col("hit")).alias("visible"), "object_id", "distance")
 
 
 def sky_view_summary(timeline: DataFrame) -> DataFrame:
@@ -112,14 +118,14 @@ def scenario_timeline(sensors: DataFrame, suns: DataFrame, triangles: DataFrame,
     from solvane.plans.ray_plans import ray_hits
 
     s = suns.where("is_active").select("sun_index", "dx", "dy", "dz", (F.col("duration_hours") * F.col("weight")).alias("hours"))
-    rows = sensors.crossJoin(F.broadcast(s)).where(dot(vec("n"), vec("d")) > 0)
+    rows = sensors.crossJoin(small(s)).where(dot(vec("n"), vec("d")) > 0)
     keys = ["sensor_id", "sun_index"]
     hits = ray_hits(rays_from(rows, offset, max_distance), triangles, keys, strategy=strategy)
-    names = scenarios.select("scenario_id").distinct()
-    per = hits.crossJoin(F.broadcast(names)).join(scenarios, ["scenario_id", "object_id"], "left").withColumn("coefficient", F.coalesce("coefficient", F.lit(0.0)))
+    names = small(scenarios.select("scenario_id").distinct(), 1000)
+    per = hits.crossJoin(names).join(scenarios, ["scenario_id", "object_id"], "left").withColumn("coefficient", F.coalesce("coefficient", F.lit(0.0)))
     walked = per.groupBy("scenario_id", *keys).agg(F.array_sort(F.collect_list(F.struct("distance", "object_id", "instance_id", "triangle_id", "coefficient"))).alias("layers"))
     walked = walked.select("scenario_id", *keys, folded(F.col("layers"), F.lit(float(max_distance)), 1e-6, cutoff, max_layers).alias("w"))
-    base = rows.select(*keys, "hours").crossJoin(F.broadcast(names))
+    base = rows.select(*keys, "hours").crossJoin(names)
     none = F.array().cast("array<struct<object_id:bigint,distance:double,loss:double>>")
     return base.join(walked, ["scenario_id", *keys], "left").select("scenario_id", *keys, "hours", F.coalesce("w.transmission", F.lit(1.0)).alias("transmission"), F.coalesce("w.losses", none).alias("losses"))
 
@@ -163,7 +169,7 @@ def solar_envelope(candidates: DataFrame, sensors: DataFrame, suns: DataFrame, t
     shading_height the one at which the share ``shade`` is, plus clearance.
     """
     s = suns.where("is_active").select("sun_index", "dx", "dy", "dz", (F.col("duration_hours") * F.col("weight")).alias("hours"))
-    rays = sensors.crossJoin(F.broadcast(s)).where(dot(vec("n"), vec("d")) > 0)
+    rays = sensors.crossJoin(small(s)).where(dot(vec("n"), vec("d")) > 0)
     rows = rays.crossJoin(candidates)
     w = sub(vec("p"), vec("b"))
     da, dw, aw = dot(vec("d"), vec("a")), dot(vec("d"), w), dot(vec("a"), w)
@@ -175,8 +181,8 @@ def solar_envelope(candidates: DataFrame, sensors: DataFrame, suns: DataFrame, t
     spark = sensors.sparkSession
     materials = materials if materials is not None else spark.createDataFrame([], "material_id long, solar_t double")
     assignment = assignment if assignment is not None else spark.createDataFrame([], "object_id long, material_id long")
-    traced = transmission(rays_from(near, 1e-4, max_distance).withColumn("t_max", F.col("ahead")), triangles, keys, materials, assignment, strategy=strategy)
-    weighed = near.join(traced.select(*keys, "transmission"), keys).withColumn("w", F.col("hours") * F.col("transmission")).where("w > 0")
+    traced = transmission(rays_from(near, 1e-4, max_distance).withColumn("t_max", F.col("ahead")), triangles, keys, materials, assignment, strategy=strategy, carry=["height", "hours"])
+    weighed = traced.withColumn("w", F.col("hours") * F.col("transmission")).where("w > 0")
     order = Window.partitionBy("candidate_id").orderBy("height", "sensor_id", "sun_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = weighed.withColumn("cum", F.sum("w").over(order)).withColumn("total", F.sum("w").over(Window.partitionBy("candidate_id")))
     at = lambda share: F.min(F.when(F.col("cum") >= F.col("total") * share, F.struct("height", "sensor_id", "sun_index")))
@@ -187,17 +193,17 @@ def solar_envelope(candidates: DataFrame, sensors: DataFrame, suns: DataFrame, t
 
 def weighted_quantiles(rows: DataFrame, keys: list[str], value: str, weight: str, shares: dict[str, float]) -> DataFrame:
     """Step quantiles: the first value at which the running weight reaches its share of the whole."""
-    order = Window.partitionBy(*keys).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    run = rows.withColumn("w_run", F.sum(weight).over(order)).withColumn("w_all", F.sum(weight).over(Window.partitionBy(*keys)))
-    return run.groupBy(*keys).agg(*[F.min(F.when(F.col("w_run") >= F.col("w_all") * q, F.col(value))).alias(n) for n, q in shares.items()])
+    run = running(rows, keys, value, weight)
+    reached = F.col("before") + F.col("weight")
+    return run.groupBy(*keys).agg(*[F.min(F.when(reached >= F.col("total") * q, F.col(value))).alias(n) for n, q in shares.items()])
 
 
 def pv_potential(cells: DataFrame, threshold: float = 800_000.0, efficiency: float = 0.22, coverage: float = 0.85, loss: float = 0.14) -> DataFrame:
     """One row of eligible cells(sensor_id, area, energy in Wh/m2): area, mean and quantiles, kWp and kWh."""
-    ok = cells.where(F.col("energy") >= threshold).withColumn("one", F.lit(1))
-    q = weighted_quantiles(ok, ["one"], "energy", "area", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
-    total = ok.groupBy("one").agg(F.count(F.lit(1)).alias("cells"), F.sum("area").alias("area"), F.sum(F.col("area") * F.col("energy")).alias("energy_wh"))
-    out = total.join(q, "one").withColumn("mean", ratio(F.col("energy_wh"), F.col("area")))
+    ok = cells.where(F.col("energy") >= threshold)
+    q = weighted_quantiles(ok, [], "energy", "area", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    total = ok.agg(F.count(F.lit(1)).alias("cells"), F.sum("area").alias("area"), F.sum(F.col("area") * F.col("energy")).alias("energy_wh"))
+    out = total.crossJoin(F.broadcast(q)).withColumn("mean", ratio(F.col("energy_wh"), F.col("area")))  # one row each
     return out.select("cells", "area", "mean", "p10", "p50", "p90", (F.col("energy_wh") / 1000).alias("incident_kwh"), (F.col("area") * coverage * efficiency).alias("kwp"), (F.col("energy_wh") / 1000 * efficiency * coverage * (1 - loss)).alias("yield_kwh"))
 
 

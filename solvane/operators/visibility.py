@@ -8,11 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from solvane.core import small
 from solvane.functions.sampling import circle, disk, sphere, triangle_points
-from solvane.functions.vector import add, cross, dot, field_of_view, in_field, norm, ratio, scale, solid_angle, sub, tangents, unit, vec
-from solvane.operators.rays import closest, folded, with_transmittance
-from solvane.operators.sun import dominant, top_losses
-from solvane.plans.ray_plans import ray_hits
+from solvane.functions.vector import add, cross, dot, field_of_view, in_field, named, norm, ratio, scale, solid_angle, sub, unit, vec
+from solvane.operators.rays import closest, folded, layered
+from solvane.operators.sun import dominant, top_losses, with_basis
 
 
 def _rays(rows: DataFrame, far: Column, mask: int = -1) -> DataFrame:
@@ -20,15 +20,45 @@ def _rays(rows: DataFrame, far: Column, mask: int = -1) -> DataFrame:
     return rows.select("*", *[F.col(f"p{x}").alias(f"o{x}") for x in "xyz"], F.lit(0.0).alias("t_min"), far.alias("t_max"), F.lit(mask).cast("long").alias("category_mask"))
 
 
+def near_between(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
+    """Rows of a(p*) with rows of b(q*) within a radius, and their distance: an equality join on grid cells, each pair found once."""
+    cell = lambda place: [F.floor(F.col(f"{place}{c}") / radius).alias(f"g{c}") for c in "xyz"]
+    steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+    around = b.select("*", *cell("q"))
+    for c in "xyz":
+        around = around.withColumn(f"s{c}", F.explode(steps)).withColumn(f"g{c}", F.col(f"g{c}") + F.col(f"s{c}")).drop(f"s{c}")
+    return a.select("*", *cell("p")).join(around, ["gx", "gy", "gz"]).drop("gx", "gy", "gz").withColumn("distance", norm(sub(vec("q"), vec("p")))).where(F.col("distance") <= radius)
+
+
+def _toward(rows: DataFrame) -> DataFrame:
+    """rows with the unit direction d* from p* to q*, where distance is at hand."""
+    d = scale(sub(vec("q"), vec("p")), 1 / F.when(F.col("distance") > 0, F.col("distance")))
+    return rows.select("*", *named(d, "d"))
+
+
+#: States that need no ray: (pairs with a distance) -> state or null.
+def _early(clearance: float, max_distance: float) -> Column:
+    return F.when(F.col("distance") <= clearance, "coincident").when(F.col("distance") > max_distance, "out_of_range").when(F.col("distance") <= 2 * clearance, "visible")
+
+
+def _disk_rays(rows: DataFrame, points: DataFrame, radius: str) -> DataFrame:
+    """Rays from p* to points(idx, lx, ly) of a disk about q* that stands across the axis a*; reach is the distance to its point."""
+    rows = with_basis(rows.withColumnsRenamed({f"a{x}": f"n{x}" for x in "xyz"}), "n").crossJoin(small(points))
+    to = add(sub(vec("q"), vec("p")), add(scale(vec("t"), F.col("lx") * F.col(radius)), scale(vec("b"), F.col("ly") * F.col(radius))))
+    rows = rows.select("*", *named(to, "v")).withColumn("reach", norm(vec("v")))
+    return rows.select("*", *[(F.col(f"v{x}") / F.col("reach")).alias(f"d{x}") for x in "xyz"])
+
+
 # Isovists in a plane.
 
 
 def isovist_rays(viewpoints: DataFrame, triangles: DataFrame, samples: int = 720, field_degrees: float = 360.0, max_distance: float = 100.0, strategy: str = "auto", angles: DataFrame | None = None) -> DataFrame:
     """(viewpoint_id, idx, angle, d*, distance, object_id, hit) in the horizontal plane of each viewpoint(viewpoint_id, p*)."""
     a = angles if angles is not None else circle(viewpoints.sparkSession, samples, field_degrees).select("idx", F.cos("angle").alias("dx"), F.sin("angle").alias("dy"), F.lit(0.0).alias("dz"))
-    rows = viewpoints.select("viewpoint_id", "px", "py", "pz").crossJoin(F.broadcast(a))
-    hits = closest(_rays(rows, F.lit(float(max_distance))), triangles, ["viewpoint_id", "idx"], strategy).select("viewpoint_id", "idx", "hit", "object_id", "distance")
-    return rows.join(hits, ["viewpoint_id", "idx"]).withColumn("distance", F.coalesce("distance", F.lit(float(max_distance))))
+    rows = viewpoints.select("viewpoint_id", "px", "py", "pz").crossJoin(small(a))
+    names = [c for c in rows.columns if c not in ("viewpoint_id", "idx")]
+    hits = closest(_rays(rows, F.lit(float(max_distance))), triangles, ["viewpoint_id", "idx"], strategy, carry=names)
+    return hits.select("viewpoint_id", "idx", *names, "hit", "object_id", F.coalesce("distance", F.lit(float(max_distance))).alias("distance"))
 
 
 def isovist_summary(rays: DataFrame, full_circle: bool = True) -> DataFrame:
@@ -60,62 +90,77 @@ def isovist_summary(rays: DataFrame, full_circle: bool = True) -> DataFrame:
 # Intervisibility.
 
 
-def intervisibility(observers: DataFrame, targets: DataFrame, triangles: DataFrame, max_distance: float = 1e300, clearance: float = 1e-4, reference_distance: float = 10.0, facing_exponent: float = 1.0, strategy: str = "auto") -> DataFrame:
+def intervisibility(observers: DataFrame, targets: DataFrame, triangles: DataFrame, max_distance: float = 1e300, clearance: float = 1e-4, reference_distance: float = 10.0, facing_exponent: float = 1.0, strategy: str = "auto", far: bool = True) -> DataFrame:
     """(observer_id, target_id, state, distance, risk, object_id) of all pairs of observers(p*, weight) and targets(q*, sensitivity).
 
     States: coincident, out_of_range, visible, blocked.  Targets with a normal
-    m* are weighed by how they face the observer.
+    m* are weighed by how they face the observer.  Pairs in range meet on grid
+    cells and only they are traced; with far = False pairs out of range are left
+    out, and ``visibility_counts`` can count them without listing them.
     """
     t = targets.select("target_id", "qx", "qy", "qz", "sensitivity", *(c for c in ("mx", "my", "mz") if c in targets.columns))
-    rows = observers.select("observer_id", "px", "py", "pz", "weight").crossJoin(t)
-    v = sub(vec("q"), vec("p"))
-    rows = rows.withColumn("distance", norm(v)).withColumn("early", F.when(F.col("distance") <= clearance, "coincident").when(F.col("distance") > max_distance, "out_of_range").when(F.col("distance") <= 2 * clearance, "visible"))
-    d = scale(v, 1 / F.when(F.col("distance") > 0, F.col("distance")))
-    rows = rows.select("*", *[c.alias(f"d{x}") for c, x in zip(d, "xyz", strict=True)])
-    traced = _rays(rows.where("early is null"), F.col("distance") - clearance).withColumn("t_min", F.lit(clearance))
-    hits = closest(traced, triangles, ["observer_id", "target_id"], strategy).select("observer_id", "target_id", "hit", "object_id")
-    out = rows.join(hits, ["observer_id", "target_id"], "left")
-    state = F.coalesce("early", F.when(F.col("hit"), "blocked").otherwise("visible"))
+    o = observers.select("observer_id", "px", "py", "pz", "weight")
+    bounded = max_distance < 1e150
+    rows = near_between(o, t, max_distance) if bounded else o.crossJoin(t).withColumn("distance", norm(sub(vec("q"), vec("p"))))
+    rows = _toward(rows.withColumn("early", _early(clearance, max_distance)))
     facing = F.pow(F.greatest(-dot(vec("m"), vec("d")), F.lit(0.0)), facing_exponent) if "mx" in targets.columns else F.lit(1.0)
-    near = F.col("distance") / reference_distance
-    risk = F.when(state == "visible", F.col("weight") * F.col("sensitivity") * facing / (1 + near * near)).otherwise(0.0)
-    return out.select("observer_id", "target_id", state.alias("state"), "distance", risk.alias("risk"), F.coalesce("object_id", F.lit(0).cast("long")).alias("object_id"))
+    rows = rows.withColumn("gain", F.col("weight") * F.col("sensitivity") * facing).withColumnRenamed("distance", "far")
+    out = closest(_rays(rows, F.col("far") - clearance).withColumn("t_min", F.lit(clearance)), triangles, ["observer_id", "target_id"], strategy, carry=["early", "far", "gain"], active=F.col("early").isNull())
+    near = F.col("far") / reference_distance
+    state = F.coalesce("early", F.when(F.col("hit"), "blocked").otherwise("visible"))
+    risk = F.when(state == "visible", F.col("gain") / (1 + near * near)).otherwise(0.0)
+    out = out.select("observer_id", "target_id", state.alias("state"), F.col("far").alias("distance"), risk.alias("risk"), "object_id")
+    if not bounded or not far:
+        return out
+    beyond = o.crossJoin(t).withColumn("distance", norm(sub(vec("q"), vec("p")))).where(F.col("distance") > max_distance)
+    return out.unionByName(beyond.select("observer_id", "target_id", F.lit("out_of_range").alias("state"), "distance", F.lit(0.0).alias("risk"), F.lit(0).cast("long").alias("object_id")))
+
 
+def visibility_counts(pairs: DataFrame, key: str, entities: DataFrame | None = None, others: int | None = None) -> DataFrame:
+    """A row for each observer or target: pairs by state, visible share without coincident ones, combined and largest risk.
 
-def visibility_counts(pairs: DataFrame, key: str) -> DataFrame:
-    """A row for each observer or target: pairs by state, visible share without coincident ones, combined and largest risk."""
+    Where pairs out of range were left out, entities has all keys and others is
+    the number of rows on the other side: what is not listed is out of range.
+    """
     n = lambda s: F.count_if(F.col("state") == s)
     out = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("pairs"), n("visible").alias("visible"), n("blocked").alias("blocked"), n("out_of_range").alias("out_of_range"), n("coincident").alias("coincident"), (1 - F.product(1 - F.least("risk", F.lit(1.0)))).alias("combined_risk"), F.max("risk").alias("max_risk"))
+    if entities is not None:
+        out = entities.select(key).join(out, key, "left").na.fill(0).withColumn("out_of_range", F.col("out_of_range") + others - F.col("pairs")).withColumn("pairs", F.lit(others).cast("long"))
     return out.withColumn("visible_fraction", ratio(F.col("visible").cast("double"), (F.col("pairs") - F.col("coincident")).cast("double")))
 
 
 # Visibility graphs. Edges are (i, j) with i < j, by nodes' idx.
 
 
-def graph_pairs(nodes: DataFrame, triangles: DataFrame, max_distance: float = 1e300, clearance: float = 1e-4, strategy: str = "auto", pairs: DataFrame | None = None) -> DataFrame:
-    """(i, j, distance, state) of all unordered pairs of nodes(idx, x, y, z), or of the given pairs(i, j)."""
-    a = nodes.select(F.col("idx").alias("i"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
-    b = nodes.select(F.col("idx").alias("j"), *[F.col(c).alias(f"q{c}") for c in "xyz"])
-    rows = a.join(b, F.col("i") < F.col("j")) if pairs is None else pairs.select("i", "j").join(a, "i").join(b, "j")
-    v = sub(vec("q"), vec("p"))
-    rows = rows.withColumn("distance", norm(v)).withColumn("early", F.when(F.col("distance") <= clearance, "coincident").when(F.col("distance") > max_distance, "out_of_range").when(F.col("distance") <= 2 * clearance, "visible"))
-    d = scale(v, 1 / F.when(F.col("distance") > 0, F.col("distance")))
-    rows = rows.select("*", *[c.alias(f"d{x}") for c, x in zip(d, "xyz", strict=True)])
-    traced = _rays(rows.where("early is null"), F.col("distance") - clearance).withColumn("t_min", F.lit(clearance))
-    hits = closest(traced, triangles, ["i", "j"], strategy).select("i", "j", "hit")
-    return rows.join(hits, ["i", "j"], "left").select("i", "j", "distance", F.coalesce("early", F.when(F.col("hit"), "blocked").otherwise("visible")).alias("state"))
+def graph_pairs(nodes: DataFrame, triangles: DataFrame, max_distance: float = 1e300, clearance: float = 1e-4, strategy: str = "auto", pairs: DataFrame | None = None, far: bool = True) -> DataFrame:
+    """(i, j, distance, state) of all unordered pairs of nodes(idx, x, y, z), or of the given pairs(i, j).
+
+    Pairs in range meet on grid cells and only they are traced; with far = False
+    pairs out of range are left out.
+    """
+    a, b = _ends(nodes)
+    apart = norm(sub(vec("q"), vec("p")))
+    bounded = pairs is None and max_distance < 1e150
+    if bounded:
+        rows = near_between(a, b, max_distance).where("i < j")
+    else:
+        rows = (a.join(b, F.col("i") < F.col("j")) if pairs is None else pairs.select("i", "j").join(a, "i").join(b, "j")).withColumn("distance", apart)
+    rows = _toward(rows.withColumn("early", _early(clearance, max_distance))).withColumnRenamed("distance", "far")
+    out = closest(_rays(rows, F.col("far") - clearance).withColumn("t_min", F.lit(clearance)), triangles, ["i", "j"], strategy, carry=["early", "far"], active=F.col("early").isNull())
+    out = out.select("i", "j", F.col("far").alias("distance"), F.coalesce("early", F.when(F.col("hit"), "blocked").otherwise("visible")).alias("state"))
+    if not bounded or not far:
+        return out
+    beyond = a.join(b, F.col("i") < F.col("j")).withColumn("distance", apart).where(F.col("distance") > max_distance)
+    return out.unionByName(beyond.select("i", "j", "distance", F.lit("out_of_range").alias("state")))
+
+
+def _ends(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return tuple(nodes.select(F.col("idx").alias(n), *[F.col(c).alias(f"{p}{c}") for c in "xyz"]) for n, p in (("i", "p"), ("j", "q")))  # type: ignore[return-value]
 
 
 def near_pairs(nodes: DataFrame, radius: float) -> DataFrame:
-    """(i, j, distance) of nodes within a radius, i < j: an equality join on grid cells, each pair found once."""
-    cell = [F.floor(F.col(c) / radius).alias(f"g{c}") for c in "xyz"]
-    a = nodes.select(F.col("idx").alias("i"), *[F.col(c).alias(f"p{c}") for c in "xyz"], *cell)
-    steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    b = nodes.select(F.col("idx").alias("j"), *[F.col(c).alias(f"q{c}") for c in "xyz"], *cell)
-    for c in "xyz":
-        b = b.withColumn(f"s{c}", F.explode(steps)).withColumn(f"g{c}", F.col(f"g{c}") + F.col(f"s{c}")).drop(f"s{c}")
-    v = sub(vec("q"), vec("p"))
-    return a.join(b, ["gx", "gy", "gz"]).where("i < j").withColumn("distance", norm(v)).where(F.col("distance") <= radius).select("i", "j", "distance")
+    """(i, j, distance) of nodes within a radius, i < j."""
+    return near_between(*_ends(nodes), radius).where("i < j").select("i", "j", "distance")
 
 
 def sparse_candidates(nodes: DataFrame, radius: float = 25.0, neighbours: int = 16) -> DataFrame:
@@ -164,30 +209,33 @@ def target_view_samples(observers: DataFrame, patches: DataFrame, triangles: Dat
     squared; score its weighted share.
     """
     h, v = math.tan(math.radians(horizontal / 2)), math.tan(math.radians(vertical / 2))
-    kept = patches.where(F.expr(f"(mask & {mask}) <> 0"))
-    rows = observers.crossJoin(kept)
-    corners = [sub(vec(c), vec("p")) for c in "abc"]
-    n = unit(cross(sub(vec("b"), vec("a")), sub(vec("c"), vec("a"))))
-    rows = rows.withColumn("patch_omega", solid_angle(*corners))
+    kept = patches.where(F.expr(f"(mask & {mask}) <> 0")).select("*", *named(unit(cross(sub(vec("b"), vec("a")), sub(vec("c"), vec("a")))), "n"))
+    if max_distance < 1e150:
+        # a patch with a sample in range has its centre within the range and its own size
+        middle = [((F.col(f"a{x}") + F.col(f"b{x}") + F.col(f"c{x}")) / 3).alias(f"q{x}") for x in "xyz"]
+        kept = kept.select("*", *middle)
+        reach = kept.agg(F.max(F.greatest(*[norm(sub(vec(c), vec("q"))) for c in "abc"])).alias("r")).first()["r"] or 0.0
+        rows = near_between(observers, kept, max_distance + reach).drop("distance", "qx", "qy", "qz")
+    else:
+        rows = observers.crossJoin(kept)
+    rows = rows.withColumn("patch_omega", solid_angle(*[sub(vec(c), vec("p")) for c in "abc"]))
     s = triangle_points(observers.sparkSession, samples)
-    rows = rows.crossJoin(F.broadcast(s))
-    q = tuple(F.col("wa") * F.col(f"a{x}") + F.col("wb") * F.col(f"b{x}") + F.col("wc") * F.col(f"c{x}") for x in "xyz")
-    to = sub(q, vec("p"))
-    rows = rows.withColumn("distance", norm(to))
-    d = scale(to, 1 / F.when(F.col("distance") > 0, F.col("distance")))
-    rows = rows.select("*", *[c.alias(f"d{x}") for c, x in zip(d, "xyz", strict=True)])
-    cosine = -dot(n, vec("d"))
+    rows = rows.crossJoin(small(s))
+    q = tuple((F.col("wa") * F.col(f"a{x}") + F.col("wb") * F.col(f"b{x}") + F.col("wc") * F.col(f"c{x}")) for x in "xyz")
+    rows = rows.select("*", *named(q, "q")).withColumn("distance", norm(sub(vec("q"), vec("p"))))
+    rows = _toward(rows)
+    cosine = -dot(vec("n"), vec("d"))
     rows = rows.withColumn("cosine", F.abs(cosine) if two_sided else cosine).where("cosine > 0")
     rows = rows.withColumn("w", F.col("cosine") / (F.col("distance") * F.col("distance")))
     patch = Window.partitionBy("observer_id", "target_id", "patch_id")
     rows = rows.withColumn("omega", F.col("patch_omega") * ratio(F.col("w"), F.sum("w").over(patch)))
     rows = rows.where(in_field(vec("f"), vec("u"), vec("d"), h, v) & (F.col("distance") <= max_distance))
-    keys = ["observer_id", "target_id", "patch_id", "idx"]
-    hits = closest(_rays(rows, F.col("distance") - 1e-4), triangles, keys, strategy).select(*keys, "hit", "object_id")
     near = 1 / (1 + F.pow(F.col("distance") / reference_distance, distance_exponent))
     facing = F.pow(F.greatest(dot(vec("f"), vec("d")), F.lit(0.0)), direction_exponent)
-    score = F.col("omega") * F.col("category_weight") * near * facing * F.col("weight")
-    return rows.join(hits, keys).select(*keys, "mask", "omega", score.alias("score"), (~F.col("hit")).alias("visible"), F.when(F.col("hit"), F.col("object_id")).alias("object_id"))
+    rows = rows.withColumn("score", F.col("omega") * F.col("category_weight") * near * facing * F.col("weight")).withColumnRenamed("mask", "own_mask")
+    keys = ["observer_id", "target_id", "patch_id", "idx"]
+    hits = closest(_rays(rows, F.col("distance") - 1e-4), triangles, keys, strategy, carry=["own_mask", "omega", "score"])
+    return hits.select(*keys, F.col("own_mask").alias("mask"), "omega", "score", (~F.col("hit")).alias("visible"), F.when(F.col("hit"), F.col("object_id")).alias("object_id"))
 
 
 def target_view_pairs(samples: DataFrame) -> DataFrame:
@@ -213,15 +261,10 @@ def target_view_observers(samples: DataFrame, horizontal: float = 90.0, vertical
 
 def corridors(views: DataFrame, triangles: DataFrame, samples: int = 512, strategy: str = "auto") -> DataFrame:
     """A row for each corridor(corridor_id, p*, q*, radius): open share of a round aperture, cone angle, convergence, blockers."""
-    v = sub(vec("q"), vec("p"))
-    rows = views.withColumn("length", norm(v)).crossJoin(F.broadcast(disk(views.sparkSession, samples, centred=True)))
-    axis = scale(v, 1 / F.col("length"))
-    t, b = tangents(axis)
-    to = add(v, add(scale(t, F.col("lx") * F.col("radius")), scale(b, F.col("ly") * F.col("radius"))))
-    rows = rows.withColumn("distance", norm(to))
-    rows = rows.select("*", *[(c / F.col("distance")).alias(f"d{x}") for c, x in zip(to, "xyz", strict=True)])
-    hits = closest(_rays(rows, F.col("distance") - 1e-4), triangles, ["corridor_id", "idx"], strategy).select("corridor_id", "idx", "hit", "object_id", F.col("distance").alias("hit_distance"))
-    every = rows.join(hits, ["corridor_id", "idx"])
+    axis = scale(sub(vec("q"), vec("p")), 1 / F.col("length"))
+    rows = views.withColumn("length", norm(sub(vec("q"), vec("p")))).select("*", *named(axis, "a"))
+    rows = _disk_rays(rows, disk(views.sparkSession, samples, centred=True), "radius")
+    every = closest(_rays(rows, F.col("reach") - 1e-4), triangles, ["corridor_id", "idx"], strategy, carry=["length", "radius"]).withColumnRenamed("distance", "hit_distance")
     is_open = F.when(F.col("hit"), 0.0).otherwise(1.0)
     cone = 2 * math.pi * (1 - F.first(F.col("length") / F.sqrt(F.col("length") * F.col("length") + F.col("radius") * F.col("radius"))))
     half = F.avg(F.when(F.col("idx") < samples // 2, is_open))
@@ -268,12 +311,9 @@ def path_summary(values: DataFrame) -> DataFrame:
 def isovist3d_layers(viewpoints: DataFrame, triangles: DataFrame, materials: DataFrame, assignment: DataFrame, samples: int = 4096, max_distance: float = 100.0, strategy: str = "auto", directions: DataFrame | None = None) -> DataFrame:
     """(viewpoint_id, idx, d*, layers): the sorted layers that each ray meets, traced once."""
     d = directions if directions is not None else sphere(viewpoints.sparkSession, samples).select("idx", F.col("lx").alias("dx"), F.col("ly").alias("dy"), F.col("lz").alias("dz"))
-    rows = viewpoints.select("viewpoint_id", "px", "py", "pz").crossJoin(F.broadcast(d))
+    rows = viewpoints.select("viewpoint_id", "px", "py", "pz").crossJoin(small(d))
     keys = ["viewpoint_id", "idx"]
-    hits = with_transmittance(ray_hits(_rays(rows, F.lit(float(max_distance))), triangles, keys, strategy=strategy), materials, assignment, "visible_t")
-    layers = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("distance", "object_id", "instance_id", "triangle_id", "coefficient"))).alias("layers"))
-    none = F.array().cast(layers.schema["layers"].dataType)
-    return rows.join(layers, keys, "left").withColumn("layers", F.coalesce("layers", none))
+    return layered(_rays(rows, F.lit(float(max_distance))), triangles, keys, materials, assignment, "visible_t", strategy, carry=["px", "py", "pz", "dx", "dy", "dz"])
 
 
 def isovist3d(layers: DataFrame, samples: int, max_distance: float = 100.0, max_layers: int = 8, cutoff: float = 1e-4, excluding: Column | None = None) -> DataFrame:
@@ -304,31 +344,37 @@ def isovist3d_counterfactuals(layers: DataFrame, attribution: DataFrame, samples
 # Landmarks.
 
 
-def landmarks(observers: DataFrame, marks: DataFrame, triangles: DataFrame, materials: DataFrame, assignment: DataFrame, samples: int = 64, horizontal: float = 90.0, vertical: float = 90.0, max_distance: float = 1000.0, max_layers: int = 8, cutoff: float = 1e-4, strategy: str = "auto") -> DataFrame:
-    """(observer_id, landmark_id, in_view, solid_angle, transmission, score) of spheres landmarks(landmark_id, q*, radius, weight)."""
+def landmarks(observers: DataFrame, marks: DataFrame, triangles: DataFrame, materials: DataFrame, assignment: DataFrame, samples: int = 64, horizontal: float = 90.0, vertical: float = 90.0, max_distance: float = 1000.0, max_layers: int = 8, cutoff: float = 1e-4, strategy: str = "auto", far: bool = True) -> DataFrame:
+    """(observer_id, landmark_id, in_view, solid_angle, transmission, score) of spheres landmarks(landmark_id, q*, radius, weight).
+
+    Only landmarks in view are traced; with far = False those beyond max_distance
+    are left out, else they have a row of zeros like all that are not in view.
+    """
     m = marks.select("landmark_id", "qx", "qy", "qz", "radius", F.col("weight").alias("mark_weight"))
-    rows = observers.crossJoin(F.broadcast(m)) if marks.limit(100_001).count() <= 100_000 else observers.crossJoin(m)
-    v = sub(vec("q"), vec("p"))
-    rows = rows.withColumn("distance", norm(v))
-    axis = scale(v, 1 / F.when(F.col("distance") > 0, F.col("distance")))
-    view = in_field(vec("f"), vec("u"), axis, math.tan(math.radians(horizontal / 2)), math.tan(math.radians(vertical / 2)))
-    rows = rows.withColumn("in_view", view & (F.col("distance") <= max_distance) & (F.col("distance") > F.col("radius")))
+    names = ["observer_id", "landmark_id", "in_view", "solid_angle", "transmission", "score"]
+    apart = norm(sub(vec("q"), vec("p")))
+    rows = near_between(observers, m, max_distance) if max_distance < 1e150 else observers.crossJoin(m).withColumn("distance", apart)
+    axis = scale(sub(vec("q"), vec("p")), 1 / F.when(F.col("distance") > 0, F.col("distance")))
+    rows = rows.select("*", *named(axis, "a"))
+    view = in_field(vec("f"), vec("u"), vec("a"), math.tan(math.radians(horizontal / 2)), math.tan(math.radians(vertical / 2)))
+    rows = rows.withColumn("in_view", F.coalesce(view & (F.col("distance") > F.col("radius")), F.lit(False)))
     share = F.col("radius") / F.when(F.col("distance") > F.col("radius"), F.col("distance"))
-    rows = rows.withColumn("solid_angle", F.when(F.col("in_view"), 2 * math.pi * (1 - F.sqrt(1 - share * share))).otherwise(0.0))
-    s = rows.where("in_view").crossJoin(F.broadcast(disk(observers.sparkSession, samples)))
-    t, b = tangents(axis)
-    to = add(v, add(scale(t, F.col("lx") * F.col("radius")), scale(b, F.col("ly") * F.col("radius"))))
-    s = s.withColumn("reach", norm(to))
-    s = s.select("*", *[(c / F.col("reach")).alias(f"d{x}") for c, x in zip(to, "xyz", strict=True)])
+    seen = rows.where("in_view").withColumn("share", share).withColumn("solid_angle", 2 * math.pi * (1 - F.sqrt(1 - F.col("share") * F.col("share"))))
+    s = _disk_rays(seen, disk(observers.sparkSession, samples), "radius")
     keys = ["observer_id", "landmark_id", "idx"]
-    hits = with_transmittance(ray_hits(_rays(s, F.col("reach") - F.col("radius")), triangles, keys, carry=["t_max"], strategy=strategy), materials, assignment, "visible_t")
-    layers = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("distance", "object_id", "instance_id", "triangle_id", "coefficient"))).alias("layers"), F.first("t_max").alias("far"))
-    walked = layers.select(*keys, folded(F.col("layers"), F.col("far"), 1e-6, cutoff, max_layers)["transmission"].alias("t"))
-    mean = s.select(*keys).join(walked, keys, "left").groupBy("observer_id", "landmark_id").agg(F.avg(F.coalesce("t", F.lit(1.0))).alias("transmission"))
+    rays = _rays(s, F.col("reach") - F.col("radius"))
+    layers = layered(rays, triangles, keys, materials, assignment, "visible_t", strategy, carry=["t_max", "solid_angle", "mark_weight"])
+    walked = layers.withColumn("t", folded(F.col("layers"), F.col("t_max"), 1e-6, cutoff, max_layers)["transmission"])
+    mean = walked.groupBy("observer_id", "landmark_id", "solid_angle", "mark_weight").agg(F.avg("t").alias("transmission"))
     camera = 4 * math.sin(math.radians(horizontal / 2)) * math.sin(math.radians(vertical / 2))
-    out = rows.join(mean, ["observer_id", "landmark_id"], "left").withColumn("transmission", F.coalesce("transmission", F.lit(0.0)))
     score = F.col("mark_weight") * F.col("solid_angle") * F.col("transmission") / camera
-    return out.select("observer_id", "landmark_id", "in_view", "solid_angle", "transmission", score.alias("score"))
+    out = mean.select("observer_id", "landmark_id", F.lit(True).alias("in_view"), "solid_angle", "transmission", score.alias("score"))
+    zero = [F.lit(False).alias("in_view"), *[F.lit(0.0).alias(c) for c in names[3:]]]
+    out = out.unionByName(rows.where("not in_view").select("observer_id", "landmark_id", *zero))
+    if max_distance < 1e150 and far:
+        beyond = observers.select("observer_id", "px", "py", "pz").crossJoin(m.select("landmark_id", "qx", "qy", "qz")).where(apart > max_distance)
+        out = out.unionByName(beyond.select("observer_id", "landmark_id", *zero))
+    return out.select(*names)
 
 
 # Comparison and helpers.

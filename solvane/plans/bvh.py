@@ -2,7 +2,9 @@
 
 For scenes that fit in an executor's memory: triangles are counted, collected
 once, ordered along a space-filling curve and cut into leaves under implicit
-binary levels; all rays of a batch walk the levels together in numpy.
+binary levels; all rays of a batch walk the levels together in numpy.  A ray's
+nearest hit, or its hits in order, are found inside the batch, so neither hits
+nor rays are shuffled after the walk.
 """
 
 from __future__ import annotations
@@ -14,9 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from solvane.core import NO_ID, NO_TRIANGLE
+
 #: Triangles that a driver and executors hold at most (about 100 bytes each).
 BVH_TRIANGLES = 5_000_000
 LEAF = 8
+#: Rays that walk together.
+RAYS = 1024
+_IDS = ("object_id", "instance_id", "mesh_id", "triangle_id")
+_RAY = ("ox", "oy", "oz", "dx", "dy", "dz", "t_min", "t_max", "category_mask")
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -70,51 +78,119 @@ class Hierarchy:
         return ray, node
 
 
-def bvh_hits(rays: DataFrame, triangles: DataFrame, keys: list[str], carry: list[str], excluding: Column | None) -> DataFrame:
+class Scene:
+    """A hierarchy with the ids and masks of its triangles; coefficient is 0 where triangles have none."""
+
+    def __init__(self, t: pa.Table):
+        num = lambda c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        points = np.stack([num(f"{c}{x}").astype(np.float64) for c in "abc" for x in "xyz"], axis=1).reshape(-1, 3, 3)
+        self.tree = Hierarchy(points) if len(points) else None
+        self.ids = {n: num(n).astype(np.int64) for n in _IDS}
+        self.mask, self.mirrored = num("category_mask").astype(np.int64), num("mirrored").astype(bool)
+        self.coefficient = num("coefficient").astype(np.float64) if "coefficient" in t.column_names else np.zeros(len(points))
+
+    def hits(self, b: pa.RecordBatch) -> dict[str, np.ndarray]:
+        """All accepted hits of a batch of rays (w_ columns): ray, tri, distance, u, v, front, by ray, distance and ids."""
+        num = lambda c: b.column(f"w_{c}").to_numpy(zero_copy_only=False)
+        none = {"ray": np.zeros(0, np.int64), "tri": np.zeros(0, np.int64), "distance": np.zeros(0), "u": np.zeros(0), "v": np.zeros(0), "front": np.zeros(0, bool)}
+        live = np.flatnonzero(b.column("w_active").fill_null(False).to_numpy(zero_copy_only=False))
+        if self.tree is None or not len(live):
+            return none
+        o, d = np.stack([num("ox"), num("oy"), num("oz")], 1).astype(np.float64), np.stack([num("dx"), num("dy"), num("dz")], 1).astype(np.float64)
+        t0, t1, own = num("t_min").astype(np.float64), num("t_max").astype(np.float64), num("category_mask")
+        without = b.column("w_excluded").fill_null(-1).to_numpy(zero_copy_only=False)
+        ray, leaf = self.tree.candidates(o[live], d[live], t0[live], t1[live])
+        ray = np.repeat(live[ray], LEAF)
+        tri = (leaf[:, None] * LEAF + np.arange(LEAF)).ravel()
+        ok = tri < self.tree.real
+        ray, tri = ray[ok], tri[ok]
+        p = self.tree.points[tri]
+        e1, e2 = p[:, 1] - p[:, 0], p[:, 2] - p[:, 0]
+        pv = np.cross(d[ray], e2)
+        det = (e1 * pv).sum(1)
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            inv = 1.0 / det
+            s = o[ray] - p[:, 0]
+            u = (s * pv).sum(1) * inv
+            q = np.cross(s, e1)
+            v = (d[ray] * q).sum(1) * inv
+            t = (e2 * q).sum(1) * inv
+        real = self.tree.order[tri]
+        ok = (np.abs(det) > 1e-14 * np.sqrt((e1 * e1).sum(1)) * np.sqrt((e2 * e2).sum(1))) & (u >= 0) & (u <= 1) & (v >= 0) & (u + v <= 1) & (t >= t0[ray]) & (t <= t1[ray])
+        ok &= ((own[ray].astype(np.int64) & self.mask[real]) != 0) & (self.ids["object_id"][real] != without[ray])
+        ray, real, t, u, v, det = ray[ok], real[ok], t[ok], u[ok], v[ok], det[ok]
+        order = np.lexsort((self.ids["triangle_id"][real], self.ids["instance_id"][real], self.ids["object_id"][real], t, ray))
+        ray, real, det = ray[order], real[order], det[order]
+        return {"ray": ray, "tri": real, "distance": t[order], "u": u[order], "v": v[order], "front": np.where(self.mirrored[real], det < 0, det > 0)}
+
+
+def _walked(rays: DataFrame, triangles: DataFrame, kept: list[str], excluding: Column | None, active: Column | None, kinds: str, shape) -> DataFrame:
+    """shape(scene, batch, hits) of each batch of rays; rays are dealt out by number, since the walk, not their size, is the work."""
     if triangles.limit(BVH_TRIANGLES + 1).count() > BVH_TRIANGLES:
         raise ValueError("too many triangles for this plan; take voxel")
-    t = triangles.toPandas()
-    names = ("object_id", "instance_id", "mesh_id", "triangle_id")
-    points = t[[f"{c}{x}" for c in "abc" for x in "xyz"]].to_numpy(np.float64).reshape(-1, 3, 3)
-    if not len(points):
-        from solvane.plans.ray_plans import nested_hits
-
-        return nested_hits(rays, triangles, keys, carry, excluding)
-    tree = Hierarchy(points)
-    share = rays.sparkSession.sparkContext.broadcast((tree, {n: t[n].to_numpy(np.int64) for n in names}, t["category_mask"].to_numpy(np.int64), t["mirrored"].to_numpy(bool)))
-    kept = [*keys, *carry]
-    source = rays.select(*kept, *[F.col(c).alias(f"w_{c}") for c in ("ox", "oy", "oz", "dx", "dy", "dz", "t_min", "t_max", "category_mask")], (excluding if excluding is not None else F.lit(None)).cast("long").alias("w_excluded"))
+    names = [*_IDS, *[f"{c}{x}" for c in "abc" for x in "xyz"], "category_mask", "mirrored", *(["coefficient"] if "coefficient" in triangles.columns else [])]
+    share = rays.sparkSession.sparkContext.broadcast(Scene(triangles.select(*names).toArrow()))
+    source = rays.select(*kept, *[F.col(c).alias(f"w_{c}") for c in _RAY], (excluding if excluding is not None else F.lit(None)).cast("long").alias("w_excluded"), (active if active is not None else F.lit(True)).alias("w_active"))
+    source = source.repartition(int(rays.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, ids, mask, mirrored = share.value
+        scene = share.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                b = whole.slice(at, 4096)
-                num = lambda c, b=b: b.column(f"w_{c}").to_numpy(zero_copy_only=False)
-                o, d = np.stack([num("ox"), num("oy"), num("oz")], 1), np.stack([num("dx"), num("dy"), num("dz")], 1)
-                t0, t1, own = num("t_min"), num("t_max"), num("category_mask").astype(np.int64)
-                without = b.column("w_excluded").fill_null(-1).to_numpy(zero_copy_only=False)
-                ray, leaf = tree.candidates(o, d, t0, t1)
-                ray = np.repeat(ray, LEAF)
-                tri = (leaf[:, None] * LEAF + np.arange(LEAF)).ravel()
-                ok = tri < tree.real
-                ray, tri = ray[ok], tri[ok]
-                p = tree.points[tri]
-                e1, e2 = p[:, 1] - p[:, 0], p[:, 2] - p[:, 0]
-                pv = np.cross(d[ray], e2)
-                det = (e1 * pv).sum(1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    inv = 1.0 / det
-                    s = o[ray] - p[:, 0]
-                    u = (s * pv).sum(1) * inv
-                    q = np.cross(s, e1)
-                    v = (d[ray] * q).sum(1) * inv
-                    t = (e2 * q).sum(1) * inv
-                real = tree.order[tri]
-                ok = (np.abs(det) > 1e-14 * np.sqrt((e1 * e1).sum(1)) * np.sqrt((e2 * e2).sum(1))) & (u >= 0) & (u <= 1) & (v >= 0) & (u + v <= 1) & (t >= t0[ray]) & (t <= t1[ray]) & ((own[ray] & mask[real]) != 0) & (ids["object_id"][real] != without[ray])
-                ray, real, t, u, v, det = ray[ok], real[ok], t[ok], u[ok], v[ok], det[ok]
-                rows = b.select(kept).take(pa.array(ray))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(t), pa.array(u), pa.array(v), *(pa.array(ids[n][real]) for n in names), pa.array(np.where(mirrored[real], det < 0, det > 0))], [*kept, "distance", "u", "v", *names, "front_face"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rays.select(*kept).schema.fields)
-    return source.mapInArrow(trace, f"{kinds}, distance double, u double, v double, object_id long, instance_id long, mesh_id long, triangle_id long, front_face boolean")
+            for at in range(0, whole.num_rows, RAYS):
+                b = whole.slice(at, RAYS)
+                yield shape(scene, b.select(kept), scene.hits(b))
+
+    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in rays.select(*kept).schema.fields]
+    return source.mapInArrow(trace, ", ".join([*own, kinds]))
+
+
+def bvh_hits(rays: DataFrame, triangles: DataFrame, keys: list[str], carry: list[str], excluding: Column | None) -> DataFrame:
+    """All accepted hits, a row each."""
+    names = ["distance", "u", "v", *_IDS, "front_face"]
+
+    def shape(scene: Scene, b: pa.RecordBatch, h: dict) -> pa.RecordBatch:
+        rows = b.take(pa.array(h["ray"]))
+        return pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(h[c]) for c in names[:3]), *(pa.array(scene.ids[n][h["tri"]]) for n in _IDS), pa.array(h["front"])], [*rows.schema.names, *names])
+
+    return _walked(rays, triangles, [*keys, *carry], excluding, None, "distance double, u double, v double, object_id long, instance_id long, mesh_id long, triangle_id long, front_face boolean", shape)
+
+
+def bvh_closest(rays: DataFrame, triangles: DataFrame, keys: list[str], carry: list[str], excluding: Column | None, active: Column | None) -> DataFrame:
+    """A row for each ray with its nearest hit, or with none."""
+    names = ["hit", "distance", "u", "v", "object_id", "instance_id", "mesh_id", "triangle_id", "front_face"]
+
+    def shape(scene: Scene, b: pa.RecordBatch, h: dict) -> pa.RecordBatch:
+        ray, at = np.unique(h["ray"], return_index=True)
+        n = b.num_rows
+        hit, miss = np.zeros(n, bool), np.ones(n, bool)
+        hit[ray], miss[ray] = True, False
+        out = [pa.array(hit)]
+        for c in ("distance", "u", "v"):
+            x = np.zeros(n)
+            x[ray] = h[c][at]
+            out.append(pa.array(x, mask=miss))
+        for c in ("object_id", "instance_id", "mesh_id", "triangle_id"):
+            x = np.full(n, NO_TRIANGLE if c == "triangle_id" else NO_ID, np.int64)
+            x[ray] = scene.ids[c][h["tri"][at]]
+            out.append(pa.array(x))
+        front = np.zeros(n, bool)
+        front[ray] = h["front"][at]
+        return pa.RecordBatch.from_arrays([*b.columns, *out, pa.array(front)], [*b.schema.names, *names])
+
+    return _walked(rays, triangles, [*keys, *carry], excluding, active, "hit boolean, distance double, u double, v double, object_id long, instance_id long, mesh_id long, triangle_id long, front_face boolean", shape)
+
+
+def bvh_layers(rays: DataFrame, triangles: DataFrame, keys: list[str], carry: list[str], excluding: Column | None, active: Column | None) -> DataFrame:
+    """A row for each ray with all its hits in order: LAYERS."""
+    fields = [pa.field("distance", pa.float64()), *[pa.field(c, pa.int64()) for c in ("object_id", "instance_id", "triangle_id")], pa.field("coefficient", pa.float64())]
+
+    def shape(scene: Scene, b: pa.RecordBatch, h: dict) -> pa.RecordBatch:
+        tri = h["tri"]
+        values = pa.StructArray.from_arrays([pa.array(h["distance"]), *(pa.array(scene.ids[f.name][tri]) for f in fields[1:4]), pa.array(scene.coefficient[tri])], fields=fields)
+        ends = np.searchsorted(h["ray"], np.arange(b.num_rows + 1))
+        return pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], [*b.schema.names, "layers"])
+
+    return _walked(rays, triangles, [*keys, *carry], excluding, active, f"layers {LAYERS}", shape)
+
+
+LAYERS = "array<struct<distance:double,object_id:bigint,instance_id:bigint,triangle_id:bigint,coefficient:double>>"

@@ -1,12 +1,14 @@
 """Physical plans of the ray-triangle join.
 
-``nested``: triangles are broadcast and tested against each ray.  Only for a
-number of triangles under ``NESTED_TRIANGLES``, which is counted first.
+``nested``: triangles are broadcast and tested against each ray: the reference
+for the other plans.  Only for a number of triangles under ``NESTED_TRIANGLES``,
+which is counted first.
 ``voxel``: triangles are listed in all cells of a grid that their boxes touch,
 rays in all cells that they cross (from the sorted parameters of the crossings of
 the grid's planes, in SQL expressions), and both meet by an equality join on the
 cell.  Neither side is broadcast; hot cells are split by adaptive execution.
-``auto`` takes the first if triangles are very few.
+``bvh``: rays walk a broadcast hierarchy; for scenes of a counted, bounded size.
+``auto`` takes ``bvh`` while the triangles fit, ``voxel`` beyond that.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 
 from solvane.functions.vector import box_entry, intersect, vec
 
-#: Triangles that are broadcast at most (about 150 bytes each); more of them make testing each ray against all too slow.
-NESTED_TRIANGLES = 200
+#: Triangles that are broadcast at most (about 150 bytes each).  Each ray is tested against all, for reference and for tests.
+NESTED_TRIANGLES = 200_000
 #: Cells on the longest side of the scene at most.
 MOST_CELLS = 512
 _CORNERS = ("a", "b", "c")
@@ -96,21 +98,30 @@ def voxel_hits(rays: DataFrame, triangles: DataFrame, keys: list[str], carry: li
     return found.dropDuplicates([*keys, "object_id", "instance_id", "triangle_id"])
 
 
+def chosen(strategy: str, triangles: DataFrame) -> str:
+    """The plan that ``auto`` stands for with these triangles, which are counted up to the bound."""
+    if strategy != "auto":
+        return strategy
+    from solvane.plans.bvh import BVH_TRIANGLES
+
+    return "bvh" if triangles.limit(BVH_TRIANGLES + 1).count() <= BVH_TRIANGLES else "voxel"
+
+
 def ray_hits(rays: DataFrame, triangles: DataFrame, keys: list[str], carry: list[str] | None = None, strategy: str = "auto", excluding: Column | None = None) -> DataFrame:
     """All accepted hits: keys, carried ray columns, distance, u, v, ids of the triangle, front_face."""
-    carry = carry or []
-    if strategy == "auto":
-        strategy = "nested" if triangles.limit(NESTED_TRIANGLES + 1).count() <= NESTED_TRIANGLES else "voxel"
+    carry, strategy = carry or [], chosen(strategy, triangles)
+    if strategy == "bvh":
+        from solvane.plans.bvh import bvh_hits
+
+        return bvh_hits(rays, triangles, keys, carry, excluding)
     # rays are dealt out by their keys: work is spread, and their expressions are computed once, below the exchange
     rays = rays.repartition(*keys)
     if strategy == "nested":
+        if triangles.limit(NESTED_TRIANGLES + 1).count() > NESTED_TRIANGLES:
+            raise ValueError("too many triangles for this plan; take voxel")
         return nested_hits(rays, triangles, keys, carry, excluding)
     if strategy == "voxel":
         return voxel_hits(rays, triangles, keys, carry, excluding)
-    if strategy == "bvh":
-        from solvane.plans.bvh import bvh_hits
-
-        return bvh_hits(rays, triangles, keys, carry, excluding)
     raise ValueError(f"unknown strategy {strategy}")
 
 

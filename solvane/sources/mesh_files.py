@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import json
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -346,3 +347,35 @@ def encoded(vertices: DataFrame, faces: DataFrame, kind: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["mesh_id", "content"])
 
     return _as_arrays(vertices, faces).mapInPandas(run, "mesh_id long, content binary")
+
+
+def write_files(vertices: DataFrame, faces: DataFrame, kind: str, folder: str) -> DataFrame:
+    """Writes each mesh as a file (obj, stl, stl-ascii, ply, ply-ascii, gltf, glb) to a folder's URI; returns (mesh_id, path), written there too.
+
+    Files are made and written by the tasks that hold the meshes, under another
+    name first, so that a task that is run again leaves whole files.
+    """
+    ending = kind.split("-")[0]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as pafs
+
+        store, at = (pafs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")) if folder.startswith("file:") else pafs.FileSystem.from_uri(folder)
+        store.create_dir(at, recursive=True)
+        for b in batches:
+            paths = []
+            for mesh, content in zip(b["mesh_id"], b["content"], strict=True):
+                name = f"mesh-{mesh}.{ending}"
+                own = f"{at}/{name}.{uuid.uuid4().hex}.tmp"
+                with store.open_output_stream(own) as out:
+                    out.write(bytes(content))
+                if not isinstance(store, pafs.LocalFileSystem) and store.get_file_info(f"{at}/{name}").type != pafs.FileType.NotFound:
+                    store.delete_file(f"{at}/{name}")
+                store.move(own, f"{at}/{name}")
+                paths.append(f"{folder}/{name}")
+            yield pd.DataFrame({"mesh_id": b["mesh_id"], "path": paths})
+
+    content = obj_lines(vertices, faces).select("mesh_id", F.col("value").cast("binary").alias("content")) if kind == "obj" else encoded(vertices, faces, kind)
+    written = content.mapInPandas(run, "mesh_id long, path string")
+    written.write.mode("overwrite").parquet(f"{folder}/_written")
+    return vertices.sparkSession.read.schema("mesh_id long, path string").parquet(f"{folder}/_written")
