@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solvane.llm.shared import only, text_key, text_slices, tidy, without, written
+from solvane.llm.shared import only, text_key, text_slices, tidy, trim, without, written
 from solvane.llm.wordhash import SPACES, finish, tokens
 
 #: Buckets of a sketch of frequencies, and the parts in which it is summed.
@@ -61,7 +61,7 @@ LIST_ROWS = 100_000
 #: Members of a short list.
 SHORT = 16
 #: Entries of lists that one task scans at once, about.
-RANGE_ENTRIES = 500_000
+RANGE_ENTRIES = 200_000
 #: A partner that an entry meets in a list costs as much as so many entries: its histogram, and maybe its set, has to be fetched.
 PARTNER_COST = 32.0
 #: Of the partners in a long list, beside the hub, so many have to be fetched: size and place rule most out, and lists that are closed need none.
@@ -147,7 +147,7 @@ def _classes_and_sketch(docs: DataFrame, width: int) -> DataFrame:
             sets = shingle_sets(b.column("text").to_pylist(), width)
             named = [set_name(s) for s in sets]
             if any(map(len, sets)):
-                sketch += np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+                np.add.at(sketch, _slots(np.concatenate(sets)), 1)
             k = b.num_rows
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in named], pa.int64()), pa.array([x for _, x in named], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         if sketch.any():
@@ -413,6 +413,7 @@ def _lists(own: DataFrame, lengths: np.ndarray, light: int, percent: int, entrie
         none = lambda n, kind: pa.nulls(n, kind)
         each = [("a", pairs[:, 0], None, pa.int64()), ("b", pairs[:, 1], None, pa.int64()), ("key", None, long["key"], pa.int64()), ("n", None, long["n"], pa.int32()), ("i", None, long["i"], pa.int32()), ("cls", None, long["cls"], pa.int64())]
         cols = [pa.chunked_array([pa.array(x, t) if x is not None else none(k, t), pa.array(y, t) if y is not None else none(m, t)], t) for _, x, y, t in each]
+        trim()
         return pa.table(cols, [name for name, *_ in each])
 
     dealt = own.select("n", "cls", "keys").mapInArrow(tidy(deal), "r long, entries binary")
@@ -570,6 +571,7 @@ def _open_pairs(lists: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
                 a, b = col["cls"][part[u]], col["cls"][rows[v]]
                 found.append(np.c_[np.minimum(a, b), np.maximum(a, b)])
         pairs = np.unique(np.concatenate(found), axis=0)
+        trim()
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return each.groupBy("r").applyInArrow(pair, "a long, b long").distinct()
@@ -674,6 +676,7 @@ def link_counts(docs: DataFrame, classes: DataFrame, comp: DataFrame, width: int
                 n[x], _ = _block_links([sets[k] for k in x], None, percent)
             elif len(x) and len(y):
                 n[x], n[y] = _block_links([sets[k] for k in x], [sets[k] for k in y], percent)
+        trim()
         return pa.table([pa.array(cls), pa.array(n)], ["cls", "n_links"])
 
     return each.groupBy("r").applyInArrow(count, "cls long, n_links long").groupBy("cls").agg(F.sum("n_links").alias("n_links"))
