@@ -102,12 +102,16 @@ def in_field(forward: Vec, up: Vec, to: Vec, horizontal: Column | float, vertica
     return (depth > 0) & (F.abs(dot(to, right)) <= depth * horizontal) & (F.abs(dot(to, above)) <= depth * vertical)
 
 
-def intersect(o: Vec, d: Vec, a: Vec, b: Vec, c: Vec) -> dict[str, Column]:
-    """Ray and triangle: det, u, v, t, and accept without regard to the ray's range; null where parallel."""
+def intersect(o: Vec, d: Vec, a: Vec, b: Vec, c: Vec, absolute: float | None = None) -> dict[str, Column]:
+    """Ray and triangle: det, u, v, t, and accept without regard to the ray's range; null where parallel.
+
+    A determinant counts as 0 by its size against the edges; with ``absolute``, by
+    its own size, as a plain reference kernel does (1e-12 there).
+    """
     e1, e2 = sub(b, a), sub(c, a)
     p = cross(d, e2)
     det = dot(e1, p)
-    crossing = F.abs(det) > PARALLEL * norm(e1) * norm(e2)
+    crossing = F.abs(det) > (PARALLEL * norm(e1) * norm(e2) if absolute is None else F.lit(absolute))
     inv = F.when(crossing, 1.0 / det)
     s = sub(o, a)
     u = dot(s, p) * inv

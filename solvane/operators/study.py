@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
-import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from solvane.core import InvalidInput, require_none, require_unique
@@ -235,6 +237,8 @@ def statistical_sensitivity(rows: DataFrame, parameters: list[str], objectives:
     data = rows.select(*parameters, *objectives).limit(2_000_001).toPandas()
     if len(data) > 2_000_000:
         raise InvalidInput("more than 2,000,000 rows")
+    # replicates pick rows by number, so the numbers must not hang on how rows came in
+    data = data.sort_values([*parameters, *objectives], kind="stable", ignore_index=True)
     spark = rows.sparkSession
     share = spark.sparkContext.broadcast(data)
     pairs = [(k, p, o) for k, (p, o) in enumerate((p, o) for p in parameters for o in objectives)]
@@ -458,58 +462,78 @@ def validate_manifest(manifest: dict) -> None:
 
 
 class Workspace:
-    """A study on disk: a manifest, and a journal of batches that are committed once each.
+    """A study in a folder of any file system that Spark reaches: a manifest, and a journal of batches that are committed once each.
 
     A commit is written under another name and renamed; committing a batch again
-    with the same content does nothing, with other content it is refused.
+    with the same content does nothing, with other content it is refused.  path
+    is a URI; a plain path is one of the session's default file system.
     """
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, spark: SparkSession | None = None):
+        self.path = path.rstrip("/")
+        spark = spark or SparkSession.active()
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
 
     @classmethod
-    def create(cls, path: str, manifest: dict) -> Workspace:
+    def create(cls, path: str, manifest: dict, spark: SparkSession | None = None) -> Workspace:
         """A new workspace with a manifest that holds; the folder must not be there yet."""
         validate_manifest(manifest)
-        os.makedirs(f"{path}/batches", exist_ok=False)
-        cls(path)._put("manifest.json", manifest)
-        return cls(path)
+        out = cls(path, spark)
+        if out._fs.exists(out._at("")):
+            raise InvalidInput(f"{path} is there already")
+        out._fs.mkdirs(out._at("batches"))
+        out._put("manifest.json", manifest)
+        return out
 
     def _put(self, name: str, content) -> None:
-        tmp = f"{self.path}/{name}.tmp"
-        with open(tmp, "w") as f:
-            json.dump(content, f, sort_keys=True)
-        os.replace(tmp, f"{self.path}/{name}")
+        tmp = self._at(f"{name}.{uuid.uuid4().hex}.tmp")
+        stream = self._fs.create(tmp, True)
+        stream.write(bytearray(json.dumps(content, sort_keys=True).encode()))
+        stream.close()
+        if not self._fs.rename(tmp, self._at(name)):
+            self._fs.delete(tmp, False)
+            raise InvalidInput(f"{name} was written by someone else")
+
+    def _get(self, name: str):
+        stream = self._fs.open(self._at(name))
+        try:
+            return json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+        except Py4JJavaError as e:
+            if "ChecksumException" in str(e.java_exception):  # the file system keeps checksums of its own
+                raise InvalidInput(f"{name} is damaged") from e
+            raise
+        finally:
+            stream.close()
 
     def manifest(self) -> dict:
-        with open(f"{self.path}/manifest.json") as f:
-            return json.load(f)
+        return self._get("manifest.json")
 
     def commit(self, batch: int, rows: list[dict]) -> bool:
         """Whether the batch was new."""
-        import hashlib
-
-        content = {"batch": batch, "rows": rows}
-        content["sha256"] = hashlib.sha256(json.dumps(rows, sort_keys=True).encode()).hexdigest()
+        content = {"batch": batch, "rows": rows, "sha256": self._digest(rows)}
         name = f"batches/{batch:08d}.json"
-        if os.path.exists(f"{self.path}/{name}"):
-            with open(f"{self.path}/{name}") as f:
-                if json.load(f)["sha256"] != content["sha256"]:
-                    raise InvalidInput(f"batch {batch} is committed with other content")
+        if self._fs.exists(self._at(name)):
+            if self._get(name)["sha256"] != content["sha256"]:
+                raise InvalidInput(f"batch {batch} is committed with other content")
             return False
         self._put(name, content)
         return True
 
+    @staticmethod
+    def _digest(rows: list[dict]) -> str:
+        return hashlib.sha256(json.dumps(rows, sort_keys=True).encode()).hexdigest()
+
     def rows(self) -> list[dict]:
         """All committed rows; what was half written is not among them."""
-        import hashlib
-
         out = []
-        for n in sorted(os.listdir(f"{self.path}/batches")):
-            if n.endswith(".json"):
-                with open(f"{self.path}/batches/{n}") as f:
-                    c = json.load(f)
-                if hashlib.sha256(json.dumps(c["rows"], sort_keys=True).encode()).hexdigest() != c["sha256"]:
-                    raise InvalidInput(f"{n} is damaged")
+        for name in sorted(s.getPath().getName() for s in self._fs.listStatus(self._at("batches"))):
+            if name.endswith(".json"):
+                c = self._get(f"batches/{name}")
+                if self._digest(c["rows"]) != c["sha256"]:
+                    raise InvalidInput(f"{name} is damaged")
                 out += c["rows"]
         return out

@@ -489,3 +489,39 @@ Q["legend_values"] = sql("candidate", "SELECT candidate_id, round((price - min(p
 Q["metric_comparison"] = sql("sensor", "SELECT sensor_id AS viewpoint_id, round(px * 2 - px, 9) AS px_delta, round(area - 1 - area, 9) AS area_delta FROM sensor")
 Q["study_files"] = sql("candidate", "SELECT candidate_id, size AS parameter_size, price AS parameter_unit_price, rev AS objective_revenue, disc AS objective_discount, residual AS constraint_limit FROM candidate")
 Q["objective_points"] = sql("candidate", "SELECT candidate_id, round(2 * (rev - min(rev) OVER ()) / (max(rev) OVER () - min(rev) OVER ()) - 1, 9) AS x, round(2 * (disc - min(disc) OVER ()) / (max(disc) OVER () - min(disc) OVER ()) - 1, 9) AS y, 0.0::DOUBLE AS z FROM candidate")
+
+
+def _uniform(rows: str, seed: str, at: str) -> str:
+    """rows (a table expression) with u in [0, 1): number ``at`` of the counter-based generator with a seed; both are columns or numbers."""
+    whole = "18446744073709551616::UHUGEINT"
+    times = lambda x, m: f"CAST(CAST({x} AS UHUGEINT) * {m}::UHUGEINT % {whole} AS UBIGINT)"
+    z0 = f"(SELECT *, CAST((CAST({seed} AS UHUGEINT) + CAST({at} + 1 AS UHUGEINT) * {0x9E3779B97F4A7C15}::UHUGEINT) % {whole} AS UBIGINT) AS z0 FROM {rows})"
+    z1 = f"(SELECT *, {times('xor(z0, z0 >> 30)', 0xBF58476D1CE4E5B9)} AS z1 FROM {z0})"
+    z2 = f"(SELECT *, {times('xor(z1, z1 >> 27)', 0x94D049BB133111EB)} AS z2 FROM {z1})"
+    return f"(SELECT * EXCLUDE (z0, z1, z2), CAST(xor(z2, z2 >> 31) >> 11 AS DOUBLE) / 9007199254740992 AS u FROM {z2})"
+
+
+Q["sobol_indices"] = f"""WITH d AS MATERIALIZED (SELECT t, b, p, u FROM {_uniform("(SELECT t, b, p FROM range(2) x(t) CROSS JOIN range(4096) y(b) CROSS JOIN range(2) z(p))", "42", "t * 8192 + b * 2 + p")}),
+    y AS (SELECT b, max(u) FILTER (t = 0 AND p = 0) AS a0, max(u) FILTER (t = 0 AND p = 1) AS a1, max(u) FILTER (t = 1 AND p = 0) AS b0, max(u) FILTER (t = 1 AND p = 1) AS b1 FROM d GROUP BY 1),
+    v AS (SELECT var_samp(y) AS v FROM (SELECT a0 + 2 * a1 AS y FROM y UNION ALL SELECT b0 + 2 * b1 FROM y)),
+    m AS (SELECT 0 AS parameter, a0 + 2 * a1 AS a, b0 + 2 * b1 AS b, b0 + 2 * a1 AS m FROM y UNION ALL SELECT 1, a0 + 2 * a1, b0 + 2 * b1, a0 + 2 * b1 FROM y)
+    SELECT CAST(parameter AS INTEGER) AS parameter, round(avg(b * (m - a)) / any_value(v), 6) AS first_order, round(avg((a - m) * (a - m)) / 2 / any_value(v), 6) AS total FROM m CROSS JOIN v GROUP BY 1"""
+# y = x + 2 y is linear: every elementary effect of a parameter is its factor
+Q["morris_effects"] = "SELECT CAST(k AS INTEGER) AS parameter, CAST(k + 1 AS DOUBLE) AS mu, CAST(k + 1 AS DOUBLE) AS mu_star, 0.0::DOUBLE AS sigma FROM range(2) r(k)"
+_replicates = "(SELECT pair, k, seed, c.j FROM (SELECT pair, k, 42 + 7919 * pair + 104729 * k + {shift} AS seed FROM range(4) a(pair) CROSS JOIN range(100) b(k)) CROSS JOIN c)"
+_picked = "CASE WHEN pair < 2 THEN {a}.size ELSE {a}.price END AS x, CASE WHEN pair % 2 = 0 THEN {b}.rev ELSE {b}.disc END AS y"
+_tied = "rank() OVER (PARTITION BY pair, k ORDER BY {c}) + (count(*) OVER (PARTITION BY pair, k, {c}) - 1) / 2.0::DOUBLE AS {c}"
+Q["statistical_sensitivity"] = sql(
+    "candidate",
+    f"""WITH c AS MATERIALIZED (SELECT row_number() OVER (ORDER BY size, price, rev, disc) - 1 AS j, size, price, rev, disc, count(*) OVER () AS n FROM candidate),
+    b AS (SELECT pair, k, {_picked.format(a="c", b="c")} FROM {_uniform(_replicates.format(shift=1), "seed", "j")} r JOIN c ON c.j = CAST(floor(u * (SELECT any_value(n) FROM c)) AS BIGINT)),
+    boot AS (SELECT pair, k, coalesce(corr(x, y), 0.0) AS rho FROM (SELECT pair, k, {_tied.format(c="x")}, {_tied.format(c="y")} FROM b) GROUP BY 1, 2),
+    o AS (SELECT pair, k, j, row_number() OVER (PARTITION BY pair, k ORDER BY u, j) - 1 AS place FROM {_uniform(_replicates.format(shift=2), "seed", "j")}),
+    p AS (SELECT pair, k, {_picked.format(a="x", b="y")} FROM o JOIN c y ON y.j = o.j JOIN c x ON x.j = o.place),
+    perm AS (SELECT pair, k, coalesce(corr(x, y), 0.0) AS rho FROM (SELECT pair, k, {_tied.format(c="x")}, {_tied.format(c="y")} FROM p) GROUP BY 1, 2),
+    real AS (SELECT pair, coalesce(corr(x, y), 0.0) AS rho FROM (SELECT pair, 0 AS k, {_tied.format(c="x")}, {_tied.format(c="y")} FROM (SELECT pair, 0 AS k, {_picked.format(a="c", b="c")} FROM c CROSS JOIN range(4) r(pair))) GROUP BY 1),
+    lim AS (SELECT pair, list(rho ORDER BY rho) AS l FROM boot GROUP BY 1), ext AS (SELECT pair, count(*) FILTER (abs(perm.rho) >= abs(real.rho) - 1e-12) AS e FROM perm JOIN real USING (pair) GROUP BY 1),
+    t AS (SELECT CASE WHEN pair < 2 THEN 'size' ELSE 'price' END AS parameter, CASE WHEN pair % 2 = 0 THEN 'rev' ELSE 'disc' END AS objective, rho, l[3] AS low, l[98] AS high, (e + 1) / 101.0::DOUBLE AS p FROM real JOIN lim USING (pair) JOIN ext USING (pair)),
+    h AS (SELECT *, max(least(p * (4 - row_number + 1), 1.0)) OVER (ORDER BY p, parameter, objective) AS p_holm FROM (SELECT *, row_number() OVER (ORDER BY p, parameter, objective) AS row_number FROM t))
+    SELECT parameter, objective, round(rho, 6) AS rho, round(low, 6) AS low, round(high, 6) AS high, round(p, 9) AS p, round(p_holm, 9) AS p_holm, p_holm <= 0.05 AS significant FROM h""",
+)

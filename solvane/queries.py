@@ -425,7 +425,8 @@ def spearman(spark, d):
 
 @query
 def statistical_sensitivity(spark, d):
-    return study.statistical_sensitivity(fx.evaluations(spark, d), ["size", "price"], ["rev", "disc"], bootstrap=100, permutations=100)
+    out = study.statistical_sensitivity(fx.evaluations(spark, d), ["size", "price"], ["rev", "disc"], bootstrap=100, permutations=100)
+    return rounded(rounded(out, 6, "rho", "low", "high"), 9, "p", "p_holm")
 
 
 @query
@@ -455,13 +456,15 @@ def fidelity_recommendation(spark, d):
 @query
 def sobol_indices(spark, d):
     design = evidence.saltelli_design(spark, [(0.0, 1.0), (0.0, 1.0)], 4096)
-    return evidence.sobol_indices(design.select("block", "base", (F.element_at("values", 1) + 2 * F.element_at("values", 2)).alias("y")))
+    out = evidence.sobol_indices(design.select("block", "base", (F.element_at("values", 1) + 2 * F.element_at("values", 2)).alias("y")))
+    return rounded(out, 6, "first_order", "total")
 
 
 @query
 def morris_effects(spark, d):
     design = evidence.morris_design(spark, [(0.0, 1.0), (0.0, 1.0)], 32)
-    return evidence.morris_effects(design.select("trajectory", "step", "changed", "delta", (F.element_at("values", 1) + 2 * F.element_at("values", 2)).alias("y")))
+    out = evidence.morris_effects(design.select("trajectory", "step", "changed", "delta", (F.element_at("values", 1) + 2 * F.element_at("values", 2)).alias("y")))
+    return rounded(out, 9, "mu", "mu_star", "sigma")
 
 
 @query

@@ -9,7 +9,7 @@ import struct
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solvane.core import InvalidInput
+from solvane.core import InvalidInput, require_none
 
 MAGIC = b"SLVN"
 VERSION = 1
@@ -57,6 +57,46 @@ def objective_space(rows: DataFrame, axes: list[str]) -> DataFrame:
     return out.drop(*[f"{e}{k}" for k in range(3) for e in ("lo", "hi")])
 
 
+def objective_space_gltf(points: DataFrame, most: int = 1_000_000) -> bytes:
+    """A glTF 2 text of points(x, y, z) as one point cloud, in the order of their coordinates; more than ``most`` are refused."""
+    import base64
+    import struct
+
+    rows = points.select("x", "y", "z").orderBy("x", "y", "z").limit(most + 1).collect()
+    if len(rows) > most:
+        raise InvalidInput(f"more than {most} points")
+    body = b"".join(struct.pack("<3f", r["x"], r["y"], r["z"]) for r in rows)
+    each = list(zip(*struct.iter_unpack("<3f", body), strict=True)) or [(0.0,)] * 3
+    accessor = {"bufferView": 0, "componentType": 5126, "count": len(rows), "type": "VEC3", "min": [min(c) for c in each], "max": [max(c) for c in each]}
+    doc = {"asset": {"version": "2.0"}, "scene": 0, "scenes": [{"nodes": [0]}], "nodes": [{"mesh": 0, "name": "objective space"}], "meshes": [{"primitives": [{"attributes": {"POSITION": 0}, "mode": 0}]}], "accessors": [accessor], "bufferViews": [{"buffer": 0, "byteOffset": 0, "byteLength": len(body)}]}
+    doc["buffers"] = [{"byteLength": len(body), "uri": "data:application/octet-stream;base64," + base64.b64encode(body).decode()}]
+    return json.dumps(doc, sort_keys=True).encode()
+
+
+def inline_vectors(spark: SparkSession, texts: list[str], names: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """(idx, x, y, z) of vectors given as texts like "1, 0, 2.5"; a text with another number of finite numbers is refused."""
+    rows = []
+    for k, t in enumerate(texts):
+        try:
+            v = [float(x) for x in t.replace(";", ",").split(",")]
+        except ValueError:
+            v = []
+        if len(v) != len(names) or not all(abs(x) < float("inf") for x in v):
+            raise InvalidInput(f"not a vector: {t}")
+        rows.append((k, *v))
+    return spark.createDataFrame(rows, "idx int, " + ", ".join(f"{n} double" for n in names))
+
+
+def evidence_table(timeline: DataFrame, path: str) -> None:
+    """Rows of a result as JSON lines with schema version 1.0.0, as ``evidence_rows`` reads them; NaN and endless values are refused."""
+    numbers = [f.name for f in timeline.schema.fields if f.dataType.typeName() in ("double", "float")]
+    odd = F.lit(False)
+    for n in numbers:
+        odd = odd | F.isnan(n) | (F.abs(F.col(n)) == float("inf"))
+    require_none(timeline.where(odd), "a number is not finite")
+    timeline.select(F.lit("1.0.0").alias("schema_version"), "*").write.mode("overwrite").json(path)
+
+
 def html_report(title: str, tables: dict[str, DataFrame], rows: int = 200) -> str:
     """A page with the first rows of some tables; a report, not an export."""
     import html

@@ -1,5 +1,7 @@
+import pytest
+
 from solvane.api import VERBS
-from solvane.operators.materialised import Materialised, cancellable, key_of
+from solvane.operators.materialised import Materialised, Queue, cancellable, key_of
 
 
 def test_verbs_are_documented():
@@ -24,6 +26,34 @@ def test_results_are_made_once_and_bounded(spark, tmp_path):
     assert m.stats()["entries"] == 0
 
 
+def test_damaged_results_are_made_again_and_memory_is_bounded(spark, tmp_path):
+    m = Materialised(spark, f"file://{tmp_path}/m", held=1)
+    made = []
+
+    def make(n):
+        made.append(n)
+        return spark.range(n)
+
+    assert m.get("a", lambda: make(3)).count() == 3 and m.get("b", lambda: make(4)).count() == 4
+    assert m.tiers() == {"held": 1, "recovered": 0}
+    # another table under the same key: its rows do not give the seal
+    spark.range(9).write.mode("append").parquet(f"file://{tmp_path}/m/a")
+    assert m.get("a", lambda: make(3)).count() == 3 and made == [3, 4, 3] and m.tiers()["recovered"] == 1
+    fresh = Materialised(spark, f"file://{tmp_path}/m")
+    assert fresh.get("a", lambda: make(3)).count() == 3 and made == [3, 4, 3]
+
+
+def test_queue_is_bounded(spark):
+    q = Queue(spark, running=1, waiting=0)
+    with q.slot("night"):
+        assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") == "night"
+        with pytest.raises(RuntimeError), q.slot("day"):
+            pass
+    with q.slot("day"):
+        assert spark.range(3).count() == 3
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+
+
 def test_jobs_carry_tags(spark):
     with cancellable(spark, "night-run"):
         assert "night-run" in spark.getTags()

@@ -78,3 +78,19 @@ def test_losses_by_object_category_and_in_all(spark):
     objects = spark.createDataFrame([(1, 4), (2, 4)], "object_id long, category_mask long")
     got = {(r["grouping"], r["object_id"], r["category_mask"]): r["loss"] for r in sun.category_breakdown(losses, objects).collect()}
     assert got == {("object", 1, None): 3.0, ("object", 2, None): 3.0, ("category", None, 4): 6.0, ("total", None, None): 6.0}
+
+
+def test_portable_scenes_keep_their_budget(spark, data):
+    t = fx.triangles(spark, data)
+    p = scene.portable(t)
+    assert p.schema["ax"].dataType.typeName() == "float" and p.agg(F.max("error")).first()[0] < 1e-4 and p.count() == t.count()
+    with pytest.raises(InvalidInput):
+        scene.portable(t.withColumn("cx", F.col("cx") * 1e7 + 0.123))
+
+
+def test_reference_determinant_is_absolute(spark):
+    tiny = [V.const(*(1e-5 * x for x in p)) for p in ((0, 0, 0), (1, 0, 0), (0, 1, 0))]
+    own = V.intersect(V.const(2e-6, 2e-6, 1), V.const(0, 0, -1), *tiny)
+    plain = V.intersect(V.const(2e-6, 2e-6, 1), V.const(0, 0, -1), *tiny, absolute=1e-9)
+    row = spark.range(1).select(own["accept"].alias("own"), plain["accept"].alias("plain")).first()
+    assert row["own"] is True and row["plain"] is None

@@ -5,8 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from solvane import fixtures as fx
+from solvane import queries
 from solvane.core import InvalidInput
-from solvane.operators import evidence, graphs, study, visibility
+from solvane.operators import evidence, graphs, ordering, rays, study, visibility
 
 TRI = "object_id long, instance_id long, mesh_id long, triangle_id long, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double, category_mask long, mirrored boolean"
 
@@ -199,3 +201,65 @@ def test_legend_and_comparison(spark):
     assert visibility.compare_metrics(a, a.withColumn("v", F.col("v") + 1), "viewpoint_id", ["v"]).agg(F.sum("v_delta")).first()[0] == 2
     with pytest.raises(InvalidInput):
         visibility.compare_metrics(a, a.where("viewpoint_id = 1"), "viewpoint_id", ["v"])
+
+
+def test_workspaces_take_uris_and_refuse_old_folders(spark, tmp_path):
+    manifest = {"parameters": [{"name": "w", "low": 0, "high": 1}], "objectives": [{"name": "e", "direction": "min"}]}
+    w = study.Workspace.create(f"file://{tmp_path}/w", manifest, spark)
+    assert w.manifest() == manifest and w.commit(2, [{"id": 2}]) and w.commit(1, [])
+    assert study.Workspace(f"file://{tmp_path}/w", spark).rows() == [{"id": 2}]
+    with pytest.raises(InvalidInput):
+        study.Workspace.create(f"file://{tmp_path}/w", manifest, spark)
+
+
+def test_ranking_at_once_equals_rounds(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, float(rng.integers(0, 12)), float(rng.integers(0, 12)), float(rng.integers(0, 12)), float(rng.integers(-3, 2))) for k in range(120)]
+    d = spark.createDataFrame(rows, "candidate_id long, a double, b double, c double, r double")
+    for objectives in ({"a": "max", "b": "min"}, {"a": "min", "b": "min", "c": "max"}):
+        once, rounds = ({r["candidate_id"]: r.asDict() for r in study.rank_study(d, objectives, ["r"], at_once=n).collect()} for n in (1000, 0))
+        assert once == rounds and max(r["rank"] for r in once.values()) > 3
+    assert study.rank_study(d.where("r > 0"), {"a": "min"}, ["r"]).agg(F.min("rank")).first()[0] == 0
+    assert study.rank_study(d.where("false"), {"a": "min"}, ["r"]).count() == 0
+
+
+def test_running_sums_and_ranks_over_ranges(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.integers(0, 3)), None if rng.random() < 0.05 else float(rng.integers(0, 40)), float(rng.integers(1, 5))) for _ in range(500)] + [(0, 7.0, 1.0)] * 300
+    d = spark.createDataFrame(rows, "g int, v double, w double").repartition(7)
+    for r in ordering.running(d, ["g"], "v", "w").collect():
+        own = [(v, w) for g, v, w in rows if g == r["g"] and v is not None]
+        assert r["before"] == sum(w for v, w in own if v < r["v"]) and r["weight"] == sum(w for v, w in own if v == r["v"]) and r["total"] == sum(w for _, w in own)
+    import pandas as pd
+
+    want = pd.Series([v for _, v, _ in rows]).rank()
+    got = ordering.average_ranks(d, ["v"])
+    assert sorted((r["v"], r["r_v"]) for r in got.where("v is not null").collect()) == sorted((v, x) for (_, v, _), x in zip(rows, want, strict=True) if v is not None)
+
+
+def test_plans_of_views_stay_small(spark, data):
+    for name in ("corridor_summary", "landmark_visibility", "sky_view", "target_view", "solar_envelope", "direct_sun_timeline", "intervisibility"):
+        plan = queries.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+        assert len(plan) < 60_000, (name, len(plan))
+
+
+def test_far_pairs_can_be_counted_without_listing_them(spark, data):
+    o, t, tri = fx.observers(spark, data), fx.targets(spark, data), fx.triangles(spark, data)
+    every = visibility.intervisibility(o, t, tri, max_distance=40)
+    near = visibility.intervisibility(o, t, tri, max_distance=40, far=False)
+    assert near.count() < every.count() == o.count() * t.count()
+    a = visibility.visibility_counts(every, "observer_id")
+    b = visibility.visibility_counts(near, "observer_id", o, t.count())
+    assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(a.columns)).collect()))
+
+
+@pytest.mark.parametrize("plan", ["bvh", "voxel", "nested"])
+def test_plans_agree_on_layers_and_inactive_rays(spark, data, plan):
+    tri = fx.triangles(spark, data)
+    r = queries.sun_rays(spark, data)
+    got = rays.transmission(r, tri, queries.KEYS, fx.materials(spark), fx.assignment(spark, data), strategy=plan, carry=["cosine"] if "cosine" in r.columns else None, active=F.col("sun_index") != 2)
+    rows = {(x["sensor_id"], x["sun_index"]): (x["transmission"], x["layer_count"]) for x in got.collect()}
+    want = {(x["sensor_id"], x["sun_index"]): (x["transmission"], x["layer_count"]) for x in rays.transmission(r, tri, queries.KEYS, fx.materials(spark), fx.assignment(spark, data), strategy="voxel").collect()}
+    assert rows == {k: (1.0, 0) if k[1] == 2 else v for k, v in want.items()}
+    hit = rays.closest(r, tri, queries.KEYS, strategy=plan, active=F.col("sun_index") != 2)
+    assert hit.count() == r.count() and hit.where("sun_index = 2 and hit").isEmpty()

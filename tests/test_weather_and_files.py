@@ -118,3 +118,23 @@ def test_registry_and_entry(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(o) >= 40
     assert entry.entry(spark).count() == 10
+
+
+def test_small_exports(spark, tmp_path):
+    import json
+
+    v = exports.inline_vectors(spark, ["1, 0, 2.5", "0;0;1"]).orderBy("idx").collect()
+    assert [(r["x"], r["y"], r["z"]) for r in v] == [(1.0, 0.0, 2.5), (0.0, 0.0, 1.0)]
+    for bad in ("1,2", "a,b,c", "1,2,inf", ""):
+        with pytest.raises(InvalidInput):
+            exports.inline_vectors(spark, [bad])
+    points = spark.createDataFrame([(1.0, 0.0, -1.0), (-1.0, 0.5, 0.0)], "x double, y double, z double")
+    doc = json.loads(exports.objective_space_gltf(points))
+    assert doc["accessors"][0]["count"] == 2 and doc["accessors"][0]["min"] == [-1.0, 0.0, -1.0] and doc["meshes"][0]["primitives"][0]["mode"] == 0
+    with pytest.raises(InvalidInput):
+        exports.objective_space_gltf(points, most=1)
+    rows = spark.createDataFrame([(1, 2.5)], "sensor_id long, lux double")
+    exports.evidence_table(rows, str(tmp_path / "e"))
+    assert exports.evidence_rows(spark, str(tmp_path / "e"), "sensor_id long, lux double").first()["lux"] == 2.5
+    with pytest.raises(InvalidInput):
+        exports.evidence_table(rows.withColumn("lux", F.lit(float("nan"))), str(tmp_path / "f"))
