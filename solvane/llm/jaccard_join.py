@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solvane.llm.shared import only, text_key, text_slices, tidy, trim, without, written
+from solvane.llm.shared import only, scope, text_key, text_slices, tidy, trim, without, written
 from solvane.llm.wordhash import SPACES, finish, tokens
 
 #: Buckets of a sketch of frequencies, and the parts in which it is summed.
@@ -688,8 +688,13 @@ def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, light
     Documents link when their sets' Jaccard similarity is percent / 100 or more.
     With count_links also n_links: with how many other classes (different sets) the row's class is linked, none left out.
     light overrides the boundary, which the costs choose otherwise.  k and mark name the row (shared.text_key); stands is true for the rows that
-    stand for their component, which are one row or repeats of it.
+    stand for their component, which are one row or repeats of it.  The result is written; all other working tables are removed.
     """
+    with scope(docs.sparkSession):
+        return written(_components_of(docs, width, percent, light, count_links), "similar", outer=1, compression="zstd")
+
+
+def _components_of(docs: DataFrame, width: int, percent: int, light: int | None, count_links: bool) -> DataFrame:
     scanned = _classes_and_sketch(docs, width)
     sketch = _summed(scanned)
     rows = scanned.where("n is not null").select("doc_id", *text_key(text_hash="mark"), "n", "s1", "s2")
@@ -735,7 +740,7 @@ def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, light
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component (the smallest doc_id, and of repeated rows one); texts without words all stay."""
-    parts = written(similar_components(docs, width, percent), "components", compression="zstd")
+    parts = similar_components(docs, width, percent)
     kept = without(docs, parts.where("not stands").select("k", "mark"))
     # rows that are repeated word for word under one id: only these are shuffled
     again = written(parts.where("stands and n_shingles > 0").groupBy("k", "mark").count().where("count > 1").select("k", "mark"), "repeated-rows")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from solvane import core
+
 #: Text handled at once by one Python worker, so that its memory does not follow the row count of a batch.
 SLICE_BYTES = 4 << 20
 #: Rows of one Arrow batch.
@@ -22,24 +25,43 @@ _ARROW_LIMIT = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 def shared_root(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session, qualified; a folder of our own where it is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="solvane-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return core.shared_root(spark)
+
+
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
 
+def working_folder(spark: SparkSession, name: str, outer: int = 0) -> str:
+    """A new folder's URI under the shared root; nothing is there yet.  The innermost scope, or one ``outer`` it, removes it at its end."""
+    path = f"{shared_root(spark)}/solvane/{name}-{uuid.uuid4().hex}"
+    scopes = _SCOPES.get()
+    if len(scopes) > outer:
+        scopes[-1 - outer].append(path)
+    return path
 
-def working_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's URI under the shared root; nothing is there yet."""
-    return f"{shared_root(spark)}/solvane/{name}-{uuid.uuid4().hex}"
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Working folders made inside are removed at the end, but for those of ``written(..., outer=1)``: what is returned must not read the others."""
+    own: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), own))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for path in own:
+            remove(spark, path)
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+def written(df: DataFrame, name: str, outer: int = 0, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage ends here and survives lost executors."""
     spark = df.sparkSession
-    path = working_folder(spark, name)
+    path = working_folder(spark, name, outer)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

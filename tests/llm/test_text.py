@@ -570,3 +570,64 @@ def test_pipeline_stages_do_what_they_say(spark, data):
     assert (placed.groupby("sequence_id")["length"].sum() <= 1024).all()
     least = -(-int(placed["length"].sum()) // 1024)
     assert placed["sequence_id"].nunique() <= least + 2
+
+
+def odd_folder(spark, tmp_path, docs, labels, bench):
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_pipeline_takes_odd_rows(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    good = " ".join(f"Plain words of line {k}, and some more." for k in range(40))
+    secret = "token: Zq7xv7Lm2Rt9WsK4 " + good.replace("Plain", "Other")
+    dirty = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    rows = [(20, good, "en", "a", 1, "y", 2), (21, good, "en", "b", 1, "y", 2), (None, good + " end", "en", "a", 1, "y", 2), (22, secret, "en", None, None, "y", 2), (22, secret, "en", None, None, "y", 2), (23, dirty, "xx", "c", 3, "y", 2)]
+    docs = odd.unionByName(spark.createDataFrame(rows, odd.schema))
+    labels = spark.createDataFrame([(d, 1, 0) for d in (3, 4, 5, 6, 20, 21, 22, 23)] + [(1000, 0, 0), (None, 1, None)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash"))
+    bench = spark.createDataFrame([("i", dirty, 5), (None, None, None)], "item_id string, text string, doc_id long")
+    folder = odd_folder(spark, tmp_path, docs.withColumn("label", F.lit(1)).withColumn("score", F.lit(2.0)), labels, bench)
+    kept = spark.read.parquet(f"{folder}/documents.parquet")
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, folder)
+        assert kept.columns == corpus_pipeline.COLUMNS, name
+        sizes.append(kept.count())
+    texts = {(r["doc_id"], r["text"]) for r in kept.collect()}
+    assert sizes[0] > sizes[1] > sizes[2] == sizes[3] == len(texts)
+    assert (20, good) in texts and (21, good) not in texts and not any(t == dirty for _, t in texts)
+    assert [t for d, t in texts if d == 22] == [secret.replace("token: Zq7xv7Lm2Rt9WsK4", "[secret]")]
+    placed = corpus_pipeline.run(spark, folder)
+    assert {r["doc_id"] for r in placed.collect()} == {d for d, _ in texts}
+
+
+def test_pipeline_of_empty_tables(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([], "item_id string, text string")
+    folder = odd_folder(spark, tmp_path, empty, labels, bench)
+    assert corpus_pipeline.run(spark, folder).count() == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).count() == 0
+
+
+def test_scopes_remove_working_tables(spark):
+    import os
+
+    from solvane.llm import shared
+
+    def there(df):
+        return [os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in df.inputFiles()]
+
+    with shared.scope(spark):
+        a = shared.written(spark.range(3).toDF("x"), "a")
+        with shared.scope(spark):
+            b = shared.written(a.where("x > 0"), "b", outer=1)
+            c = shared.written(a, "c")
+            files = c.inputFiles()
+        assert all(there(b)) and not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in files) and b.count() == 2
+        files = [*a.inputFiles(), *b.inputFiles()]
+    assert not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in files)
