@@ -113,7 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op7_perspective_rotation": OP7_SQL}
+    return {"op2_decontamination": OP2_SQL, "op7_perspective_rotation": OP7_SQL, "op8_ngram_jaccard_join": OP8_SQL}
 
 
 OP2_SQL = r"""
@@ -164,3 +164,22 @@ SELECT conv_id, perspective, position, turn, speaker, header, segment, CAST("end
        CASE WHEN speaker = perspective THEN CAST("end" - length(segment) + length(header) AS BIGINT) END AS train_start, CASE WHEN speaker = perspective THEN "end" - 1 END AS train_end
 FROM o
 """
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), sets AS MATERIALIZED (SELECT doc_id, count(*) AS n, sha256(string_agg(shingle, chr(10) ORDER BY shingle)) AS name FROM s GROUP BY doc_id),
+classes AS MATERIALIZED (SELECT name, min(doc_id) AS c, any_value(n) AS n FROM sets GROUP BY name),
+own AS MATERIALIZED (SELECT c, n, shingle FROM classes JOIN s ON s.doc_id = c),
+links AS MATERIALIZED (
+  SELECT a.c AS a, b.c AS b FROM own a JOIN own b ON a.shingle = b.shingle AND a.c < b.c AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT c AS v, c AS least FROM classes UNION SELECT ways.b, reach.least FROM reach JOIN ways ON ways.a = reach.v AND ways.b > reach.least),
+low AS (SELECT v, min(least) AS component_id FROM reach GROUP BY v),
+counted AS (SELECT a AS v, count(*) AS n_links FROM ways GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(sets.n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN sets USING (doc_id) LEFT JOIN classes USING (name) LEFT JOIN low ON low.v = classes.c LEFT JOIN counted ON counted.v = classes.c
+"""
