@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from solvane.core import InvalidInput
 from solvane.operators.graphs import _cut
-from solvane.operators.study import EPSILON, Stream, _draws
+from solvane.operators.study import EPSILON, Stream, _draws, pareto_front
 
 MOST_ROWS = 2_000_000
+#: Reference results of a front that each task holds at most.
+MOST_FRONT = 100_000
 
 
 def saltelli_design(spark: SparkSession, bounds: list[tuple[float, float]], n: int, seed: int = 42) -> DataFrame:
@@ -188,11 +190,19 @@ def recommend(observations: DataFrame, directions: list[str], batch: int = 4, dr
         m = calibration(observations.withColumn("objective", (F.element_at("objectives", k + 1)) * (-1 if way == "max" else 1)), key).first()
         models.append((m["slope"], m["intercept"], m["residual_deviation"], m["reference_cost"]))
     sign = np.array([-1.0 if d == "max" else 1.0 for d in directions])
-    known = np.array([r["objectives"] for r in observations.where("fidelity = 'reference'").select("objectives").limit(4097).collect()], float) * sign
-    if len(known) > 4096:
-        raise InvalidInput("more than 4096 reference results")
+    names = [f"r{k}" for k in range(len(directions))]
+    known_rows = observations.where("fidelity = 'reference'").select(*[(F.element_at("objectives", k + 1) * float(sign[k])).alias(n) for k, n in enumerate(names)])
+    ends = known_rows.agg(*[f(n).alias(f"{e}_{n}") for n in names for e, f in (("lo", F.min), ("hi", F.max))]).first()
+    low, high = (np.array([ends[f"{e}_{n}"] for n in names], float) for e in ("lo", "hi"))
+    known = np.zeros((0, len(names)))
+    if len(names) == 2:
+        # what other results dominate adds no area: the front alone goes to the tasks
+        front = pareto_front(known_rows, dict.fromkeys(names, "min")).select(*names).distinct().limit(MOST_FRONT + 1).collect()
+        if len(front) > MOST_FRONT:
+            raise InvalidInput(f"a front of more than {MOST_FRONT} reference results")
+        known = np.array([list(r) for r in front], float).reshape(-1, 2)
     todo = observations.where("fidelity = 'fast'").join(observations.where("fidelity = 'reference'").select(key).distinct(), key, "left_anti")
-    far = known.max(axis=0) + 0.1 * np.maximum(known.max(axis=0) - known.min(axis=0), 1.0)
+    far = high + 0.1 * np.maximum(high - low, 1.0)
     base = _area_2d(known, far) if len(directions) == 2 else 0.0
     cost = float(np.mean([m[3] for m in models]))
 

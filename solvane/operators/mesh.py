@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from solvane.functions.vector import cross, dot, norm, sub, vec
+from solvane.operators.graphs import _cut
 
 #: Face flags, vertex flags.
 INVALID_INDEX, NON_FINITE, DEGENERATE, DUPLICATE = 1, 2, 4, 8
@@ -119,9 +120,7 @@ def _per_mesh(vertices: DataFrame, faces: DataFrame, change) -> tuple[DataFrame,
                 out.append((r.mesh_id, p.tolist(), t.tolist(), *notes))
             yield pd.DataFrame(out, columns=["mesh_id", "points", "triples", "note_a", "note_b"])
 
-    from pyspark import StorageLevel
-
-    done = _as_arrays(vertices, faces).mapInPandas(run, kinds).persist(StorageLevel.MEMORY_AND_DISK)
+    done = _cut(_as_arrays(vertices, faces).mapInPandas(run, kinds))
     v = done.select("mesh_id", F.posexplode("points").alias("k", "p")).select("mesh_id", F.col("k").cast("long").alias("vertex_index"), *[F.element_at("p", i + 1).alias(x) for i, x in enumerate("xyz")])
     f = done.select("mesh_id", F.posexplode("triples").alias("k", "t")).select("mesh_id", F.col("k").cast("long").alias("face_index"), *[F.element_at("t", i + 1).alias(f"v{i}") for i in range(3)])
     return v, f, done.select("mesh_id", "note_a", "note_b")

@@ -15,11 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solvane.core import InvalidInput
+from solvane.operators.graphs import _cut
 
 Part = tuple[str, np.ndarray, np.ndarray]  #: name, points, triples
 
@@ -277,7 +277,7 @@ def read_meshes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
             yield pd.DataFrame(out, columns=["path", "part", "name", "ignored_lines", "points", "triples"])
 
     kinds = "path string, part int, name string, ignored_lines int, points array<array<double>>, triples array<array<long>>"
-    parts = files.mapInPandas(run, kinds).withColumn("mesh_id", F.xxhash64("path", "part")).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = _cut(files.mapInPandas(run, kinds).withColumn("mesh_id", F.xxhash64("path", "part")))
     v = parts.select("mesh_id", F.posexplode("points").alias("k", "p")).select("mesh_id", F.col("k").cast("long").alias("vertex_index"), *[F.element_at("p", i + 1).alias(x) for i, x in enumerate("xyz")])
     f = parts.select("mesh_id", F.posexplode("triples").alias("k", "t")).select("mesh_id", F.col("k").cast("long").alias("face_index"), *[F.element_at("t", i + 1).alias(f"v{i}") for i in range(3)])
     return v, f, parts.select("mesh_id", "path", "part", "name", "ignored_lines")
