@@ -233,39 +233,61 @@ def text_features(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
     return np.c_[x, np.log1p(100 * np.expm1(x).sum(axis=1) / np.maximum(words, 20))]
 
 
-def _text_keys(texts: list[str], kind: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first text, text, key, different words) in slices: whole words (kind 0), or beginnings of kind bytes with how many words of the text have them."""
-    for a in range(0, len(texts), 500):
-        t = tokens(texts[a : a + 500], WORDS_AND_SIGNS)
-        word = np.flatnonzero(t.kind == 1)
-        doc = t.texts()[word]
-        order = np.lexsort((t.hash[word], doc))
-        word, doc = word[order], doc[order]
-        new = np.r_[True, (np.diff(t.hash[word]) != 0) | (np.diff(doc) != 0)] if len(word) else np.zeros(0, bool)
-        word, doc = word[new], doc[new]
+class _Words:
+    """The different words of many texts: pairs (text, word), and the words' hashes and first bytes.
+
+    Texts are tokenised once, in slices; what is held of a text is its different words.
+    """
+
+    def __init__(self, texts: list[str]):
+        most = max(PREFIXES)
+        docs, hashes, known, heads, sizes = [], [], [], [], []
+        for a in range(0, len(texts), 500):
+            t = tokens(texts[a : a + 500], WORDS_AND_SIGNS)
+            word = np.flatnonzero(t.kind == 1)
+            doc = t.texts()[word]
+            order = np.lexsort((t.hash[word], doc))
+            word, doc = word[order], doc[order]
+            new = np.r_[True, (np.diff(t.hash[word]) != 0) | (np.diff(doc) != 0)] if len(word) else np.zeros(0, bool)
+            docs.append((doc[new] + a).astype(np.int32))
+            hashes.append(t.hash[word[new]])
+            own, first = np.unique(t.hash[word], return_index=True)
+            first = word[first]
+            at = t.start[first][:, None] + np.arange(most)
+            inside = np.arange(most) < t.size[first][:, None]
+            known.append(own)
+            heads.append(np.where(inside, t.low[np.where(inside, at, 0)], 0).astype(np.uint8) if len(own) else np.zeros((0, most), np.uint8))
+            sizes.append(np.minimum(t.size[first], most))
+        join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
+        self.texts = len(texts)
+        self.hash, first = np.unique(join(known, np.uint64), return_index=True)
+        low = np.concatenate([np.zeros((0, most), np.uint8), *heads])[first].ravel()
+        n = len(self.hash)
+        self._table = Tokens(low, low, np.arange(n) * most, join(sizes, np.int64)[first], np.ones(n, np.uint8), self.hash, np.array([0, n]))
+        self.doc, self.word = join(docs, np.int32), np.searchsorted(self.hash, join(hashes, np.uint64)).astype(np.int32)
+
+    def keys(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, text, index of the key, different words of the text that have it): words for kind 0, beginnings of kind bytes."""
         if kind == 0:
-            yield a, doc, t.hash[word], np.ones(len(word), np.int64)
-            continue
-        h = prefix_hash(t, kind)[word]
-        doc, h = doc[h != 0], h[h != 0]
-        order = np.lexsort((h, doc))
-        h, doc = h[order], doc[order]
-        first = np.flatnonzero(np.r_[True, (np.diff(h) != 0) | (np.diff(doc) != 0)]) if len(h) else np.zeros(0, np.int64)
-        yield a, doc[first], h[first], np.diff(np.r_[first, len(h)])
+            return self.hash, self.doc, self.word, np.ones(len(self.doc), np.int64)
+        keys, of = np.unique(prefix_hash(self._table, kind), return_inverse=True)
+        own = of[self.word]
+        ok = keys[own] != 0 if len(keys) else np.zeros(0, bool)
+        both, n = np.unique(self.doc[ok].astype(np.int64) * max(1, len(keys)) + own[ok], return_counts=True)
+        return keys, both // max(1, len(keys)), both % max(1, len(keys)), n
 
 
-def vocabulary_groups(texts: list[str]) -> np.ndarray:
+def vocabulary_groups(words: _Words) -> np.ndarray:
     """A number for each text: texts that use the same frequent words are in one group, such as those of one language."""
-    if not texts:
+    if not words.texts:
         return np.zeros(0, np.int64)
-    found = [h for _, _, h, _ in _text_keys(texts, 0)]
-    word, count = np.unique(np.concatenate(found), return_counts=True)
-    word = np.sort(word[np.lexsort((word, -count))[:GROUP_WORDS]])
-    x = np.zeros((len(texts), max(1, len(word))), np.float32)
-    for a, doc, h, _ in _text_keys(texts, 0):
-        at = np.minimum(np.searchsorted(word, h), max(0, len(word) - 1))
-        ok = word[at] == h if len(word) else np.zeros(0, bool)
-        x[a + doc[ok], at[ok]] = 1
+    count = np.bincount(words.word, minlength=len(words.hash))
+    top = np.lexsort((words.hash, -count))[:GROUP_WORDS]
+    column = np.full(len(words.hash) + 1, -1)
+    column[np.sort(top)] = np.arange(len(top))
+    at = column[words.word]
+    x = np.zeros((words.texts, max(1, len(top))), np.float32)
+    x[words.doc[at >= 0], at[at >= 0]] = 1
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1)
     # centres as far apart as can be, then moved to the middle of their texts
     centre = [x.sum(axis=0)]
@@ -296,31 +318,6 @@ def _discoveries(p: np.ndarray, tests: int, share: float) -> np.ndarray:
     return out
 
 
-def _tally(texts: list[str], kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, texts that have them, different words of texts that have them, WORDS_A_TEXT at most in one text)."""
-    keys, times, words = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for _, _, h, n in _text_keys(texts, kind):
-        own, at = np.unique(h, return_inverse=True)
-        keys.append(own)
-        times.append(np.bincount(at, minlength=len(own)))
-        words.append(np.bincount(at, np.minimum(n, WORDS_A_TEXT), len(own)).astype(np.int64))
-    own, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return own, np.bincount(at, np.concatenate(times), len(own)), np.bincount(at, np.concatenate(words), len(own))
-
-
-def _looked_up(keys: np.ndarray, tally: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """The words of a tally for each key, 0 where it has none."""
-    if not len(tally[0]):
-        return np.zeros(len(keys))
-    at = np.minimum(np.searchsorted(tally[0], keys), len(tally[0]) - 1)
-    return np.where(tally[0][at] == keys, tally[2][at], 0).astype(float)
-
-
-def _words_in(*sides: list[str]) -> tuple[int, ...]:
-    """One more than the summed numbers of different words of each side's texts."""
-    return tuple(1 + sum(int(n.sum()) for *_, n in _text_keys(side, 0)) for side in sides)
-
-
 def induce(toxic: list[str], other: list[str], least: int = 2, odds: float = 2.0, false_share: float = FALSE_SHARE) -> Lexicon:
     """The seed and all words and beginnings that are far more frequent in toxic texts than in others of their group.
 
@@ -329,26 +326,32 @@ def induce(toxic: list[str], other: list[str], least: int = 2, odds: float = 2.0
     share of chance words, by the likelihood ratio statistic of the frequencies.
     """
     toxic, other = _one_of_each(toxic), _one_of_each(other)
-    group = vocabulary_groups(toxic + other)
-    best: dict[int, tuple[np.ndarray, np.ndarray]] = {kind: (np.zeros(0, np.uint64), np.zeros(0)) for kind in (0, *PREFIXES)}
-    every = (*_words_in(toxic, other), {kind: (_tally(toxic, kind), _tally(other, kind)) for kind in best})
+    words = _Words(toxic + other)
+    group, bad = vocabulary_groups(words), np.arange(words.texts) < len(toxic)
     large = [g for g, n in zip(*np.unique(group, return_counts=True), strict=True) if n >= GROUP_TEXTS]
-    for g in [None, *(large if len(large) > 1 else [])]:
-        bad = [t for t, k in zip(toxic, group[: len(toxic)], strict=True) if g is None or k == g]
-        good = [t for t, k in zip(other, group[len(toxic) :], strict=True) if g is None or k == g]
-        all_bad, all_good = _words_in(bad, good)
-        rows = []
-        for kind in best:
-            known, texts, a = _tally(bad, kind)
-            known, a = known[texts >= least], a[texts >= least]
-            b = _looked_up(known, _tally(good, kind))
+    scopes = [np.ones(words.texts, bool), *([group == g for g in large] if len(large) > 1 else [])]
+    own_words = np.bincount(words.doc, minlength=words.texts)
+    found: list[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in scopes]
+    for kind in (0, *PREFIXES):
+        keys, doc, key, n = words.keys(kind)
+        n = np.minimum(n, WORDS_A_TEXT)
+        if not len(keys):
+            continue
+        tally = lambda rows: np.bincount(key[rows], n[rows], len(keys))  # noqa: B023, E731
+        # a word counts wherever it stands, so it must not be an ordinary one among all texts
+        at_large = np.log((tally(bad[doc]) + 0.5) / (1 + own_words[bad].sum())) - np.log((tally(~bad[doc]) + 0.5) / (1 + own_words[~bad].sum()))
+        for k, inside in enumerate(scopes):
+            toxic_rows = (inside & bad)[doc]
+            ok = np.flatnonzero(np.bincount(key[toxic_rows], minlength=len(keys)) >= least)
+            a, b = tally(toxic_rows)[ok], tally((inside & ~bad)[doc])[ok]
+            all_bad, all_good = 1 + own_words[inside & bad].sum(), 1 + own_words[inside & ~bad].sum()
             log_odds = np.log((a + 0.5) / all_bad) - np.log((b + 0.5) / all_good)
-            # a word counts wherever it stands, so it must not be an ordinary one among all texts
-            at_large = np.log((_looked_up(known, every[2][kind][0]) + 0.5) / every[0]) - np.log((_looked_up(known, every[2][kind][1]) + 0.5) / every[1])
             expected = (a + b) * all_bad / (all_bad + all_good)
             ratio = 2 * (a * np.log(a / expected) + np.where(b > 0, b * np.log(np.maximum(b, 1e-9) / np.maximum(a + b - expected, 1e-9)), 0.0))
-            rows.append((kind, known, log_odds, np.where((log_odds >= odds) & (at_large >= odds / 2), ratio, 0.0)))
-        ratio = np.concatenate([r for *_, r in rows])
+            found[k].append((kind, keys[ok], log_odds, np.where((log_odds >= odds) & (at_large[ok] >= odds / 2), ratio, 0.0)))
+    best: dict[int, tuple[np.ndarray, np.ndarray]] = {kind: (np.zeros(0, np.uint64), np.zeros(0)) for kind in (0, *PREFIXES)}
+    for rows in found:
+        ratio = np.concatenate([np.zeros(0), *(r for *_, r in rows)])
         p = np.array([math.erfc(math.sqrt(max(x, 0.0) / 2)) for x in ratio])
         taken = _discoveries(p, len(p), false_share) & (ratio > 0)
         at = 0
