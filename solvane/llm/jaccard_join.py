@@ -423,8 +423,9 @@ def _lists(own: DataFrame, lengths: np.ndarray, light: int, percent: int, entrie
 def _hot_ends(pairs: DataFrame, own: DataFrame) -> DataFrame:
     """Written: (cls, n, s1, s2, deals) of classes in very many pairs; 2 * HOT_ENDS rows at most, whatever the pairs."""
     most = max(HUB_PAIRS, pairs.count() // HOT_ENDS)
-    ends = pairs.groupBy(F.col("a").alias("cls")).count().union(pairs.groupBy(F.col("b").alias("cls")).count()).where(F.col("count") > most)
-    deals = ends.groupBy("cls").agg(F.ceil(F.max("count") / most).cast("int").alias("deals"))
+    ends = pairs.select(F.inline(F.array(*[F.struct(F.col(e).alias("cls"), F.lit(int(e == "a")).alias("a"), F.lit(int(e == "b")).alias("b")) for e in "ab"])))
+    times = ends.groupBy("cls").agg(F.greatest(F.sum("a"), F.sum("b")).alias("n")).where(F.col("n") > most)
+    deals = times.select("cls", F.ceil(F.col("n") / most).cast("int").alias("deals"))
     return written(own.select("cls", "n", "s1", "s2").join(F.broadcast(deals), "cls"), "hot-ends")
 
 
