@@ -16,6 +16,7 @@ from solvane.streaming import live
 
 VERBS: dict[str, Callable] = {
     "cache": materialised.Materialised,
+    "queue": materialised.Queue,
     "self-test": rays.parity,
     "sun-position": sun_set,
     "direct-sun": sun.direct_sun_timeline,
@@ -56,6 +57,9 @@ VERBS: dict[str, Callable] = {
     "study-commit": study.Workspace.commit,
     "study-report": exports.html_report,
     "study-table": exports.study_table,
+    "study-space": exports.objective_space_gltf,
+    "inline-vectors": exports.inline_vectors,
+    "evidence-write": exports.evidence_table,
     "scenario-compare": study.compare_scenarios,
     "evidence-design": evidence.saltelli_design,
     "evidence-morris": evidence.morris_design,
@@ -70,9 +74,11 @@ VERBS: dict[str, Callable] = {
     "mesh-clip": mesh.clip,
     "mesh-read": mesh_files.read_meshes,
     "mesh-convert": mesh_files.encoded,
+    "mesh-write": mesh_files.write_files,
     "surface-grid": mesh.surface_grid,
     "scene-build": scene.world_triangles,
     "scene-deltas": scene.apply_deltas,
+    "scene-portable": scene.portable,
     "scene-stream": live.start_deltas,
     "scene-pack": exports.pack_document,
     "scene-unpack": exports.unpack_document,

@@ -525,3 +525,15 @@ Q["statistical_sensitivity"] = sql(
     h AS (SELECT *, max(least(p * (4 - row_number + 1), 1.0)) OVER (ORDER BY p, parameter, objective) AS p_holm FROM (SELECT *, row_number() OVER (ORDER BY p, parameter, objective) AS row_number FROM t))
     SELECT parameter, objective, round(rho, 6) AS rho, round(low, 6) AS low, round(high, 6) AS high, round(p, 9) AS p, round(p_holm, 9) AS p_holm, p_holm <= 0.05 AS significant FROM h""",
 )
+Q["fidelity_recommendation"] = f"""WITH f AS (SELECT p_partkey + 1 AS c, p_retailprice AS x1, -p_retailprice / 2 AS x2 FROM part),
+    r AS MATERIALIZED (SELECT p_partkey + 1 AS c, p_retailprice AS x1, -p_retailprice / 2 AS x2, 1 + 2 * p_retailprice + 0.01::DOUBLE * (p_partkey % 3) AS y1, -(1 + 2 * p_retailprice + 0.01::DOUBLE * (p_partkey % 3)) / 2 AS y2 FROM part WHERE p_partkey % 5 = 0),
+    m AS (SELECT regr_slope(y1, x1) AS b1, regr_intercept(y1, x1) AS a1, greatest(sqrt(greatest(regr_syy(y1, x1) - 2 * b1 * regr_sxy(y1, x1) + b1 * b1 * regr_sxx(y1, x1), 0.0) / greatest(count(*) - 2, 1)), 1e-9) AS s1,
+      regr_slope(y2, x2) AS b2, regr_intercept(y2, x2) AS a2, greatest(sqrt(greatest(regr_syy(y2, x2) - 2 * b2 * regr_sxy(y2, x2) + b2 * b2 * regr_sxx(y2, x2), 0.0) / greatest(count(*) - 2, 1)), 1e-9) AS s2,
+      max(y1) + 0.1::DOUBLE * greatest(max(y1) - min(y1), 1.0) AS far1, max(y2) + 0.1::DOUBLE * greatest(max(y2) - min(y2), 1.0) AS far2 FROM r),
+    step AS MATERIALIZED (SELECT y1 AS x, coalesce(lead(y1) OVER o, far1) AS nx, min(y2) OVER o AS top FROM r CROSS JOIN m WINDOW o AS (ORDER BY y1, y2) UNION ALL SELECT -1e300, min(y1), any_value(far2) FROM r CROSS JOIN m),
+    u AS (SELECT c, k, least(greatest(u, 1e-12), 1 - 1e-12) AS u FROM {_uniform("(SELECT c, k, 42 + 7919 * c AS seed FROM f CROSS JOIN range(128) q(k) WHERE (c - 1) % 5 <> 0)", "seed", "k")}),
+    d AS (SELECT a.c, a.k, sqrt(-2 * ln(a.u)) AS z, 2 * pi() * b.u AS w FROM u a JOIN u b ON a.c = b.c AND b.k = a.k + 64 WHERE a.k < 64),
+    p AS (SELECT c, k, b1 * x1 + a1 + s1 * (z * cos(w)) AS px, b2 * x2 + a2 + s2 * (z * sin(w)) AS py, far1, far2 FROM d JOIN f USING (c) CROSS JOIN m),
+    g AS (SELECT c, k, sum(greatest(least(nx, far1) - greatest(x, px), 0.0) * greatest(top - py, 0.0)) AS gain FROM p JOIN step ON nx > px WHERE px < far1 AND py < far2 GROUP BY 1, 2),
+    s AS (SELECT p.c, avg(coalesce(gain, 0.0)) AS gain FROM p LEFT JOIN g USING (c, k) GROUP BY 1)
+    SELECT c AS candidate_id, round(gain, 3) AS gain, 20.0::DOUBLE AS cost, round(gain / 20, 4) AS score FROM s ORDER BY gain DESC, c LIMIT 8"""

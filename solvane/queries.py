@@ -450,7 +450,7 @@ def fidelity_calibration(spark, d):
 @query
 def fidelity_recommendation(spark, d):
     o = fx.fidelities(spark, d).withColumn("objectives", F.array("objective", -F.col("objective") / 2)).drop("objective")
-    return evidence.recommend(o, ["min", "min"], batch=8, draws=64)
+    return rounded(rounded(evidence.recommend(o, ["min", "min"], batch=8, draws=64), 3, "gain"), 4, "score")
 
 
 @query
@@ -526,8 +526,11 @@ def broken(spark, d):
 def measured(v, f):
     """(mesh_id, vertices, faces, area, min_x, max_x) of mesh tables."""
     points = v.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("vertices"), F.min("x").alias("min_x"), F.max("x").alias("max_x"))
-    a = mesh.audit(v, f).select("mesh_id", F.col("face_count").alias("faces"), F.round("area", 6).alias("area"))
-    return points.join(a, "mesh_id")
+    return points.join(face_sums(v, f), "mesh_id")
+
+
+def face_sums(v, f):
+    return mesh.face_flags(v, f).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("faces"), F.round(F.sum("double_area") / 2, 6).alias("area"))
 
 
 @query
@@ -552,7 +555,7 @@ def mesh_heal(spark, d):
 @query
 def mesh_clip(spark, d):
     v, f, _ = mesh.clip(*fx.blocks(spark, d), (60.5, -1.0, -1.0), (1e6, 1e6, 6.5))
-    return rounded(mesh.audit(v, f), 6, "area").select("mesh_id", "area")
+    return face_sums(v, f).select("mesh_id", "area")
 
 
 @query
