@@ -114,8 +114,9 @@ def ray_hits(rays: DataFrame, triangles: DataFrame, keys: list[str], carry: list
         from solvane.plans.bvh import bvh_hits
 
         return bvh_hits(rays, triangles, keys, carry, excluding)
-    # rays are dealt out by their keys: work is spread, and their expressions are computed once, below the exchange
-    rays = rays.repartition(*keys)
+    # rays are dealt out by their keys: their expressions are computed once, below the exchange; by number, since the work is in the
+    # tests and not in the rays' few bytes, by which adaptive execution would bring them together again
+    rays = rays.repartition(int(rays.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     if strategy == "nested":
         if triangles.limit(NESTED_TRIANGLES + 1).count() > NESTED_TRIANGLES:
             raise ValueError("too many triangles for this plan; take voxel")

@@ -125,13 +125,13 @@ def ray_transmission(spark, d):
 @query
 def ray_voxel_parity(spark, d):
     r, t = sun_rays(spark, d), fx.triangles(spark, d)
-    return rays.parity(rays.closest(r, t, KEYS, "nested"), rays.closest(r, t, KEYS, "voxel"), KEYS)
+    return rays.parity(rays.closest(r, t, KEYS, "bvh"), rays.closest(r, t, KEYS, "voxel"), KEYS)
 
 
 @query
 def ray_hierarchy_parity(spark, d):
     r, t = sun_rays(spark, d), fx.triangles(spark, d)
-    return rays.parity(rays.closest(r, t, KEYS, "nested"), rays.closest(r, t, KEYS, "bvh"), KEYS)
+    return rays.parity(rays.closest(r, t, KEYS, "voxel"), rays.closest(r, t, KEYS, "bvh"), KEYS)
 
 
 @query
