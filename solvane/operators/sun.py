@@ -169,8 +169,15 @@ def solar_envelope(candidates: DataFrame, sensors: DataFrame, suns: DataFrame, t
     shading_height the one at which the share ``shade`` is, plus clearance.
     """
     s = suns.where("is_active").select("sun_index", "dx", "dy", "dz", (F.col("duration_hours") * F.col("weight")).alias("hours"))
-    rays = sensors.crossJoin(small(s)).where(dot(vec("n"), vec("d")) > 0)
-    rows = rays.crossJoin(candidates)
+    if max_distance < 1e150 and candidates.where("abs(ax) > 1e-12 or abs(ay) > 1e-12").isEmpty():
+        # upright axes: the ground distance is at most that of the closest approach and the radius
+        from solvane.operators.visibility import near_between
+
+        feet = candidates.withColumns({"qx": F.col("bx"), "qy": F.col("by")})
+        pairs = near_between(sensors, feet, max_distance + radius, "xy").drop("distance", "qx", "qy")
+    else:
+        pairs = sensors.crossJoin(candidates)
+    rows = pairs.crossJoin(small(s)).where(dot(vec("n"), vec("d")) > 0)
     w = sub(vec("p"), vec("b"))
     da, dw, aw = dot(vec("d"), vec("a")), dot(vec("d"), w), dot(vec("a"), w)
     den = 1 - da * da

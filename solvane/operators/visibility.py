@@ -20,14 +20,16 @@ def _rays(rows: DataFrame, far: Column, mask: int = -1) -> DataFrame:
     return rows.select("*", *[F.col(f"p{x}").alias(f"o{x}") for x in "xyz"], F.lit(0.0).alias("t_min"), far.alias("t_max"), F.lit(mask).cast("long").alias("category_mask"))
 
 
-def near_between(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
-    """Rows of a(p*) with rows of b(q*) within a radius, and their distance: an equality join on grid cells, each pair found once."""
-    cell = lambda place: [F.floor(F.col(f"{place}{c}") / radius).alias(f"g{c}") for c in "xyz"]
+def near_between(a: DataFrame, b: DataFrame, radius: float, axes: str = "xyz") -> DataFrame:
+    """Rows of a(p*) with rows of b(q*) within a radius along some axes, and their distance: an equality join on grid cells, each pair found once."""
+    cell = lambda place: [F.floor(F.col(f"{place}{c}") / radius).alias(f"g{c}") for c in axes]
     steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
     around = b.select("*", *cell("q"))
-    for c in "xyz":
+    for c in axes:
         around = around.withColumn(f"s{c}", F.explode(steps)).withColumn(f"g{c}", F.col(f"g{c}") + F.col(f"s{c}")).drop(f"s{c}")
-    return a.select("*", *cell("p")).join(around, ["gx", "gy", "gz"]).drop("gx", "gy", "gz").withColumn("distance", norm(sub(vec("q"), vec("p")))).where(F.col("distance") <= radius)
+    keys = [f"g{c}" for c in axes]
+    apart = tuple(F.col(f"q{c}") - F.col(f"p{c}") if c in axes else F.lit(0.0) for c in "xyz")
+    return a.select("*", *cell("p")).join(around, keys).drop(*keys).withColumn("distance", norm(apart)).where(F.col("distance") <= radius)
 
 
 def _toward(rows: DataFrame) -> DataFrame:
