@@ -379,7 +379,7 @@ def corridor_summary(spark, d):
 @query
 def observer_path(spark, d):
     p = fx.sensors(spark, d).select((F.col("sensor_id") % 10).alias("path_id"), F.col("sensor_id").alias("k"), F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"))
-    return rounded(visibility.path_observers(p, 5.0).groupBy("path_id").agg(F.count(F.lit(1)).alias("samples"), F.sum("trapezoid").alias("length")), 6, "length")
+    return rounded(visibility.path_observers(p, 5.0).groupBy("path_id").agg(F.count(F.lit(1)).alias("samples"), F.sum(F.col("trapezoid").cast("decimal(38,18)")).cast("double").alias("length")), 6, "length")
 
 
 @query

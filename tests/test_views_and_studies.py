@@ -96,6 +96,14 @@ def test_corridor_path_and_landmark(spark):
     assert lm[1]["transmission"] == pytest.approx(0.5) and not lm[2]["in_view"] and lm[1]["solid_angle"] == pytest.approx(2 * math.pi * (1 - math.sqrt(1 - 1 / 400)))
 
 
+def test_a_path_keeps_every_sample(spark):
+    places = [0.0, 2.3, 4.6, 4.699999999999999, 5.799999999999999]
+    p = spark.createDataFrame([(1, k, x, 0.0, 0.0) for k, x in enumerate(places)] + [(2, k, 0.1 * k, 0.0, 0.0) for k in range(5000)], "path_id long, k long, x double, y double, z double")
+    rows = visibility.path_observers(p, 1.0).groupBy("path_id").agg(F.sort_array(F.collect_list("sample")).alias("n"), F.max("at").alias("end"), F.max("px").alias("px")).orderBy("path_id").collect()
+    assert [r["n"] for r in rows] == [list(range(math.ceil(round(end, 9)) + 1)) for end in (places[-1], 499.9)]
+    assert all(r["end"] == pytest.approx(end, abs=1e-12) and r["px"] == pytest.approx(end, abs=1e-9) for r, end in zip(rows, (places[-1], 499.9), strict=True))
+
+
 def test_isovist3d_without_an_object(spark):
     v = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "viewpoint_id long, px double, py double, pz double")
     mats = spark.createDataFrame([], "material_id long, visible_t double, solar_t double")
