@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from solvane.core import large
 from solvane.functions.vector import cross, dot, norm, sub, vec
 from solvane.operators.graphs import _cut
 
@@ -24,7 +25,7 @@ def _faces_with_points(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     out = faces
     for k in range(3):
         v = vertices.select("mesh_id", F.col("vertex_index").alias(f"v{k}"), *[F.col(x).alias(f"p{k}{x}") for x in "xyz"], F.lit(True).alias(f"there{k}"))
-        out = out.join(v, ["mesh_id", f"v{k}"], "left")
+        out = out.join(large(v), ["mesh_id", f"v{k}"], "left")
     return out
 
 
@@ -66,7 +67,7 @@ def audit(vertices: DataFrame, faces: DataFrame, tolerance: float = 1e-6, f32_ra
     per_edge = e.groupBy("mesh_id").agg(F.count_if(F.col("n") == 1).alias("boundary_edges"), F.count_if(F.col("n") > 2).alias("non_manifold_edges"), F.count_if((F.col("n") == 2) & (F.col("turn") != 0)).alias("winding_conflicts"))
     used = flagged.where("flag = 0").select("mesh_id", F.explode(F.array("v0", "v1", "v2")).alias("vertex_index")).distinct()
     top = F.greatest(*[F.abs(F.col(x)) for x in "xyz"])
-    per_vertex = vertices.join(used.withColumn("used", F.lit(True)), ["mesh_id", "vertex_index"], "left").groupBy("mesh_id").agg(F.count(F.lit(1)).alias("vertex_count"), F.count_if(F.col("used").isNull()).alias("isolated_vertices"), F.count_if(~(_finite(F.col("x")) & _finite(F.col("y")) & _finite(F.col("z")))).alias("non_finite_vertices"), (F.max(F.when(_finite(top), top)) * F32_EPSILON).alias("f32_error"))
+    per_vertex = vertices.join(large(used.withColumn("used", F.lit(True))), ["mesh_id", "vertex_index"], "left").groupBy("mesh_id").agg(F.count(F.lit(1)).alias("vertex_count"), F.count_if(F.col("used").isNull()).alias("isolated_vertices"), F.count_if(~(_finite(F.col("x")) & _finite(F.col("y")) & _finite(F.col("z")))).alias("non_finite_vertices"), (F.max(F.when(_finite(top), top)) * F32_EPSILON).alias("f32_error"))
     from solvane.operators.graphs import components
 
     parts = components(e.select(F.struct("mesh_id", F.col("lo").alias("at")).alias("a"), F.struct("mesh_id", F.col("hi").alias("at")).alias("b"))).groupBy(F.col("v.mesh_id").alias("mesh_id")).agg(F.countDistinct("comp").alias("components"))

@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 
+from solvane import fixtures as fx
 from solvane.core import InvalidInput
 from solvane.operators import mesh
 from solvane.sources import mesh_files as mf
@@ -86,3 +87,11 @@ def test_negative_zero_and_points_merge():
     _, p, t = mf.parse_stl(mf.to_bytes("stl", np.array([[0.0, 0, 0], [1, 0, 0], [-0.0, 1, 0]]), np.array([[0, 1, 2], [0, 2, 1]])))
     assert len(p) == 3 and len(t) == 2
     assert not math.copysign(1, p[:, 0].min()) < 0
+
+
+def test_generated_corners_are_not_broadcast(spark, data):
+    """Rows made by a generator are estimated at their file's size, so plans must not rest on that."""
+    v, f = fx.meshes(spark, data)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(mesh.face_flags(v, f)) and "BroadcastHashJoin" not in plan(mesh.issues(v, f))
+    assert "BroadcastHashJoin" not in plan(mesh.audit(v, f))
