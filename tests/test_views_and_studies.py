@@ -96,6 +96,16 @@ def test_corridor_path_and_landmark(spark):
     assert lm[1]["transmission"] == pytest.approx(0.5) and not lm[2]["in_view"] and lm[1]["solid_angle"] == pytest.approx(2 * math.pi * (1 - math.sqrt(1 - 1 / 400)))
 
 
+def test_components_at_once_and_by_rounds(spark, data):
+    """A chain through shuffled ids, a ring, a loop; and places within a range, whose copies on cells are not broadcast."""
+    rows = [(k * 37 % 101, (k + 1) * 37 % 101) for k in range(60)] + [(k, k % 5 + 1001) for k in range(1001, 1006)] + [(2000, 2000)]
+    links = spark.createDataFrame(rows, "a long, b long")
+    once, rounds = (sorted(map(tuple, graphs.components(links, n).collect())) for n in (1000, 0))
+    assert once == rounds and {c for _, c in once} == {min(x for x, _ in rows[:60]), 1001, 2000}
+    assert graphs.components(links.where("a < 0")).count() == 0
+    assert "BroadcastHashJoin" not in visibility.near_pairs(fx.nodes(spark, data), 25.0)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_path_keeps_every_sample(spark):
     places = [0.0, 2.3, 4.6, 4.699999999999999, 5.799999999999999]
     p = spark.createDataFrame([(1, k, x, 0.0, 0.0) for k, x in enumerate(places)] + [(2, k, 0.1 * k, 0.0, 0.0) for k in range(5000)], "path_id long, k long, x double, y double, z double")
