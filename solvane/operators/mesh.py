@@ -91,10 +91,10 @@ def repair(vertices: DataFrame, faces: DataFrame, tolerance: float = 1e-6) -> tu
     uses = good.select("mesh_id", F.posexplode(F.array("v0", "v1", "v2")).alias("k", "vertex_index"), "face_index")
     first = uses.groupBy("mesh_id", "vertex_index").agg(F.min(F.struct("face_index", "k")).alias("at"))
     new = first.select("mesh_id", "vertex_index", (F.row_number().over(Window.partitionBy("mesh_id").orderBy("at")) - 1).cast("long").alias("new"))
-    v = vertices.join(new, ["mesh_id", "vertex_index"]).select("mesh_id", F.col("new").alias("vertex_index"), "x", "y", "z")
+    v = vertices.join(large(new), ["mesh_id", "vertex_index"]).select("mesh_id", F.col("new").alias("vertex_index"), "x", "y", "z")
     f = good
     for k in range(3):
-        f = f.join(new.select("mesh_id", F.col("vertex_index").alias(f"v{k}"), F.col("new").alias(f"n{k}")), ["mesh_id", f"v{k}"])
+        f = f.join(large(new.select("mesh_id", F.col("vertex_index").alias(f"v{k}"), F.col("new").alias(f"n{k}"))), ["mesh_id", f"v{k}"])
     number = (F.row_number().over(Window.partitionBy("mesh_id").orderBy("face_index")) - 1).cast("long")
     return v, f.select("mesh_id", number.alias("face_index"), *[F.col(f"n{k}").alias(f"v{k}") for k in range(3)])
 
@@ -102,7 +102,7 @@ def repair(vertices: DataFrame, faces: DataFrame, tolerance: float = 1e-6) -> tu
 def _as_arrays(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     v = vertices.groupBy("mesh_id").agg(F.array_sort(F.collect_list(F.struct("vertex_index", "x", "y", "z"))).alias("v"))
     f = faces.groupBy("mesh_id").agg(F.array_sort(F.collect_list(F.struct("face_index", "v0", "v1", "v2"))).alias("f"))
-    return v.join(f, "mesh_id", "left").select("mesh_id", *[F.col(f"v.{x}").alias(x) for x in ("vertex_index", "x", "y", "z")], *[F.col(f"f.{x}").alias(x) for x in ("v0", "v1", "v2")])
+    return v.join(large(f), "mesh_id", "left").select("mesh_id", *[F.col(f"v.{x}").alias(x) for x in ("vertex_index", "x", "y", "z")], *[F.col(f"f.{x}").alias(x) for x in ("v0", "v1", "v2")])
 
 
 def _per_mesh(vertices: DataFrame, faces: DataFrame, change) -> tuple[DataFrame, DataFrame, DataFrame]:

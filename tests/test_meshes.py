@@ -95,3 +95,10 @@ def test_generated_corners_are_not_broadcast(spark, data):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan(mesh.face_flags(v, f)) and "BroadcastHashJoin" not in plan(mesh.issues(v, f))
     assert "BroadcastHashJoin" not in plan(mesh.audit(v, f))
+
+
+def test_repair_of_many_meshes_is_not_broadcast(spark, data):
+    v, f = mesh.repair(*fx.blocks(spark, data))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(v) and "BroadcastHashJoin" not in plan(f)
+    assert v.count() == 800 and f.count() == 400
