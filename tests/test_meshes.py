@@ -102,3 +102,12 @@ def test_repair_of_many_meshes_is_not_broadcast(spark, data):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan(v) and "BroadcastHashJoin" not in plan(f)
     assert v.count() == 800 and f.count() == 400
+
+
+def test_cells_of_a_surface_grid_rest_on_no_broadcast(spark, data, monkeypatch):
+    """The faces that are split first come out of joins by sorted parts."""
+    seen, flags = [], mesh.face_flags
+    monkeypatch.setattr(mesh, "face_flags", lambda *a: seen.append(flags(*a)) or seen[-1])
+    cells = mesh.surface_grid(*fx.meshes(spark, data), target=5.0)
+    assert "BroadcastHashJoin" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert cells.select("source_face").distinct().count() == 400
