@@ -111,3 +111,11 @@ def test_cells_of_a_surface_grid_rest_on_no_broadcast(spark, data, monkeypatch):
     cells = mesh.surface_grid(*fx.meshes(spark, data), target=5.0)
     assert "BroadcastHashJoin" not in seen[0]._jdf.queryExecution().executedPlan().toString()
     assert cells.select("source_face").distinct().count() == 400
+
+
+def test_duplicates_are_found_without_a_broadcast(spark, data):
+    from solvane import queries
+
+    out = queries.queries()["mesh_duplicate_faces"](spark, data)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and out.count() == 20
