@@ -16,7 +16,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from solvane.core import InvalidInput, require_none, require_unique
+from solvane.core import InvalidInput, large, require_none, require_unique
 from solvane.functions.sampling import splitmix
 from solvane.operators.graphs import _cut
 from solvane.operators.ordering import average_ranks
@@ -24,6 +24,8 @@ from solvane.operators.ordering import average_ranks
 EPSILON = 1e-12
 #: Solutions whose objectives are held by each task, to rank them all at once; larger studies are ranked by joins, round by round.
 MOST_SOLUTIONS = 50_000
+#: Solutions with two objectives that one task ranks by sweeps at most.
+MOST_SWEPT = 5_000_000
 
 
 def violation(residuals: list[str]) -> Column:
@@ -49,12 +51,39 @@ def _dominates(n: int, a: str = "a", b: str = "b") -> Column:
     return no_worse & better
 
 
+class Steps:
+    """Members of a front in the order of their first costs: where the least second cost goes down."""
+
+    __slots__ = ("x", "y")
+
+    def __init__(self) -> None:
+        self.x: list[float] = []
+        self.y: list[float] = []
+
+    def beats(self, a: float, b: float) -> bool:
+        """Whether some member dominates (a, b), which comes after all of them."""
+        y = self.y
+        if not y or y[-1] > b + EPSILON or a != a or b != b:
+            return False
+        if y[-1] < b - EPSILON:
+            return True
+        k = len(y) - 1  # equal second costs: the first member that has them has the least first cost
+        while k and y[k - 1] <= b + EPSILON:
+            k -= 1
+        return self.x[k] < a - EPSILON
+
+    def add(self, a: float, b: float) -> None:
+        if a == a and b == b and (not self.y or b < self.y[-1]):
+            self.x.append(a)
+            self.y.append(b)
+
+
 def pareto_front(rows: DataFrame, objectives: dict[str, str], residuals: list[str] | None = None) -> DataFrame:
     """Rows that no other row dominates; feasible rows only, if there is one.
 
     A row is dominated by some row exactly if it is by one that nothing
     dominates, so tasks first drop what is dominated inside themselves, and only
-    the few that are left meet each other.
+    the few that are left meet each other; with two objectives, in one sweep.
     """
     n = len(objectives)
     named = _costs(rows.withColumn("violation", violation(residuals or [])), objectives)
@@ -71,6 +100,14 @@ def pareto_front(rows: DataFrame, objectives: dict[str, str], residuals: list[st
             every = every.sort_values(cols, kind="stable").reset_index(drop=True)
             c = every[cols].to_numpy()
             front: list[int] = []
+            if n == 2:
+                steps = Steps()
+                for i, (x, y) in enumerate(c.tolist()):
+                    if not steps.beats(x, y):
+                        steps.add(x, y)
+                        front.append(i)
+                kept = every.iloc[front]
+                continue
             for i in range(len(c)):
                 f = c[front]
                 if not len(f) or not ((f <= c[i] + EPSILON).all(1) & (f < c[i] - EPSILON).any(1)).any():
@@ -80,6 +117,8 @@ def pareto_front(rows: DataFrame, objectives: dict[str, str], residuals: list[st
             yield kept
 
     few = _cut(pool.mapInPandas(local, pool.schema))
+    if n == 2:
+        return few.repartition(1).mapInPandas(local, pool.schema).drop(*cols)
     beaten = few.alias("b").join(few.alias("a"), _dominates(n), "left_anti")
     return beaten.drop(*cols)
 
@@ -110,6 +149,81 @@ def front_ranks(costs: np.ndarray) -> np.ndarray:
     return out
 
 
+def swept_ranks(costs: np.ndarray) -> np.ndarray:
+    """``front_ranks`` of two costs: of a front only the steps of its second costs are looked at."""
+    out = np.zeros(len(costs), np.int64)
+    fronts: list[Steps] = []
+    order = np.lexsort(costs.T[::-1])
+    for i, (a, b) in zip(order.tolist(), costs[order].tolist(), strict=True):
+        lo, hi = 0, len(fronts)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if fronts[mid].beats(a, b):
+                lo = mid + 1
+            else:
+                hi = mid
+        if lo == len(fronts):
+            fronts.append(Steps())
+        fronts[lo].add(a, b)
+        out[i] = lo
+    return out
+
+
+def _prefix_counts(values: np.ndarray, queries: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """For each of queries (ends, limits): how many of the first ``end`` values, a permutation of 0 ... n - 1, are below ``limit``; by bits from the highest."""
+    ends = [(np.zeros_like(e), e.copy(), np.zeros_like(e)) for e, _ in queries]
+    for bit in range(len(values).bit_length() - 1, -1, -1):
+        one = (values >> bit & 1).astype(bool)
+        zeros = np.concatenate([[0], np.cumsum(~one)])
+        for k, (low, high, n) in enumerate(ends):
+            up = (queries[k][1] >> bit & 1).astype(bool)
+            a, b = zeros[low], zeros[high]
+            n += np.where(up, b - a, 0)
+            ends[k] = np.where(up, zeros[-1] + low - a, a), np.where(up, zeros[-1] + high - b, b), n
+        values = np.concatenate([values[~one], values[one]])
+    return [n for _, _, n in ends]
+
+
+def swept_counts(costs: np.ndarray) -> np.ndarray:
+    """By how many rows of two costs each is dominated: no worse in both, less those that are better in none."""
+    known = costs[~np.isnan(costs).any(1)]
+    by = np.argsort(known[:, 0], kind="stable")
+    first, second = known[by, 0], np.sort(known[:, 1])
+    values = np.empty(len(known), np.int64)
+    values[np.argsort(known[by, 1], kind="stable")] = np.arange(len(known))
+    x, y = (lambda c: np.searchsorted(first, c, "right")), (lambda c: np.searchsorted(second, c, "right"))
+    below = lambda sorted_, c: np.searchsorted(sorted_, c - EPSILON, "left")
+    some = ~np.isnan(costs).any(1)
+    a, b = costs[some, 0], costs[some, 1]
+    better_x, better_y = below(first, a), below(second, b)
+    one, two, both = _prefix_counts(values, [(better_x, y(b + EPSILON)), (x(a + EPSILON), better_y), (better_x, better_y)])
+    out = np.zeros(len(costs), np.int64)
+    out[some] = one + two - both
+    return out
+
+
+def _ranked_by_sweep(named: DataFrame, cols: list[str], key: str) -> DataFrame:
+    """named with rank and dominated_count, for two objectives: one task sorts and sweeps keys and costs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = list(batches)
+        if not every:
+            return
+        held = pa.Table.from_batches(every)
+        ok, bad = (held.column(c).to_numpy() for c in ("feasible", "violation"))
+        costs = np.stack([held.column(c).to_numpy().astype(float) for c in cols], axis=1)[ok]
+        rank, n = np.zeros(len(ok), np.int64), np.zeros(len(ok), np.int64)
+        rank[ok], n[ok] = swept_ranks(costs), swept_counts(costs)
+        rank[~ok] = (int(rank[ok].max()) + 1 if ok.any() else 0) + np.unique(bad[~ok], return_inverse=True)[1]
+        n[~ok] = len(costs) + np.searchsorted(np.sort(bad[~ok]), bad[~ok] - EPSILON, "left")
+        out = pa.table({key: held.column(key), "dominated_count": pa.array(n), "rank": pa.array(rank.astype(np.int32))})
+        yield from out.to_batches(max_chunksize=100_000)
+
+    kind = named.schema[key].dataType.simpleString()
+    found = named.select(key, "feasible", "violation", *cols).repartition(1).mapInArrow(run, f"`{key}` {kind}, dominated_count long, rank int")
+    return named.join(large(found), key)
+
+
 def _ranked_at_once(named: DataFrame, cols: list[str], key: str) -> DataFrame:
     """named with rank and dominated_count; all costs, of a bounded number, are held by each task."""
     held = named.select(key, "feasible", "violation", *cols).toArrow()
@@ -157,17 +271,20 @@ def _ranked_by_rounds(named: DataFrame, cols: list[str], key: str) -> DataFrame:
     return counted.join(ranks.unionByName(ranked.select(key, "rank")) if ranked is not None else ranks, key)
 
 
-def rank_study(rows: DataFrame, objectives: dict[str, str], residuals: list[str] | None = None, key: str = "candidate_id", at_once: int = MOST_SOLUTIONS) -> DataFrame:
+def rank_study(rows: DataFrame, objectives: dict[str, str], residuals: list[str] | None = None, key: str = "candidate_id", at_once: int = MOST_SOLUTIONS, swept: int = MOST_SWEPT) -> DataFrame:
     """rows with violation, feasible, rank, dominated_count and crowding (null at the ends of a front).
 
     Feasible rows come before others; these go by their summed violation;
-    feasible ones by fronts.  Up to ``at_once`` rows are ranked together, more of
-    them round by round, with the same result.
+    feasible ones by fronts.  Up to ``at_once`` rows are ranked together, up to
+    ``swept`` rows of two objectives by a sweep in one task, more of them round
+    by round, with the same result.
     """
-    require_unique(rows, key)
     named = _cut(_costs(rows.withColumn("violation", violation(residuals or [])).withColumn("feasible", F.col("violation") <= EPSILON), objectives))
     cols = [f"o{k}" for k in range(len(objectives))]
-    out = _cut((_ranked_at_once if named.count() <= at_once else _ranked_by_rounds)(named, cols, key))
+    require_unique(named, key)
+    total = named.count()
+    way = _ranked_at_once if total <= at_once else _ranked_by_sweep if len(cols) == 2 and total <= swept else _ranked_by_rounds
+    out = _cut(way(named, cols, key))
     return out.join(crowding(out.select(key, "rank", "feasible", *cols), cols, key), key).drop(*cols)
 
 

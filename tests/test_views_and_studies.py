@@ -281,3 +281,18 @@ def test_plans_agree_on_layers_and_inactive_rays(spark, data, plan):
     assert rows == {k: (1.0, 0) if k[1] == 2 else v for k, v in want.items()}
     hit = rays.closest(r, tri, queries.KEYS, strategy=plan, active=F.col("sun_index") != 2)
     assert hit.count() == r.count() and hit.where("sun_index = 2 and hit").isEmpty()
+
+
+def test_two_objectives_are_ranked_without_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    for step in (1.0, 4e-13, 1e-12):  # also costs that are told apart within the tolerance only
+        c = rng.integers(0, 30, (300, 2)) * step
+        assert (study.swept_ranks(c) == study.front_ranks(c)).all()
+        beats = ((c[:, None] <= c[None] + 1e-12).all(2) & (c[:, None] < c[None] - 1e-12).any(2)).sum(0)
+        assert (study.swept_counts(c) == beats).all()
+    rows = [(k, float(rng.integers(0, 12)), float(rng.integers(0, 12)), float(rng.integers(-3, 2))) for k in range(120)]
+    d = spark.createDataFrame(rows, "candidate_id long, a double, b double, r double")
+    taken = lambda **o: sorted(map(tuple, study.rank_study(d, {"a": "max", "b": "min"}, ["r"], at_once=0, **o).collect()))
+    rounds = taken(swept=0)
+    monkeypatch.setattr(study, "_ranked_by_rounds", None)
+    assert taken() == rounds
