@@ -167,15 +167,26 @@ def calibration(observations: DataFrame, key: str = "candidate_id", floor: float
     return m.select("n", "slope", "intercept", F.greatest(F.sqrt(sse / F.greatest(F.col("n") - 2, F.lit(1))), F.lit(floor)).alias("residual_deviation"), "reference_cost")
 
 
-def _area_2d(points: np.ndarray, reference: np.ndarray) -> float:
-    p = points[(points < reference).all(1)]
-    p = p[np.argsort(p[:, 0], kind="stable")]
-    top, out = reference[1], 0.0
-    for x, y in p:
-        if y < top:
-            out += (reference[0] - x) * (top - y)
-            top = y
-    return out
+class Growth:
+    """By what area points grow the area that costs of a front cover below a reference point: two searches in sums along the front's steps."""
+
+    def __init__(self, known: np.ndarray, reference: np.ndarray):
+        p = known[(known < reference).all(1)]
+        p = p[np.lexsort((p[:, 1], p[:, 0]))]
+        low = np.minimum.accumulate(p[:, 1])
+        step = np.ones(len(p), bool)
+        step[1:] = p[1:, 1] < low[:-1]
+        self.x, self.y, self.reference = p[step, 0], p[step, 1], reference
+        self.ends = np.append(self.x, reference[0])
+        self.sums = np.append(0.0, np.cumsum(np.diff(self.ends) * self.y))
+
+    def of(self, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+        """The growth by each point alone."""
+        start = np.searchsorted(self.x, px, "right")
+        stop = np.searchsorted(-self.y, -py, "left")  # the first step as low as the point
+        top = np.append(self.reference[1], self.y)[start]
+        grown = (self.ends[start] - px) * (top - py) + self.sums[stop] - self.sums[start] - py * (self.ends[stop] - self.ends[start])
+        return np.where((px < self.reference[0]) & (py < self.reference[1]) & (start <= stop) & (top > py), grown, 0.0)
 
 
 def recommend(observations: DataFrame, directions: list[str], batch: int = 4, draws: int = 256, seed: int = 42, key: str = "candidate_id") -> DataFrame:
@@ -197,30 +208,28 @@ def recommend(observations: DataFrame, directions: list[str], batch: int = 4, dr
     known = np.zeros((0, len(names)))
     if len(names) == 2:
         # what other results dominate adds no area: the front alone goes to the tasks
-        front = pareto_front(known_rows, dict.fromkeys(names, "min")).select(*names).distinct().limit(MOST_FRONT + 1).collect()
+        front = pareto_front(known_rows.distinct(), dict.fromkeys(names, "min")).select(*names).distinct().limit(MOST_FRONT + 1).collect()
         if len(front) > MOST_FRONT:
             raise InvalidInput(f"a front of more than {MOST_FRONT} reference results")
         known = np.array([list(r) for r in front], float).reshape(-1, 2)
     todo = observations.where("fidelity = 'fast'").join(observations.where("fidelity = 'reference'").select(key).distinct(), key, "left_anti")
     far = high + 0.1 * np.maximum(high - low, 1.0)
-    base = _area_2d(known, far) if len(directions) == 2 else 0.0
+    growth = Growth(known, far) if len(directions) == 2 else None
     cost = float(np.mean([m[3] for m in models]))
 
     def run(batches):
-        for b in batches:
-            out = []
-            for c, o in zip(b[key], b["objectives"], strict=True):
-                mean = np.array([m[0] * x + m[1] for m, x in zip(models, np.asarray(o, float) * sign, strict=True)])
-                sd = np.array([m[2] for m in models])
-                if len(sd) == 2:
-                    u = np.clip(_draws(seed + 7919 * int(c), 2 * draws), 1e-12, 1 - 1e-12)
-                    z = np.sqrt(-2 * np.log(u[:draws]))
-                    pts = mean + sd * np.c_[z * np.cos(2 * math.pi * u[draws:]), z * np.sin(2 * math.pi * u[draws:])]
-                    gain = float(np.mean([_area_2d(np.vstack([known, p]), far) - base for p in pts]))
-                else:
-                    gain = float(sd.sum())
-                out.append((int(c), gain, cost, gain / cost if cost > 0 else 0.0))
-            yield pd.DataFrame(out, columns=[key, "gain", "cost", "score"])
+        sd = np.array([m[2] for m in models])
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                b = whole.iloc[at : at + 1000]
+                ids = b[key].to_numpy(np.int64)
+                gain = np.full(len(b), float(sd.sum()))
+                if growth is not None:
+                    mean = np.stack(b["objectives"]).astype(float) * sign * [m[0] for m in models] + [m[1] for m in models]
+                    u = np.clip(_draws(seed + 7919 * ids, 2 * draws), 1e-12, 1 - 1e-12)
+                    z, w = np.sqrt(-2 * np.log(u[:, :draws])), 2 * math.pi * u[:, draws:]
+                    gain = growth.of(mean[:, :1] + sd[0] * (z * np.cos(w)), mean[:, 1:] + sd[1] * (z * np.sin(w))).mean(axis=1)
+                yield pd.DataFrame({key: ids, "gain": gain, "cost": cost, "score": gain / cost if cost > 0 else 0.0})
 
     spread = todo.select(key, "objectives").repartition(todo.sparkSession.sparkContext.defaultParallelism, key)
     return spread.mapInPandas(run, f"{key} long, gain double, cost double, score double").orderBy(F.col("score").desc(), key).limit(batch)

@@ -329,10 +329,11 @@ def spearman(rows: DataFrame, parameters: list[str], objectives: list[str]) -> D
     return sums.select(F.inline(F.array(*each)))
 
 
-def _draws(seed: int, n: int) -> np.ndarray:
-    """n numbers in [0, 1) of the counter-based generator; draw k hangs on (seed, k) alone."""
+def _draws(seed: int | np.ndarray, n: int) -> np.ndarray:
+    """n numbers in [0, 1) of the counter-based generator, a row for each seed if there are several; draw k hangs on (seed, k) alone."""
     with np.errstate(over="ignore"):
-        x = np.uint64(seed & (2**64 - 1)) + (np.arange(1, n + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        first = seed.astype(np.uint64)[:, None] if isinstance(seed, np.ndarray) else np.uint64(seed & (2**64 - 1))
+        x = first + (np.arange(1, n + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x = x ^ (x >> np.uint64(31))

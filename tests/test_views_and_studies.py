@@ -296,3 +296,23 @@ def test_two_objectives_are_ranked_without_rounds(spark, monkeypatch):
     rounds = taken(swept=0)
     monkeypatch.setattr(study, "_ranked_by_rounds", None)
     assert taken() == rounds
+
+
+def test_growth_of_a_front_is_the_difference_of_areas():
+    rng = np.random.default_rng(6)
+
+    def area(points, reference):
+        top, out = reference[1], 0.0
+        for x, y in sorted(p for p in points.tolist() if p[0] < reference[0] and p[1] < reference[1]):
+            if y < top:
+                out, top = out + (reference[0] - x) * (top - y), y
+        return out
+
+    far = np.array([10.0, 10.0])
+    for n in (0, 1, 40):
+        known = rng.integers(0, 12, (n, 2)).astype(float)
+        points = rng.integers(-1, 13, (300, 2)) + rng.choice([0.0, 0.5], (300, 2))
+        real = [area(np.vstack([known, p]), far) - area(known, far) for p in points]
+        assert evidence.Growth(known, far).of(points[:, 0], points[:, 1]) == pytest.approx(real, abs=1e-9)
+    seeds = np.array([-3, 0, 42, 7919 * 10**6])
+    assert (study._draws(seeds, 5) == np.stack([study._draws(int(k), 5) for k in seeds])).all()
