@@ -9,16 +9,19 @@ from datetime import datetime
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from solvane.core import InvalidInput
+from solvane.core import InvalidInput, large
 from solvane.operators.graphs import _cut
 from solvane.operators.study import EPSILON, Stream, _draws, pareto_front
 
 MOST_ROWS = 2_000_000
 #: Reference results of a front that each task holds at most.
 MOST_FRONT = 100_000
+#: Rows of intervals of one objective that one task ranks at most.
+MOST_INTERVALS = 10_000_000
 
 
 def saltelli_design(spark: SparkSession, bounds: list[tuple[float, float]], n: int, seed: int = 42) -> DataFrame:
@@ -117,11 +120,39 @@ def robust_scenarios(outcomes: DataFrame, direction: str = "min", alpha: float =
     return out.withColumn("deviation", F.sqrt(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(0.0)))).drop("square")
 
 
-def uncertainty_ranking(rows: DataFrame, objectives: dict[str, str], residuals: list[str] | None = None, multiplier: float = 1.96, key: str = "candidate_id") -> DataFrame:
+def _interval_fronts(rows: DataFrame, key: str) -> DataFrame:
+    """(key, rank) of rows(key, tier_number, lo0, hi0): a front is all that begins before the least end of what is left of its tier."""
+
+    def run(batches):
+        every = list(batches)
+        if not every:
+            return
+        held = pa.Table.from_batches(every)
+        tier, lo, hi = (held.column(c).to_numpy() for c in ("tier_number", "lo0", "hi0"))
+        # what has no begin is beaten by nothing, what has no end beats nothing; Spark's NaN is above all numbers
+        lo = np.where(held.column("lo0").is_null().to_numpy(), -np.inf, np.where(np.isnan(lo), np.inf, lo - EPSILON))
+        hi = np.where(np.isnan(hi), np.inf, hi)
+        order = np.lexsort((lo, tier))
+        rank, out = 0, np.empty(len(order), np.int32)
+        for own in np.split(order, np.flatnonzero(np.diff(tier[order])) + 1):
+            begins, least = lo[own], np.minimum.accumulate(hi[own][::-1])[::-1]
+            at = 0
+            while at < len(own):
+                upto = int(np.searchsorted(begins, least[at], "right"))
+                out[own[at:upto]] = rank
+                at, rank = upto, rank + 1
+        yield from pa.table({key: held.column(key), "rank": pa.array(out)}).to_batches(max_chunksize=100_000)
+
+    return rows.repartition(1).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, rank int")
+
+
+def uncertainty_ranking(rows: DataFrame, objectives: dict[str, str], residuals: list[str] | None = None, multiplier: float = 1.96, key: str = "candidate_id", at_once: int = MOST_INTERVALS) -> DataFrame:
     """rows with tier (proven, possible, infeasible) and rank: a row dominates where its interval's worse end beats the other's better end.
 
     Objectives and residuals are means in their columns, deviations in columns
-    with _sd behind their names.  Better tiers come first, then fronts.
+    with _sd behind their names.  Better tiers come first, then fronts.  With one
+    objective, up to ``at_once`` rows are ranked by one task that sorts them, more
+    of them round by round, with the same result.
     """
     tier_high, tier_low = F.lit(True), F.lit(True)
     for r in residuals or []:
@@ -139,15 +170,19 @@ def uncertainty_ranking(rows: DataFrame, objectives: dict[str, str], residuals:
         no_worse = no_worse & (F.col(f"a.hi{k}") <= F.col(f"b.lo{k}") + EPSILON)
         better = better | (F.col(f"a.hi{k}") < F.col(f"b.lo{k}") - EPSILON)
     beats = (F.col("a.tier_number") < F.col("b.tier_number")) | (F.col("a.tier_number") == F.col("b.tier_number")) & no_worse & better
-    left, rank, ranked = _cut(named.select(key, "tier_number", *ends)), 0, None
-    while not left.isEmpty():
-        front = _cut(left.alias("b").join(left.alias("a"), beats, "left_anti").withColumn("rank", F.lit(rank)))
-        ranked = front if ranked is None else ranked.unionByName(front)
-        left = _cut(left.join(front.select(key), key, "left_anti"))
-        rank += 1
+    named = _cut(named)
+    if n == 1 and named.limit(at_once + 1).count() <= at_once:
+        ranked = _interval_fronts(named.select(key, "tier_number", *ends), key)
+    else:
+        left, rank, ranked = named.select(key, "tier_number", *ends), 0, None
+        while not left.isEmpty():
+            front = _cut(left.alias("b").join(left.alias("a"), beats, "left_anti").withColumn("rank", F.lit(rank)))
+            ranked = front if ranked is None else ranked.unionByName(front)
+            left = _cut(left.join(front.select(key), key, "left_anti"))
+            rank += 1
     names = F.element_at(F.array(F.lit("proven"), F.lit("possible"), F.lit("infeasible")), F.col("tier_number") + 1)
     out = named.withColumn("tier", names).drop("tier_number", *ends)
-    return out.join(ranked.select(key, "rank"), key) if ranked is not None else out.withColumn("rank", F.lit(0))
+    return out.join(large(ranked.select(key, "rank")), key) if ranked is not None else out.withColumn("rank", F.lit(0))
 
 
 def calibration(observations: DataFrame, key: str = "candidate_id", floor: float = 1e-9) -> DataFrame:

@@ -316,3 +316,15 @@ def test_growth_of_a_front_is_the_difference_of_areas():
         assert evidence.Growth(known, far).of(points[:, 0], points[:, 1]) == pytest.approx(real, abs=1e-9)
     seeds = np.array([-3, 0, 42, 7919 * 10**6])
     assert (study._draws(seeds, 5) == np.stack([study._draws(int(k), 5) for k in seeds])).all()
+
+
+def test_intervals_are_ranked_at_once_as_by_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(k, float(rng.integers(0, 40)), float(rng.integers(0, 4)), float(rng.integers(-3, 3)), float(rng.integers(0, 2))) for k in range(80)] + [(80, None, None, -9.0, 0.0), (81, math.nan, 1.0, -9.0, 0.0), (82, 3.0, None, -9.0, 0.0)]
+    d = spark.createDataFrame(rows, "candidate_id long, o double, o_sd double, r double, r_sd double")
+    taken = lambda **a: {x["candidate_id"]: (x["rank"], x["tier"]) for x in evidence.uncertainty_ranking(d, {"o": "max"}, ["r"], **a).collect()}
+    rounds = taken(at_once=0)
+    cuts = []
+    monkeypatch.setattr(evidence, "_cut", lambda df: cuts.append(1) or df)
+    assert taken() == rounds and len(rounds) == 83 and len(cuts) == 1
+    assert evidence.uncertainty_ranking(d.where("false"), {"o": "min"}).count() == 0
