@@ -328,3 +328,19 @@ def test_intervals_are_ranked_at_once_as_by_rounds(spark, monkeypatch):
     monkeypatch.setattr(evidence, "_cut", lambda df: cuts.append(1) or df)
     assert taken() == rounds and len(rounds) == 83 and len(cuts) == 1
     assert evidence.uncertainty_ranking(d.where("false"), {"o": "min"}).count() == 0
+
+
+def test_scenes_are_built_by_a_task_and_not_drawn_out(spark, data, monkeypatch):
+    from solvane.plans import bvh
+
+    t = fx.triangles(spark, data)
+    wide = t.unionByName(t.withColumns({c: F.col(c) + 10_000 for c in ("ax", "bx", "cx")}).withColumn("object_id", F.col("object_id") + 1_000_000))
+    r = queries.sun_rays(spark, data)
+    want = {tuple(x) for x in rays.closest(r, wide, queries.KEYS, "voxel").select(*queries.KEYS, "hit", "distance", "object_id", "triangle_id").collect()}
+    scene = bvh.Scene(wide.toArrow())
+    n = scene.tree.real
+    ray, _ = scene.tree.candidates(np.stack([np.full(50, 100.0), np.linspace(0, 200, 50), np.full(50, 1.6)]), np.stack([np.full(50, 0.6), np.zeros(50), np.full(50, 0.8)]), np.zeros(50), np.full(50, 10.0))
+    assert len(ray) < 50 * n / bvh.LEAF / 10
+    monkeypatch.setattr(bvh.Scene, "__init__", None)  # not by the driver
+    got = {tuple(x) for x in rays.closest(r, wide, queries.KEYS, "bvh").select(*queries.KEYS, "hit", "distance", "object_id", "triangle_id").collect()}
+    assert got == want
