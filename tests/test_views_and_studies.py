@@ -344,3 +344,12 @@ def test_scenes_are_built_by_a_task_and_not_drawn_out(spark, data, monkeypatch):
     monkeypatch.setattr(bvh.Scene, "__init__", None)  # not by the driver
     got = {tuple(x) for x in rays.closest(r, wide, queries.KEYS, "bvh").select(*queries.KEYS, "hit", "distance", "object_id", "triangle_id").collect()}
     assert got == want
+
+
+def test_crowding_of_larger_studies_needs_no_rounds(spark, monkeypatch):
+    rows = [(k, float(k % 7), float((k * 5) % 11), 0.0) for k in range(60)]
+    d = spark.createDataFrame(rows, "candidate_id long, a double, b double, r double")
+    taken = lambda n: {x["candidate_id"]: x["crowding"] for x in study.rank_study(d, {"a": "max", "b": "min"}, ["r"], at_once=n).collect()}
+    once = taken(1000)
+    monkeypatch.setattr(study, "_ranked_by_rounds", None)
+    assert taken(0) == once and any(x is not None for x in once.values())
