@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from solvane.core import small
@@ -41,21 +41,31 @@ def static_sky(sensors: DataFrame, triangles: DataFrame, offset: float = 1e-4, m
     return out.na.fill(1.0)
 
 
+def with_turns(weather_suns: DataFrame) -> DataFrame:
+    """weather_suns with turn, a number of each direction d*: what a ray meets hangs on its direction, which hours may share."""
+    return weather_suns.withColumn("turn", F.dense_rank().over(Window.orderBy("dx", "dy", "dz")))
+
+
+def _directions(turned: DataFrame) -> DataFrame:
+    """(turn, d*, any_active) of each direction of hours with turns."""
+    return turned.groupBy("turn").agg(*[F.first(f"d{x}").alias(f"d{x}") for x in "xyz"], F.max("is_active").alias("any_active"))
+
+
 def irradiance_timeline(sensors: DataFrame, weather_suns: DataFrame, triangles: DataFrame, ground_albedo: float = 0.2, prefer_weather_albedo: bool = True, offset: float = 1e-4, strategy: str = "auto", sky: DataFrame | None = None) -> DataFrame:
     """(sensor_id, sun_index, state, direct, diffuse, ground, total, loss, object_id) in W/m2 and Wh/m2 (loss).
 
     weather_suns has sun_index, d*, is_active, duration_hours, dni, dhi, ghi (Wh/m2
-    of the interval) and, if there, albedo.
+    of the interval) and, if there, albedo.  A sensor traces each direction once,
+    however many hours have it.
     """
     hours = F.col("duration_hours")
     per_hour = {c: ratio(F.col(c), hours) for c in ("dni", "dhi", "ghi")}
     albedo = F.coalesce("albedo", F.lit(ground_albedo)) if prefer_weather_albedo and "albedo" in weather_suns.columns else F.lit(ground_albedo)
-    w = weather_suns.select("sun_index", "dx", "dy", "dz", "is_active", "duration_hours", *[v.alias(c) for c, v in per_hour.items()], albedo.alias("albedo"))
-    rows = sensors.crossJoin(small(w)) if "sensor_id" in sensors.columns else sensors
-    cosine = dot(vec("n"), vec("d"))
-    rows = rows.withColumn("cosine", cosine).withColumn("facing", F.col("is_active") & (F.col("cosine") > 0))
-    needed = ["facing", "cosine", "nz", "dz", "is_active", "duration_hours", "dni", "dhi", "ghi", "albedo"]
-    traced = closest(rays_from(rows, offset, INFINITE), triangles, ["sensor_id", "sun_index"], strategy, carry=needed, active=F.col("facing"))
+    w = with_turns(weather_suns).select("turn", "sun_index", "dx", "dy", "dz", "is_active", "duration_hours", *[v.alias(c) for c, v in per_hour.items()], albedo.alias("albedo"))
+    rows = sensors.crossJoin(small(_directions(w))).withColumn("cosine", dot(vec("n"), vec("d")))
+    needed = ["cosine", "nz", "dz"]
+    traced = closest(rays_from(rows, offset, INFINITE), triangles, ["sensor_id", "turn"], strategy, carry=needed, active=F.col("any_active") & (F.col("cosine") > 0))
+    traced = traced.join(small(w.drop("dx", "dy", "dz")), "turn").withColumn("facing", F.col("is_active") & (F.col("cosine") > 0))
     sky = sky if sky is not None else static_sky(sensors, triangles, offset, strategy=strategy)
     out = traced.join(sky, "sensor_id")
     visible = F.col("facing") & ~F.coalesce("hit", F.lit(False))

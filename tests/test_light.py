@@ -174,3 +174,29 @@ def test_annual_metrics_and_validation(spark):
     pairs = spark.createDataFrame([(100.0, 100.0), (200.0, 200.0)], "value double, reference double")
     c = daylight.compare(pairs).first()
     assert c["bias"] == 0 and c["r_squared"] == 1 and c["accepted"] == 2
+
+
+def hours_of(spark, *rows):
+    """Hours (sun_index, d*, is_active) of noon."""
+    return spark.createDataFrame([(k, *map(float, d), on, 1.0, 700.0 + k, 100.0, 900.0, 43200) for k, d, on in rows], "sun_index int, dx double, dy double, dz double, is_active boolean, duration_hours double, dni double, dhi double, ghi double, midpoint_unix long")
+
+
+def test_hours_of_one_direction_share_a_ray(spark, monkeypatch):
+    every = [(0, (0, 0, 1), True), (1, (0.6, 0, 0.8), True), (2, (0, 0, 1), True), (3, (0, 0, 1), False), (4, (0, 0.8, -0.6), False)]
+    traced, own = [], daylight.closest
+    monkeypatch.setattr(daylight, "closest", lambda rays, *rest, **options: (traced.append(rays), own(rays, *rest, **options))[1])
+    s, t = sensors(spark, (0, 0, 1), (0, 0, -1)), big(spark, x=-0.3)
+    whole = {(r["sensor_id"], r["sun_index"]): r for r in daylight.irradiance_timeline(s, hours_of(spark, *every), t).collect()}
+    assert traced[0].count() == 2 * 3 and len(whole) == 2 * 5
+    for h in every:
+        for r in daylight.irradiance_timeline(s, hours_of(spark, h), t).collect():
+            assert r == whole[r["sensor_id"], h[0]]
+
+
+def test_a_scene_is_built_once_for_rays_to_sky_and_sun(spark, monkeypatch):
+    from solvane.plans import bvh
+
+    built, own = [], bvh._built
+    monkeypatch.setattr(bvh, "_built", lambda t: (built.append(t), own(t))[1])
+    daylight.annual_irradiance(sensors(spark), hours_of(spark, (0, (0, 0, 1), True)), big(spark)).collect()
+    assert len(built) == 1
