@@ -139,17 +139,29 @@ def daylight_factor(matrix: DataFrame, patches: int = 576) -> DataFrame:
     return relative_illuminance(matrix, patches, "cie_overcast").select("sensor_id", (100 * F.col("share")).alias("daylight_factor"))
 
 
+def sun_transmission(sensors: DataFrame, turned: DataFrame, triangles: DataFrame, materials: DataFrame, assignment: DataFrame, offset: float = 1e-4, strategy: str = "auto") -> DataFrame:
+    """(sensor_id, turn, transmission) of sensors that face the sun in active hours with turns; each direction is traced once."""
+    rows = sensors.crossJoin(small(_directions(turned.where("is_active")))).where("nx * dx + ny * dy + nz * dz > 0")
+    return transmission(rays_from(rows, offset, INFINITE), triangles, ["sensor_id", "turn"], materials, assignment, "visible_t", strategy=strategy).select("sensor_id", "turn", "transmission")
+
+
 def annual_daylight(sensors: DataFrame, matrix: DataFrame, weather_suns: DataFrame, sun_transmission: DataFrame, patches: int = 576, sky: str = "isotropic", direct_efficacy: float = 100.0, diffuse_efficacy: float = 120.0, start_hour: float = 8.0, end_hour: float = 18.0, utc_offset_hours: float = 0.0, sda_lux: float = 300.0, ase_lux: float = 1000.0, ase_hours: float = 250.0, udi: tuple[float, float, float] = (100.0, 300.0, 3000.0)) -> DataFrame:
     """A row for each sensor of hours, sDA share, ASE hours, UDI shares and mean lux in the occupied hours.
 
     weather_suns as for irradiance, with midpoint_unix; sun_transmission has
-    (sensor_id, sun_index, transmission).  Occupied hours may run over midnight.
+    (sensor_id, sun_index, transmission), or (sensor_id, turn, transmission) where
+    weather_suns has turns.  Occupied hours may run over midnight.
     """
     hours = F.col("duration_hours")
     local = F.pmod(F.col("midpoint_unix") + F.lit(int(utc_offset_hours * 3600)), F.lit(86400)) / 3600
     inside = (local >= start_hour) & (local < end_hour) if start_hour <= end_hour else (local >= start_hour) | (local < end_hour)
-    w = weather_suns.where(inside).select("sun_index", "dx", "dy", "dz", "is_active", "duration_hours", ratio(F.col("dni"), hours).alias("dni"), ratio(F.col("dhi"), hours).alias("dhi"))
-    rows = sensors.select("sensor_id", "nx", "ny", "nz", "area").crossJoin(small(w)).join(relative_illuminance(matrix, patches, sky), "sensor_id").join(sun_transmission, ["sensor_id", "sun_index"], "left")
+    by = "turn" if "turn" in sun_transmission.columns else "sun_index"
+    w = weather_suns.where(inside).select(by, "dx", "dy", "dz", "is_active", "duration_hours", ratio(F.col("dni"), hours).alias("dni"), ratio(F.col("dhi"), hours).alias("dhi"))
+    each = sensors.select("sensor_id", "nx", "ny", "nz", "area").join(relative_illuminance(matrix, patches, sky), "sensor_id")
+    if by == "turn":  # joined before the hours that share them
+        rows = each.crossJoin(small(w.select(by).distinct())).join(sun_transmission.select("sensor_id", by, "transmission"), ["sensor_id", by], "left").join(small(w), by)
+    else:
+        rows = each.crossJoin(small(w)).join(sun_transmission, ["sensor_id", by], "left")
     direct = F.when(F.col("is_active"), F.col("dni") * direct_efficacy * F.greatest(dot(vec("n"), vec("d")), F.lit(0.0)) * F.coalesce("transmission", F.lit(0.0))).otherwise(0.0)
     rows = rows.withColumn("direct_lux", direct).withColumn("lux", F.col("direct_lux") + F.col("dhi") * diffuse_efficacy * F.col("share"))
     total = F.sum(hours)

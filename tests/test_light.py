@@ -200,3 +200,14 @@ def test_a_scene_is_built_once_for_rays_to_sky_and_sun(spark, monkeypatch):
     monkeypatch.setattr(bvh, "_built", lambda t: (built.append(t), own(t))[1])
     daylight.annual_irradiance(sensors(spark), hours_of(spark, (0, (0, 0, 1), True)), big(spark)).collect()
     assert len(built) == 1
+
+
+def test_annual_daylight_by_directions_equals_it_by_hours(spark):
+    w = daylight.with_turns(hours_of(spark, (0, (0, 0, 1), True), (1, (0.6, 0, 0.8), True), (2, (0, 0, 1), True), (3, (0, 0, 1), False)))
+    s, t, (m, a) = sensors(spark, (0, 0, 1), (0, 0, -1)), big(spark, x=-0.3), materials(spark)
+    through = daylight.sun_transmission(s, w, t, m, a)
+    assert through.count() == 2
+    hours = through.join(w.where("is_active").select("turn", "sun_index"), "turn").select("sensor_id", "sun_index", "transmission")
+    year = lambda x: sorted(daylight.annual_daylight(s, daylight.coefficient_matrix(s, rays.with_transmittance(t, m, a, "visible_t"), m, a, patches=16), w, x, patches=16).collect())
+    assert year(through) == year(hours) and [r["hours"] for r in year(through)] == [4.0, 4.0]
+    assert year(through)[0]["ase_hours"] == 3.0
