@@ -136,6 +136,24 @@ def test_envelope_heights(spark):
     assert e[2]["constraints"] == 0 and e[2]["access_height"] is None
 
 
+def test_envelopes_meet_axes_along_the_rays_only(spark):
+    rng = np.random.default_rng(3)
+    feet, places, ways = rng.uniform(-90, 90, (600, 2)), rng.uniform(-60, 60, (20, 2)), [(0.6, 0, 0.8), (-0.48, 0.64, 0.6), (0, 0, 1), (0.96, 0, 0.28)]
+    c = spark.createDataFrame([(k, *map(float, f), 0.0, 0.0, 0.0, 1.0) for k, f in enumerate(feet)], "candidate_id long, bx double, by double, bz double, ax double, ay double, az double")
+    s = spark.createDataFrame([(k, *map(float, p), 0.0, 0.0, 0.0, 1.0) for k, p in enumerate(places)], "sensor_id long, px double, py double, pz double, nx double, ny double, nz double")
+    met = [tuple(r) for r in sun._along(s.crossJoin(suns(spark, *ways)), c, 1.0, 60.0).select("sensor_id", "sun_index", "candidate_id").collect()]
+    assert len(met) == len(set(met)) < 20 * 4 * 600 / 10
+    want = {}
+    for i, p in enumerate(places):
+        for j, d in enumerate(np.array(ways)[:, :2]):
+            t = (feet - p) @ d / max(d @ d, 1e-300)
+            for k in np.flatnonzero((t > 0) & (t <= 60) & (np.linalg.norm(p + t[:, None] * d - feet, axis=1) <= 1.0)):
+                want[i, j, int(k)] = t[k]
+    assert len(want) > 50 and set(want) <= set(met)
+    n = {r["candidate_id"]: r["constraints"] for r in sun.solar_envelope(c, s, suns(spark, *ways), none(spark), radius=1.0, max_distance=60.0).collect()}
+    assert n == {k: sum(x[2] == k for x in want) for k in range(600)}
+
+
 def test_pv_quantiles_and_regions(spark):
     cells = spark.createDataFrame([(1, 1.0, 900_000.0), (2, 1.0, 1_000_000.0), (3, 2.0, 850_000.0), (4, 1.0, 10.0)], "sensor_id long, area double, energy double")
     p = sun.pv_potential(cells).first()
