@@ -229,3 +229,12 @@ def test_annual_daylight_by_directions_equals_it_by_hours(spark):
     year = lambda x: sorted(daylight.annual_daylight(s, daylight.coefficient_matrix(s, rays.with_transmittance(t, m, a, "visible_t"), m, a, patches=16), w, x, patches=16).collect())
     assert year(through) == year(hours) and [r["hours"] for r in year(through)] == [4.0, 4.0]
     assert year(through)[0]["ase_hours"] == 3.0
+
+
+def test_a_project_builds_one_scene(spark, data, monkeypatch):
+    from solvane import queries
+    from solvane.plans import bvh
+
+    built, own = [], bvh._built
+    monkeypatch.setattr(bvh, "_built", lambda t: (built.append(t), own(t))[1])
+    assert queries.QUERIES["daylight_project"](spark, data).count() == 1 and len(built) == 1
