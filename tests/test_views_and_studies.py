@@ -353,3 +353,19 @@ def test_crowding_of_larger_studies_needs_no_rounds(spark, monkeypatch):
     once = taken(1000)
     monkeypatch.setattr(study, "_ranked_by_rounds", None)
     assert taken(0) == once and any(x is not None for x in once.values())
+
+
+def test_far_pairs_are_dealt_out_to_all_tasks(spark, data):
+    from solvane import fixtures as fx
+
+    tri = fx.triangles(spark, data)
+    o, n = fx.observers(spark, data).coalesce(1), fx.nodes(spark, data).coalesce(1)
+    looks = o.select("observer_id", "px", "py", "pz", *[F.lit(float(v)).alias(c) for c, v in (("fx", 1), ("fy", 0), ("fz", 0), ("ux", 0), ("uy", 0), ("uz", 1))])
+    marks = fx.targets(spark, data).select(F.col("target_id").alias("landmark_id"), "qx", "qy", "qz", F.lit(2.0).alias("radius"), F.lit(1.0).alias("weight"))
+    empty = fx.materials(spark), fx.assignment(spark, data)
+    for far in (
+        visibility.intervisibility(o, fx.targets(spark, data), tri, max_distance=1e-3),
+        visibility.graph_pairs(n, tri, max_distance=1e-3),
+        visibility.landmarks(looks, marks, tri, *empty, samples=1, max_distance=1e-3),
+    ):
+        assert far.groupBy(F.spark_partition_id()).count().count() == 4
