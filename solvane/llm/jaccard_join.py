@@ -157,7 +157,11 @@ def _classes_and_sketch(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _summed(rows: DataFrame, size: int = BUCKETS) -> np.ndarray:
-    """The sketch of the whole table: parts are summed in two steps, so that no task gets all tasks' rows."""
+    """The sketch of the whole table: parts are summed in two steps, so that no task gets all tasks' rows.
+
+    Sums are exact; the driver holds them as 32-bit floats, since all that they tell
+    is an order of shingles and rough lengths of lists.
+    """
     each = BUCKETS // PARTS
 
     def add(key, table):
@@ -170,7 +174,7 @@ def _summed(rows: DataFrame, size: int = BUCKETS) -> np.ndarray:
     kinds = "part int, counts binary"
     step = rows.where("part is not null").select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(64)).alias("deal"))
     step = step.groupBy("part", "deal").applyInArrow(add, kinds).groupBy("part").applyInArrow(add, kinds)
-    out = np.zeros(size, np.uint64)
+    out = np.zeros(size, np.float32)
     for r in step.toLocalIterator():  # size / each rows of fixed size
         out[r["part"] * each : (r["part"] + 1) * each] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
     return out
@@ -188,7 +192,7 @@ def _bins(s: np.ndarray) -> bytes:
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
     """The first p + 1 shingles of each row's set, rare ones first, and its histogram."""
-    share = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.float32))
+    share = docs.sparkSession.sparkContext.broadcast(sketch)
     names = ["doc_id", "mark", "n", "keys", "bins"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,9 +275,9 @@ def _costs(own: DataFrame, few: np.ndarray, shares: tuple[float, float]) -> list
     and some of the others.  Lengths are told by the shares of keys that hardly
     share buckets, and stand for all keys.
     """
-    length = np.maximum(few.astype(np.float64), 1)
+    length = np.maximum(few, 1)
     partners = np.where(length <= SHORT, (length - 1) / 2, 1 + OPEN_SHARE * (length - 1) / 2)
-    share = own.sparkSession.sparkContext.broadcast((1 + PARTNER_COST * partners).astype(np.float32))
+    share = own.sparkSession.sparkContext.broadcast(1 + PARTNER_COST * partners)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cost, total = share.value, {}
@@ -387,12 +391,22 @@ def _scan_lists(e: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
 _SCANNED = "a long, b long, key long, n int, i int, cls long"
 
 
+def _parts(lengths: np.ndarray) -> np.ndarray | None:
+    """Into how many parts the list of each bucket is dealt, those of shingles and of subsets one after the other; None if all are whole.
+
+    Made bit by bit, so that the driver holds no second copy of the sketch.
+    """
+    over = [(of, of.mean(dtype=np.float64)) for of in lengths.reshape(2, BUCKETS)]
+    if all(of.max() - mean <= LIST_ROWS for of, mean in over):
+        return None
+    each = BUCKETS // PARTS
+    return np.concatenate([np.ceil((of[at : at + each] - mean) / LIST_ROWS).clip(1, 60_000).astype(np.uint16) for of, mean in over for at in range(0, BUCKETS, each)])
+
+
 def _lists(own: DataFrame, lengths: np.ndarray, light: int, percent: int, entries: int) -> DataFrame:
     """Written: pairs (a, b) of the lists' scan, and entries (key, n, i, cls) of long lists (a null)."""
     ranges = max(1, entries // RANGE_ENTRIES)
-    lengths = lengths.reshape(2, BUCKETS).astype(np.float64)
-    parts = np.ceil((lengths - lengths.mean(axis=1, keepdims=True)) / LIST_ROWS).clip(1, 60_000).astype(np.uint16).ravel()
-    share = own.sparkSession.sparkContext.broadcast(parts if parts.max() > 1 else None)
+    share = own.sparkSession.sparkContext.broadcast(_parts(lengths))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -706,6 +720,8 @@ def _components_of(docs: DataFrame, width: int, percent: int, light: int | None,
     prefixes = _prefixes(docs, sketch, width, percent).withColumn("k", text_key(text_hash="mark")[0])
     own = prefixes.drop("n").join(classes.select("k", "mark", "cls", *_NAME), ["k", "mark"]).dropDuplicates(["cls"]).select("cls", *_NAME, "keys", "bins")
     own = written(own, "prefixes", compression="zstd")
+    del sketch, prefixes  # the driver keeps no sketch that is done with
+    trim()
     subsets = F.size("keys") * (F.size("keys") - 1) / 2
     sums = own.agg(F.sum(F.size("keys") - 1).alias("single"), F.sum(F.when(F.col("n") <= LIGHT_MOST, subsets)).alias("subset")).first()
     shares = tuple(min(1.0, FEW * FEW_LOAD / max(float(x or 0), 1.0)) for x in (sums["single"], sums["subset"]))
@@ -715,6 +731,8 @@ def _components_of(docs: DataFrame, width: int, percent: int, light: int | None,
     listed = int((sums["single"] or 0) + (own.where(F.col("n") <= light).agg(F.sum(subsets)).first()[0] or 0))
 
     lists = _lists(own, lengths[: 2 * BUCKETS], light, percent, listed)
+    del lengths
+    trim()
     pairs = written(lists.where("a is not null").select("a", "b").distinct(), "pairs")
     links = _linked(docs, classes, own, pairs, width, percent)
     comp = components(links)

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import itertools
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -137,6 +138,19 @@ def test_dealt_lists_lose_no_link(spark, monkeypatch, copies, variants):
     assert all(got[d] == rows[want[i]][0] for i, (d, _) in enumerate(rows))
 
 
+def test_sketches_stay_small_on_the_driver(spark):
+    rows = [(k, " ".join(f"w{(k // 3 * 7 + j) % 400}" for j in range(20))) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tracemalloc.start()
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_components(docs).collect()}
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == {rows[i][0]: rows[j][0] for i, j in enumerate(brute_components(rows, 4, 85))}
+    assert most < 100 << 20  # 40 MB of sketches, and what is made of a part of them
+
+
 @pytest.mark.parametrize("block", [128, 3])
 def test_every_link_is_counted(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "LINK_BLOCK", block)
