@@ -52,6 +52,17 @@ def test_graph_measures_of_a_path(spark):
     assert {r["idx"]: r["component"] for r in graphs.with_components(n, e).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 1}
 
 
+def test_centralities_of_more_paths_than_a_float_counts(spark):
+    many = 1100  # diamonds in a row, so 2 ** 1100 shortest paths from end to end
+    e = [(3 * k + a, 3 * k + b) for k in range(many) for a, b in ((0, 1), (0, 2), (1, 3), (2, 3))]
+    n = 3 * many + 1
+    got = {r["idx"]: r["betweenness"] * (n - 1) * (n - 2) for r in graphs.centralities(spark.range(n).toDF("idx"), spark.createDataFrame(e, "i long, j long")).collect()}
+    # a joint has all pairs across it, and half of the paths of the twins beside it; a twin has half of the pairs across its diamond
+    for k in (0, 1, 40, many // 2, many - 1):
+        assert got[3 * k] == pytest.approx(2 * (3 * k) * (n - 1 - 3 * k) + (1 if k == 0 else 2), rel=1e-9)
+        assert got[3 * k + 1] == pytest.approx((3 * k + 1) * (n - 3 * k - 3), rel=1e-9) and got[3 * k + 2] == pytest.approx(got[3 * k + 1], rel=1e-9)
+
+
 def test_greedy_cap_equals_the_sequential_rule(spark):
     rng = np.random.default_rng(2)
     pairs = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 15, (60, 2)) if a != b})
