@@ -237,7 +237,8 @@ def daylight_year(spark, d):
     # one scene serves the rays to the patches and those to the suns
     s, m, a = fx.sensors(spark, d), fx.materials(spark), fx.assignment(spark, d)
     t = rays.with_transmittance(fx.triangles(spark, d), m, a, "visible_t")
-    w = daylight.with_turns(weather_suns(spark, d))
+    # hours are few, events are many: they are counted into hours once, not for each use of the hours
+    w = graphs._cut(daylight.with_turns(weather_suns(spark, d)))
     return daylight.annual_daylight(s, matrix(spark, d, t), w, daylight.sun_transmission(s, w, t, m, a), patches=12)
 
 

@@ -238,3 +238,10 @@ def test_a_project_builds_one_scene(spark, data, monkeypatch):
     built, own = [], bvh._built
     monkeypatch.setattr(bvh, "_built", lambda t: (built.append(t), own(t))[1])
     assert queries.QUERIES["daylight_project"](spark, data).count() == 1 and len(built) == 1
+
+
+def test_a_project_counts_events_into_hours_once(spark, data):
+    from solvane import queries
+
+    plan = queries.QUERIES["daylight_project"](spark, data)._jdf.queryExecution().toString()
+    assert "event_type" not in plan
