@@ -380,3 +380,20 @@ def test_far_pairs_are_dealt_out_to_all_tasks(spark, data):
         visibility.landmarks(looks, marks, tri, *empty, samples=1, max_distance=1e-3),
     ):
         assert far.groupBy(F.spark_partition_id()).count().count() == 4
+
+
+def _shuffled_rays(df):
+    """Whether the optimised plan deals rows out between the join that makes pairs and the walk of their rays."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    walk = plan[plan.index("MapInArrow") :]
+    return walk.index("Repartition") < walk.index("Join")
+
+
+def test_rays_of_near_pairs_are_not_shuffled(spark, data, monkeypatch):
+    o, t, tri = fx.observers(spark, data), fx.targets(spark, data), fx.triangles(spark, data)
+    near = lambda: visibility.intervisibility(o, t, tri, max_distance=60, far=False)
+    got = near()
+    assert not _shuffled_rays(got)
+    rows = sorted(map(str, got.collect()))
+    monkeypatch.setattr(visibility, "few", lambda b: False)  # more targets than are broadcast
+    assert rows == sorted(map(str, near().collect())) and any("visible" in r for r in rows) and any("blocked" in r for r in rows)
