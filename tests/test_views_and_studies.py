@@ -397,3 +397,16 @@ def test_rays_of_near_pairs_are_not_shuffled(spark, data, monkeypatch):
     rows = sorted(map(str, got.collect()))
     monkeypatch.setattr(visibility, "few", lambda b: False)  # more targets than are broadcast
     assert rows == sorted(map(str, near().collect())) and any("visible" in r for r in rows) and any("blocked" in r for r in rows)
+
+
+def test_rays_to_landmarks_are_not_shuffled(spark, data, monkeypatch):
+    tri, own = fx.triangles(spark, data), (fx.materials(spark), fx.assignment(spark, data))
+    looks = fx.observers(spark, data).select("observer_id", "px", "py", "pz", *[F.lit(float(v)).alias(c) for c, v in (("fx", 1), ("fy", 0), ("fz", 0), ("ux", 0), ("uy", 0), ("uz", 1))])
+    marks = fx.targets(spark, data).select(F.col("target_id").alias("landmark_id"), "qx", "qy", "qz", F.lit(2.0).alias("radius"), F.lit(1.0).alias("weight"))
+    near = lambda: visibility.landmarks(looks, marks, tri, *own, samples=4, max_distance=60, far=False)
+    got = near()
+    assert not _shuffled_rays(got)
+    seen = lambda df: sorted((r["observer_id"], r["landmark_id"], r["in_view"], round(r["transmission"], 12), round(r["score"], 12)) for r in df.collect())
+    rows = seen(got)
+    monkeypatch.setattr(visibility, "few", lambda b: False)  # more landmarks than are broadcast
+    assert rows == seen(near()) and any(0 < r[3] < 1 for r in rows)
